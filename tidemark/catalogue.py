@@ -1,13 +1,276 @@
-"""All registered queries of the core library and their DuckDB twins."""
+"""All registered queries of the core library, named by the identifiers of the inventory they cover."""
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import oracles, series
+from .functions import scalars as X
+from .operators import bars, epochs, features, measures, rolling, selection, statistics, windows
+from .operators.rolling import CODES
+from .plans import report
+from .sources import files, sinks
+from .streaming import online
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def r(name: str, places: int = 6, out: str | None = None) -> Column:
+    return F.round(F.col(name), places).alias(out or name)
+
+
+def rounded(df: DataFrame, *names: str, places: int = 6) -> DataFrame:
+    return df.withColumns({n: F.round(n, places) for n in names})
+
+
+def _et(spark: SparkSession, d: str) -> DataFrame:
+    return series.nav_event_type(spark, d)
+
+
+def _user(spark: SparkSession, d: str) -> DataFrame:
+    return series.nav_user(spark, d)
+
+
+def _bull(spark: SparkSession, d: str) -> DataFrame:
+    return epochs.epoch_points(_et(spark, d), 0.05)
+
+
+def _bear(spark: SparkSession, d: str) -> DataFrame:
+    return epochs.epoch_points(_user(spark, d), 0.05, long=False)
+
+
+def _features(spark: SparkSession, d: str) -> DataFrame:
+    return rolling.rolling_features(_user(spark, d).select("series_id", "seq", "nav"), (5, 8))
+
+
+def _long(spark: SparkSession, d: str) -> DataFrame:
+    return rolling.long_features(_features(spark, d), 25)
+
+
+def _measures(spark: SparkSession, d: str) -> DataFrame:
+    """Line items as a long table: series by return flag, four measures."""
+    li = spark.read.parquet(f"{d}/lineitem.parquet")
+    keys = [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")]
+    columns = {"quantity": "l_quantity", "price": "l_extendedprice", "discount": "l_discount", "tax": "l_tax"}
+    wide = series.ordered(li, F.col("l_returnflag"), keys, **{n: F.col(c).cast("double") for n, c in columns.items()})
+    return wide.unpivot(["series_id", "seq"], list(columns), "feature", "value")
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/events.parquet")
+
+
+def _names(spark: SparkSession, d: str, scale: int = 1) -> DataFrame:
+    name = X.feature_name(F.col("threshold_dbps"), F.col("lookback") * scale, F.col("feature"))
+    return _long(spark, d).select(name.alias("name")).distinct()
+
+
+def _walk(spark: SparkSession, d: str) -> DataFrame:
+    lengths = _et(spark, d).groupBy("series_id").agg(F.count(F.lit(1)).alias("n"))
+    return windows.walk_forward_windows(lengths, 100, 50)
+
+
+def _window_rows(spark: SparkSession, d: str) -> DataFrame:
+    met = windows.in_windows(_et(spark, d), _walk(spark, d))
+    return met.groupBy("series_id", "anchor", "window", "part").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("nav"), 2).alias("total"))
+
+
+def _awfo(spark: SparkSession, d: str) -> DataFrame:
+    met = windows.in_windows(_et(spark, d), _walk(spark, d)).filter("part = 'test'")
+    return windows.awfo_scores(met.groupBy("series_id", "anchor", "window").agg(F.avg("nav").alias("score")))
+
+
+def _report(nav: DataFrame, long: bool, day: str | None) -> DataFrame:
+    out = report.fitness_report(nav, 0.5, long, day=day)
+    return rounded(out.withColumn("recent_3_max", F.col("recent_3_max").cast("long")), "epoch_cv", "loss_cv", "sharpe_ratio", "points_to_epoch", "aggregate_cv")
+
+
+def _ranked(spark: SparkSession, d: str) -> DataFrame:
+    out = report.fitness_report(series.nav_daily(spark, d), 0.5, True, day="day")
+    return report.ranked(report.qualified(out, (-100, 100), (1, 10_000), (0.0, 5.0)))
+
+
+def _scalars(spark: SparkSession, d: str) -> DataFrame:
+    nav = F.col("nav")
+    made = {"epochs": X.normalize_epochs(F.col("seq"), 100), "excess": X.normalize_excess(nav / 1000), "cv": X.normalize_cv(nav / 100), "clamped": X.clamp01(nav / 100), "hurst": X.hurst_soft_clamp(nav / 500)}
+    return _et(spark, d).select("series_id", "seq", *(F.round(c, 6).alias(n) for n, c in made.items()))
+
+
+def _ohlc(spark: SparkSession, d: str, name: str, fn: Callable[..., Column]) -> DataFrame:
+    value = fn(*(F.col(c) for c in ("open", "high", "low", "close")))
+    return series.ohlc_daily(spark, d).select("series_id", "seq", (value if name == "valid" else F.round(value, 6)).alias(name))
+
+
+def _range_bars(spark: SparkSession, d: str) -> DataFrame:
+    ticks = _et(spark, d).select("series_id", "seq", F.col("nav").alias("price"), F.lit(1.0).alias("quantity"))
+    return rounded(bars.range_bars(ticks, 5.0), "open", "high", "low", "close")
+
+
+def _alignment(spark: SparkSession, d: str) -> DataFrame:
+    found = bars.fingerprint(_et(spark, d), ["seq", "nav"], "ts")
+    return bars.alignment_violations(found.withColumn("n_rows", F.col("n_rows") + 1), found)
+
+
+def _effects(spark: SparkSession, d: str) -> DataFrame:
+    out = statistics.rank_effects(_measures(spark, d), F.col("series_id"), "A", "R")
+    return out.select("feature", "n1", "n2", r("u", 1), r("cliffs_delta"), r("cohens_d"))
+
+
+def _stability(spark: SparkSession, d: str) -> DataFrame:
+    scaled = _long(spark, d).drop("threshold_dbps").withColumn("threshold_dbps", F.explode(F.array(F.lit(25), F.lit(50))))
+    return rounded(statistics.threshold_stability(scaled.withColumn("value", F.col("value") * (F.col("threshold_dbps") / 25.0))), "cv", "spread")
+
+
+def _wide_names(lookbacks: tuple[int, ...] = (5, 8), dense: bool = False) -> list[str]:
+    return [f"lb{n}_{c}" if dense else f"ith_rb25_lb{n}_{c}" for n in lookbacks for c in CODES]
+
+
+def _wide(spark: SparkSession, d: str, dense: bool = False) -> DataFrame:
+    store, names = features.FeatureStore(_long(spark, d)), _wide_names(dense=dense)
+    wide = store.to_dense(25, names) if dense else store.to_wide(True, names)
+    both = _long(spark, d).filter("lookback = 8").select("series_id", "bar_index").distinct() if dense else None
+    return rounded(wide if both is None else wide.join(both, ["series_id", "bar_index"]), *names)
+
+
+def _unpivoted(spark: SparkSession, d: str) -> DataFrame:
+    wide = features.FeatureStore(_long(spark, d)).to_wide(False, _wide_names())
+    tall = features.FeatureStore.from_wide(wide).df
+    met = tall.join(_long(spark, d).select("series_id", "lookback").distinct(), ["series_id", "lookback"])
+    return met.select("series_id", "bar_index", "threshold_dbps", "lookback", "feature", r("value"))
+
+
+def _missing_cells(spark: SparkSession, d: str) -> DataFrame:
+    e = _events(spark, d)
+    wanted = e.select("event_type").distinct().crossJoin(e.select("user_id").distinct())
+    return files.missing_partitions(wanted, e.filter("value > 300"), ["event_type", "user_id"])
+
+
+def _target(spark: SparkSession, d: str) -> DataFrame:
+    return _measures(spark, d).filter("feature = 'price'").select("series_id", "seq", F.col("value").alias("target"))
+
+
+def _dcor(spark: SparkSession, d: str) -> DataFrame:
+    rows = _measures(spark, d).filter("series_id = 'A' and seq < 400")
+    a, b = rows.select("seq", F.col("feature").alias("feature_a"), F.col("value").alias("x")), rows.select("seq", F.col("feature").alias("feature_b"), F.col("value").alias("y"))
+    return statistics.distance_correlation(a.join(b, "seq").filter("feature_a < feature_b"))
+
+
+def _normality(spark: SparkSession, d: str) -> DataFrame:
+    return statistics.beta_moments(statistics.normality(measures.describe(_measures(spark, d), ["feature"], "value"))).select("feature", "n", "k2", "p_value", "alpha", "beta")
+
+
+def _describe(spark: SparkSession, d: str) -> DataFrame:
+    out = measures.describe(_measures(spark, d), ["series_id", "feature"], "value")
+    return rounded(rounded(out, "mean", "std", "q01", "q05", "q25", "q50", "q75", "q95", "q99"), "skew", "kurtosis", places=4)
+
+
+def queries() -> dict[str, Query]:
+    acf = lambda s, d: statistics.autocorrelation(_et(s, d).select("series_id", "seq", F.col("series_id").alias("feature"), F.col("nav").alias("value")))
+    rets = lambda s, d: windows.with_returns(_et(s, d))
+    by = lambda df, **agg: df.groupBy("series_id").agg(*(F.round(c, 6).alias(n) for n, c in agg.items()))
+    return {
+        "entry_epoch_summary": lambda s, d: rounded(epochs.epoch_summary(_et(s, d), 0.05), "intervals_cv", "max_drawdown", "max_runup"),
+        "w1_bull_points": lambda s, d: rounded(_bull(s, d).drop("nav"), "excess_gain", "excess_loss"),
+        "w1_bull_epochs": lambda s, d: _bull(s, d).filter("epoch").select("series_id", "seq"),
+        "w2_bear_points": lambda s, d: rounded(_bear(s, d).drop("nav"), "excess_gain", "excess_loss"),
+        "w2_bear_epochs": lambda s, d: _bear(s, d).filter("epoch").select("series_id", "seq"),
+        "a9_interval_cv": lambda s, d: rounded(epochs.interval_cv(epochs.epoch_points(_user(s, d), 0.5)), "intervals_cv"),
+        "w3_rolling_lb5": lambda s, d: rounded(rolling.rolling_features(_user(s, d), (5,), include_full=True), *CODES),
+        "w4_multiscale_long": lambda s, d: rounded(_long(s, d).drop("computed_at", "nav_hash"), "value"),
+        "w5_troughs": lambda s, d: windows.episodes(_et(s, d)).select("series_id", "seq", r("trough"), "new_high", "episode"),
+        "w6_dd_spikes": lambda s, d: windows.drawdown_spikes(_et(s, d)).filter("spike > 0").select("series_id", "seq", r("spike")),
+        "w7_returns": lambda s, d: rets(s, d).select("series_id", "seq", r("ret")),
+        "w8_build_nav": lambda s, d: windows.build_nav(_et(s, d)).select("series_id", "seq", F.round(F.log("built"), 5).alias("log_nav")),
+        "w8_normalize": lambda s, d: windows.normalize_prices(_et(s, d)).select("series_id", "seq", r("relative")),
+        "w9_regimes": lambda s, d: statistics.detect_regime(_et(s, d)),
+        "w10_rank_norm": lambda s, d: windows.rank_normalize(_et(s, d), "nav").select("series_id", "seq", r("ranked")),
+        "w11_report_ranks": _ranked,
+        "w12_rank_against": lambda s, d: windows.rank_against(_et(s, d).filter("seq < 200"), _et(s, d).filter("seq % 3 = 0")).select("series_id", "seq", r("share")),
+        "w15_walk_forward": _walk,
+        "j7_window_rows": _window_rows,
+        "a32_awfo": _awfo,
+        "w16_positions": lambda s, d: windows.positions(_et(s, d)).select("series_id", "seq", F.col("position").cast("long"), "is_first", "is_last"),
+        "w17_continuity": lambda s, d: windows.continuity(windows.positions(_user(s, d))),
+        "w18_timeline": lambda s, d: epochs.epoch_timeline(_bull(s, d)).select("series_id", "seq", "duration", F.col("from_end").cast("long")),
+        "w20_range_bars": _range_bars,
+        "w21_year_segments": lambda s, d: windows.year_segments(series.nav_daily(s, d), "day").select("series_id", "seq", "day", r("nav", 2)),
+        "a1_sharpe": lambda s, d: by(rets(s, d), sharpe_ratio=measures.sharpe(F.col("ret"), measures.periods_per_year("1d"))),
+        "a4_max_drawdown": lambda s, d: rounded(measures.max_drawdown(_et(s, d)), "max_drawdown"),
+        "a5_max_runup": lambda s, d: rounded(measures.max_runup(_et(s, d)), "max_runup"),
+        "a6_total_return": lambda s, d: rounded(measures.total_return(_user(s, d)), "total_return"),
+        "a7_fitness": lambda s, d: rounded(measures.fitness(series.nav_daily(s, d)), "sharpe_ratio", "max_drawdown", "total_return"),
+        "a8_cv": lambda s, d: by(_et(s, d), cv=measures.cv(F.col("nav")), cv_sample=measures.cv(F.col("nav"), True)),
+        "a10_omega": lambda s, d: by(rets(s, d), omega_ratio=measures.omega(F.col("ret"))),
+        "a11_ulcer": lambda s, d: rounded(measures.ulcer_index(_et(s, d)), "ulcer_index"),
+        "a12_kaufman": lambda s, d: rounded(measures.efficiency_ratio(_et(s, d)), "efficiency_ratio"),
+        "a13_shannon": lambda s, d: rounded(measures.shannon_entropy(_et(s, d), 20), "shannon_entropy"),
+        "a14_permutation_entropy": lambda s, d: rounded(measures.permutation_entropy(_et(s, d)), "permutation_entropy"),
+        "a15_sample_entropy": lambda s, d: rounded(measures.sample_entropy(_user(s, d), 2, least=10), "sample_entropy"),
+        "a16_hurst": lambda s, d: measures.hurst_exponent(_et(s, d)),
+        "a17_higuchi": lambda s, d: rounded(measures.higuchi_dimension(_et(s, d)), "fractal_dimension"),
+        "a18_all_metrics": lambda s, d: measures.all_metrics(_et(s, d)),
+        "a19_mad_tolerance": lambda s, d: rounded(measures.mad_tolerance(_et(s, d)), "tolerance"),
+        "a20_fd_bins": lambda s, d: measures.freedman_diaconis_bins(_et(s, d)),
+        "a21_tmaeg": lambda s, d: rounded(measures.optimal_hurdle(series.nav_daily(s, d), 20), "hurdle"),
+        "a22_geomean_dd": lambda s, d: rounded(measures.geometric_mean_drawdown(_et(s, d)), "geomean_drawdown"),
+        "a24_report": lambda s, d: _report(series.nav_daily(s, d), True, "day"),
+        "a24_report_short": lambda s, d: _report(_user(s, d), False, None),
+        "a25_direction": lambda s, d: rounded(measures.direction_check(_user(s, d)), "cumulative_return", "up_share"),
+        "a26_describe": _describe,
+        "a27_outliers": lambda s, d: rounded(measures.outlier_stats(_measures(s, d), ["feature"], "value"), "low", "high", "rate"),
+        "a28_audit": lambda s, d: rounded(rounded(measures.audit_statistics(_measures(s, d), ["feature"], "value"), "mean", places=4), "std", "p05", "p25", "p50", "p75", "p95", "zero_share", "near_share"),
+        "a29_stability": _stability,
+        "m1_pearson_pairs": lambda s, d: rounded(statistics.pair_correlations(_measures(s, d)), "r"),
+        "m1_spearman_pairs": lambda s, d: rounded(statistics.pair_correlations(_measures(s, d), "spearman"), "r"),
+        "m4_target_correlation": lambda s, d: rounded(statistics.correlation_with_target(_measures(s, d).filter("feature <> 'price'"), _target(s, d)), "r"),
+        "m5_acf": lambda s, d: rounded(acf(s, d), "acf"),
+        "m6_stationarity": lambda s, d: statistics.stationarity(_et(s, d).select("series_id", "seq", F.lit("nav").alias("feature"), F.col("nav").alias("value"))),
+        "m7_half_lives": lambda s, d: statistics.half_lives(acf(s, d)),
+        "m8_normality": _normality,
+        "m9_effects": _effects,
+        "m13_participation": lambda s, d: rounded(statistics.participation_ratio(statistics.pair_correlations(_measures(s, d))), "participation_ratio").withColumn("n_features", F.col("n_features").cast("int")),
+        "m16_dcor": _dcor,
+        "m21_bootstrap": lambda s, d: selection.bootstrap_importance(_measures(s, d).filter("feature <> 'price'"), _target(s, d), replicates=20),
+        "m22_walk_forward": lambda s, d: selection.walk_forward_stability(_measures(s, d).filter("feature <> 'price'"), _target(s, d)),
+        "x_scalars": _scalars,
+        "x7_gk_raw": lambda s, d: _ohlc(s, d, "gk_raw", X.garman_klass_raw),
+        "x8_gk_norm": lambda s, d: _ohlc(s, d, "gk", X.garman_klass),
+        "x16_ohlc_valid": lambda s, d: _ohlc(s, d, "valid", X.ohlc_is_valid),
+        "x19_names": _names,
+        "x23_cache_key": lambda s, d: s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", X.cache_key(F.col("o_orderpriority"), F.lit("250"), F.col("o_orderkey"), F.col("o_custkey"), F.lit("year")).alias("cache_key")),
+        "f1_filter": lambda s, d: features.FeatureStore(_long(s, d)).filter(lookback=5, feature="bull_ed").df.select("series_id", "bar_index", "lookback", "feature", r("value")),
+        "f2_distinct": lambda s, d: features.FeatureStore(_long(s, d)).distinct("lookback"),
+        "f4_names": lambda s, d: _names(s, d).select("name", *(c.alias(n) for n, c in features.parse_name(F.col("name")).items())),
+        "f7_warmup": lambda s, d: features.warmup_check(_user(s, d), [20, 50], 10),
+        "f9_suppressed": lambda s, d: features.without_suppressed(_names(s, d, 10), features.suppression_table(s)),
+        "f10_variance": lambda s, d: rounded(selection.by_variance(_long(s, d)), "variance"),
+        "f12_validation": lambda s, d: features.validation(_long(s, d)),
+        "v1_wide": _wide,
+        "v2_dense": lambda s, d: _wide(s, d, True),
+        "v3_unpivot": _unpivoted,
+        "v5_nested": lambda s, d: features.FeatureStore(rounded(_long(s, d), "value")).to_nested(),
+        "u2_missing": lambda s, d: features.name_differences(features.expected_names(s, [25], [5, 9]), _names(s, d)),
+        "t3_top_per_group": lambda s, d: features.top_per_group(_events(s, d), "event_type", "value", "event_id", 3).select("event_type", "event_id", r("value"), F.col("place").cast("long")),
+        "k11_latest": lambda s, d: bars.latest(_events(s, d).select("user_id", "event_id", "value", F.struct("ts", "event_id").alias("version")), ["user_id"], "version").select("user_id", "event_id", r("value")),
+        "s9_last_bars": lambda s, d: files.last_bars(_et(s, d), 50, "2024-01-15").select("series_id", "seq", r("nav")),
+        "s11_cache_status": lambda s, d: files.cache_status(_et(s, d)),
+        "s12_missing": _missing_cells,
+        "s16_synthetic": lambda s, d: files.synthetic_nav(s, 20, 250),
+        "q1_fingerprint": lambda s, d: bars.fingerprint(_et(s, d), ["seq", "nav"], "ts"),
+        "q3_alignment": _alignment,
+        "q4_epoch_events": lambda s, d: epochs.epoch_events(_bull(s, d)),
+        "q6_compare_runs": lambda s, d: epochs.compare_points(_bull(s, d), _bull(s, d)),
+        "z1_online": lambda s, d: online.online_normalized(_et(s, d)).select("series_id", "seq", r("z", 5)),
+        "z2_ema": lambda s, d: online.ema_normalized(_user(s, d), 20).select("series_id", "seq", r("z")),
+        "z4_robust": lambda s, d: online.robust_normalized(_user(s, d)),
+        "z_windows": lambda s, d: rounded(online.windowed_events(_events(s, d), "1 hour"), "total", places=4),
+        "z_sessions": lambda s, d: rounded(online.sessions(_events(s, d), "6 hours"), "total", places=4),
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.sql()
+
+
+__all__ = ["oracle_sql", "queries", "sinks"]
