@@ -215,3 +215,32 @@ def test_running_quantiles():
     for v in x:
         got = q.update(v)
     assert abs(got - np.median(x)) < 0.05
+
+
+def test_lagged_links_find_the_planted_lag(spark):
+    from tidemark.operators import causal
+
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(size=(2, 800))
+    y = np.r_[0, 0, 0.8 * a[:-2]] + 0.3 * rng.normal(size=800)
+    long = spark.createDataFrame([("s", i, f, float(v)) for f, vs in (("a", a), ("b", b)) for i, v in enumerate(vs)], "series_id string, seq long, feature string, value double")
+    target = spark.createDataFrame([("s", i, float(v)) for i, v in enumerate(y)], "series_id string, seq long, target double")
+    links = causal.lagged_links(long, target, 3, alpha=0.001)
+    assert [(f, lag) for f, lag, _, _ in links] == [("a", 2)] and links[0][2] > 0.8
+    info = {r.feature: r.information for r in causal.binned_information(long, spark.createDataFrame([("s", i, float(v)) for i, v in enumerate(a)], target.schema), 8).collect()}
+    assert info["a"] > 1.9 > 0.2 > info["b"]
+    trees = {r.feature: r.importance for r in causal.tree_importance(long, spark.createDataFrame([("s", i, float(v)) for i, v in enumerate(a)], target.schema), ["a", "b"]).collect()}
+    assert trees["a"] > 0.8
+
+
+def test_windows_of_scattering_and_change_points(spark):
+    from tidemark.operators import transforms
+
+    nav = nav_frame(spark, np.r_[np.sin(np.arange(300) / 3), np.sin(np.arange(300) * 1.3)])
+    dealt = transforms.hopping_windows(nav, 100, 50).groupBy("end").count().orderBy("end").collect()
+    assert [(r.end, r["count"]) for r in dealt] == [(99 + 50 * k, 100) for k in range(11)]
+    cut = transforms.change_points(nav, 20, 600).collect()
+    assert len(cut) == 1 and abs(cut[0].change_point - 300) < 25
+    assert transforms.segment_summary(transforms.change_points(nav, 20, 600), nav).first().n_segments == 2
+    paths = transforms.scattering_series(nav, 128, 64)
+    assert paths.filter("value is null").count() == 0 and transforms.scattering_summary(paths).count() == paths.select("path").distinct().count()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import oracles, series
 from .functions import scalars as X
-from .operators import bars, epochs, features, measures, rolling, selection, statistics, windows
+from .operators import bars, causal, epochs, features, measures, rolling, selection, statistics, transforms, windows
 from .operators.rolling import CODES
 from .plans import report
 from .sources import files, sinks
@@ -78,7 +78,8 @@ def _window_rows(spark: SparkSession, d: str) -> DataFrame:
 
 def _awfo(spark: SparkSession, d: str) -> DataFrame:
     met = windows.in_windows(_et(spark, d), _walk(spark, d)).filter("part = 'test'")
-    return windows.awfo_scores(met.groupBy("series_id", "anchor", "window").agg(F.avg("nav").alias("score")))
+    scores = windows.awfo_scores(met.groupBy("series_id", "anchor", "window").agg(F.avg("nav").alias("score")))
+    return rounded(scores, "mean_score", "std_score", "overall", places=5)
 
 
 def _report(nav: DataFrame, long: bool, day: str | None) -> DataFrame:
@@ -88,7 +89,9 @@ def _report(nav: DataFrame, long: bool, day: str | None) -> DataFrame:
 
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
     out = report.fitness_report(series.nav_daily(spark, d), 0.5, True, day="day")
-    return report.ranked(report.qualified(out, (-100, 100), (1, 10_000), (0.0, 5.0)))
+    out = rounded(out.withColumn("recent_3_max", F.col("recent_3_max").cast("long")), "epoch_cv", "loss_cv", "sharpe_ratio", "points_to_epoch", "aggregate_cv")
+    ranks = report.ranked(report.qualified(out, (-100, 100), (1, 10_000), (0.0, 5.0)))
+    return ranks.withColumns({c: F.col(c).cast("long") for c in ("rank_cv", "rank_sharpe", "rank_recent")})
 
 
 def _scalars(spark: SparkSession, d: str) -> DataFrame:
@@ -165,6 +168,77 @@ def _describe(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rounded(out, "mean", "std", "q01", "q05", "q25", "q50", "q75", "q95", "q99"), "skew", "kurtosis", places=4)
 
 
+MEASURE_NAMES = ["discount", "price", "quantity", "tax"]
+
+
+def _shifted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Daily order totals of each priority as features, and the next day's first priority as the target."""
+    daily = series.nav_daily(spark, d).select(F.lit("all").alias("series_id"), F.datediff("day", F.lit("1990-01-01").cast("date")).cast("long").alias("seq"), F.col("series_id").alias("feature"), F.col("nav").alias("value"))
+    first = daily.filter(F.col("feature").startswith("1-"))
+    return daily.filter(~F.col("feature").startswith("1-")), first.select("series_id", "seq", F.col("value").alias("target"))
+
+
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    long, target = _shifted(spark, d)
+    return spark.createDataFrame(causal.lagged_links(long, target, 3), "feature string, lag int, r double, p double")
+
+
+def _information(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(causal.binned_information(_measures(spark, d).filter("feature <> 'price'"), _target(spark, d)), "information")
+
+
+def _borda(spark: SparkSession, d: str) -> DataFrame:
+    long, target = _measures(spark, d), _target(spark, d)
+    by_corr = statistics.correlation_with_target(long, target).select(F.lit("correlation").alias("method"), "feature", F.round(F.abs("r"), 6).alias("score"))
+    by_var = long.groupBy("feature").agg(F.round(F.var_samp("value"), 4).alias("score")).select(F.lit("variance").alias("method"), "feature", "score")
+    return selection.borda(by_corr.unionByName(by_var))
+
+
+def _greedy(spark: SparkSession, d: str) -> DataFrame:
+    kept = selection.by_correlation(_measures(spark, d), 0.5)
+    return spark.createDataFrame([(f,) for f in kept], "feature string")
+
+
+def _pca(spark: SparkSession, d: str) -> DataFrame:
+    found = statistics.pca(statistics.pair_correlations(_measures(spark, d)))
+    return spark.createDataFrame([(k, round(v, 6)) for k, v in enumerate(found["shares"])], "component int, share double")
+
+
+def _vif(spark: SparkSession, d: str) -> DataFrame:
+    found = statistics.variance_inflation(statistics.pair_correlations(_measures(spark, d)))
+    return spark.createDataFrame([(f, round(v, 6)) for f, v in sorted(found.items())], "feature string, vif double")
+
+
+def _mrmr(spark: SparkSession, d: str) -> DataFrame:
+    chosen = selection.mrmr(_measures(spark, d).filter("feature <> 'price'"), _target(spark, d), 3)
+    return spark.createDataFrame([(k, f, v) for k, (f, v) in enumerate(chosen)], "place int, feature string, score double")
+
+
+def _segments(spark: SparkSession, d: str) -> DataFrame:
+    return transforms.segment_summary(transforms.change_points(_et(spark, d), least=0.0), _et(spark, d))
+
+
+def _jobs(spark: SparkSession, d: str) -> DataFrame:
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    return o.groupBy("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"))
+
+
+def _years(spark: SparkSession, d: str) -> DataFrame:
+    span = spark.read.parquet(f"{d}/orders.parquet").groupBy("o_orderpriority").agg(F.to_date(F.min("o_orderdate")).alias("a"), F.to_date(F.max("o_orderdate")).alias("b"))
+    return span.select("o_orderpriority", F.explode(windows.year_ranges(F.col("a"), F.col("b"))).alias("r")).select("o_orderpriority", "r.year", "r.start", "r.end")
+
+
+def _qualified(spark: SparkSession, d: str) -> DataFrame:
+    out = report.qualified(report.fitness_report(_user(spark, d), 0.5, False), (-0.5, 5.0), (2, 40), (0.0, 1.5), short=True)
+    return out.select("series_id", "n_epochs", "qualifies")
+
+
+def _union(spark: SparkSession, d: str) -> DataFrame:
+    long = _long(spark, d).select("series_id", "lookback", "feature", "value")
+    other = _user(spark, d).select("series_id", F.lit(0).alias("lookback"), F.lit("nav").alias("feature"), F.col("nav").alias("value"))
+    return long.unionByName(other).groupBy("lookback", "feature").agg(F.count(F.lit(1)).alias("n_rows"), F.count("value").alias("n_valid"))
+
+
 def queries() -> dict[str, Query]:
     acf = lambda s, d: statistics.autocorrelation(_et(s, d).select("series_id", "seq", F.col("series_id").alias("feature"), F.col("nav").alias("value")))
     rets = lambda s, d: windows.with_returns(_et(s, d))
@@ -230,9 +304,26 @@ def queries() -> dict[str, Query]:
         "m8_normality": _normality,
         "m9_effects": _effects,
         "m13_participation": lambda s, d: rounded(statistics.participation_ratio(statistics.pair_correlations(_measures(s, d))), "participation_ratio").withColumn("n_features", F.col("n_features").cast("int")),
-        "m16_dcor": _dcor,
+        "m16_dcor": lambda s, d: rounded(_dcor(s, d), "dcor"),
         "m21_bootstrap": lambda s, d: selection.bootstrap_importance(_measures(s, d).filter("feature <> 'price'"), _target(s, d), replicates=20),
-        "m22_walk_forward": lambda s, d: selection.walk_forward_stability(_measures(s, d).filter("feature <> 'price'"), _target(s, d)),
+        "m22_walk_forward": lambda s, d: rounded(rounded(selection.walk_forward_stability(_measures(s, d).filter("feature <> 'price'"), _target(s, d)), "mean_importance", "std_importance"), "cv", places=4),
+        "m2_greedy": _greedy,
+        "m12_pca": _pca,
+        "m14_vif": _vif,
+        "m17_information": _information,
+        "m18_tree_importance": lambda s, d: causal.tree_importance(_measures(s, d).filter("feature <> 'price'"), _target(s, d), ["discount", "quantity", "tax"]),
+        "m19_mrmr": _mrmr,
+        "m20_links": _links,
+        "a33_borda": _borda,
+        "a34_job_totals": _jobs,
+        "f6_drop_warmup": lambda s, d: features.drop_warmup(_user(s, d), [20, 5], "seq").select("series_id", "seq", r("nav")),
+        "f8_qualified": _qualified,
+        "u1_union": _union,
+        "w13_scattering": lambda s, d: transforms.scattering_series(_et(s, d)),
+        "w14_scattering_summary": lambda s, d: transforms.scattering_summary(transforms.scattering_series(_et(s, d))),
+        "w19_segments": _segments,
+        "x20_year_ranges": _years,
+        "q8_synthetic_regimes": lambda s, d: files.synthetic_regimes(s, 20, 250),
         "x_scalars": _scalars,
         "x7_gk_raw": lambda s, d: _ohlc(s, d, "gk_raw", X.garman_klass_raw),
         "x8_gk_norm": lambda s, d: _ohlc(s, d, "gk", X.garman_klass),

@@ -256,5 +256,32 @@ select series_id, seq, round(case when seq = 0 then 0.5 else {sigmoid('(nav - m)
         "z_windows": "select time_bucket(interval '1 hour', ts) as window_start, time_bucket(interval '1 hour', ts) + interval '1 hour' as window_end, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2, 3",
         "z_sessions": """with g as (select *, (ts - lag(ts) over (partition by user_id order by ts, event_id) > interval '6 hours')::int as cut from events), i as (select *, sum(coalesce(cut, 0)) over (partition by user_id order by ts, event_id) as k from g)
 select user_id, min(ts) as session_start, max(ts) + interval '6 hours' as session_end, count(*) as n, round(sum(value), 4) as total from i group by user_id, k""",
+    }
+    walk = out["w15_walk_forward"].rsplit("select series_id, anchor, wd", 1)[0]
+    out |= {
+        "w11_report_ranks": f"""with rep as ({_report(DAILY, "datediff('day', lag(s.day) over w, s.day)", True, 0.5)})
+select *, coalesce(sharpe_ratio > -100 and sharpe_ratio < 100 and n_epochs > 1 and n_epochs < 10000 and aggregate_cv > 0 and aggregate_cv < 5, false) as qualifies, rank() over (order by aggregate_cv nulls last) as rank_cv,
+  rank() over (order by sharpe_ratio desc nulls last) as rank_sharpe, rank() over (order by recent_3_max nulls last) as rank_recent from rep""",
+        "a32_awfo": f"""{walk}, t as (select series_id, anchor, wd, anchor * gap + wd * 50 + 100 as t0 from wn), sc as (select t.series_id, anchor, wd, avg(nav) as score from t join ({EVENT_TYPE}) s on s.series_id = t.series_id and seq >= t0 and seq < t0 + 50 group by 1, 2, 3),
+b as (select series_id, anchor, avg(score) as m, stddev_pop(score) as sd, count(*) as n_windows from sc group by 1, 2) select series_id, anchor, round(m, 5) as mean_score, round(sd, 5) as std_score, n_windows, round(avg(m) over (partition by series_id), 5) as overall from b""",
+        "m7_half_lives": f"""with acf as ({out['m5_acf'].replace('round(corr(nav, l', '(corr(nav, l').replace('), 6) as acf', ')) as acf')}), h as (select feature, min(case when acf < 0.5 then lag end) as half_life, min(case when abs(acf) < 0.1 then lag end) as decorrelated from acf group by 1)
+select *, case when half_life <= 5 then 'low' when half_life <= 20 then 'medium' else 'high' end as persistence from h""",
+        "m16_dcor": f"""with m as (select * from ({MEASURES}) where series_id = 'A' and seq < 400), d as (select a.feature, a.seq as i, b.seq as j, abs(a.value - b.value) as d from m a join m b on a.feature = b.feature),
+c as (select feature, i, j, d - avg(d) over (partition by feature, i) - avg(d) over (partition by feature, j) + avg(d) over (partition by feature) as c from d)
+select a.feature as feature_a, b.feature as feature_b, round(sqrt(greatest(avg(a.c * b.c), 0) / sqrt(avg(a.c * a.c) * avg(b.c * b.c))), 6) as dcor from c a join c b on a.i = b.i and a.j = b.j and a.feature < b.feature group by 1, 2""",
+        "m17_information": f"""with m as ({MEASURES}), t as (select series_id, seq, value as target from m where feature = 'price'), x as (select feature, ntile(16) over (partition by feature order by value, series_id, seq) as bx, ntile(16) over (partition by feature order by target, series_id, seq) as b2 from m join t using (series_id, seq) where feature <> 'price'),
+c as (select feature, bx, b2, count(*)::double as k from x group by 1, 2, 3), p as (select *, sum(k) over (partition by feature) as n, sum(k) over (partition by feature, bx) as nx, sum(k) over (partition by feature, b2) as ny from c)
+select feature, round(sum(k / n * ln(k * n / (nx * ny))), 6) as information from p group by 1""",
+        "a33_borda": f"""with m as ({MEASURES}), t as (select series_id, seq, value as y from m where feature = 'price'), s as (select 'c' as method, feature, round(abs(corr(value, y)), 6) as score from m join t using (series_id, seq) group by feature
+union all select 'v', feature, round(var_samp(value), 4) from m group by feature), p as (select *, row_number() over (partition by method order by score desc, feature) - 1 as place from s) select feature, sum(4 - place)::bigint as points from p group by 1""",
+        "a34_job_totals": "select o_orderstatus, o_orderpriority, count(*) as n, sum(o_totalprice::decimal(18,2))::double as total from orders group by 1, 2",
+        "m2_greedy": f"{_PAIRS}, f as (select distinct feature from m) select feature from f where not exists (select 1 from c where feature_b = f.feature and abs(r) > 0.5)",
+        "f6_drop_warmup": f"with s as ({USER}) select series_id, seq, round(nav, 6) as nav from s where seq >= 19",
+        "f8_qualified": f"""with rep as ({_report(USER, "l.seq - lag(l.seq) over w", False, 0.5)}) select series_id, n_epochs, coalesce(((sharpe_ratio > -0.5 and sharpe_ratio < 5) or sharpe_ratio < 0) and n_epochs > 2 and n_epochs < 40 and aggregate_cv > 0 and aggregate_cv < 1.5, false) as qualifies from rep""",
+        "u1_union": f"{_LONG}, a as (select lookback, feature, value from long union all select 0, 'nav', nav from s) select lookback, feature, count(*) as n_rows, count(value) as n_valid from a group by 1, 2",
+        "x20_year_ranges": """with s as (select o_orderpriority, min(o_orderdate)::date as a, max(o_orderdate)::date as b from orders group by 1), y as (select *, unnest(range(year(a), year(b) + 1))::int as year from s)
+select o_orderpriority, year, greatest(make_date(year, 1, 1), a) as start, least(make_date(year, 12, 31), b) as "end" from y""",
+        "m22_walk_forward": f"""with m as ({MEASURES}), t as (select series_id, seq, value as y from m where feature = 'price'), x as (select m.*, y, greatest(floor(seq * 6 / count(*) over (partition by m.series_id, feature))::int, 1) as f0 from m join t using (series_id, seq) where feature <> 'price'),
+g as (select feature, fold, corr(value, y) ** 2 as imp from x, range(1, 6) r(fold) where fold >= f0 group by 1, 2) select feature, round(avg(imp), 6) as mean_importance, round(stddev_pop(imp), 6) as std_importance, round(stddev_pop(imp) / avg(imp), 4) as cv from g group by 1""",
     }
     return out

@@ -101,3 +101,20 @@ def synthetic_nav(spark: SparkSession, series: int, points: int, mean: float = 0
     rets = grid.withColumn("growth", F.greatest(F.lit(1.0 + mean) + F.lit(std) * normal, F.lit(0.01)))
     order = Window.partitionBy("s").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     return rets.select(F.col("s").cast("string").alias("series_id"), "seq", (F.lit(start) * F.exp(F.sum(F.log("growth")).over(order))).alias("nav"))
+
+
+def synthetic_regimes(spark: SparkSession, series: int, points: int, mean: float = 0.0005, std: float = 0.008, dof: int = 5, start_share: float = 0.05, length: int = 5, shift: float = -0.01, seed: int = 42) -> DataFrame:
+    """Student-t returns with spells of falling (or, by a positive ``shift``, rising) values; bounded and compounded.
+
+    A spell starts at a point with probability ``start_share`` and lasts ``length`` points. All draws are hashes
+    of (seed, series, position), so the table does not depend on how it is partitioned.
+    """
+    half = lambda salt: (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "s", "seq"), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+    normal = lambda salt: F.sqrt(F.lit(-2.0) * F.log(half(salt))) * F.cos(F.lit(6.283185307179586) * half(salt + 1))
+    chi = sum((normal(10 + 2 * k) * normal(10 + 2 * k) for k in range(dof)), F.lit(0.0))
+    grid = spark.range(series).withColumnRenamed("id", "s").withColumn("seq", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(points - 1).cast("long"))))
+    drawn = grid.withColumns({"t": normal(1) / F.sqrt(chi / F.lit(float(dof))), "starts": (half(5) < start_share).cast("int")})
+    order = Window.partitionBy("s").orderBy("seq")
+    spell = F.max("starts").over(order.rowsBetween(-(length - 1), 0))
+    growth = F.greatest(F.lit(1.0 + mean) + F.lit(std) * F.col("t") + F.when(spell == 1, F.lit(shift)).otherwise(F.lit(0.0)), F.lit(0.01))
+    return drawn.withColumn("growth", growth).select(F.col("s").cast("string").alias("series_id"), "seq", F.exp(F.sum(F.log("growth")).over(order.rowsBetween(Window.unboundedPreceding, 0))).alias("nav"))
