@@ -134,13 +134,16 @@ def _packed_column(text: Column) -> Column:
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model | None:
     """Learn from the labelled rows of ``df``, a sample drawn by the hash of the id.
 
-    Ranks are taken over ids and languages alone; the texts of the few rows that are drawn are then
-    read by a join with that bounded list.
+    A language's rows with the least hashes are drawn. Its count says below which hash about four times
+    as many lie, so ranks are taken over a bounded number of rows however frequent it is; the texts of
+    the rows drawn are then read by a join with that bounded list.
     """
     labelled = df.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("id is not null and lang is not null")
     counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
-    keys = labelled.select("id", "lang").join(F.broadcast(counts.select("lang")), "lang")
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    place = F.xxhash64("id").bitwiseAND(F.lit((1 << 52) - 1)).alias("place")
+    near = F.col("place") < F.lit(4.0 * per_language * (1 << 52)) / F.col("count")  # four times what is drawn, about
+    keys = labelled.select("id", "lang", place).join(F.broadcast(counts), "lang").filter(near)
+    by_hash = Window.partitionBy("lang").orderBy("place", "id")
     drawn = keys.withColumn("rank", F.row_number().over(by_hash)).filter(F.col("rank") <= per_language).select("id", "lang").distinct()
     rows = labelled.join(F.broadcast(drawn), ["id", "lang"]).select("lang", F.xxhash64("id").alias("h"), _packed_column(F.col("text")).alias("bits"))
     got = sorted((r.lang, r.h, bytes(r.bits)) for r in rows.filter("bits is not null").collect())
