@@ -281,7 +281,7 @@ def queries() -> dict[str, Query]:
         "a13_shannon": lambda s, d: rounded(measures.shannon_entropy(_et(s, d), 20), "shannon_entropy"),
         "a14_permutation_entropy": lambda s, d: rounded(measures.permutation_entropy(_et(s, d)), "permutation_entropy"),
         "a15_sample_entropy": lambda s, d: rounded(measures.sample_entropy(_user(s, d), 2, least=10), "sample_entropy"),
-        "a16_hurst": lambda s, d: measures.hurst_exponent(_et(s, d)),
+        "a16_hurst": lambda s, d: rounded(measures.hurst_exponent(_et(s, d)), "hurst_exponent"),
         "a17_higuchi": lambda s, d: rounded(measures.higuchi_dimension(_et(s, d)), "fractal_dimension"),
         "a18_all_metrics": lambda s, d: measures.all_metrics(_et(s, d)),
         "a19_mad_tolerance": lambda s, d: rounded(measures.mad_tolerance(_et(s, d)), "tolerance"),
@@ -302,6 +302,7 @@ def queries() -> dict[str, Query]:
         "m6_stationarity": lambda s, d: statistics.stationarity(_et(s, d).select("series_id", "seq", F.lit("nav").alias("feature"), F.col("nav").alias("value"))),
         "m7_half_lives": lambda s, d: statistics.half_lives(acf(s, d)),
         "m8_normality": _normality,
+        "m8_beta": lambda s, d: rounded(statistics.beta_moments(measures.describe(_measures(s, d), ["feature"], "value")), "alpha", "beta", places=4).select("feature", "alpha", "beta"),
         "m9_effects": _effects,
         "m13_participation": lambda s, d: rounded(statistics.participation_ratio(statistics.pair_correlations(_measures(s, d))), "participation_ratio").withColumn("n_features", F.col("n_features").cast("int")),
         "m16_dcor": lambda s, d: rounded(_dcor(s, d), "dcor"),
@@ -351,6 +352,7 @@ def queries() -> dict[str, Query]:
         "q1_fingerprint": lambda s, d: bars.fingerprint(_et(s, d), ["seq", "nav"], "ts"),
         "q3_alignment": _alignment,
         "q4_epoch_events": lambda s, d: epochs.epoch_events(_bull(s, d)),
+        "q5_epoch_context": lambda s, d: epochs.epoch_context(_bull(s, d)).select("series_id", "seq", r("crest"), r("nadir"), r("excess_gain")),
         "q6_compare_runs": lambda s, d: epochs.compare_points(_bull(s, d), _bull(s, d)),
         "z1_online": lambda s, d: online.online_normalized(_et(s, d)).select("series_id", "seq", r("z", 5)),
         "z2_ema": lambda s, d: online.ema_normalized(_user(s, d), 20).select("series_id", "seq", r("z")),

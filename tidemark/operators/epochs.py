@@ -104,14 +104,19 @@ def epoch_timeline(points: DataFrame) -> DataFrame:
     return edges.withColumns({"duration": F.col("seq") - F.lag("seq").over(point_window()), "from_end": F.row_number().over(Window.partitionBy("series_id").orderBy(F.desc("seq")))})
 
 
-def epoch_events(points: DataFrame, name: str = "epoch_detected") -> DataFrame:
-    """A JSON event for each epoch, with the extremes since the one before; numbers rounded to ten places."""
+def epoch_context(points: DataFrame) -> DataFrame:
+    """The epochs, each with the highest and lowest value since the one before."""
     before = point_window().rowsBetween(Window.unboundedPreceding, -1)
     staged = points.withColumn("stage", F.coalesce(F.sum(F.col("epoch").cast("int")).over(before), F.lit(0)))
     own = so_far("stage")
-    seen = staged.withColumns({"crest": F.max("nav").over(own), "nadir": F.min("nav").over(own)}).filter("epoch")
+    return staged.withColumns({"crest": F.max("nav").over(own), "nadir": F.min("nav").over(own)}).filter("epoch").drop("stage")
+
+
+def epoch_events(points: DataFrame, name: str = "epoch_detected") -> DataFrame:
+    """A JSON event for each epoch, with the extremes since the one before; numbers rounded to ten places."""
     rounded = {c: F.round(c, 10) for c in ("nav", "excess_gain", "excess_loss", "crest", "nadir")}
-    return seen.withColumns(rounded).select("series_id", "seq", F.to_json(F.struct(F.lit(name).alias("event"), "series_id", "seq", *rounded)).alias("payload"))
+    seen = epoch_context(points).withColumns(rounded)
+    return seen.select("series_id", "seq", F.to_json(F.struct(F.lit(name).alias("event"), "series_id", "seq", *rounded)).alias("payload"))
 
 
 def compare_points(a: DataFrame, b: DataFrame, rtol: float = 1e-9, atol: float = 1e-12) -> DataFrame:

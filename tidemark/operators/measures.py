@@ -1,8 +1,8 @@
 """Scalar measures of each series, as grouped aggregates over the long frame.
 
 Nearly all are native: one shuffle by series (or by series and bin), with partial aggregation. Sample
-entropy and detrended fluctuation compare a series with itself; they run as grouped kernels over the one
-series' values and are meant for series of bounded length (``MAX_POINTS``), cut longer ones first.
+entropy compares all windows of a series with each other; it is a grouped kernel for series of up to
+``MAX_POINTS`` points, and an error beyond: cut longer ones first.
 """
 
 import numpy as np
@@ -15,7 +15,7 @@ from ..functions import scalars as X
 from ..series import point_window, so_far
 from .windows import drawdown_spikes, with_returns
 
-MAX_POINTS = 200_000
+MAX_POINTS = 50_000
 
 
 def sharpe(ret: Column, periods: float, risk_free: float = 0.0) -> Column:
@@ -199,44 +199,35 @@ def sample_entropy(nav: DataFrame, m: int = 2, least: int | None = None) -> Data
     need = least if least is not None else X.MINIMUM_SAMPLES["sample_entropy"].get(m, 10**m)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("seq")["nav"].to_numpy(np.float64)[:]
+        if len(pdf) > MAX_POINTS:
+            raise ValueError(f"{len(pdf)} points in a series; at most {MAX_POINTS}")
+        x = pdf.sort_values("seq")["nav"].to_numpy(np.float64)
         return pd.DataFrame({"series_id": [pdf["series_id"].iloc[0]], "sample_entropy": [_sample_entropy(x, m, float(pdf["tolerance"].iloc[0]), need)]})
 
     return nav.select("series_id", "seq", "nav").join(mad_tolerance(nav), "series_id").groupBy("series_id").applyInPandas(run, "series_id string, sample_entropy double")
 
 
-def _dfa(prices: np.ndarray) -> float | None:
-    """Exponent of detrended fluctuations of the log returns over five log-spaced windows."""
-    n = len(prices)
-    if n < X.MINIMUM_SAMPLES["hurst"]:
-        return None
-    good = (prices[1:] > 0) & (prices[:-1] > 0)
-    rets = np.where(good, np.log(np.where(good, prices[1:] / np.where(prices[:-1] == 0, 1, prices[:-1]), 1.0)), 0.0)
-    walk = np.cumsum(rets - rets.mean())
-    top = max(len(rets) // 4, 4)
-    sizes = sorted({int(np.floor(4 * np.exp(np.log(top / 4) * i / 4) + 0.5)) for i in range(5)})
-    points = []
-    for s in sizes:
-        blocks = walk[: len(walk) // s * s].reshape(-1, s)
-        t = np.arange(s) - (s - 1) / 2
-        slope = blocks @ t / (t @ t)
-        residual = blocks - blocks.mean(1, keepdims=True) - slope[:, None] * t
-        if (f := np.sqrt((residual**2).mean())) > 0:
-            points.append((np.log(s), np.log(f)))
-    if len(points) < 2:
-        return None
-    a, b = np.array(points).T
-    return float(((a - a.mean()) @ (b - b.mean())) / ((a - a.mean()) @ (a - a.mean())))
-
+def hurst_exponent(nav: DataFrame, scales: int = 5) -> DataFrame:
+    """Detrended-fluctuation exponent of the log returns, softly clamped to (0, 1); NULL below 256 points.
 
-def hurst_exponent(nav: DataFrame) -> DataFrame:
-    """Detrended-fluctuation exponent softly clamped to (0, 1); NULL below 256 points."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"series_id": [pdf["series_id"].iloc[0]], "raw": [_dfa(pdf.sort_values("seq")["nav"].to_numpy(np.float64))]})
-
-    raw = nav.select("series_id", "seq", "nav").groupBy("series_id").applyInPandas(run, "series_id string, raw double")
-    return raw.select("series_id", X.hurst_soft_clamp(F.col("raw")).alias("hurst_exponent"))
+    The profile is a running sum; each row is dealt to its block at every scale, a block's detrended mean
+    square comes from regression sums, and the exponent is a regression over the scales: aggregates only.
+    """
+    by = Window.partitionBy("series_id")
+    before = F.lag("nav").over(point_window())
+    ret = F.when((F.col("nav") > 0) & (before > 0), F.log(F.try_divide(F.col("nav"), before))).otherwise(F.lit(0.0))
+    rets = nav.select("series_id", "seq", F.col("nav").cast("double").alias("nav")).withColumn("ret", ret).withColumn("n", F.count(F.lit(1)).over(by)).filter("seq > 0")
+    walk = rets.withColumn("centred", F.col("ret") - F.avg("ret").over(by)).withColumn("walk", F.sum("centred").over(so_far()))
+    top = F.greatest(F.floor((F.col("n") - 1) / 4), F.lit(4)).cast("double")
+    sizes = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(scales - 1)), lambda i: F.floor(F.lit(4.0) * F.exp(F.log(top / 4) * i / F.lit(float(scales - 1))) + 0.5).cast("long")))
+    dealt = walk.withColumn("size", F.explode(sizes)).withColumn("block", F.floor((F.col("seq") - 1) / F.col("size"))).filter(F.col("block") < F.floor((F.col("n") - 1) / F.col("size")))
+    t = (F.col("seq") - 1 - F.col("block") * F.col("size")).cast("double")
+    residual = F.regr_syy("walk", t) - F.try_divide(F.pow(F.regr_sxy("walk", t), F.lit(2)), F.regr_sxx("walk", t))
+    by_block = dealt.groupBy("series_id", "n", "size", "block").agg((residual / F.col("size")).alias("ms"))
+    by_size = by_block.groupBy("series_id", "n", "size").agg(F.sqrt(F.avg("ms")).alias("f")).filter("f > 0")
+    slope = by_size.groupBy("series_id", "n").agg(F.regr_slope(F.log("f"), F.log(F.col("size").cast("double"))).alias("raw"), F.count(F.lit(1)).alias("scales"))
+    known = (F.col("n") >= X.MINIMUM_SAMPLES["hurst"]) & (F.col("scales") >= 2)
+    return nav.select("series_id").distinct().join(slope, "series_id", "left").select("series_id", F.when(known, X.hurst_soft_clamp(F.col("raw"))).alias("hurst_exponent"))
 
 
 def describe(df: DataFrame, keys: list[str], column: str) -> DataFrame:

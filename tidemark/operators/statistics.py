@@ -133,22 +133,30 @@ def regime_counts(labels: DataFrame, label: str = "regime") -> DataFrame:
     return labels.groupBy("series_id", label).agg(n.alias("n")).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("series_id")))
 
 
-def _rescaled_range(x: np.ndarray) -> float:
-    """Exponent of rescaled ranges over growing blocks, within [0, 1]; 0.5 where it can't be told."""
-    n = len(x)
+def _rescaled_ranges(windows: np.ndarray) -> np.ndarray:
+    """Exponent of rescaled ranges over growing blocks for each window (row), within [0, 1]; 0.5 where it can't be told."""
+    rows, n = windows.shape
     if n < 20:
-        return 0.5
+        return np.full(rows, 0.5)
     top = min(n // 2, 100)
-    points = []
-    for k in range(10, top + 1, max(1, top // 20)):
-        blocks = x[: n // k * k].reshape(-1, k)
-        path = np.cumsum(blocks - blocks.mean(1, keepdims=True), axis=1)
-        span, std = path.max(1) - path.min(1), blocks.std(1, ddof=1)
-        if (std > 0).any() and (ratio := (span[std > 0] / std[std > 0]).mean()) > 0:
-            points.append((math.log(k), math.log(ratio)))
-    if len(points) < 3:
-        return 0.5
-    return float(np.clip(np.polyfit(*np.array(points).T, 1)[0], 0, 1))
+    sizes = range(10, top + 1, max(1, top // 20))
+    logs = np.full((rows, len(sizes)), np.nan)
+    for c, k in enumerate(sizes):
+        blocks = windows[:, : n // k * k].reshape(rows, -1, k)
+        path = np.cumsum(blocks - blocks.mean(2, keepdims=True), axis=2)
+        span, std = path.max(2) - path.min(2), blocks.std(2, ddof=1)
+        seen = std > 0
+        ratio = np.where(seen, span / np.where(seen, std, 1), 0).sum(1) / np.maximum(seen.sum(1), 1)
+        logs[:, c] = np.where(ratio > 0, np.log(np.where(ratio > 0, ratio, 1)), np.nan)
+    known = ~np.isnan(logs)
+    count = known.sum(1)
+    x = np.where(known, np.log(np.array(sizes, float)), 0)
+    y = np.where(known, logs, 0)
+    xm, ym = x.sum(1) / np.maximum(count, 1), y.sum(1) / np.maximum(count, 1)
+    dx = np.where(known, x - xm[:, None], 0)
+    spread = (dx * dx).sum(1)
+    slope = (dx * (y - ym[:, None])).sum(1) / np.where(spread > 0, spread, 1)
+    return np.where(count >= 3, np.clip(slope, 0, 1), 0.5)
 
 
 def detect_regime(nav: DataFrame, lookback: int = 100, chunk: int = 2048) -> DataFrame:
@@ -163,8 +171,10 @@ def detect_regime(nav: DataFrame, lookback: int = 100, chunk: int = 2048) -> Dat
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
         x, seq = pdf["nav"].to_numpy(), pdf["seq"].to_numpy()
-        hurst = [(_rescaled_range(x[i - lookback : i]) if i >= lookback else None) for i in range(len(x))]
-        out = pd.DataFrame({"series_id": pdf["series_id"], "seq": seq, "hurst": pd.Series(hurst, index=pdf.index, dtype="float64")})
+        hurst = np.full(len(x), np.nan)
+        if len(x) > lookback:
+            hurst[lookback:] = _rescaled_ranges(np.lib.stride_tricks.sliding_window_view(x, lookback)[:-1])
+        out = pd.DataFrame({"series_id": pdf["series_id"], "seq": seq, "hurst": hurst})
         return out[seq >= int(pdf["chunk"].iloc[0]) * chunk]
 
     found = dealt.groupBy("series_id", "chunk").applyInPandas(run, "series_id string, seq long, hurst double")

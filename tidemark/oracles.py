@@ -259,6 +259,17 @@ select user_id, min(ts) as session_start, max(ts) + interval '6 hours' as sessio
     }
     walk = out["w15_walk_forward"].rsplit("select series_id, anchor, wd", 1)[0]
     out |= {
+        "a16_hurst": f"""with s as ({EVENT_TYPE}), r as (select series_id, seq, count(*) over (partition by series_id) as n, case when nav > 0 and lag(nav) over w > 0 then ln(nav / lag(nav) over w) else 0 end as ret from s {w}),
+c as (select series_id, seq, n, ret - avg(ret) over (partition by series_id) as c from r where seq > 0), k as (select series_id, seq, n, sum(c) over (partition by series_id order by seq) as y from c),
+z as (select distinct series_id, floor(4 * exp(ln(greatest((n - 1) // 4, 4) / 4) * i / 4) + 0.5)::int as size from (select distinct series_id, n from k), range(5) g(i)),
+d as (select k.series_id, n, size, (seq - 1) // size as block, y, (seq - 1) % size as t from k join z using (series_id) where (seq - 1) // size < (n - 1) // size),
+b as (select series_id, n, size, block, (regr_syy(y, t) - regr_sxy(y, t) ** 2 / regr_sxx(y, t)) / size as ms from d group by 1, 2, 3, 4), f as (select series_id, n, size, sqrt(avg(ms)) as f from b group by 1, 2, 3 having avg(ms) > 0)
+select series_id, round(case when max(n) >= 256 then 0.5 + 0.5 * tanh(4 * (regr_slope(ln(f), ln(size)) - 0.5)) end, 6) as hurst_exponent from f group by 1""",
+        "q5_epoch_context": f"""with {_FOLD_ET}, g as (select *, coalesce(sum(epoch::int) over (partition by series_id order by seq rows between unbounded preceding and 1 preceding), 0) as stage from f),
+x as (select *, max(nav) over (partition by series_id, stage order by seq) as crest, min(nav) over (partition by series_id, stage order by seq) as nadir from g)
+select series_id, seq, round(crest, 6) as crest, round(nadir, 6) as nadir, round(g, 6) as excess_gain from x where epoch""",
+        "m8_beta": f"""with m as ({MEASURES}), a as (select feature, avg(value) as m, var_samp(value) as v from m group by 1), c as (select *, m * (1 - m) / v - 1 as k from a)
+select feature, round(case when m > 0 and m < 1 and k > 0 then m * k end, 4) as alpha, round(case when m > 0 and m < 1 and k > 0 then (1 - m) * k end, 4) as beta from c""",
         "w11_report_ranks": f"""with rep as ({_report(DAILY, "datediff('day', lag(s.day) over w, s.day)", True, 0.5)})
 select *, coalesce(sharpe_ratio > -100 and sharpe_ratio < 100 and n_epochs > 1 and n_epochs < 10000 and aggregate_cv > 0 and aggregate_cv < 5, false) as qualifies, rank() over (order by aggregate_cv nulls last) as rank_cv,
   rank() over (order by sharpe_ratio desc nulls last) as rank_sharpe, rank() over (order by recent_3_max nulls last) as rank_recent from rep""",
