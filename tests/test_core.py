@@ -160,7 +160,8 @@ def test_scalars(spark):
     assert get(X.first_digits(F.lit(0.00123), 4)) == "1230" or get(X.first_digits(F.lit(0.123), 4)) == "1230"
     assert get(X.epoch_millis(F.lit(1_700_000_000_000_000_000))) == 1_700_000_000_000
     assert get(X.has_feature(F.lit('{"a": "11.0"}'), "a", "9.0")) and not get(X.has_feature(F.lit('{"a": "11.0"}'), "a", "9.0", lexicographic=True))
-    assert get(X.adaptive_windows(F.lit(1000), 5))[0] == 4 and get(X.adaptive_windows(F.lit(1000), 5))[-1] == 250
+    assert get(X.adaptive_windows(F.lit(1000), 5)) == [10, 22, 50, 112, 250] and get(X.adaptive_windows(F.lit(40), 5))[:1] == [10]
+    assert get(X.fluctuation_windows(F.lit(1000), 3)) == [20, 71, 250] and get(X.log_spaced_windows(F.lit(2), F.lit(3.0), 4)) == [4]
     assert get(X.embedding_dimension(F.lit(1000))) == 7 and get(X.embedding_dimension(F.lit(2))) == 3
 
 

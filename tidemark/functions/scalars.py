@@ -85,12 +85,23 @@ def embedding_dimension(n: Column, at_most: int = 7) -> Column:
     return F.least(F.greatest(F.ceil(F.log2(n.cast("double"))).cast("int"), F.lit(3)), F.lit(max(at_most, 3)))
 
 
-def adaptive_windows(n: Column, k: int, least: int = 4, share: float = 0.25) -> Column:
-    """``k`` window sizes spaced evenly in the logarithm between ``least`` and ``share`` of the length."""
-    top = F.greatest(F.floor(n * F.lit(share)), F.lit(least)).cast("double")
-    ratio = F.log(top / F.lit(float(least)))
-    sizes = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.floor(F.lit(float(least)) * F.exp(ratio * i / F.lit(max(1, k - 1))) + F.lit(0.5)).cast("int"))
-    return F.when(top <= least, F.array(F.lit(least))).otherwise(F.array_sort(F.array_distinct(sizes)))
+def log_spaced_windows(least: Column, most: Column, k: int) -> Column:
+    """``k`` window sizes spaced evenly in the logarithm, halves rounded up; only the least where they meet."""
+    low = F.greatest(least, F.lit(4)).cast("double")
+    ratio = F.log(most / low)
+    sizes = F.transform(F.sequence(F.lit(0), F.lit(max(1, k - 1))), lambda i: F.floor(low * F.exp(ratio * i / F.lit(float(max(1, k - 1)))) + F.lit(0.5)).cast("int"))
+    return F.when((most <= low) | (F.lit(k) < 2), F.array(low.cast("int"))).otherwise(sizes)
+
+
+def adaptive_windows(n: Column, k: int, share: int = 100) -> Column:
+    """Window sizes for a length: from ten, or one part in ``share`` of it, to a quarter of it."""
+    least = F.greatest(F.lit(10), F.floor(n / F.lit(share)).cast("int"))
+    most = F.least(F.greatest(F.floor(n / F.lit(4)).cast("int"), least + 1), n.cast("int")).cast("double")
+    return log_spaced_windows(least, most, k)
+
+
+def fluctuation_windows(n: Column, k: int) -> Column:
+    return adaptive_windows(n, k, share=50)
 
 
 def minimum_permutation_samples(m: int) -> int:

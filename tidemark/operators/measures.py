@@ -218,8 +218,7 @@ def hurst_exponent(nav: DataFrame, scales: int = 5) -> DataFrame:
     ret = F.when((F.col("nav") > 0) & (before > 0), F.log(F.try_divide(F.col("nav"), before))).otherwise(F.lit(0.0))
     rets = nav.select("series_id", "seq", F.col("nav").cast("double").alias("nav")).withColumn("ret", ret).withColumn("n", F.count(F.lit(1)).over(by)).filter("seq > 0")
     walk = rets.withColumn("centred", F.col("ret") - F.avg("ret").over(by)).withColumn("walk", F.sum("centred").over(so_far()))
-    top = F.greatest(F.floor((F.col("n") - 1) / 4), F.lit(4)).cast("double")
-    sizes = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(scales - 1)), lambda i: F.floor(F.lit(4.0) * F.exp(F.log(top / 4) * i / F.lit(float(scales - 1))) + 0.5).cast("long")))
+    sizes = F.array_distinct(X.adaptive_windows(F.col("n") - 1, scales))
     dealt = walk.withColumn("size", F.explode(sizes)).withColumn("block", F.floor((F.col("seq") - 1) / F.col("size"))).filter(F.col("block") < F.floor((F.col("n") - 1) / F.col("size")))
     t = (F.col("seq") - 1 - F.col("block") * F.col("size")).cast("double")
     residual = F.regr_syy("walk", t) - F.try_divide(F.pow(F.regr_sxy("walk", t), F.lit(2)), F.regr_sxx("walk", t))

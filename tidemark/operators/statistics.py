@@ -179,7 +179,7 @@ def detect_regime(nav: DataFrame, lookback: int = 100, chunk: int = 2048) -> Dat
 
     found = dealt.groupBy("series_id", "chunk").applyInPandas(run, "series_id string, seq long, hurst double")
     known = F.col("hurst").isNotNull() & ~F.isnan("hurst")
-    word = F.when(~known, "warmup").when(F.col("hurst") > 0.55, "trending").when(F.col("hurst") < 0.45, "mean_reverting").otherwise("random_walk")
+    word = F.when(~known, "warmup").when(F.col("hurst") > 0.55, "trending").when(F.col("hurst") < 0.45, "mean_reverting").otherwise("random")
     return found.withColumns({"regime": word, "hurst": F.when(known, F.col("hurst"))})
 
 

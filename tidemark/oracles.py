@@ -250,7 +250,7 @@ m as (select threshold_dbps, lookback, feature, avg(value) as m from l group by
         "s12_missing": "select event_type, user_id from (select distinct event_type from events), (select distinct user_id from events) except select event_type, user_id from events where value > 300",
         "q3_alignment": f"with s as ({EVENT_TYPE}) select series_id, 'n_rows' as field from s group by 1",
         "z1_online": f"""{et}, r as (select *, avg(nav) over w as m, var_samp(nav) over w as v, count(*) over w as n from s window w as (partition by series_id order by seq rows unbounded preceding)) select series_id, seq, round({sigmoid('(nav - m) / greatest(sqrt(case when n <= 1 then 1 else v end), 2.220446049250313e-16)', 0.0, 1.0)}, 5) as z from r""",
-        "z2_ema": f"""with recursive s as materialized ({USER}), f as (select series_id, seq, nav, nav as m, 0::double as v from s where seq = 0 union all
+        "z2_ema": f"""with recursive s as materialized ({USER}), f as (select series_id, seq, nav, nav as m, nav * nav as v from s where seq = 0 union all
 select series_id, seq, nav, m2, d * v + (1 - d) * (nav - m2) ** 2 from (select s.series_id, s.seq, s.nav, (1 - 2 / 21.0::double) as d, (1 - 2 / 21.0::double) * f.m + (2 / 21.0::double) * s.nav as m2, f.v from f join s on s.series_id = f.series_id and s.seq = f.seq + 1))
 select series_id, seq, round(case when seq = 0 then 0.5 else {sigmoid('(nav - m) / greatest(sqrt(v), 2.220446049250313e-16)', 0.0, 1.0)} end, 6) as z from f""",
         "z_windows": "select time_bucket(interval '1 hour', ts) as window_start, time_bucket(interval '1 hour', ts) + interval '1 hour' as window_end, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2, 3",
@@ -261,7 +261,7 @@ select user_id, min(ts) as session_start, max(ts) + interval '6 hours' as sessio
     out |= {
         "a16_hurst": f"""with s as ({EVENT_TYPE}), r as (select series_id, seq, count(*) over (partition by series_id) as n, case when nav > 0 and lag(nav) over w > 0 then ln(nav / lag(nav) over w) else 0 end as ret from s {w}),
 c as (select series_id, seq, n, ret - avg(ret) over (partition by series_id) as c from r where seq > 0), k as (select series_id, seq, n, sum(c) over (partition by series_id order by seq) as y from c),
-z as (select distinct series_id, floor(4 * exp(ln(greatest((n - 1) // 4, 4) / 4) * i / 4) + 0.5)::int as size from (select distinct series_id, n from k), range(5) g(i)),
+z as (select distinct series_id, floor(lo * exp(ln(greatest((n - 1) // 4, lo + 1) / lo) * i / 4) + 0.5)::int as size from (select distinct series_id, n, greatest(10, (n - 1) // 100) as lo from k), range(5) g(i)),
 d as (select k.series_id, n, size, (seq - 1) // size as block, y, (seq - 1) % size as t from k join z using (series_id) where (seq - 1) // size < (n - 1) // size),
 b as (select series_id, n, size, block, (regr_syy(y, t) - regr_sxy(y, t) ** 2 / regr_sxx(y, t)) / size as ms from d group by 1, 2, 3, 4), f as (select series_id, n, size, sqrt(avg(ms)) as f from b group by 1, 2, 3 having avg(ms) > 0)
 select series_id, round(case when max(n) >= 256 then 0.5 + 0.5 * tanh(4 * (regr_slope(ln(f), ln(size)) - 0.5)) end, 6) as hurst_exponent from f group by 1""",

@@ -28,7 +28,7 @@ def online_normalized(nav: DataFrame) -> DataFrame:
 def ema_normalized(values: DataFrame, span: int) -> DataFrame:
     """Adds ``z`` by exponential mean and then variance about the updated mean; the first value gives 0.5.
 
-    The recurrence runs as a streamed fold with two numbers of state a series.
+    The variance starts at the first value's square. The recurrence runs as a streamed fold with two numbers of state a series.
     """
     decay = 1 - 2 / (span + 1)
 
@@ -38,7 +38,7 @@ def ema_normalized(values: DataFrame, span: int) -> DataFrame:
             out = []
             for s, x in zip(pdf["series_id"], pdf["nav"], strict=True):
                 if mean is None or s != series:
-                    series, mean, var = s, x, 0.0
+                    series, mean, var = s, x, x * x
                     out.append((mean, var, True))
                 else:
                     mean = decay * mean + (1 - decay) * x
@@ -70,7 +70,7 @@ class RunningQuantile:
         if len(h) < 5:
             h.append(x)
             h.sort()
-            return h[min(len(h) - 1, int(self.p * (len(h) - 1) + 0.5))]
+            return h[2] if len(h) == 5 else h[min(len(h) - 1, int(self.p * (len(h) - 1) + 0.5))]
         if x >= h[4]:
             h[4] = x
             cell = 3 if self.advance_top else 4
