@@ -22,6 +22,7 @@ import re
 import unicodedata
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -199,8 +200,12 @@ class PrefixCoder:
             out += [(str(self.special[part]), part)] if k % 2 else map(known, self.chunks(part))
         return out
 
+    def encode_text(self, text: str) -> str:
+        """All ids of a text, joined by blanks."""
+        return " ".join([ids for ids, _ in self.pieces(text) if ids])
+
     def encode(self, text: str) -> list[int]:
-        return [int(i) for ids, _ in self.pieces(text) for i in ids.split()]
+        return [int(i) for i in self.encode_text(text).split()]
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by blanks, as the library does for a file without a decoder; unknown ids are left out."""
@@ -252,8 +257,12 @@ def encoded_column(text: Column, path: str) -> Column:
 
     @F.arrow_udf("array<int>")
     def encoded(texts: pa.Array) -> pa.Array:
-        c = coder(path)
-        return pa.array([c.encode(t.as_py()) for t in texts], pa.list_(pa.int32()))
+        c, ends, flat = coder(path), [0], []
+        for t in texts:
+            ids = c.encode_text(t.as_py())
+            flat.append(np.fromstring(ids, np.int32, sep=" ") if ids else np.zeros(0, np.int32))
+            ends.append(ends[-1] + len(flat[-1]))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32)))
 
     return encoded(F.coalesce(text, F.lit("")))
 
