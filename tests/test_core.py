@@ -245,3 +245,34 @@ def test_windows_of_scattering_and_change_points(spark):
     assert transforms.segment_summary(transforms.change_points(nav, 20, 600), nav).first().n_segments == 2
     paths = transforms.scattering_series(nav, 128, 64)
     assert paths.filter("value is null").count() == 0 and transforms.scattering_summary(paths).count() == paths.select("path").distinct().count()
+
+
+def test_stream_of_range_bars_equals_the_batch(spark, tmp_path):
+    rng = np.random.default_rng(12)
+    pdf = pd.DataFrame([(s, i, float(x), 1.0) for s in "ab" for i, x in enumerate(100 * np.cumprod(1 + rng.normal(0, 0.004, 90)))], columns=["series_id", "seq", "price", "quantity"])
+    src = tmp_path / "in"
+    for k in range(3):
+        spark.createDataFrame(pdf[(pdf.seq >= 30 * k) & (pdf.seq < 30 * k + 30)]).coalesce(1).write.mode("append").parquet(str(src))
+    stream = spark.readStream.schema("series_id string, seq long, price double, quantity double").option("maxFilesPerTrigger", 1).parquet(str(src))
+    q = online.stream_range_bars(stream, 0.01).writeStream.format("memory").queryName("bars_out").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    key = lambda r: (r.series_id, r.bar)
+    got = sorted(spark.sql("select * from bars_out").collect(), key=key)
+    want = sorted(bars.range_bars(spark.createDataFrame(pdf), 0.01).filter("complete").collect(), key=key)
+    assert got == want and len(got) > 4
+
+
+def test_hashes_versions_and_callbacks(spark):
+    import hashlib
+
+    nav = nav_frame(spark, [1.0, 2.0, 3.5])
+    assert bars.nav_hash(nav).first().nav_hash == hashlib.sha256(np.array([1.0, 2.0, 3.5]).tobytes()).hexdigest()[:16]
+    rows = spark.createDataFrame([(1, '{"f":"2.0"}'), (2, '{"g":"9"}'), (3, None)], "k int, versions string")
+    assert [r.k for r in bars.stale(rows, "versions", "f", "1.10").orderBy("k").collect()] == [2, 3]
+    assert bars.stale(bars.mark_computed(rows, "versions", "f", "3.0"), "versions", "f", "2.5").count() == 0
+    lengths = spark.createDataFrame([("a", 20)], "series_id string, n int")
+    plan = windows.walk_forward_windows(lengths, 5, 5, anchors=1)
+    scored = windows.evaluate(nav_frame(spark, range(20)), plan, lambda train, test: float(len(train) + test["nav"].sum()))
+    assert [(r.window, r.score) for r in scored.orderBy("window").collect()] == [(0, 40.0), (1, 70.0), (2, 100.0)]
+    assert windows.awfo_scores(scored).first().overall == 70.0

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import oracles, series
 from .functions import scalars as X
+from .functions import sql
 from .operators import bars, causal, epochs, features, measures, rolling, selection, statistics, transforms, windows
 from .operators.rolling import CODES
 from .plans import report
@@ -168,7 +169,16 @@ def _describe(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rounded(out, "mean", "std", "q01", "q05", "q25", "q50", "q75", "q95", "q99"), "skew", "kurtosis", places=4)
 
 
-MEASURE_NAMES = ["discount", "price", "quantity", "tax"]
+def _sql_functions(spark: SparkSession, d: str) -> DataFrame:
+    sql.register(spark)
+    made = "round(normalize_epochs(seq, 100), 6) as epochs", "round(normalize_excess(nav / 1000), 6) as excess", "round(normalize_cv(nav / 100), 6) as cv", "round(clamp01(nav / 100), 6) as clamped", "round(hurst_soft_clamp(nav / 500), 6) as hurst"
+    return _et(spark, d).selectExpr("series_id", "seq", *made)
+
+
+def _hurdles(spark: SparkSession, d: str) -> DataFrame:
+    nav = _user(spark, d)
+    made = [measures.hurdle(nav, m).select("series_id", F.lit(m).alias("method"), r("hurdle")) for m in ("mdd", "mru", "fixed")]
+    return made[0].unionByName(made[1]).unionByName(made[2])
 
 
 def _shifted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -317,6 +327,13 @@ def queries() -> dict[str, Query]:
         "m20_links": _links,
         "a33_borda": _borda,
         "a34_job_totals": _jobs,
+        "f5_names_by": lambda s, d: features.names_by(_names(s, d), "lookback"),
+        "d4_sql_functions": _sql_functions,
+        "q2_nav_hash": lambda s, d: bars.nav_hash(_et(s, d)),
+        "a23_hurdles": _hurdles,
+        "a30_regime_counts": lambda s, d: rounded(statistics.regime_counts(_et(s, d).withColumn("regime", F.when(F.col("nav") > 100, "high").when(F.col("nav") < 20, "low").otherwise("mid"))), "share"),
+        "a31_tallies": lambda s, d: _events(s, d).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("value") > 50).cast("int")).alias("n_high")),
+        "d1_window_scores": lambda s, d: rounded(windows.evaluate(_et(s, d), _walk(s, d), lambda train, test: test["nav"].max() - train["nav"].min()), "score"),
         "f6_drop_warmup": lambda s, d: features.drop_warmup(_user(s, d), [20, 5], "seq").select("series_id", "seq", r("nav")),
         "f8_qualified": _qualified,
         "u1_union": _union,

@@ -5,12 +5,15 @@ that price with no volume and no trades. The cut depends on the data, so trades
 with the open bar as state, one task a series (or a series and year, by ``year_segments``).
 """
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import has_feature
+
 BARS = "series_id string, bar long, open double, high double, low double, close double, volume double, start_seq long, end_seq long, n_trades long, complete boolean"
 
 
@@ -78,6 +81,43 @@ def fingerprint(ticks: DataFrame, columns: list[str], ts: str) -> DataFrame:
     )
 
 
+def nav_hash(nav: DataFrame, digits: int = 16) -> DataFrame:
+    """(series_id, nav_hash): the head of the SHA-256 of each series' values as doubles, in order.
+
+    A digest is sequential, so a series is hashed as it streams through its task; no series is held.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        series, digest, done = None, None, []
+        for pdf in batches:
+            for s, part in pdf.groupby("series_id", sort=False):
+                if s != series:
+                    if digest:
+                        done.append((series, digest.hexdigest()[:digits]))
+                    series, digest = s, hashlib.sha256()
+                digest.update(part["nav"].to_numpy("float64").tobytes())
+            if done:
+                yield pd.DataFrame(done, columns=["series_id", "nav_hash"])
+                done = []
+        if digest:
+            yield pd.DataFrame([(series, digest.hexdigest()[:digits])], columns=["series_id", "nav_hash"])
+
+    rows = nav.select("series_id", "seq", F.col("nav").cast("double").alias("nav"))
+    return rows.repartition("series_id").sortWithinPartitions("series_id", "seq").mapInPandas(run, "series_id string, nav_hash string")
+
+
+def stale(rows: DataFrame, versions: str, feature: str, minimum: str) -> DataFrame:
+    """Rows whose JSON map of versions lacks a feature at a version, or later: what a backfill has to compute."""
+    return rows.filter(~has_feature(F.col(versions), feature, minimum))
+
+
+def mark_computed(rows: DataFrame, versions: str, feature: str, version: str) -> DataFrame:
+    """Rows whose JSON map says that a feature is there at a version."""
+    held = F.from_json(F.coalesce(versions, F.lit("{}")), "map<string,string>")
+    others = F.map_filter(held, lambda k, v: k != feature)
+    return rows.withColumn(versions, F.to_json(F.map_concat(others, F.create_map(F.lit(feature), F.lit(version)))))
+
+
 def alignment_violations(anchors: DataFrame, found: DataFrame) -> DataFrame:
     """Fields in which a series' recorded anchors differ from the trades' fingerprint; NULL or 0 anchors are not compared."""
     fields = ("n_rows", "first_ts", "last_ts", "checksum")

@@ -90,6 +90,11 @@ def feature_columns(columns: list[str], threshold: int | None = None, lookback:
     return sorted(c for c, m in found if m and (threshold is None or int(m[1]) == threshold) and (lookback is None or int(m[2]) == lookback) and (feature is None or m[3] == feature))
 
 
+def names_by(names: DataFrame, part: str) -> DataFrame:
+    """(part, names): the sorted wide names of each threshold_dbps, lookback or feature; a configuration's few names."""
+    return names.select("name", parse_name(F.col("name"))[part].alias(part)).filter(F.col(part).isNotNull()).groupBy(part).agg(F.array_join(F.sort_array(F.collect_list("name")), ",").alias("names"))
+
+
 def expected_names(spark: SparkSession, thresholds: list[int], lookbacks: list[int]) -> DataFrame:
     """All wide names of a configuration."""
     rows = [(f"ith_rb{t}_lb{n}_{c}",) for t in thresholds for n in lookbacks for c in CODES]

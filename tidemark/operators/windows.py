@@ -1,5 +1,8 @@
 """Order-dependent operators that native windows can say."""
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -110,6 +113,20 @@ def in_windows(rows: DataFrame, windows: DataFrame) -> DataFrame:
     return joined.withColumn("part", F.when(F.col("seq") < F.col("train_end"), "train").otherwise("test"))
 
 
+def evaluate(rows: DataFrame, windows: DataFrame, score: Callable[[pd.DataFrame, pd.DataFrame], float]) -> DataFrame:
+    """(series_id, anchor, window, score) of a user's function of each window's training and test rows.
+
+    A window is one group; rolling windows have a fixed size, anchored ones grow with their series.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq")
+        value = score(pdf[pdf["part"] == "train"], pdf[pdf["part"] == "test"])
+        return pd.DataFrame({"series_id": [pdf["series_id"].iloc[0]], "anchor": [pdf["anchor"].iloc[0]], "window": [pdf["window"].iloc[0]], "score": [None if value is None or value != value else float(value)]})
+
+    return in_windows(rows, windows).groupBy("series_id", "anchor", "window").applyInPandas(run, "series_id string, anchor int, window int, score double")
+
+
 def awfo_scores(scores: DataFrame, how: str = "mean") -> DataFrame:
     """(anchor, mean, std) and the overall score of (anchor, window, score), missing scores left out."""
     valid = scores.filter(F.col("score").isNotNull() & ~F.isnan("score"))

@@ -270,6 +270,14 @@ x as (select *, max(nav) over (partition by series_id, stage order by seq) as cr
 select series_id, seq, round(crest, 6) as crest, round(nadir, 6) as nadir, round(g, 6) as excess_gain from x where epoch""",
         "m8_beta": f"""with m as ({MEASURES}), a as (select feature, avg(value) as m, var_samp(value) as v from m group by 1), c as (select *, m * (1 - m) / v - 1 as k from a)
 select feature, round(case when m > 0 and m < 1 and k > 0 then m * k end, 4) as alpha, round(case when m > 0 and m < 1 and k > 0 then (1 - m) * k end, 4) as beta from c""",
+        "f5_names_by": f"{_LONG}, n as (select distinct lookback, format('ith_rb{{}}_lb{{}}_{{}}', threshold_dbps, lookback, feature) as name from long) select lookback, string_agg(name, ',' order by name) as names from n group by 1",
+        "d4_sql_functions": out["x_scalars"],
+        "a23_hurdles": f"""with s as ({USER}), x as (select series_id, {_DD} as dd, 1 - min(nav) over (partition by series_id order by seq) / nav as ru from s)
+select series_id, 'mdd' as method, round(max(dd), 6) as hurdle from x group by 1 union all select series_id, 'mru', round(max(ru), 6) from x group by 1 union all select distinct series_id, 'fixed', 0.05 from s""",
+        "a30_regime_counts": f"with s as ({EVENT_TYPE}), l as (select series_id, case when nav > 100 then 'high' when nav < 20 then 'low' else 'mid' end as regime from s) select series_id, regime, count(*) as n, round(count(*) / sum(count(*)) over (partition by series_id), 6) as share from l group by 1, 2",
+        "a31_tallies": "select event_type, count(*) as n, sum((value > 50)::int)::bigint as n_high from events group by 1",
+        "d1_window_scores": f"""{walk}, t as (select series_id, anchor, wd, anchor * gap as t0, anchor * gap + wd * 50 + 100 as t1 from wn)
+select t.series_id, anchor, wd as "window", round(max(case when seq >= t1 then nav end) - min(case when seq < t1 then nav end), 6) as score from t join ({EVENT_TYPE}) s on s.series_id = t.series_id and seq >= t0 and seq < t1 + 50 group by 1, 2, 3""",
         "w11_report_ranks": f"""with rep as ({_report(DAILY, "datediff('day', lag(s.day) over w, s.day)", True, 0.5)})
 select *, coalesce(sharpe_ratio > -100 and sharpe_ratio < 100 and n_epochs > 1 and n_epochs < 10000 and aggregate_cv > 0 and aggregate_cv < 5, false) as qualifies, rank() over (order by aggregate_cv nulls last) as rank_cv,
   rank() over (order by sharpe_ratio desc nulls last) as rank_sharpe, rank() over (order by recent_3_max nulls last) as rank_recent from rep""",

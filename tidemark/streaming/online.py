@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import scalars as X
+from ..operators.bars import BARS, OpenBar
 from ..operators.epochs import Fold
 from ..series import so_far
 
@@ -141,6 +142,31 @@ def stream_epochs(stream: DataFrame, hurdle: float, long: bool = True) -> DataFr
     return stream.groupBy("series_id").applyInPandasWithState(run, out, fields, "append", GroupStateTimeout.NoTimeout)
 
 
+def stream_range_bars(stream: DataFrame, threshold: float) -> DataFrame:
+    """Bars of a stream of trades (series_id, seq, price, quantity) as they close; the open bar is the state."""
+    fields = "number long, open double, high double, low double, close double, volume double, start long, last long, trades long"
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        bar, number, rows = None, 0, []
+        if state.exists:
+            number, *held = state.get
+            bar = OpenBar(0.0, 0, 0.0, 0)
+            bar.open, bar.high, bar.low, bar.close, bar.volume, bar.start, bar.last, bar.trades = held
+        pdf = pd.concat(list(frames)).sort_values("seq")
+        for q, price, volume in zip(pdf["seq"], pdf["price"], pdf["quantity"], strict=True):
+            if bar is None:
+                bar = OpenBar(price, q, volume, 1)
+                continue
+            bar.take(price, q, volume)
+            if (bar.high - bar.low) / bar.open >= threshold:
+                rows.append(bar.row(key[0], number, True))
+                bar, number = OpenBar(price, q, 0.0, 0), number + 1
+        state.update((number, bar.open, bar.high, bar.low, bar.close, bar.volume, int(bar.start), int(bar.last), bar.trades))
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in BARS.split(", ")])
+
+    return stream.groupBy("series_id").applyInPandasWithState(run, BARS, fields, "append", GroupStateTimeout.NoTimeout)
+
+
 def windowed_events(events: DataFrame, size: str = "5 minutes", slide: str | None = None, lateness: str = LATENESS) -> DataFrame:
     """Event-time windows by type with a watermark; works on a stream and on a table alike."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
