@@ -189,6 +189,9 @@ def test_html_extraction(spark):
     assert html.extract("") == "" and html.extract("plain <b>text</b>") == "plain text"
     assert html.extract('<body class="has-sidebar"><div class="layout sidebar-left"><h1>T</h1><p>a</p><div class="sidebar"><p>no</p></div></div><div class="comments"><p>no</p></div>') == "T\n\na"
     assert html.extract('<article><header class="entry-header"><h1>T</h1></header><div class="ads">x</div><section id="comments"><p>no</p></section><p>a&lt;b') == "T\n\na<b"
+    talk = '<section id="comments"><article><p>first</p></article><article class="comment"><p>second</p></article></section>'
+    assert html.extract(f"<main><p>teaser</p><article><h1>T</h1><p>a</p>{talk}</article></main>{talk}") == "T\n\na"
+    assert html.extract(f"<div class='wrap'><h1>T</h1><p>a</p>{talk}</div>") == "T\n\na"
     make = lambda k: f"<html><body><div class='top'><span>Our Site</span></div><div class='story'><p>Body {k} words.</p><p>More {k * 7} text here.</p></div><div class='low'><p>All rights</p></div></body></html>"
     wrapper = html.induce([make(k) for k in range(6)])
     assert html.extract(make(9), wrapper) == "Body 9 words.\n\nMore 63 text here."
