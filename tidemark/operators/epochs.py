@@ -8,6 +8,7 @@ Long or short series alike take one shuffle by ``series_id``; everything after t
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,40 +29,53 @@ class Fold:
         self.gain = self.loss = 0.0
         self.hurdle, self.long = hurdle, long
 
+    def take(self, values: list[float]) -> tuple[list[float], list[float], list[bool]]:
+        """Gains, losses and epoch flags of the next points. Gain and loss stand until a new extreme or a reset."""
+        anchor, best, worst, gain, loss, previous = self.anchor, self.best, self.worst, self.gain, self.loss, self.previous
+        hurdle, long = self.hurdle, self.long
+        gains, losses, epochs = [], [], []
+        for x in values:
+            if x > best if long else x < best:
+                gain = (x / anchor if long else anchor / x) - 1 if anchor and x else 0.0
+                best = x
+            if x < worst if long else x > worst:
+                loss = 1 - (x / anchor if long else anchor / x) if anchor and x else 0.0
+                worst = x
+            gains.append(gain)
+            losses.append(loss)
+            epochs.append(gain > loss and gain > hurdle)
+            if gain > hurdle and gain > abs(loss) and (best >= anchor if long else best <= anchor):
+                anchor, worst, gain, loss = best, previous, 0.0, 0.0
+            previous = x
+        self.anchor, self.best, self.worst, self.gain, self.loss, self.previous = anchor, best, worst, gain, loss, previous
+        return gains, losses, epochs
+
     def step(self, x: float) -> tuple[float, float, bool]:
-        """Take the next point; returns gain, loss and whether it is an epoch. Gain and loss stand until a new extreme."""
-        up = x > self.best if self.long else x < self.best
-        down = x < self.worst if self.long else x > self.worst
-        anchor = self.anchor
-        if up:
-            self.gain = (x / anchor if self.long else anchor / x) - 1 if anchor and x else 0.0
-            self.best = x
-        if down:
-            self.loss = 1 - (x / anchor if self.long else anchor / x) if anchor and x else 0.0
-            self.worst = x
-        gain, loss = self.gain, self.loss
-        ahead = self.best >= anchor if self.long else self.best <= anchor
-        if gain > abs(loss) and gain > self.hurdle and ahead:
-            self.anchor, self.worst = self.best, self.previous
-            self.gain = self.loss = 0.0
-        self.previous = x
-        return gain, loss, gain > loss and gain > self.hurdle
+        gains, losses, epochs = self.take([x])
+        return gains[0], losses[0], epochs[0]
 
 
 def _folded(long: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         series, state = None, None
         for pdf in batches:
-            rows = []
-            for s, x, h in zip(pdf["series_id"], pdf["nav"], pdf["hurdle"], strict=True):
-                if state is None or s != series:
-                    series, state = s, Fold(x, h, long)
-                    rows.append((0.0, 0.0, False))
-                else:
-                    rows.append(state.step(x))
-            out = pdf[["series_id", "seq", "nav"]].copy()
-            out[["excess_gain", "excess_loss", "epoch"]] = pd.DataFrame(rows, index=out.index, columns=["a", "b", "c"])
-            yield out.astype({"epoch": bool})
+            names, values = pdf["series_id"].to_numpy(), pdf["nav"].to_numpy()
+            starts = np.r_[0, np.flatnonzero(names[1:] != names[:-1]) + 1, len(names)]
+            gains, losses, epochs = [], [], []
+            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                if a == b:
+                    continue
+                fresh = state is None or names[a] != series
+                if fresh:
+                    series, state = names[a], Fold(float(values[a]), float(pdf["hurdle"].iloc[a]), long)
+                    gains.append(0.0)
+                    losses.append(0.0)
+                    epochs.append(False)
+                got = state.take(values[a + fresh : b].tolist())
+                gains += got[0]
+                losses += got[1]
+                epochs += got[2]
+            yield pdf[["series_id", "seq", "nav"]].assign(excess_gain=gains, excess_loss=losses, epoch=np.array(epochs, bool))
 
     return run
 
