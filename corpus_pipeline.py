@@ -12,16 +12,18 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontam, langid, pii, simhash
 from tidemark.llm.queries import tokenizer_path
-from tidemark.llm.shared import materialise
+from tidemark.llm.shared import materialise, small_batches
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents whose language can be told."""
+    small_batches(spark)
     return langid.keep_identified(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each class; shingles of five words, as near-duplicate stages take."""
+    small_batches(spark)
     return simhash.keep_one(docs, width=5)
 
 
@@ -32,12 +34,14 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Redact personal data and secrets."""
+    small_batches(spark)
     redacted = pii.redact_documents(docs)
     return redacted.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode the texts."""
+    small_batches(spark)
     path = tokenizer_path()
     encoded = docs.select("doc_id", bpe.encoded_column(F.col("text"), path).alias("ids"))
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")

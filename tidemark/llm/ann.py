@@ -168,7 +168,8 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_i
     bounded = keyed.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k + 1)
     points = materialise(bounded.groupBy("key", "v").agg(F.sort_array(F.collect_list("id")).alias("ids")), "points")
     shards = max(1, math.ceil(points.count() / shard))
-    graphs = materialise(_graphs(points.withColumn("shard", F.pmod("key", F.lit(shards)))), "graphs")
+    dealt = points.withColumn("shard", F.pmod("key", F.lit(shards))).repartition(4 * shards, "shard")
+    graphs = materialise(_graphs(dealt), "graphs")
     asked = materialise(asked.filter(F.size("qv") == size).groupBy("query_id").agg(F.min("qv").alias("qv")), "queries")
     blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
     in_block = asked.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("query_id", "qv")).alias("asked"))

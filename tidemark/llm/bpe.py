@@ -28,9 +28,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words, and stretches of several, whose encodings a worker remembers; when full, the older half goes.
-REMEMBERED = 160_000
+REMEMBERED = 100_000
 #: Pair tests that a worker remembers.
-PAIRS = 500_000
+PAIRS = 200_000
 # What counts as white space for the tokenizer's normaliser.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 

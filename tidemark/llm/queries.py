@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, chat, decontam, html, langid, pii, sharding, simhash, warc
-from .shared import shared_dir
+from .shared import shared_dir, small_batches
 
 SHARDS = 24
 
@@ -19,6 +19,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

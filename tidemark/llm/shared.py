@@ -34,6 +34,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
+    """Hold Arrow batches to so many rows and bytes in this session; texts are large, and a batch is held twice."""
+    now = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    if int(now) <= 0 or int(now) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def free_names(df: DataFrame, *wanted: str) -> list[str]:
     """Each wanted helper column name, with underscores appended until ``df`` has no such column."""
     taken = {c.lower() for c in df.columns}
