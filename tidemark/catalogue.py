@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import oracles, series
+from . import lesser, oracles, series
 from .functions import scalars as X
 from .functions import sql
 from .operators import bars, causal, epochs, features, measures, rolling, selection, statistics, transforms, windows
@@ -376,11 +376,11 @@ def queries() -> dict[str, Query]:
         "z4_robust": lambda s, d: online.robust_normalized(_user(s, d)),
         "z_windows": lambda s, d: rounded(online.windowed_events(_events(s, d), "1 hour"), "total", places=4),
         "z_sessions": lambda s, d: rounded(online.sessions(_events(s, d), "6 hours"), "total", places=4),
-    }
+    } | lesser.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.sql()
+    return oracles.sql() | lesser.oracle_sql()
 
 
 __all__ = ["oracle_sql", "queries", "sinks"]

@@ -140,3 +140,11 @@ def has_feature(versions: Column, name: str, minimum: str, lexicographic: bool =
         return F.coalesce(own >= F.lit(minimum), F.lit(False))
     parts = lambda v: F.transform(F.split(v, r"\."), lambda x: F.coalesce(x.try_cast("int"), F.lit(0)))
     return F.coalesce(parts(own) >= parts(F.lit(minimum)), F.lit(False))
+
+
+def all_bounded(*values: Column) -> Column:
+    """Whether all values are numbers in [0, 1]; a missing one or NaN is not."""
+    ok = F.lit(True)
+    for v in values:
+        ok = ok & F.coalesce((v >= 0.0) & (v <= 1.0) & ~F.isnan(v), F.lit(False))
+    return ok
