@@ -142,7 +142,7 @@ def queries() -> dict:
         "a2_sharpe_granular": _sharpe,
         "a3_batch": _batch,
         "f3_columns": _columns,
-        "f11_prefilter": lambda s, d: _batch(s, d).filter("sharpe_ratio between 0.5 and 9.9").select("series_id", "sharpe_ratio"),
+        "f11_prefilter": lambda s, d: _batch(s, d).filter("sharpe_ratio between 4.0 and 6.5").select("series_id", "sharpe_ratio"),
         "f13_analysis_wide": _analysis_wide,
         "f14_renamed": lambda s, d: events(s, d).withColumnRenamed("value", "price").select("event_id", F.col("price").cast("float").cast("double").alias("price"), F.coalesce(F.lit(None).cast("long"), F.lit(0)).cast("long").alias("n_trades")),
         "j1_temporal": lambda s, d: statistics.temporal_structure(et(s, d).select("series_id", "seq", F.col("series_id").alias("feature"), F.col("nav").alias("value"))),
@@ -188,7 +188,7 @@ select series_id, max(case when seq = 0 then g end) || coalesce(max(case when se
         "a2_sharpe_granular": f"{rets} select series_id, round(sqrt(252) * avg(ret) / stddev_samp(ret), 6) as daily, round(sqrt(365 * 24 * 12) * avg(ret) / stddev_samp(ret), 4) as five_minutes from r group by 1",
         "a3_batch": batch,
         "f3_columns": f"{_LONG}, n as (select distinct format('ith_rb{{}}_lb{{}}_{{}}', threshold_dbps, lookback, feature) as name from long where lookback = 5) select row_number() over (order by name) - 1 as place, name from n",
-        "f11_prefilter": f"select series_id, sharpe_ratio from ({batch}) where sharpe_ratio between 0.5 and 9.9",
+        "f11_prefilter": f"select series_id, sharpe_ratio from ({batch}) where sharpe_ratio between 4.0 and 6.5",
         "f13_analysis_wide": f"{_LONG} select bar_index, {cells} from long where series_id = (select min(series_id) from long) group by 1",
         "f14_renamed": "select event_id, value::float::double as price, 0::bigint as n_trades from events",
         "j2_stacked": f"with m as ({MEASURES}) select series_id, seq, max(case when feature = 'quantity' then value end) as quantity, max(case when feature = 'tax' then value end) as tax from m group by 1, 2",
