@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages over ``documents``, each written as Parquet and read again by the next.
 
 1. language ID: documents without a letter, whose language can't be told, go; all others stay.
-2. SimHash near-dedup: of each near-duplicate class the document with the smallest id stays.
+2. near-dedup: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are linked, exactly; of
+   each class the document with the smallest id stays. SimHash within a few bits misses most pairs near 0.8.
 3. benchmark decontamination: documents that hold a window of a benchmark item go.
 4. PII: personal data and secrets become ``<KIND>`` in the text, and n_chars follows.
 5. BPE: each document's token ids, their number and the digests of ids and decoded text.
@@ -10,7 +11,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontam, langid, pii, simhash
+from tidemark.llm import bpe, decontam, langid, nearcopies, pii
 from tidemark.llm.queries import tokenizer_path
 from tidemark.llm.shared import materialise, small_batches
 
@@ -24,7 +25,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each class; shingles of five words, as near-duplicate stages take."""
     small_batches(spark)
-    return simhash.keep_one(docs, width=5)
+    return nearcopies.keep_one(docs, width=5)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +56,7 @@ STAGES = [
     ("bpe", encoding_stage),
 ]
 
-#: SQL can express neither the language model nor the fingerprints' classes; tests compare with brute force.
+#: SQL can express neither the language model nor the near copies' classes; tests compare with brute force.
 ORACLE_SQL = None
 
 

@@ -356,3 +356,38 @@ def test_pipeline_stages(spark):
     coder = bpe.coder(queries.tokenizer_path())
     for i in list(out)[:50]:
         assert out[i].ids == coder.encode(pii.redact(rows[i], pii.find_spans(rows[i])))
+
+
+def test_pipeline_near_copies_equal_brute_force_jaccard(spark, monkeypatch):
+    import corpus_pipeline as cp
+
+    from tidemark.llm import nearcopies
+
+    def shingles(text):
+        words = (text or "").encode().lower().split()
+        return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    def kept(rows):
+        sets = {i: shingles(t) for i, t in rows.items()}
+        near = lambda a, b: a == b or bool(a | b) and 5 * len(a & b) >= 4 * len(a | b)
+        least = classes(sorted(rows), [(a, b) for a in rows for b in rows if a < b and near(sets[a], sets[b])])
+        return {i for i in rows if least[i] == i}
+
+    docs = table(spark, "documents")
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    assert {r.doc_id for r in cp.near_duplicate_stage(spark, docs, SMALL).collect()} == kept(rows)
+    rnd = random.Random(8)
+    made, notice = {}, " ".join(f"n{k}" for k in range(12))
+    for group in range(12):
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(rnd.choice((3, 30, 120)))]
+        for _ in range(12):
+            words = list(base)
+            for _ in range(rnd.randrange(6)):
+                words[rnd.randrange(len(words))] = f"w{rnd.randrange(10**6)}"
+            made[len(made)] = " ".join(words) + (" " + notice if group % 2 else "")
+    made |= {len(made): None, len(made) + 1: " ", len(made) + 2: "A b", len(made) + 3: "a B"}
+    made = dict(enumerate(made.values()))
+    for often in (6, 10**9):
+        monkeypatch.setattr(nearcopies, "_OFTEN", often)
+        assert {r.doc_id for r in nearcopies.keep_one(documents(spark, [(i, t, "en") for i, t in made.items()])).collect()} == kept(made)
+    assert nearcopies.keep_one(documents(spark, [(1, "a", "en")]).limit(0)).count() == 0
