@@ -123,6 +123,18 @@ def test_pii_added_kinds_and_redaction():
     assert pii.find_spans(long) == []
 
 
+def test_pii_long_secrets_and_ibans_before_capitals():
+    token = "eyJ0" + "aB3_-.9x" * 100
+    text = f"api_key={token} end"
+    assert pii.find_spans(text) == [(8, 8 + len(token), "secret")]
+    assert pii.redact(text, pii.find_spans(text)) == "api_key=<SECRET> end"
+    iban, other = "BE68 5390 0754 7034", "DE89 3704 0044 0532 0130 00"
+    for tail in ("BIC", "BANK", "BIC GEBABEBB", "IST 2 TAGE"):
+        assert [s for s in pii.find_spans(f"{iban} {tail}") if s[2] == "iban"] == [(0, 19, "iban")]
+    got = [s for s in pii.find_spans(f"AB13 3456 7890 {iban} {other}") if s[2] == "iban"]
+    assert got == [(15, 34, "iban"), (35, 62, "iban")]
+
+
 def test_pii_query(spark):
     docs = {r.doc_id: r.text or "" for r in table(spark, "documents").collect()}
     for r in queries.op2_pii(spark, SMALL).collect():

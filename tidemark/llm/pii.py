@@ -33,7 +33,17 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![A-Za-z0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![A-Za-z0-9-])")
-_SECRET = re.compile(r"(?i)(?<![a-z0-9])(token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_.-]{8,200})")
+_SECRET = re.compile(r"(?i)(?<![a-z0-9])(token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_.-]{8,}+)")
+#: Lengths of IBANs by country.
+_LENGTHS = {
+    country: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 _WORDS = {"iban": re.compile(r"(?i)iban|bank|account|konto|compte|cuenta"), "ssn": re.compile(r"(?i)\bssn\b|social|security|tax")}
 
 
@@ -63,6 +73,20 @@ def _emails(text: str):
             at = text.find("@", at + 1)
 
 
+def _ibans(text: str):
+    """Spans of IBANs. A proposal may have swallowed the words after one: it is cut at a blank where the rest is an
+    IBAN, at its country's length if it can be, and what is left is scanned again."""
+    m = _IBAN.search(text)
+    while m:
+        ends = [m.end(), *(k for k in range(m.end() - 1, m.start(), -1) if text[k] == " ")]
+        sizes = {k: len(text[m.start() : k].replace(" ", "")) for k in ends}
+        ends = sorted((k for k in ends if k == m.end() or sizes[k] >= 15), key=lambda k: (sizes[k] != _LENGTHS.get(m[0][:2]), -k))
+        end = next((k for k in ends if mod97(text[m.start() : k].replace(" ", ""))), None)
+        if end:
+            yield m.start(), end
+        m = _IBAN.search(text, end or m.start() + 4)
+
+
 def _scored(kind: str, text: str, start: int, end: int, base: float) -> bool:
     near = text[max(0, start - CONTEXT) : start] + " " + text[end : end + CONTEXT]
     return base + (0.4 if _WORDS[kind].search(near) else 0.0) >= MIN_SCORE
@@ -83,9 +107,7 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
             for m in _PHONE.finditer(text):
                 if 10 <= sum(c in "0123456789" for c in m[0]) <= 15:
                     found.append((*m.span(), 3))
-        for m in _IBAN.finditer(text):
-            if mod97(m[0].replace(" ", "")) and _scored("iban", text, *m.span(), 0.7):
-                found.append((*m.span(), 4))
+        found += [(a, b, 4) for a, b in _ibans(text) if _scored("iban", text, a, b, 0.7)]
         if "-" in text:
             found += [(*m.span(), 5) for m in _SSN.finditer(text) if _scored("ssn", text, *m.span(), 0.3)]
     if "=" in text or ":" in text:
