@@ -66,3 +66,15 @@ def test_selection_drops_flat_and_tied_features(spark):
     assert not got["flat"].variance_kept and got["near"].place == 1 and not got["own"].correlation_kept and got["noise"].place is None
     tied = {r.feature: r.redundant for r in selecting.redundant_features(long.filter("feature <> 'flat'")).collect()}
     assert tied["own"] and not tied["noise"]
+
+
+def test_bootstrap_query_takes_all_replicates(spark):
+    from conftest import SMALL
+
+    from tidemark import catalogue
+    from tidemark.operators import selection
+
+    got = catalogue.queries()["m21_bootstrap"](spark, SMALL)
+    want = selection.bootstrap_importance(catalogue._measures(spark, SMALL).filter("feature <> 'price'"), catalogue._target(spark, SMALL), replicates=100)
+    key = lambda df: sorted((r.feature, round(r.mean_importance, 9), round(r.std_importance, 9)) for r in df.collect())
+    assert key(got) == key(want) and len(key(got)) == 3

@@ -316,7 +316,7 @@ def queries() -> dict[str, Query]:
         "m9_effects": _effects,
         "m13_participation": lambda s, d: rounded(statistics.participation_ratio(statistics.pair_correlations(_measures(s, d))), "participation_ratio").withColumn("n_features", F.col("n_features").cast("int")),
         "m16_dcor": lambda s, d: rounded(_dcor(s, d), "dcor"),
-        "m21_bootstrap": lambda s, d: selection.bootstrap_importance(_measures(s, d).filter("feature <> 'price'"), _target(s, d), replicates=20),
+        "m21_bootstrap": lambda s, d: selection.bootstrap_importance(_measures(s, d).filter("feature <> 'price'"), _target(s, d)),
         "m22_walk_forward": lambda s, d: rounded(rounded(selection.walk_forward_stability(_measures(s, d).filter("feature <> 'price'"), _target(s, d)), "mean_importance", "std_importance"), "cv", places=4),
         "m2_greedy": _greedy,
         "m12_pca": _pca,
