@@ -296,7 +296,20 @@ def test_bpe_equals_the_library(spark):
     for text, e in zip(texts, theirs.encode_batch(texts, add_special_tokens=False), strict=True):
         assert mine.encode(text) == e.ids, text
         assert mine.decode(e.ids) == theirs.decode(e.ids, skip_special_tokens=False)
-        assert mine.digest(text)[:2] == (len(e.ids), hashlib.sha256(" ".join(map(str, e.ids)).encode()).hexdigest())
+    encoded = theirs.encode_batch(texts, add_special_tokens=False)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = [(len(e.ids), sha(" ".join(map(str, e.ids))), sha(theirs.decode(e.ids, skip_special_tokens=False))) for e in encoded]
+    assert list(mine.digests(texts)) == want
+    docs = table(spark, "documents").collect()
+    whole = {r.doc_id: e.ids for r, e in zip(docs, theirs.encode_batch([r.text or "" for r in docs], add_special_tokens=False), strict=True)}
+    for r in queries.op9_bpe(spark, SMALL).collect():
+        ids = whole.pop(r.doc_id)
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(" ".join(map(str, ids))), sha(theirs.decode(ids, skip_special_tokens=False)))
+    assert not whole
+    long = "the <|endoftext|> Cat's 12 " * 60_000 + "ab" * 20_000
+    assert mine.encode(long) == theirs.encode(long, add_special_tokens=False).ids
+    empty = documents(spark, [(1, "a", "x")]).limit(0).withColumn("ids", F.lit(1))
+    assert empty.select(bpe.digest_column(F.col("text"), path)).count() == 0 and empty.withColumn("ids", bpe.encoded_column(F.col("text"), path)).count() == 0
     df = documents(spark, [(1, None, "x"), (2, "the cat", "x"), (2, "the cat", "x")])
     ids = df.select("doc_id", bpe.encoded_column(F.col("text"), path).alias("ids")).withColumn("back", bpe.decoded_column(F.col("ids"), path)).orderBy("doc_id").collect()
     assert ids[0].ids == [] and ids[0].back == "" and ids[1] == ids[2] and ids[1].back == "the</w> cat</w>"

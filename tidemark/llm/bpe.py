@@ -6,31 +6,44 @@ that may stand after the last token of what remains: two tokens may stand side b
 from their symbols would not join across the border. Following the stored tokens back gives the ids,
 in time linear in the word whatever the order of merges. No merge list is replayed on the text.
 
+A worker encodes the distinct words of a stretch of text at once: all advance through the automaton byte
+by byte as arrays. Words over ``LONG`` bytes go one at a time by the same steps. The coder's tables are
+flat arrays, and what a worker remembers of earlier words is bounded in bytes and dropped with the task.
+
 Words come from the tokenizer's own rules: NFC, white space to blanks, lower case, split at letters,
 single digits and other runs; a word's last symbol is a symbol of its own (with the end-of-word mark).
 Special tokens in the text are taken as such. Ids, token counts and the decoded text equal those of the
 tokenizers library for a vocabulary file of this kind (BPE with end-of-word suffix, no decoder).
 
 Defined results: null and empty text encode to no ids and decode to the empty string; texts of any
-length are encoded whole; a byte without a symbol in the vocabulary raises an error when the file is
-read; repeated rows and extra columns pass through.
+length are encoded whole, in stretches of about ``STRETCH`` characters cut at blanks; a byte without a symbol
+in the vocabulary raises an error when the file is read; an empty table gives an empty result; repeated rows
+and extra columns, whatever their names, pass through.
 """
 
 import hashlib
 import json
 import re
 import unicodedata
+from array import array
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words, and stretches of several, whose encodings a worker remembers; when full, the older half goes.
-REMEMBERED = 100_000
-#: Pair tests that a worker remembers.
-PAIRS = 200_000
+#: Characters of text that are encoded at once; words of more bytes than this go one at a time.
+STRETCH, LONG = 1 << 19, 48
+#: Words, and stretches without white space, that a task remembers; none of them is longer than ``SHORT``.
+REMEMBERED, SHORT = 50_000, 40
+#: So few new words go one at a time.
+FEW = 64
+#: Places of the table of pair tests; a later pair takes an earlier one's place.
+PAIRS = 1 << 17
 # What counts as white space for the tokenizer's normaliser.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -45,195 +58,316 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
+def _at(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, whether it is there) of each wanted key in sorted keys."""
+    place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return place, keys[place] == wanted
+
+
 class PrefixCoder:
     """Encoder and decoder of one vocabulary file."""
 
     def __init__(self, source: str):
         spec = json.loads(source)
         model = spec["model"]
-        self.suffix = model["end_of_word_suffix"]
-        self.ids: dict[str, int] = model["vocab"]
-        self.text = {i: t for t, i in self.ids.items()}
+        ids: dict[str, int] = model["vocab"]
+        suffix = model["end_of_word_suffix"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.text |= {i: t for t, i in self.special.items()}
-        self.symbols = byte_symbols()
-        self.plain = [self.ids[s] for s in self.symbols]
-        self.final = [self.ids[s + self.suffix] for s in self.symbols]
-        self.joined: dict[tuple[int, int], tuple[int, int]] = {}
-        self.parts: dict[int, tuple[int, int]] = {}
-        self.rank: dict[int, int] = dict.fromkeys([*self.plain, *self.final], -1)
-        spelled = {i: bytes([b]) for b, i in enumerate(self.plain)} | {i: bytes([b]) for b, i in enumerate(self.final)}
-        ends = dict.fromkeys(self.plain, False) | dict.fromkeys(self.final, True)
+        size = 1 + max([*ids.values(), *self.special.values()])
+        self.text: list[str | None] = [None] * size
+        for token, i in chain(ids.items(), self.special.items()):
+            self.text[i] = token
+        self.decimal = list(map(str, range(size)))
+        symbols = byte_symbols()
+        plain, final = [ids[s] for s in symbols], [ids[s + suffix] for s in symbols]
+        spelled = {i: bytes([b]) for b, i in enumerate(plain)} | {i: bytes([b]) for b, i in enumerate(final)}
+        closing = set(final)
+        self.rank, self.left, self.right = (np.full(size, -1, np.int32) for _ in range(3))
+        joined = []
         for rank, merge in enumerate(model["merges"]):
             a, b = merge if isinstance(merge, list) else merge.split(" ")
-            left, right, whole = self.ids[a], self.ids[b], self.ids[a + b]
-            self.joined[left, right] = (rank, whole)
-            self.parts[whole], self.rank[whole] = (left, right), rank
-            spelled[whole], ends[whole] = spelled[left] + spelled[right], ends[right]
-        self.length = {i: len(x) for i, x in spelled.items()}
-        self.tests, self.fits = 0, {i: {} for i in spelled}
-        self._automaton({s: i for i, s in spelled.items() if not ends[i]}, {s: i for i, s in spelled.items() if ends[i]})
+            left, right, whole = ids[a], ids[b], ids[a + b]
+            joined.append((left << 32 | right, rank))
+            self.left[whole], self.right[whole], self.rank[whole] = left, right, rank
+            spelled[whole] = spelled[left] + spelled[right]
+            if right in closing:
+                closing.add(whole)
+        joined = dict(joined)  # of a pair that is listed twice, the later line counts
+        order = sorted(joined)
+        self.pairs, self.pair_rank, self.last_rank = np.array(order, np.int64), np.array([joined[k] for k in order], np.int32), len(model["merges"])
+        self.length = np.zeros(size, np.int32)
+        for i, s in spelled.items():
+            self.length[i] = len(s)
+        self._automaton(spelled, closing)
+        self.tested, self.outcome = np.full(PAIRS, -1, np.int64), np.zeros(PAIRS, bool)
         letters, numbers = _ranges("L"), _ranges("N")
         self.split = re.compile(rf"[{letters}]+|[{numbers}]|'(?:s|t|re|ve|m|ll|d)|[^{_SPACE}{letters}{numbers}]+").findall
         self.blanks = re.compile(f"[{_SPACE}]+").split
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.by_word = _Memo(self._encode_one)
-        self.by_chunk = _Memo(self._encode_chunk)
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop what was remembered of words met so far."""
+        self.known = _Known({})
 
-    def _automaton(self, inner: dict[bytes, int], closing: dict[bytes, int]) -> None:
+    def _automaton(self, spelled: dict[int, bytes], closing: set[int]) -> None:
         """States are prefixes of tokens; each links to its longest suffix that is a state too.
 
-        ``ending[state]`` are the (length, id, known pair tests) of tokens that end where the state's
-        text ends, the longest first, and ``closed`` those that carry the end-of-word mark.
+        ``edge`` has the keys state * 256 + byte in order and ``after`` the states they lead to. For both kinds
+        of tokens (those within a word, and those that carry the end-of-word mark), ``first`` is the nearest
+        state on a state's chain of links whose whole text is a token, ``token`` that token and ``rest`` the next
+        such state; state 0, the empty text, ends a chain.
         """
-        step, path = [{}], [b""]
-        for token in {*inner, *closing}:
+        edges: dict[int, int] = {}
+        texts = [b""]
+        own = ({}, {})
+        for i, s in spelled.items():
             at = 0
-            for k, byte in enumerate(token):
-                if byte not in step[at]:
-                    step[at][byte] = len(step)
-                    step.append({})
-                    path.append(token[: k + 1])
-                at = step[at][byte]
-        link = [0] * len(step)
-        self.ending, self.closed = [()] * len(step), [()] * len(step)
-        for state in sorted(range(1, len(step)), key=lambda s: len(path[s])):
-            own = path[state]
-            self.ending[state] = (((len(own), t := inner[own], self.fits[t]),) if own in inner else ()) + self.ending[link[state]]
-            self.closed[state] = (((len(own), t := closing[own], self.fits[t]),) if own in closing else ()) + self.closed[link[state]]
-            for byte, after in step[state].items():
-                at = link[state]
-                while at and byte not in step[at]:
-                    at = link[at]
-                link[after] = step[at].get(byte, 0)
-        for after in step[0].values():
-            link[after] = 0
-        self.step, self.link = step, link
-
-    def compatible(self, left: int, right: int) -> bool:
-        """Whether ``left`` and ``right`` stay apart when their symbols are merged as one text.
+            for k, byte in enumerate(s):
+                nxt = edges.setdefault(at << 8 | byte, len(texts))
+                if nxt == len(texts):
+                    texts.append(s[: k + 1])
+                at = nxt
+            own[i in closing][at] = i
+        n = len(texts)
+        by_text = {t: k for k, t in enumerate(texts)}
+        link, depth = array("i", bytes(4 * n)), array("i", map(len, texts))
+        self.token, self.first, self.rest = ([array("i", bytes(4 * n)) for _ in range(2)] for _ in range(3))
+        for state in sorted(range(1, n), key=depth.__getitem__):
+            t = texts[state]
+            link[state] = next(by_text[t[k:]] for k in range(1, len(t) + 1) if t[k:] in by_text)
+            for kind in (0, 1):
+                token = own[kind].get(state)
+                self.rest[kind][state] = self.first[kind][link[state]]
+                self.first[kind][state] = self.rest[kind][state] if token is None else state
+                self.token[kind][state] = -1 if token is None else token
+        keys = sorted(edges)
+        self.edge, self.after = array("q", keys), array("i", [edges[k] for k in keys])
+        self.link, self.depth = link, depth
+
+    def _step(self, states: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The states after one byte each."""
+        edge, after, link = np.frombuffer(self.edge, np.int64), np.frombuffer(self.after, np.int32), np.frombuffer(self.link, np.int32)
+        out, open_, at = np.zeros(len(states), np.int32), np.arange(len(states)), states.astype(np.int64)
+        while len(open_):
+            place, there = _at(edge, at[open_] << 8 | codes[open_])
+            out[open_[there]] = after[place[there]]
+            going = open_[~there & (at[open_] > 0)]
+            at[going] = link[at[going]]
+            open_ = going
+        return out
+
+    def compatible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """For pairs of tokens, whether they stay apart when their symbols are merged as one text.
 
         Merges are undone from the latest one: whichever of the two tokens was made later is split,
         and its part at the border takes its place. The pair at the border must not merge before the
         step that was undone last; of equal ranks, the place further left comes first.
         """
-        a, b, limit, right_next = left, right, len(self.joined), True
-        while True:
-            pair = self.joined.get((a, b))
-            if pair is not None and (pair[0] < limit or pair[0] == limit and right_next):
-                return False
-            made_a, made_b = self.rank[a], self.rank[b]
-            if made_a < 0 and made_b < 0:
-                return True
-            if made_a > made_b:
-                limit, right_next, a = made_a, False, self.parts[a][1]
-            else:
-                limit, right_next, b = made_b, True, self.parts[b][0]
-
-    def _test(self, before: int, token: int, fits: dict[int, bool]) -> bool:
-        """A pair test that is new to this worker, remembered with the token; -1 is the word's start, which fits all."""
-        if self.tests >= PAIRS:
-            self.tests = 0
-            for known in self.fits.values():
-                known.clear()
-        self.tests += 1
-        fits[before] = before < 0 or self.compatible(before, token)
-        return fits[before]
-
-    def encode_word(self, word: str) -> list[int]:
-        """Ids of one word."""
-        data = word.encode()
-        step, last, state, size = self.step, [-1], 0, len(data)
-        endings = self.ending
+        a, b = left.astype(np.int64), right.astype(np.int64)
+        limit, right_next, out, open_ = np.full(len(a), self.last_rank), np.ones(len(a), bool), np.ones(len(a), bool), np.arange(len(a))
+        while len(open_):
+            x, y = a[open_], b[open_]
+            place, there = _at(self.pairs, x << 32 | y)
+            rank = np.where(there, self.pair_rank[place], self.last_rank + 1)
+            joins = (rank < limit[open_]) | (rank == limit[open_]) & right_next[open_]
+            out[open_[joins]] = False
+            made_x, made_y = self.rank[x], self.rank[y]
+            going = ~joins & ((made_x >= 0) | (made_y >= 0))
+            split_left = made_x > made_y
+            a[open_] = np.where(split_left, self.right[x], x)
+            b[open_] = np.where(split_left, y, self.left[y])
+            limit[open_], right_next[open_] = np.maximum(made_x, made_y), ~split_left
+            open_ = open_[going]
+        return out
+
+    def _fits(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Pair tests, remembered; -1 before is the word's start, which fits all."""
+        out = before < 0
+        at = np.flatnonzero(~out)
+        if not len(at):
+            return out
+        key = before[at].astype(np.int64) << 32 | token[at]
+        place = (key * 0x9E3779B1 >> 12) % PAIRS
+        met = self.tested[place] == key
+        out[at[met]] = self.outcome[place[met]]
+        if not met.all():
+            new, back = np.unique(key[~met], return_inverse=True)
+            found = self.compatible(new >> 32, new & 0xFFFFFFFF)
+            out[at[~met]] = found[back]
+            place = (new * 0x9E3779B1 >> 12) % PAIRS
+            self.tested[place], self.outcome[place] = new, found
+        return out
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word, as the bytes of 32-bit numbers; all words advance together, byte by byte."""
+        data = [w.encode() for w in words]
+        size = np.fromiter(map(len, data), np.int64, len(data))
+        out = [b""] * len(data)
+        alone = size > (LONG if len(data) > FEW else 0)
+        for k in np.flatnonzero(alone).tolist():
+            out[k] = array("i", self._encode_long(data[k])).tobytes()
+        for part in np.array_split(short := np.flatnonzero(~alone), max(1, len(short) // 8192)):
+            part = part[np.argsort(-size[part], kind="stable")]
+            for k, ids in zip(part.tolist(), self._encode_short([data[k] for k in part.tolist()], size[part]), strict=True):
+                out[k] = ids
+        return out
+
+    def _encode_short(self, data: list[bytes], size: np.ndarray) -> Iterator[bytes]:
+        """Ids of words that come longest first, so that those still running are always the first rows."""
+        if not data:
+            return
+        rows, width = len(data), int(size[0])
+        codes = np.frombuffer(b"".join(d.ljust(width, b"\0") for d in data), np.uint8).reshape(rows, width)
+        last = np.full((rows, width + 1), -1, np.int32)
+        tables = [tuple(np.frombuffer(t[kind], np.int32) for t in (self.first, self.token, self.rest)) for kind in (0, 1)]
+        depth, state = np.frombuffer(self.depth, np.int32), np.zeros(rows, np.int32)
+        for end in range(1, width + 1):
+            live = int(np.searchsorted(-size, -end, "right"))
+            state = self._step(state[:live], codes[:live, end - 1].astype(np.int64))
+            ending = int(np.searchsorted(-size, -end, "left"))
+            for kind, row in ((0, np.arange(ending)), (1, np.arange(ending, live))):
+                first, token, rest = tables[kind]
+                at = first[state[row]]
+                while len(row):
+                    if not at.all():
+                        raise ValueError(f"no token ends at byte {end} of {data[row[np.argmin(at)]]!r}")
+                    made = token[at]
+                    fit = self._fits(last[row, end - depth[at]], made)
+                    last[row[fit], end] = made[fit]
+                    row, at = row[~fit], rest[at[~fit]]
+        ends, ids, turn = size.copy(), [], np.arange(rows)
+        while len(turn):
+            made = last[turn, ends[turn]]
+            ids.append((turn, made))
+            ends[turn] -= self.length[made]
+            turn = turn[ends[turn] > 0]
+        row = np.concatenate([r for r, _ in ids])
+        order = np.argsort(row[::-1], kind="stable")
+        flat = np.concatenate([m for _, m in ids])[::-1][order].astype(np.int32).tobytes()
+        ends = np.cumsum(4 * np.bincount(row, minlength=rows)).tolist()
+        yield from map(flat.__getitem__, map(slice, [0, *ends], ends))
+
+    def _encode_long(self, data: bytes) -> list[int]:
+        """Ids of one long word, by the same steps."""
+        last, state, size, depth = array("i", [-1]), 0, len(data), self.depth
+        edge, link, known = self.edge, self.link, {}
         for end, byte in enumerate(data, 1):
-            after = step[state].get(byte)
-            state = self._follow(state, byte) if after is None else after
-            if end == size:
-                endings = self.closed
-            for length, token, fits in endings[state]:
-                before = last[end - length]
-                if (fit := fits.get(before)) is None:
-                    fit = self._test(before, token, fits)
+            while True:
+                place = bisect_left(edge, state << 8 | byte)
+                if place < len(edge) and edge[place] == state << 8 | byte:
+                    state = self.after[place]
+                    break
+                if not state:
+                    break
+                state = link[state]
+            kind = end == size
+            at = self.first[kind][state]
+            while at:
+                token, before = self.token[kind][at], last[end - depth[at]]
+                if (fit := known.get((before, token))) is None:
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    fit = known[before, token] = bool(self._fits(np.array([before]), np.array([token]))[0])
                 if fit:
-                    last.append(token)
                     break
-            else:
-                raise ValueError(f"no token ends at byte {end} of {word!r}")
+                at = self.rest[kind][at]
+            if not at:
+                raise ValueError(f"no token ends at byte {end} of {data[:80]!r}")
+            last.append(token)
         ids, end = [], size
         while end:
             ids.append(last[end])
-            end -= self.length[last[end]]
+            end -= int(self.length[last[end]])
         return ids[::-1]
 
-    def _follow(self, state: int, byte: int) -> int:
-        """The state after a byte that no token continues with here; found through links once, then kept."""
-        at = state
-        while at and byte not in self.step[at]:
-            at = self.link[at]
-        after = self.step[state][byte] = self.step[at].get(byte, 0)
-        return after
-
-    def _encode_one(self, word: str) -> tuple[str, str]:
-        ids = self.encode_word(word)
-        return " ".join(map(str, ids)), " ".join([self.text[i] for i in ids])
-
-    def _encode_chunk(self, chunk: str) -> tuple[str, str]:
-        """A stretch without white space; it holds one word or several, or only part marks."""
-        if chunk.isalpha():
-            return self.by_word[chunk]
-        words = (chunk[:-1], chunk[-1]) if chunk[-1] in ".," and chunk[:-1].isalpha() else self.split(chunk)
-        got = [self.by_word[w] for w in words]
-        return " ".join([g[0] for g in got]), " ".join([g[1] for g in got])
-
     def chunks(self, text: str) -> list[str]:
         """Stretches without white space, normalised; white space parts words, so words never cross them."""
         text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
         return [c for c in self.blanks(text) if c] if _NOT_BLANK.search(text) else text.split()
 
-    def pieces(self, text: str) -> list[tuple[str, str]]:
-        """(ids, tokens), both joined by blanks, of each stretch without white space, or special token."""
-        known = self.by_chunk.__getitem__
-        if self.specials is None or "<|" not in text:
-            return list(map(known, self.chunks(text)))
-        out = []
-        for k, part in enumerate(self.specials.split(text)):
-            out += [(str(self.special[part]), part)] if k % 2 else map(known, self.chunks(part))
-        return out
-
-    def encode_text(self, text: str) -> str:
-        """All ids of a text, joined by blanks."""
-        return " ".join([ids for ids, _ in self.pieces(text) if ids])
+    def _words(self, chunk: str) -> list[str]:
+        """The words of a stretch without white space that is not one word; it may hold only part marks."""
+        return [chunk[:-1], chunk[-1]] if chunk[-1] in ".," and chunk[:-1].isalpha() else self.split(chunk)
+
+    def _meet(self, chunks: set[str]) -> list[str]:
+        """Encode the stretches without white space that aren't remembered, together; returns those too long to be kept."""
+        if len(self.known) >= REMEMBERED:
+            self.known.before = {}
+            self.known = _Known(self.known)
+        new = chunks.difference(self.known, self.known.before)
+        several = {c: self._words(c) for c in new if not c.isalpha()}
+        words = list({*(c for c in new if c not in several), *chain.from_iterable(several.values())})
+        ids = dict(zip(words, self.encode_words(words), strict=True))
+        self.known.update((c, b"".join(map(ids.__getitem__, several[c])) if c in several else ids[c]) for c in new)
+        return [c for c in new if len(c) > SHORT]
+
+    def _pieces(self, texts: Iterable[str]) -> Iterator[tuple[int, int, str, int]]:
+        """(number of the text, special id or -1, stretch, its characters); a text without any has one empty stretch."""
+        for k, text in enumerate(texts):
+            for part_no, part in enumerate([text] if self.specials is None or "<|" not in text else self.specials.split(text)):
+                if part_no % 2:
+                    yield k, self.special[part], "", 1
+                    continue
+                at = 0
+                while at < len(part) or not at:
+                    end = part.find(" ", at + STRETCH)
+                    end = len(part) if end < 0 else end
+                    yield k, -1, part[at:end], end - at
+                    at = max(end, 1)
+
+    def encode_texts(self, texts: Iterable[str]) -> Iterator[tuple[int, bytes]]:
+        """(number of the text, ids as 32-bit numbers) of stretches in order; every text has one at least, and none is over ``STRETCH`` by more than a word."""
+
+        def done() -> Iterator[tuple[int, bytes]]:
+            long = self._meet(set(chain.from_iterable(own for _, _, own in held)))
+            ids = self.known
+            for k, special, own in held:
+                yield k, array("i", [special]).tobytes() if special >= 0 else b"".join(map(ids.__getitem__, own))
+            for c in long:
+                del ids[c]
+
+        held, chars = [], 0
+        for k, special, stretch, size in self._pieces(texts):
+            held.append((k, special, self.chunks(stretch)))
+            chars += size
+            if chars >= STRETCH:
+                yield from done()
+                held, chars = [], 0
+        yield from done()
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for i in self.encode_text(text).split()]
+        return np.frombuffer(b"".join(ids for _, ids in self.encode_texts([text])), np.int32).tolist()
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Iterable[int]) -> str:
         """Tokens joined by blanks, as the library does for a file without a decoder; unknown ids are left out."""
-        return " ".join([self.text[i] for i in ids if i in self.text])
-
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """(number of ids, SHA-256 of the ids, SHA-256 of the decoded text)."""
-        pieces = self.pieces(text)
-        ids = " ".join([p[0] for p in pieces]).encode()
-        tokens = " ".join([p[1] for p in pieces]).encode()
-        return ids.count(b" ") + 1 if ids else 0, hashlib.sha256(ids).hexdigest(), hashlib.sha256(tokens).hexdigest()
-
-
-class _Memo(dict):
-    """What was made of strings met lately: when half of ``REMEMBERED`` are new, those before them go."""
-
-    def __init__(self, make):
+        top = len(self.text)
+        return " ".join([t for i in ids if 0 <= i < top and (t := self.text[i]) is not None])
+
+    def digests(self, texts: Iterable[str]) -> Iterator[tuple[int, str, str]]:
+        """(number of ids, SHA-256 of the ids, SHA-256 of the text that decoding the ids gives) of each text."""
+        now, count, of_ids, of_text = 0, 0, hashlib.sha256(), hashlib.sha256()
+        for k, ids in self.encode_texts(texts):
+            if k != now:
+                yield count, of_ids.hexdigest(), of_text.hexdigest()
+                now, count, of_ids, of_text = k, 0, hashlib.sha256(), hashlib.sha256()
+            if ids:
+                between, own = b" " if count else b"", np.frombuffer(ids, np.int32).tolist()
+                of_ids.update(between + " ".join(map(self.decimal.__getitem__, own)).encode())
+                of_text.update(between + self.decode(own).encode())
+                count += len(own)
+        yield count, of_ids.hexdigest(), of_text.hexdigest()
+
+
+class _Known(dict):
+    """Ids of stretches met lately; those of the time ``before`` come over when they are met again."""
+
+    def __init__(self, before: dict):
         super().__init__()
-        self.make, self.before = make, {}
-
-    def __missing__(self, key: str) -> tuple[str, str]:
-        if (got := self.before.get(key)) is None:
-            got = self.make(key)
-        if len(key) <= 64:
-            if len(self) >= REMEMBERED // 2:
-                self.before = dict(self)
-                self.clear()
-            self[key] = got
+        self.before = before
+
+    def __missing__(self, chunk: str) -> bytes:
+        got = self[chunk] = self.before[chunk]
         return got
 
 
@@ -252,17 +386,25 @@ def coder(path: str) -> PrefixCoder:
         return PrefixCoder(f.read())
 
 
+def _list_array(parts: list[list[bytes]]) -> pa.Array:
+    ends = np.cumsum([0, *(sum(map(len, own)) // 4 for own in parts)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(chain.from_iterable(parts)), np.int32)))
+
+
 def encoded_column(text: Column, path: str) -> Column:
     """The ids of each text as array<int>; null encodes to an empty array."""
 
     @F.arrow_udf("array<int>")
-    def encoded(texts: pa.Array) -> pa.Array:
-        c, ends, flat = coder(path), [0], []
-        for t in texts:
-            ids = c.encode_text(t.as_py())
-            flat.append(np.fromstring(ids, np.int32, sep=" ") if ids else np.zeros(0, np.int32))
-            ends.append(ends[-1] + len(flat[-1]))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32)))
+    def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        c = coder(path)
+        try:
+            for texts in batches:
+                parts: list[list[bytes]] = [[] for _ in range(len(texts))]
+                for k, ids in c.encode_texts(t.as_py() for t in texts):
+                    parts[k].append(ids)
+                yield _list_array(parts)
+        finally:
+            c.forget()
 
     return encoded(F.coalesce(text, F.lit("")))
 
@@ -279,13 +421,17 @@ def decoded_column(ids: Column, path: str) -> Column:
 
 
 def digest_column(text: Column, path: str) -> Column:
-    """struct<n_tokens, ids_sha256, decoded_sha256> of each text, without the ids themselves."""
+    """struct<n_tokens, ids_sha256, decoded_sha256> of each text: its ids, and the text decoded from them again."""
 
     @F.arrow_udf("struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>")
-    def digests(texts: pa.Array) -> pa.Array:
+    def digests(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         c = coder(path)
-        kind = pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-        names = ("n_tokens", "ids_sha256", "decoded_sha256")
-        return pa.array([dict(zip(names, c.digest(t.as_py()), strict=True)) for t in texts], kind)
+        try:
+            for texts in batches:
+                found = list(c.digests(t.as_py() for t in texts)) if len(texts) else []
+                columns = [pa.array([d[i] for d in found], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
+                yield pa.StructArray.from_arrays(columns, ["n_tokens", "ids_sha256", "decoded_sha256"])
+        finally:
+            c.forget()
 
     return digests(F.coalesce(text, F.lit("")))
