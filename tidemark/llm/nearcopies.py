@@ -1,18 +1,19 @@
-"""Near copies by exact Jaccard similarity of word shingles: all pairs of 0.8 or more, by a prefix-filtered join.
-
-1. A text is the set of the XXH64 hashes of its shingles of ``width`` words, the ones that SimHash sums. Texts with
-   equal sets collapse to one key before anything is compared.
-2. Tokens are put in one order for all texts, common ones last. Two sets of similarity 0.8 or more share a token among
-   the first ``n - ceil(0.8 n) + 1`` of each (Chaudhuri, 2006), so only these prefixes are dealt by token. The
-   order only decides how many candidates there are; any order gives the same result.
-3. A candidate pair must be able to reach the needed overlap from the places of its common token (Xiao, 2008).
+"""Near copies for a pipeline: SimHash proposes, exact Jaccard similarity of word shingles decides, none is missed.
+
+1. One pass gives each text's SimHash and the set of its shingles' hashes, ``width`` words each. Texts with equal
+   sets collapse to one key before anything is compared.
+2. Fingerprints within ``radius`` bits are found through BK-trees (``simhash.close_pairs``), and propose pairs of sets.
+3. SimHash misses most pairs near 0.8 at any radius that can be searched, so the other proposals are exact: two sets of
+   similarity 0.8 or more share a token among the first ``n - ceil(0.8 n) + 1`` of each, in any one order of
+   tokens (Chaudhuri, 2006); common tokens come last, and only these prefixes are dealt by token. A pair must be
+   able to reach the needed overlap from the places of its common token (Xiao, 2008).
 4. First each set is compared with the least one of each of its tokens, so that a group of copies costs one pair a
    member. Then all pairs that these links have not joined are compared, and only tokens that still hold two classes
-   are read. Every candidate is verified by the exact size of the intersection.
+   are read. Every proposal is verified by the exact size of the intersection.
 
-Defined results: null, empty and blank texts have the empty set and are copies of each other; a text of fewer words
-than ``width`` is one shingle; a null id takes part, and rows with it stay; repeated rows are copies; an empty table
-gives an empty result.
+Defined results: null, empty and blank texts have the empty set and are copies of each other; texts of any length are
+read whole; a text of fewer words than ``width`` is one shingle; a null id takes part, and rows with it stay; repeated
+rows are copies; an empty table gives an empty result; extra columns, whatever their names, pass through.
 """
 
 from collections.abc import Iterator
@@ -24,28 +25,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import free_names, materialise
-from .simhash import SEED, components
+from .shared import keep_rows, materialise, small
+from .simhash import SEED, close_pairs, components, of_hashes, shingle_hashes
 
-#: A token in so many of ``_DOCS`` texts read in a row is common; at most ``_COMMON`` are ordered by their counts.
-_OFTEN, _DOCS, _COMMON = 6, 4000, 1 << 18
-#: Texts whose sets are fetched by a broadcast at most.
-BROADCAST_TEXTS = 500_000
+#: A token in so many of the texts read in a row, up to ``_HELD`` tokens of them, is common; at most ``_COMMON`` tokens
+#: are ordered by their counts. The order decides how many pairs are compared, not the result.
+_OFTEN, _HELD, _COMMON = 6, 1 << 20, 1 << 18
 
 
 def shingle_set(text: bytes, width: int = 5) -> np.ndarray:
-    """The distinct hashes of a text's shingles in order; bytes.lower() and split() know ASCII only."""
-    words = text.lower().split()
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
-    whole = b" ".join(words)
-    if n <= width:
-        return np.array([xxhash.xxh64_intdigest(whole, SEED)], np.uint64)
-    length = np.fromiter(map(len, words), np.int64, n)
-    end = np.cumsum(length + 1) - 1
-    digest, first, last = xxhash.xxh64_intdigest, (end - length)[: n - width + 1].tolist(), end[width - 1 :].tolist()
-    return np.unique(np.fromiter((digest(whole[a:b], SEED) for a, b in zip(first, last, strict=True)), np.uint64, len(first)))
+    """The distinct hashes of a text's shingles in order."""
+    return _distinct(list(shingle_hashes(text, width)))
+
+
+def _distinct(parts: list[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
 def _key(tokens: np.ndarray) -> int:
@@ -67,7 +61,7 @@ def common_tokens(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]
             for x in batch.column(0).cast(pa.binary()):
                 sets.append(shingle_set(x.as_py() or b"", width))
                 held += len(sets[-1])
-                if len(sets) >= _DOCS or held > 4_000_000:
+                if held > _HELD:
                     yield often()
                     sets, held = [], 0
         yield often()
@@ -79,15 +73,17 @@ def common_tokens(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]
     return tokens[order], rows["c"].to_numpy(np.int64)[order]
 
 
-def prefix_column(text: Column, width: int, common: tuple[np.ndarray, np.ndarray]) -> Column:
-    """struct of each set's key, its size and the prefix of its tokens."""
+def signature_column(text: Column, width: int, common: tuple[np.ndarray, np.ndarray]) -> Column:
+    """struct of each set's key, its size, the text's SimHash and the prefix of the set's tokens."""
     known, counts = common
 
-    @F.arrow_udf("struct<key:bigint,n:int,prefix:array<bigint>>")
-    def prefix(texts: pa.Array) -> pa.Array:
-        keys, sizes, ends, parts = [], [], [0], []
+    @F.arrow_udf("struct<key:bigint,n:int,fingerprint:bigint,prefix:array<bigint>>")
+    def signature(texts: pa.Array) -> pa.Array:
+        keys, sizes, prints, ends, parts = [], [], [], [0], []
         for x in texts.cast(pa.binary()):
-            tokens = shingle_set(x.as_py() or b"", width)
+            hashes = list(shingle_hashes(x.as_py() or b"", width))
+            prints.append(of_hashes(hashes))
+            tokens = _distinct(hashes)
             n = len(tokens)
             first = n - (4 * n + 4) // 5 + 1 if n else 0
             rank = np.zeros(n, np.int64)
@@ -100,9 +96,10 @@ def prefix_column(text: Column, width: int, common: tuple[np.ndarray, np.ndarray
             ends.append(ends[-1] + first)
         values = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
-        return pa.StructArray.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), lists], ["key", "n", "prefix"])
+        columns = [pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(np.array(prints, np.uint64).view(np.int64)), lists]
+        return pa.StructArray.from_arrays(columns, ["key", "n", "fingerprint", "prefix"])
 
-    return prefix(F.coalesce(text, F.lit("")))
+    return signature(F.coalesce(text, F.lit("")))
 
 
 def set_column(text: Column, width: int) -> Column:
@@ -121,29 +118,45 @@ def _possible(n: Column, at: Column, other_n: Column, other_at: Column) -> Colum
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """The pairs (a, b) of keys whose sets have a similarity of 0.8 or more."""
+    """The pairs (a, b) of keys whose sets have a similarity of 0.8 or more; one text of each key is read again."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    places = materialise(rows.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("place").alias("place")), "wanted-texts")
-    few = places.count() <= BROADCAST_TEXTS
-    met = texts.join(F.broadcast(places) if few else places, "place").dropDuplicates(["key"])
-    sets = materialise(met.select("key", set_column(F.col("text"), width).alias("tokens")), "wanted-sets")
+    reps = rows.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("copy").alias("copy"))
+    reps = materialise(reps, "wanted-texts")
+    met = texts.join(small(reps), "copy").select("key", set_column(F.col("text"), width).alias("tokens"))
+    sets = materialise(met, "wanted-sets")
     both = pairs.join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("tb")), "b").join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("ta")), "a")
     size = F.size("ta") + F.size("tb")
-    return materialise(both.filter(F.size(F.array_intersect("ta", "tb")) * 9 >= size * 4).select("a", "b"), "near-copies")
-
-
-def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """A row for each row of ``df``: its id and component_id, the smallest id of its class of near copies."""
-    texts = df.select(F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("place"), F.coalesce(text_col, F.lit("")).alias("text"))
-    made = df.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("place"), prefix_column(F.col(text_col), width, common_tokens(texts.select("text"), width)).alias("d"))
-    rows = materialise(made.select("id", "place", "d.*"), "prefixes")
+    return materialise(both.filter(F.size(F.array_intersect("ta", "tb")) * 9 >= size * 4).select("a", "b").distinct(), "near-copies")
+
+
+def _simhash_pairs(sets: DataFrame, radius: int) -> DataFrame:
+    """(a, b) of keys that SimHash proposes: each key with the least one of its fingerprint, and these with that of the
+    fingerprint that a BK-tree's shard links them to."""
+    least = materialise(sets.groupBy("fingerprint").agg(F.min("key").alias("least")), "distinct-fingerprints")
+    links = close_pairs(least.select("fingerprint"), radius)
+    own = sets.join(least, "fingerprint").filter("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b"))
+    of = lambda fp, key: least.select(F.col("fingerprint").alias(fp), F.col("least").alias(key))
+    far = links.withColumnsRenamed({"a": "fa", "b": "fb"}).join(of("fa", "a"), "fa").join(of("fb", "b"), "fb").select("a", "b")
+    return own.unionByName(far)
+
+
+def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 4) -> DataFrame:
+    """(id, place, root) for each row of ``df``: place is the hash of its text, root the key of its class of near copies."""
+    text = F.coalesce(text_col, F.lit(""))
+    place = F.xxhash64(text)
+    texts = df.select(F.xxhash64(F.col(id_col), place).alias("copy"), text.alias("text"))
+    common = common_tokens(texts.select("text"), width)
+    made = df.select(F.col(id_col).alias("id"), place.alias("place"), F.xxhash64(F.col(id_col), place).alias("copy"), signature_column(F.col(text_col), width, common).alias("d"))
+    rows = materialise(made.select("id", "place", "copy", "d.*"), "signatures")
+    sets = materialise(rows.select("key", "n", "fingerprint", "prefix").dropDuplicates(["key"]), "distinct-sets")
     token = Window.partitionBy("token")
-    dealt = rows.select("key", "n", F.posexplode("prefix").alias("at", "token"))
+    dealt = sets.select("key", "n", F.posexplode("prefix").alias("at", "token"))
     least = F.min(F.struct("key", "n", "at")).over(token)
     shared = dealt.select("token", "key", "n", "at", least.alias("hub"), F.max("key").over(token).alias("last")).filter("hub.key <> last")
-    shared = materialise(shared.drop("last").distinct(), "shared-tokens")
+    shared = materialise(shared.drop("last"), "shared-tokens")
     to_hub = shared.filter((F.col("key") != F.col("hub.key")) & _possible(F.col("n"), F.col("at"), F.col("hub.n"), F.col("hub.at")))
-    star = materialise(to_hub.select(F.col("hub.key").alias("a"), F.col("key").alias("b")).distinct(), "hub-pairs")
+    star = to_hub.select(F.col("hub.key").alias("a"), F.col("key").alias("b")).unionByName(_simhash_pairs(sets, radius))
+    star = materialise(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "star-pairs")
     edges = _verified(star, rows, texts, width)
     roots = components(edges)
     of = shared.select("token", "key", "n", "at").join(roots, F.col("key") == F.col("node"), "left").select("token", "key", "n", "at", F.coalesce("root", "key").alias("root"))
@@ -153,16 +166,11 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     cross = (F.col("key") < F.col("key_b")) & (F.col("root") != F.col("root_b")) & _possible(F.col("n"), F.col("at"), F.col("n_b"), F.col("at_b"))
     pairs = apart.join(other, (apart["token"] == other["token"]) & cross).select(F.col("key").alias("a"), F.col("key_b").alias("b")).distinct()
     more = _verified(materialise(pairs.join(star, ["a", "b"], "left_anti"), "cross-pairs"), rows, texts, width)
-    roots = components(edges.unionByName(more))
-    own = rows.groupBy("key").agg(F.min("id").alias("least_id"))
-    of = own.join(roots, F.col("key") == F.col("node"), "left").select("key", "least_id", F.coalesce("root", "key").alias("root"))
-    of = of.join(of.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("key", "component_id")
-    return rows.select("id", "key").join(of, "key").select(F.col("id").alias(id_col), "component_id")
+    roots = materialise(components(edges.unionByName(more)), "classes")
+    of = rows.select("id", "place", "key").join(small(roots), F.col("key") == F.col("node"), "left")
+    return of.select("id", "place", F.coalesce("root", "key").alias("root"))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """``df`` with one row of each class of near copies: the one with the class's id. Rows with a null id stay."""
-    (least,) = free_names(df.select(id_col), "component_id")
-    classes = jaccard_classes(df, id_col, text_col, width).toDF(id_col, least)
-    kept = classes.filter(F.col(id_col) == F.col(least)).select(id_col).distinct()
-    return df.join(kept, id_col).dropDuplicates([id_col]).select(*df.columns).unionByName(df.filter(F.col(id_col).isNull()))
+    """``df`` with one row of each class of near copies: the one with the smallest id. Rows with a null id stay."""
+    return keep_rows(df, jaccard_classes(df, id_col, text_col, width), id_col, text_col)

@@ -1,22 +1,25 @@
 """Places and cuts that the operators share: the cluster's shared folder and tables written there."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bytes of keys that are broadcast at most, with ``_ROW`` bytes for a row of keys; beyond it joins are shuffled.
+BROADCAST_BYTES, _ROW = 16 << 20, 48
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that driver and executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset, as in
-    single-machine tests, a temporary folder is made and set as the checkpoint folder.
+    The folder is the session's ``spark.checkpoint.dir``. Where that is unset, as in single-machine
+    tests, it is a folder of the warehouse, which is shared as well, and is set as the checkpoint folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tidemark-{uuid.uuid4().hex}"
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -52,3 +55,31 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def small(keys: DataFrame) -> DataFrame:
+    """A written table of keys of bounded size, to be broadcast if it is within ``BROADCAST_BYTES`` by a count; the side
+    that a shuffled join makes a hash table of otherwise, so that the other side, which may hold texts, isn't sorted."""
+    return F.broadcast(keys) if keys.count() * _ROW <= BROADCAST_BYTES else keys.hint("shuffle_hash")
+
+
+def keep_rows(df: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``df`` with one row of each class, given (id, place, root) of its rows, place being the hash of the text.
+
+    The row with the smallest (id, place) stays; rows with a null id stay. Texts aren't shuffled while the list of
+    what goes is small: rows are kept or dropped by a join with it. Of rows equal in id and text one stays.
+    """
+    id_, place, again = free_names(df, "id", "place", "again")
+    rows = classes.filter("id is not null").groupBy("id", "place", "root").agg(F.count(F.lit(1)).alias("n"))
+    least = rows.groupBy("root").agg(F.min(F.struct("id", "place")).alias("least"))
+    marked = rows.join(least, "root").select(F.col("id").alias(id_), F.col("place").alias(place), (F.struct("id", "place") == F.col("least")).alias("stays"), "n")
+    decided = materialise(marked.filter("not stays or n > 1"), "not-whole")
+    gone = decided.select(id_, place, (F.col("stays")).alias(again))
+    keyed = df.withColumn(place, F.xxhash64(F.coalesce(text_col, F.lit(""))))
+    on = (keyed[id_col] == gone[id_]) & (keyed[place] == gone[place])
+    kept = keyed.join(small(gone), on, "left_anti").select(*df.columns)
+    twice = gone.filter(again)
+    if twice.isEmpty():
+        return kept
+    on = (keyed[id_col] == twice[id_]) & (keyed[place] == twice[place])
+    return kept.unionByName(keyed.join(twice, on, "left_semi").dropDuplicates([id_col, place]).select(*df.columns))

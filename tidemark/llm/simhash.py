@@ -13,11 +13,12 @@
    (Kiveris et al., 2014), as joins and grouped minima.
 
 Defined results: null or empty text, and text of white space alone, has fingerprint zero and links like
-any other; a null id takes part, and its class's id is the smallest id that is not null; repeated rows
-are rows of their own; an empty table gives an empty result; extra columns are ignored.
+any other; texts of any length are hashed whole, a bounded number of shingles at a time; a null id takes part,
+and its class's id is the smallest id that is not null; repeated rows are rows of their own; an empty table
+gives an empty result; extra columns are ignored.
 """
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checkpointed, materialise
+from .shared import checkpointed, keep_rows, materialise
 
 SEED = 42
 #: Fingerprints of one shard at most, before it is dealt again by further bits.
@@ -35,26 +36,40 @@ _BATCHED = 24
 _HASHES_AT_ONCE = 1 << 16
 
 
-def fingerprint(text: bytes, width: int = 4) -> int:
-    """The SimHash of UTF-8 ``text`` as an unsigned number; bytes.lower() and split() know ASCII only."""
+def shingle_hashes(text: bytes, width: int) -> Iterator[np.ndarray]:
+    """The XXH64 hashes of the shingles of UTF-8 ``text``, a bounded number at a time; fewer words than ``width`` are
+    one shingle. bytes.lower() and split() know ASCII only."""
     words = text.lower().split()
     n = len(words)
     if not n:
-        return 0
+        return
     whole = b" ".join(words)
     if n <= width:
-        return xxhash.xxh64_intdigest(whole, SEED)
+        yield np.array([xxhash.xxh64_intdigest(whole, SEED)], np.uint64)
+        return
     length = np.fromiter(map(len, words), np.int64, n)
+    del words
     end = np.cumsum(length + 1) - 1
-    first, last = (end - length)[: n - width + 1].tolist(), end[width - 1 :].tolist()
-    digest, total, ones = xxhash.xxh64_intdigest, n - width + 1, np.zeros(64, np.int64)
-    for at in range(0, total, _HASHES_AT_ONCE):
+    first, last, digest = (end - length)[: n - width + 1], end[width - 1 :], xxhash.xxh64_intdigest
+    for at in range(0, len(first), _HASHES_AT_ONCE):
         part = slice(at, at + _HASHES_AT_ONCE)
-        hashes = np.array([digest(whole[a:b], SEED) for a, b in zip(first[part], last[part], strict=True)], np.uint64)
+        yield np.array([digest(whole[a:b], SEED) for a, b in zip(first[part].tolist(), last[part].tolist(), strict=True)], np.uint64)
+
+
+def of_hashes(parts: Iterable[np.ndarray]) -> int:
+    """The SimHash of shingle hashes: a bit is 1 if it is set in over half of them; 0 without any."""
+    total, ones = 0, np.zeros(64, np.int64)
+    for hashes in parts:
+        total += len(hashes)
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > total, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes, width: int = 4) -> int:
+    """The SimHash of UTF-8 ``text`` as an unsigned number."""
+    return of_hashes(shingle_hashes(text, width))
+
+
 def fingerprint_column(text: Column, width: int = 4) -> Column:
     """The fingerprint of a text column as a signed bigint."""
 
@@ -257,18 +272,23 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
-def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
-    """A row for each row of ``df``: its id, fingerprint (hex), component_id (the smallest id of its class)."""
-    rows = materialise(df.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), width).alias("fingerprint")), "fingerprints")
+def classes_of(rows: DataFrame, radius: int) -> DataFrame:
+    """(fingerprint, root, component_id) of each distinct fingerprint of ``rows`` (id, fingerprint)."""
     own = materialise(rows.groupBy("fingerprint").agg(F.min("id").alias("least_id")), "distinct-fingerprints")
     roots = components(close_pairs(own.select("fingerprint"), radius))
     of = own.join(roots, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "least_id", F.coalesce("root", "fingerprint").alias("root"))
-    classes = of.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of = of.join(classes, "root").select("fingerprint", "component_id")
-    return rows.join(of, "fingerprint").select(F.col("id").alias(id_col), as_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
+    return of.join(of.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("fingerprint", "root", "component_id")
+
+
+def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
+    """A row for each row of ``df``: its id, fingerprint (hex), component_id (the smallest id of its class)."""
+    rows = materialise(df.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), width).alias("fingerprint")), "fingerprints")
+    return rows.join(classes_of(rows, radius), "fingerprint").select(F.col("id").alias(id_col), as_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
-    """``df`` with one row of each near-duplicate class: the one with the class's id. Rows with a null id stay."""
-    kept = simhash_components(df, id_col, text_col, width, radius).filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return df.join(kept, id_col).dropDuplicates([id_col]).select(*df.columns).unionByName(df.filter(F.col(id_col).isNull()))
+    """``df`` with one row of each near-duplicate class: of those with the class's id, the one whose text has the least
+    hash. Rows with a null id stay; unlike texts that share an id are in classes of their own."""
+    rows = df.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("place"), fingerprint_column(F.col(text_col), width).alias("fingerprint"))
+    rows = materialise(rows, "fingerprints")
+    return keep_rows(df, rows.join(classes_of(rows, radius), "fingerprint").select("id", "place", "root"), id_col, text_col)
