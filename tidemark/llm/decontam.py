@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import free_names, materialise
+from .shared import free_names, materialise, small
 
 WINDOW = 10
 #: Rows of the table of windows up to which it is broadcast; a row has about 200 bytes.
@@ -57,8 +57,9 @@ def _anchored(documents: DataFrame, windows: DataFrame) -> DataFrame:
     distinct = windows.select("terms").distinct()
     vocabulary = materialise(distinct.select(F.explode("terms").alias("term")).distinct(), "test-terms")
     met = documents.select(F.explode(F.array_distinct("w")).alias("term")).join(_small(vocabulary), "term")
-    frequency = vocabulary.join(met.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term", "left").select("term", F.coalesce("df", F.lit(0)).alias("df"))
-    placed = distinct.select("terms", F.posexplode("terms").alias("offset", "term")).join(frequency, "term")
+    counted = materialise(met.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "test-term-frequencies")
+    frequency = vocabulary.join(small(counted), "term", "left").select("term", F.coalesce("df", F.lit(0)).alias("df"))
+    placed = distinct.select("terms", F.posexplode("terms").alias("offset", "term")).join(small(frequency), "term")
     rarest = placed.groupBy("terms").agg(F.min_by(F.struct("term", "offset"), F.struct("df", "offset")).alias("a"), F.min("df").alias("df"))
     return rarest.filter("df > 0").select(F.xxhash64("terms").alias("window_id"), "terms", F.size("terms").alias("n"), F.col("a.term").alias("term"), F.col("a.offset").alias("offset"))
 
@@ -124,7 +125,7 @@ def drop_contaminated(
     windows = materialise(item_windows(benchmark, item_col, item_text, window), "test-windows")
     found = phrase_matches(documents.select(key.alias("doc"), words(F.col(text_col)).alias("w")), windows, window)
     hit = materialise(found.select(F.col("doc").alias(name)).distinct(), "contaminated")
-    return documents.withColumn(name, key).join(hit, name, "left_anti").select(*documents.columns)
+    return documents.withColumn(name, key).join(small(hit), name, "left_anti").select(*documents.columns)
 
 
 def proximity_matches(documents: DataFrame, queries: DataFrame, within: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,13 +6,14 @@ labelled rows is drawn per language; some of it serve as landmarks. Kernel value
 whitened by their own kernel matrix (Nyström), are the inputs of one ridge regression per language
 against the rest. A text's scores are one matrix product per batch of texts; no label is read there.
 
-Bounds: ``PER_LANGUAGE`` sampled rows a language, of at most ``MAX_LANGUAGES`` languages (the most
-frequent ones), each sent to the driver as BUCKETS / 8 bytes; ``LANDMARKS`` landmarks; the model that
-tasks get has LANDMARKS x BUCKETS bits. Whole texts are read, in training as in prediction.
+Bounds: every language is learned, from ``PER_LANGUAGE`` sampled rows, or fewer once all of them would be over
+``SAMPLED`` (but ``FEWEST`` at least), each sent to the driver as BUCKETS / 8 bytes; ``LANDMARKS`` landmarks; the model
+that tasks get has LANDMARKS x BUCKETS bits. Whole texts are read, in training as in prediction.
 
 Defined results: null text, and text without a letter, is ``und`` with score 0; so is everything if no
 labelled row has a letter; ties go to the language that sorts first; rows without a language, or with a
-null id, are never learned from; repeated rows and extra columns pass through.
+null id, are never learned from; texts of any length are read whole; of rows equal in id, language and text one is
+learned from; repeated rows and extra columns, whatever their names, pass through; an empty table gives an empty result.
 """
 
 from collections.abc import Callable, Iterator
@@ -25,12 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import free_names
+from .shared import free_names, materialise
 
 BUCKETS = 1 << 14
 LENGTHS = (1, 2, 3)
-PER_LANGUAGE = 400
-MAX_LANGUAGES = 64
+PER_LANGUAGE, SAMPLED, FEWEST = 400, 25_600, 4
 LANDMARKS = 128
 RIDGE = 1e-2
 UNDETERMINED = "und"
@@ -98,14 +98,14 @@ def _unpacked(bits: np.ndarray) -> np.ndarray:
     return np.unpackbits(bits, axis=1).astype(np.float32)
 
 
-def fit(rows: list[tuple[str, bytes]]) -> Model | None:
-    """A model of (language, packed presence) rows; None without any."""
-    languages = sorted({lang for lang, _ in rows})
+def fit(rows: list[tuple[str, int, bytes]]) -> Model | None:
+    """A model of (language, hash, packed presence) rows; None without any."""
+    languages = sorted({lang for lang, _, _ in rows})
     if not languages:
         return None
-    bits = np.array([np.frombuffer(b, np.uint8) for _, b in rows])
-    target = np.array([[1.0 if lang == own else -1.0 for own in languages] for lang, _ in rows])
-    by_lang = [[i for i, (lang, _) in enumerate(rows) if lang == own] for own in languages]
+    bits = np.array([np.frombuffer(b, np.uint8) for _, _, b in rows])
+    target = np.array([[1.0 if lang == own else -1.0 for own in languages] for lang, _, _ in rows])
+    by_lang = [[i for i, (lang, _, _) in enumerate(rows) if lang == own] for own in languages]
     turns = sorted((k, g) for g, own in enumerate(by_lang) for k in range(len(own)))
     chosen = [by_lang[g][k] for k, g in turns][:LANDMARKS]
     marks = _unpacked(bits[chosen])
@@ -134,20 +134,21 @@ def _packed_column(text: Column) -> Column:
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model | None:
     """Learn from the labelled rows of ``df``, a sample drawn by the hash of the id.
 
-    A language's rows with the least hashes are drawn. Its count says below which hash about four times
-    as many lie, so ranks are taken over a bounded number of rows however frequent it is; the texts of
-    the rows drawn are then read by a join with that bounded list.
+    A language's rows with the least hashes are drawn. The number of its distinct rows, estimated, says below
+    which hash about four times as many lie, so ranks are taken over a bounded number of rows however frequent
+    it is; the texts of the rows drawn are then read by a join with that bounded list.
     """
     labelled = df.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("id is not null and lang is not null")
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
-    place = F.xxhash64("id").bitwiseAND(F.lit((1 << 52) - 1)).alias("place")
-    near = F.col("place") < F.lit(4.0 * per_language * (1 << 52)) / F.col("count")  # four times what is drawn, about
-    keys = labelled.select("id", "lang", place).join(F.broadcast(counts), "lang").filter(near)
-    by_hash = Window.partitionBy("lang").orderBy("place", "id")
-    drawn = keys.withColumn("rank", F.row_number().over(by_hash)).filter(F.col("rank") <= per_language).select("id", "lang").distinct()
-    rows = labelled.join(F.broadcast(drawn), ["id", "lang"]).select("lang", F.xxhash64("id").alias("h"), _packed_column(F.col("text")).alias("bits"))
-    got = sorted((r.lang, r.h, bytes(r.bits)) for r in rows.filter("bits is not null").collect())
-    return fit([(lang, bits) for lang, _, bits in got[: 2 * per_language * MAX_LANGUAGES]])
+    labelled = labelled.withColumn("place", F.xxhash64("id", "text").bitwiseAND(F.lit((1 << 52) - 1)))
+    counts = labelled.groupBy("lang").agg(F.approx_count_distinct("place").alias("count"))
+    quota = max(FEWEST, min(per_language, SAMPLED // max(1, counts.count())))
+    near = F.col("place") < F.lit(4.0 * quota * (1 << 52)) / F.col("count")  # four times what is drawn, about
+    keys = labelled.select("lang", "place").join(counts, "lang").filter(near).select("lang", "place").distinct()
+    by_hash = Window.partitionBy("lang").orderBy("place")
+    drawn = materialise(keys.withColumn("rank", F.row_number().over(by_hash)).filter(F.col("rank") <= quota).select("lang", "place"), "drawn-rows")
+    rows = labelled.join(F.broadcast(drawn), ["lang", "place"]).select("lang", "place", _packed_column(F.col("text")).alias("bits")).filter("bits is not null")
+    once = rows.groupBy("lang", "place").agg(F.first("bits").alias("bits"))
+    return fit(sorted((r.lang, r.place, bytes(r.bits)) for r in once.toLocalIterator()))
 
 
 def predictor(model: Model | None) -> Callable[[Column], Column]:
