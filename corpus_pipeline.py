@@ -1,11 +1,17 @@
 """A corpus pipeline of five stages over ``documents``, each written as Parquet and read again by the next.
 
 1. language ID: documents without a letter, whose language can't be told, go; all others stay.
-2. near-dedup: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are linked, exactly; of
-   each class the document with the smallest id stays. SimHash within a few bits misses most pairs near 0.8.
+2. near-dedup: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are linked: pairs that
+   SimHash's BK-trees propose are verified, and the pairs that SimHash misses come from an exact prefix filter; of
+   each class the document with the smallest id stays.
 3. benchmark decontamination: documents that hold a window of a benchmark item go.
 4. PII: personal data and secrets become ``<KIND>`` in the text, and n_chars follows.
-5. BPE: each document's token ids, their number and the digests of ids and decoded text.
+5. BPE: each document's token ids and their number.
+
+Defined results: null, empty and blank texts have no letter and go in stage 1; texts of any length are processed whole;
+documents with a null id are never dropped as copies; of documents that share an id, unlike texts all stay and of
+equal ones one stays; an empty table gives an empty result; extra columns, whatever their names, pass through stages 1
+to 4 and are left out by the last.
 """
 
 from pyspark.sql import DataFrame, SparkSession
