@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import keep_rows, materialise, small
+from .shared import Scratch, keep_rows, materialise, small
 from .simhash import SEED, close_pairs, components, of_hashes, shingle_hashes
 
 #: A token in so many of the texts read in a row, up to ``_HELD`` tokens of them, is common; at most ``_COMMON`` tokens
@@ -117,22 +117,31 @@ def _possible(n: Column, at: Column, other_n: Column, other_at: Column) -> Colum
     return F.least(n - at, other_n - other_at) * 9 >= (n + other_n) * 4
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """The pairs (a, b) of keys whose sets have a similarity of 0.8 or more; one text of each key is read again."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    reps = rows.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("copy").alias("copy"))
-    reps = materialise(reps, "wanted-texts")
-    met = texts.join(small(reps), "copy").select("key", set_column(F.col("text"), width).alias("tokens"))
-    sets = materialise(met, "wanted-sets")
-    both = pairs.join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("tb")), "b").join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("ta")), "a")
+def _verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, width: int, keep: Scratch) -> DataFrame:
+    """The pairs (a, b) of keys whose sets have a similarity of 0.8 or more. One text of each key is read again: its
+    tokens go to the pairs that it is ``b`` of, and those of each ``a`` meet them by one shuffle."""
+    sides = []
+    for side in ("a", "b"):
+        wanted = keep(pairs.select(F.col(side).alias("key")).distinct(), f"wanted-{side}")
+        own = rows.join(small(wanted), "key", "left_semi").groupBy("key").agg(F.min("copy").alias("copy"))
+        met = texts.join(small(keep(own, f"texts-{side}")), "copy")
+        sides.append(met.select(F.col("key").alias(side), set_column(F.col("text"), width).alias(f"t{side}")))
+    both = sides[1].join(small(pairs), "b").join(sides[0], "a")
     size = F.size("ta") + F.size("tb")
-    return materialise(both.filter(F.size(F.array_intersect("ta", "tb")) * 9 >= size * 4).select("a", "b").distinct(), "near-copies")
+    return keep(both.filter(F.size(F.array_intersect("ta", "tb")) * 9 >= size * 4).select("a", "b").distinct(), "near-copies")
 
 
-def _simhash_pairs(sets: DataFrame, radius: int) -> DataFrame:
+def _distinct_sets(rows: DataFrame, keep: Scratch) -> DataFrame:
+    """One row of each key; only rows of keys that occur again are shuffled."""
+    again = small(keep(rows.groupBy("key").count().filter("count > 1").select("key"), "keys-again"))
+    sets = rows.select("key", "n", "fingerprint", "prefix")
+    return sets.join(again, "key", "left_anti").unionByName(sets.join(again, "key", "left_semi").dropDuplicates(["key"]))
+
+
+def _simhash_pairs(sets: DataFrame, radius: int, keep: Scratch) -> DataFrame:
     """(a, b) of keys that SimHash proposes: each key with the least one of its fingerprint, and these with that of the
     fingerprint that a BK-tree's shard links them to."""
-    least = materialise(sets.groupBy("fingerprint").agg(F.min("key").alias("least")), "distinct-fingerprints")
+    least = keep(sets.groupBy("fingerprint").agg(F.min("key").alias("least")), "distinct-fingerprints")
     links = close_pairs(least.select("fingerprint"), radius)
     own = sets.join(least, "fingerprint").filter("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b"))
     of = lambda fp, key: least.select(F.col("fingerprint").alias(fp), F.col("least").alias(key))
@@ -142,31 +151,36 @@ def _simhash_pairs(sets: DataFrame, radius: int) -> DataFrame:
 
 def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 4) -> DataFrame:
     """(id, place, root) for each row of ``df``: place is the hash of its text, root the key of its class of near copies."""
+    with Scratch(df.sparkSession) as keep:
+        return materialise(_classes(df, id_col, text_col, width, radius, keep), "classes")
+
+
+def _classes(df: DataFrame, id_col: str, text_col: str, width: int, radius: int, keep: Scratch) -> DataFrame:
     text = F.coalesce(text_col, F.lit(""))
     place = F.xxhash64(text)
     texts = df.select(F.xxhash64(F.col(id_col), place).alias("copy"), text.alias("text"))
     common = common_tokens(texts.select("text"), width)
     made = df.select(F.col(id_col).alias("id"), place.alias("place"), F.xxhash64(F.col(id_col), place).alias("copy"), signature_column(F.col(text_col), width, common).alias("d"))
-    rows = materialise(made.select("id", "place", "copy", "d.*"), "signatures")
-    sets = materialise(rows.select("key", "n", "fingerprint", "prefix").dropDuplicates(["key"]), "distinct-sets")
+    rows = keep(made.select("id", "place", "copy", "d.*"), "signatures")
+    sets = _distinct_sets(rows, keep)
     token = Window.partitionBy("token")
     dealt = sets.select("key", "n", F.posexplode("prefix").alias("at", "token"))
     least = F.min(F.struct("key", "n", "at")).over(token)
     shared = dealt.select("token", "key", "n", "at", least.alias("hub"), F.max("key").over(token).alias("last")).filter("hub.key <> last")
-    shared = materialise(shared.drop("last"), "shared-tokens")
+    shared = keep(shared.drop("last"), "shared-tokens")
     to_hub = shared.filter((F.col("key") != F.col("hub.key")) & _possible(F.col("n"), F.col("at"), F.col("hub.n"), F.col("hub.at")))
-    star = to_hub.select(F.col("hub.key").alias("a"), F.col("key").alias("b")).unionByName(_simhash_pairs(sets, radius))
-    star = materialise(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "star-pairs")
-    edges = _verified(star, rows, texts, width)
-    roots = components(edges)
-    of = shared.select("token", "key", "n", "at").join(roots, F.col("key") == F.col("node"), "left").select("token", "key", "n", "at", F.coalesce("root", "key").alias("root"))
+    star = to_hub.select(F.col("hub.key").alias("a"), F.col("key").alias("b")).unionByName(_simhash_pairs(sets.select("key", "fingerprint"), radius, keep))
+    star = keep(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "star-pairs")
+    edges = _verified(star, rows, texts, width, keep)
+    roots = keep(components(edges), "star-classes")
+    of = shared.select("token", "key", "n", "at").join(small(roots), F.col("key") == F.col("node"), "left").select("token", "key", "n", "at", F.coalesce("root", "key").alias("root"))
     apart = of.withColumns({"low": F.min("root").over(token), "high": F.max("root").over(token)}).filter("low <> high").drop("low", "high")
-    apart = materialise(apart, "tokens-apart")
+    apart = keep(apart, "tokens-apart")
     other = apart.select("token", *(F.col(c).alias(f"{c}_b") for c in ("key", "n", "at", "root")))
     cross = (F.col("key") < F.col("key_b")) & (F.col("root") != F.col("root_b")) & _possible(F.col("n"), F.col("at"), F.col("n_b"), F.col("at_b"))
     pairs = apart.join(other, (apart["token"] == other["token"]) & cross).select(F.col("key").alias("a"), F.col("key_b").alias("b")).distinct()
-    more = _verified(materialise(pairs.join(star, ["a", "b"], "left_anti"), "cross-pairs"), rows, texts, width)
-    roots = materialise(components(edges.unionByName(more)), "classes")
+    more = _verified(keep(pairs.join(star, ["a", "b"], "left_anti"), "cross-pairs"), rows, texts, width, keep)
+    roots = keep(components(edges.unionByName(more)), "all-classes")
     of = rows.select("id", "place", "key").join(small(roots), F.col("key") == F.col("node"), "left")
     return of.select("id", "place", F.coalesce("root", "key").alias("root"))
 

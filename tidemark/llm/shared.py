@@ -31,6 +31,29 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables written to the shared folder that go when the work on them is done: ``with Scratch(spark) as keep``.
+
+    What leaves the block must not read them any more, as a lazy frame would when it is computed.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.base = spark, shared_dir(spark, "scratch")
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        """``df``, written and read again."""
+        path = f"{self.base}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __exit__(self, *error) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder; its files go when the frame is no longer used."""
     shared_dir(df.sparkSession, "checkpoint")
