@@ -215,6 +215,35 @@ def test_html_extraction(spark):
         assert r.text == "\n\n".join(t for t in text if t) and r.n_chars == len(r.text)
 
 
+def test_html_wrapper_decides_without_helpful_names(spark):
+    def page(k, shared="Read it all, every day, on our pages."):
+        menu = "".join(f"<div><a href='/{j}'>Part {j}</a></div>" for j in range(4))
+        body = "".join(f"<p class='{c}'>Story {k} goes on, part {j}, at some length and with a word or two more.</p>" for j, c in enumerate(("alert", "legal", "search", "notice", "related")))
+        return f"<html><body><div class='x1'>{menu}</div><div class='x2'><div class='x3'><h1>Title {k}</h1><p>{shared}</p>{body}<p>{shared}</p></div></div><div class='x4'>Made by hand in {k}.</div></body></html>"
+
+    def text(k, *more):
+        return "\n\n".join([f"Title {k}", *more, *(f"Story {k} goes on, part {j}, at some length and with a word or two more." for j in range(5)), *more])
+
+    rows = [(k, f"http://one/{k}", page(k)) for k in range(12)]
+    rows += [(20 + k, f"http://copies/{k}", page(0, "Only here.")) for k in range(9)]  # a host of one page's copies
+    rows += [(40 + k, f"http://near/{k}", page(0, f"Only in {k}.")) for k in range(9)]  # and one of near copies
+    df = spark.createDataFrame([*rows, *rows[:2]], "page_id long, url string, html string").withColumn("copy", F.lit(1))
+    got = defaultdict(list)
+    for r in html.main_text(df).collect():
+        got[r.page_id].append(r.text)
+    assert all(got[k] == [text(k)] * (2 if k < 2 else 1) for k in range(12))  # the shared line is on all pages and goes
+    assert all("Only here." in got[20 + k][0] and "Story 0 goes on, part 4" in got[20 + k][0] for k in range(9))
+    assert all(f"Only in {k}." in got[40 + k][0] and "Story 0 goes on, part 4" in got[40 + k][0] for k in range(9))
+    assert html.extract(page(3), {"path": ["#root", "html", "body", "div.x2", "div.x3"], "template": []}).startswith("Title 3")
+
+
+def test_html_keeps_paragraphs_whatever_their_class_and_reads_deep_trees():
+    inner = "".join(f"<p class='{c}'>{c} text</p>" for c in ("alert", "legal", "search", "notice", "related", "share"))
+    assert html.extract(f"<article><h1>T</h1>{inner}<div class='related'><p>no</p></div></article>").split("\n\n") == ["T", *(f"{c} text" for c in ("alert", "legal", "search", "notice", "related", "share"))]
+    deep = "<main>" + "<div>" * 20_000 + "<p>low</p>" + "</div>" * 20_000 + "</main>"
+    assert html.extract(deep) == "low" and html.extract(deep, html.induce([deep, deep.replace("low", "down")])) == "low"
+
+
 def test_simple_tree_matching_pairs_in_order():
     a, b = (html.Layout([html.parse(x)]) for x in ("<div><h1>a</h1><p>b</p><ul><li>c</ul></div>", "<div><p>b</p><table><tr><td>x</table><ul><li>d</ul></div>"))
     size, pairs = html.match(a, b)
