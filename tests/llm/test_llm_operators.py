@@ -119,6 +119,10 @@ def test_pii_added_kinds_and_redaction():
     assert kinds.count("iban") == 1 and kinds.count("secret") == 1 and kinds.count("ssn") == 1
     assert "04dbebab" not in pii.redact(text, pii.find_spans(text))
     assert pii.redact("x a@b.cd y", pii.find_spans("x a@b.cd y")) == "x <EMAIL> y"
+    find = lambda t: [k for _, _, k in pii.find_spans(t)]
+    assert find("password=correcthorse") == [] and find("login: password=correcthorse") == ["secret"]
+    assert find("api_key" + " " * 9 + "=" + " " * 9 + "'a1b2c3d4e5f6'") == ["secret"]
+    assert find("GB82 WEST 1234 5698 7654 32") == ["iban"]
     long = "a" * 300_000 + "@" + "1" * 300_000
     assert pii.find_spans(long) == []
 
@@ -160,6 +164,22 @@ def test_ann_recall_and_ties(spark):
     assert len(got) == 100 and hits / 1000 >= 0.95
 
 
+def test_ann_query_against_brute_force(spark):
+    rows = [r for r in table(spark, "embeddings").collect() if r.embedding]
+    x, ids = np.array([r.embedding for r in rows], np.float64), np.array([r.vec_id for r in rows])
+    got, hits = defaultdict(list), 0
+    for r in queries.op3_ann(spark, SMALL).collect():
+        got[r.query_id].append(r)
+    assert set(got) == {int(i) for i in ids if i % 100 == 0}
+    for q, found in got.items():
+        found.sort(key=lambda r: r["rank"])
+        d = dict(zip(ids.tolist(), np.sqrt(((x - x[ids == q][0]) ** 2).sum(1)).tolist(), strict=True))
+        assert [r["rank"] for r in found] == list(range(1, 11)) and all(abs(r.score - d[r.vec_id]) < 1e-9 for r in found)
+        assert [(r.score, r.vec_id) for r in found] == sorted((r.score, r.vec_id) for r in found)
+        hits += len({i for _, i in sorted((v, k) for k, v in d.items() if k != q)[:10]} & {r.vec_id for r in found})
+    assert hits / (10 * len(got)) >= 0.9
+
+
 def test_ann_edge_cases(spark):
     schema = "vec_id long, embedding array<float>, id long"
     rows = [(i, [1.0, 0.0], 0) for i in range(30)] + [(100, [0.0, 1.0], 0), (101, None, 0), (102, [float("nan"), 1.0], 0), (103, [0.0, 0.0], 0), (104, [None, 1.0], 0), (105, [1.0], 0), (None, [1.0, 1.0], 0)]
@@ -188,6 +208,9 @@ def test_warc_round_trip(spark):
         assert bytes(got[i].payload) == data and got[i].payload_digest == base64.b32encode(hashlib.sha1(data).digest()).decode()
     assert got[7].header.startswith("WARC/1.1\r\nWARC-Type: response\r\n") and bytes(got[7].whole).endswith(b"\r\n\r\nsame\r\n\r\n")
     assert bytes(got[1].whole).endswith(b"Content-Length: 0\r\n\r\n\r\n\r\n")
+    for r in warc.rebuilt(spark, path).collect():
+        assert r.verified and (r.record_type, r.refers_to) == kinds[r.id] and r.payload_bytes == len(dict((x[0], x[2]) for x in rows)[r.id] or "") + (r.id == 3)
+    assert "\r\nWARC-Date: 2" in got[1].header and got[3].header.count("\r\n") == got[3].header.count("\n")
     empty = shared_dir(spark, "test-archive")
     warc.write_archive(df.limit(0), empty)
     assert warc.read_archive(spark, empty).count() == 0
@@ -250,6 +273,26 @@ def test_simple_tree_matching_pairs_in_order():
     assert size == 5 and [x.label for x, _, _ in pairs[0][2]] == ["p", "ul"]
 
 
+def test_chat_query_against_the_rows(spark):
+    rows = [(r.conv_id, r.turn, r.role or "", r.text or "") for r in table(spark, "conversations").collect()]
+    rows += [(-7, 0, "user", queries.FORGED), (-7, 1, "assistant", queries.FORGED)]
+    by, sha = defaultdict(list), lambda x: hashlib.sha256(x.encode()).hexdigest()
+    for r in sorted(rows):
+        by[r[0]].append(r)
+    forged = spark.createDataFrame(rows[-2:], "conv_id long, turn long, role string, text string")
+    windows = chat.format_windows(table(spark, "conversations").select("conv_id", "turn", "role", "text").unionByName(forged))
+    chars = {r.conv_id: r.n for r in windows.groupBy("conv_id").agg(F.sum(F.length("formatted")).alias("n")).collect()}
+    got = queries.op6_chat(spark, SMALL).collect()
+    assert len(got) == len(by)
+    for r in got:
+        own = by[r.conv_id]
+        loss = "".join(t for _, _, role, t in own if role == "assistant")
+        assert (r.n_turns, r.turns_sha256) == (len(own), sha("".join(f"{role}\n{t}\n" for _, _, role, t in own)))
+        assert (r.loss_chars, r.loss_sha256, r.formatted_chars) == (len(loss), sha(loss), chars[r.conv_id])
+    long = spark.createDataFrame([(1, k, ("user", "assistant")[k % 2], "long text " * 50_000) for k in range(3)], "conv_id long, turn long, role string, text string")
+    assert chat.read_back(chat.format_windows(long)).first().loss_chars == 500_000
+
+
 @pytest.mark.parametrize("budget", [40, 90, 512])
 def test_chat_windows(spark, budget):
     rows = [(1, k, "system" if k == 0 else ("user", "assistant")[(k + 1) % 2 == 1], "word " * (3 + k % 5) + queries.FORGED, "x") for k in range(25)]
@@ -289,6 +332,16 @@ def test_language_id(spark):
     assert langid.presence("ab" * (1 << 20)).sum() == langid.presence("ab" * 20).sum()
 
 
+def test_language_id_learns_every_language_and_reads_empty_tables(spark):
+    letters = [chr(0x4E00 + 97 * k) for k in range(70)]
+    rows = [(1, f"{c}{c} {c}" * (2 + j), f"l{k:02d}") for k, c in enumerate(letters) for j in range(4)]
+    rows += [(7, "abab", "l00")] * 900  # copies of one row
+    df = documents(spark, rows)
+    got = langid.identify(df, df).select("lang", "language.lang_pred").collect()
+    assert {r.lang for r in got} == {r.lang_pred for r in got} and sum(r.lang == r.lang_pred for r in got) > 0.9 * len(got)
+    assert langid.identify(df.limit(0), df).count() == 0 and {r.p for r in langid.identify(df, df.limit(0)).select("language.lang_pred").toDF("p").collect()} == {"und"}
+
+
 def test_sharding(spark):
     got = queries.op8_sharding(spark, SMALL).collect()
     docs = {r.doc_id: r.text or "" for r in table(spark, "documents").collect()}
@@ -306,6 +359,9 @@ def test_sharding(spark):
             j = int((b + 1) * ((1 << 31) / ((key >> 33) + 1)))
         return b
 
+    for r in got:
+        key = xxhash.xxh64_intdigest(str(r.doc_id).encode(), 42)
+        assert (r.shard, r.grown_shard, r.law) == (plain(key, 24), plain(key, 25), "key")
     keys = np.random.default_rng(1).integers(0, 1 << 63, 500, dtype=np.uint64)
     assert sharding.jump_hash(keys, 24).tolist() == [plain(int(k), 24) for k in keys]
     odd = documents(spark, [(None, None, "x"), (None, None, "x"), (1, "", "x"), (1, "é", "x")]).withColumn("cell", F.lit(1))
@@ -391,6 +447,19 @@ def test_decontamination_edge_cases(spark, monkeypatch):
     assert {r.doc_id for r in decontam.proximity_matches(d, near, 4).collect()} == {4}
 
 
+def plain_kept(rows):
+    """The ids that stay of near copies: sets of five-word shingles with a Jaccard similarity of 0.8 or more."""
+
+    def shingles(text):
+        words = (text or "").encode().lower().split()
+        return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    sets = {i: shingles(t) for i, t in rows.items()}
+    near = lambda a, b: a == b or bool(a | b) and 5 * len(a & b) >= 4 * len(a | b)
+    least = classes(sorted(rows), [(a, b) for a in rows for b in rows if a < b and near(sets[a], sets[b])])
+    return {i for i in rows if least[i] == i}
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as cp
 
@@ -398,10 +467,7 @@ def test_pipeline_stages(spark):
     first = cp.language_stage(spark, docs, SMALL)
     assert first.columns == docs.columns and first.count() == docs.count()
     rows = {r.doc_id: r.text for r in docs.collect()}
-    fps = {i: plain_fingerprint(t, 5) for i, t in rows.items()}
-    ids = sorted(rows)
-    least = classes(ids, [(a, b) for a in ids for b in ids if a < b and (fps[a] ^ fps[b]).bit_count() <= 4])
-    kept = {i for i in ids if least[i] == i}
+    kept = plain_kept(rows)
     second = cp.near_duplicate_stage(spark, docs, SMALL)
     assert {r.doc_id for r in second.collect()} == kept and second.columns == docs.columns
     dirty = {r[0] for r in plain_contamination(rows.items(), [(r.item_id, r.text) for r in table(spark, "benchmark").collect()]) if r[5]}
@@ -412,24 +478,38 @@ def test_pipeline_stages(spark):
         assert out[i].ids == coder.encode(pii.redact(rows[i], pii.find_spans(rows[i])))
 
 
-def test_pipeline_near_copies_equal_brute_force_jaccard(spark, monkeypatch):
+def test_near_dedup_keeps_unlike_texts_of_one_id(spark):
+    rows = [(1, "one two three four five six", "en"), (1, "seven eight nine ten eleven twelve", "en"), (1, "one two three four five six", "en"), (2, "one two three four five six", "en"), (None, "x y z", "en")]
+    from tidemark.llm import nearcopies
+
+    df = documents(spark, rows).withColumn("place", F.lit(1)).withColumn("key", F.lit(1))
+    for kept in (simhash.keep_one(df), nearcopies.keep_one(df)):
+        assert kept.columns == df.columns
+        assert sorted((r.doc_id or 0, r.text[:3]) for r in kept.collect()) == [(0, "x y"), (1, "one"), (1, "sev")]
+    assert simhash.keep_one(df.limit(0)).count() == nearcopies.keep_one(df.limit(0)).count() == 0
+
+
+def test_pipeline_edge_cases(spark, tmp_path):
     import corpus_pipeline as cp
 
-    from tidemark.llm import nearcopies
+    rows = [(1, None, "en"), (2, "", None), (3, "the same of it and more", "en"), (3, "the same of it and more", "en"), (3, "quite another and then some", "en"), (None, "no id in here at all", None), (4, "word " * 30_000 + "mail a@b.cd", "en"), (5, "12 !", "en")]
+    docs = documents(spark, rows).withColumn("key", F.lit("k")).withColumn("place", F.lit(1)).withColumn("language", F.lit("x"))
+    for name, frame, ids in (("some", docs, [-1, 3, 3, 4]), ("none", docs.limit(0), [])):
+        folder = str(tmp_path / name)
+        frame.write.parquet(f"{folder}/documents.parquet")
+        table(spark, "benchmark").write.parquet(f"{folder}/benchmark.parquet")
+        assert sorted(r.doc_id if r.doc_id is not None else -1 for r in cp.run(spark, folder).collect()) == ids
+        assert cp.pii_stage(spark, frame, folder).columns == cp.near_duplicate_stage(spark, frame, folder).columns == frame.columns
 
-    def shingles(text):
-        words = (text or "").encode().lower().split()
-        return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
-    def kept(rows):
-        sets = {i: shingles(t) for i, t in rows.items()}
-        near = lambda a, b: a == b or bool(a | b) and 5 * len(a & b) >= 4 * len(a | b)
-        least = classes(sorted(rows), [(a, b) for a in rows for b in rows if a < b and near(sets[a], sets[b])])
-        return {i for i in rows if least[i] == i}
+def test_pipeline_near_copies_equal_brute_force_jaccard(spark, monkeypatch):
+    import corpus_pipeline as cp
+
+    from tidemark.llm import nearcopies
 
     docs = table(spark, "documents")
     rows = {r.doc_id: r.text for r in docs.collect()}
-    assert {r.doc_id for r in cp.near_duplicate_stage(spark, docs, SMALL).collect()} == kept(rows)
+    assert {r.doc_id for r in cp.near_duplicate_stage(spark, docs, SMALL).collect()} == plain_kept(rows)
     rnd = random.Random(8)
     made, notice = {}, " ".join(f"n{k}" for k in range(12))
     for group in range(12):
@@ -443,5 +523,5 @@ def test_pipeline_near_copies_equal_brute_force_jaccard(spark, monkeypatch):
     made = dict(enumerate(made.values()))
     for often in (6, 10**9):
         monkeypatch.setattr(nearcopies, "_OFTEN", often)
-        assert {r.doc_id for r in nearcopies.keep_one(documents(spark, [(i, t, "en") for i, t in made.items()])).collect()} == kept(made)
+        assert {r.doc_id for r in nearcopies.keep_one(documents(spark, [(i, t, "en") for i, t in made.items()])).collect()} == plain_kept(made)
     assert nearcopies.keep_one(documents(spark, [(1, "a", "en")]).limit(0)).count() == 0

@@ -2,12 +2,13 @@
 
 Base kinds are e-mail addresses, IPv4 addresses, card numbers (Luhn) and phone numbers. The method
 adds IBANs (mod 97), US social-security numbers and secrets such as access tokens and passwords; a
-proposal is kept if its score reaches ``MIN_SCORE``. Patterns are scanned in time linear in the text:
+proposal's form gives a score, a context word nearby adds to it, and it is kept if that reaches ``MIN_SCORE``: an IBAN
+of its country's length, or a secret of letters and digits, needs no such word, others do. Patterns are scanned in time linear in the text:
 an e-mail's local part is sought to the left of each ``@``, number patterns start only at a run's start.
 
 Defined results: null text is empty and has no spans; texts of any length are scanned whole; spans are
 half-open code-point ranges, ordered by start and then kind; spans of different kinds may overlap, of
-one kind never; repeated rows and extra columns pass through.
+one kind never; an empty table gives an empty result; repeated rows and extra columns pass through.
 """
 
 import hashlib
@@ -33,7 +34,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![A-Za-z0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![A-Za-z0-9-])")
-_SECRET = re.compile(r"(?i)(?<![a-z0-9])(token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?([A-Za-z0-9+/_.-]{8,}+)")
+_SECRET = re.compile(r"(?i)(?<![a-z0-9])(token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)\s*+[=:]\s*+[\"']?([A-Za-z0-9+/_.-]{8,}+)")
 #: Lengths of IBANs by country.
 _LENGTHS = {
     country: n
@@ -44,7 +45,7 @@ _LENGTHS = {
     }.items()
     for country in countries.split()
 }
-_WORDS = {"iban": re.compile(r"(?i)iban|bank|account|konto|compte|cuenta"), "ssn": re.compile(r"(?i)\bssn\b|social|security|tax")}
+_WORDS = {"iban": re.compile(r"(?i)iban|bank|account|konto|compte|cuenta"), "ssn": re.compile(r"(?i)\bssn\b|social|security|tax"), "secret": re.compile(r"(?i)\b(?:login|user(?:name)?|credentials?|bearer|private|auth\w*)\b")}
 
 
 def luhn(digits: str) -> bool:
@@ -89,7 +90,7 @@ def _ibans(text: str):
 
 def _scored(kind: str, text: str, start: int, end: int, base: float) -> bool:
     near = text[max(0, start - CONTEXT) : start] + " " + text[end : end + CONTEXT]
-    return base + (0.4 if _WORDS[kind].search(near) else 0.0) >= MIN_SCORE
+    return base + (0.3 if _WORDS[kind].search(near) else 0.0) >= MIN_SCORE
 
 
 def find_spans(text: str) -> list[tuple[int, int, str]]:
@@ -107,13 +108,13 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
             for m in _PHONE.finditer(text):
                 if 10 <= sum(c in "0123456789" for c in m[0]) <= 15:
                     found.append((*m.span(), 3))
-        found += [(a, b, 4) for a, b in _ibans(text) if _scored("iban", text, a, b, 0.7)]
+        found += [(a, b, 4) for a, b in _ibans(text) if _scored("iban", text, a, b, 0.4 + 0.3 * (len(text[a:b].replace(" ", "")) == _LENGTHS.get(text[a : a + 2])))]
         if "-" in text:
             found += [(*m.span(), 5) for m in _SSN.finditer(text) if _scored("ssn", text, *m.span(), 0.3)]
     if "=" in text or ":" in text:
         for m in _SECRET.finditer(text):
             mixed = bool(re.search(r"[0-9]", m[2])) + bool(re.search(r"[A-Za-z]", m[2]))
-            if 0.3 * mixed + 0.02 * min(len(m[2]), 10) >= MIN_SCORE:
+            if _scored("secret", text, *m.span(), 0.3 * mixed + 0.02 * min(len(m[2]), 10)):
                 found.append((*m.span(2), 6))
     found.sort(key=lambda s: (s[0], s[2], s[1]))
     return [(a, b, KINDS[k]) for a, b, k in found]

@@ -40,8 +40,7 @@ def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "archive")
     warc.write_archive(_table(spark, sf_dir, "pages"), path)
-    records = warc.read_archive(spark, path, with_payload=False)
-    return records.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
+    return warc.rebuilt(spark, path).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
 
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
