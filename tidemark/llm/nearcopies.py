@@ -9,7 +9,8 @@
    able to reach the needed overlap from the places of its common token (Xiao, 2008).
 4. First each set is compared with the least one of each of its tokens, so that a group of copies costs one pair a
    member. Then all pairs that these links have not joined are compared, and only tokens that still hold two classes
-   are read. Every proposal is verified by the exact size of the intersection.
+   are read. A sketch of each set rules out the proposals that can't reach the overlap, and every other one is
+   verified by the exact size of the intersection.
 
 Defined results: null, empty and blank texts have the empty set and are copies of each other; texts of any length are
 read whole; a text of fewer words than ``width`` is one shingle; a null id takes part, and rows with it stay; repeated
@@ -31,6 +32,8 @@ from .simhash import SEED, close_pairs, components, of_hashes, shingle_hashes
 #: A token in so many of the texts read in a row, up to ``_HELD`` tokens of them, is common; at most ``_COMMON`` tokens
 #: are ordered by their counts. The order decides how many pairs are compared, not the result.
 _OFTEN, _HELD, _COMMON = 6, 1 << 20, 1 << 18
+#: Bits of the sketch that says at most how many tokens two sets can share.
+_BITS = 2048
 
 
 def shingle_set(text: bytes, width: int = 5) -> np.ndarray:
@@ -74,12 +77,13 @@ def common_tokens(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def signature_column(text: Column, width: int, common: tuple[np.ndarray, np.ndarray]) -> Column:
-    """struct of each set's key, its size, the text's SimHash and the prefix of the set's tokens."""
+    """struct of each set's key, its size, the text's SimHash, the prefix of the set's tokens and a sketch of the set, in
+    which the bit of each token's hash is set."""
     known, counts = common
 
-    @F.arrow_udf("struct<key:bigint,n:int,fingerprint:bigint,prefix:array<bigint>>")
+    @F.arrow_udf("struct<key:bigint,n:int,fingerprint:bigint,prefix:array<bigint>,sketch:array<bigint>>")
     def signature(texts: pa.Array) -> pa.Array:
-        keys, sizes, prints, ends, parts = [], [], [], [0], []
+        keys, sizes, prints, ends, parts, sketches = [], [], [], [0], [], []
         for x in texts.cast(pa.binary()):
             hashes = list(shingle_hashes(x.as_py() or b"", width))
             prints.append(of_hashes(hashes))
@@ -91,13 +95,18 @@ def signature_column(text: Column, width: int, common: tuple[np.ndarray, np.ndar
                 at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
                 rank = np.where(known[at] == tokens, counts[at], 0)
             parts.append(tokens[np.argsort(rank, kind="stable")[:first]])
+            bits = np.zeros(_BITS, bool)
+            bits[(tokens >> np.uint64(24)) % np.uint64(_BITS)] = True
+            sketches.append(np.packbits(bits).view(np.int64))
             keys.append(_key(tokens))
             sizes.append(n)
             ends.append(ends[-1] + first)
         values = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
         columns = [pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(np.array(prints, np.uint64).view(np.int64)), lists]
-        return pa.StructArray.from_arrays(columns, ["key", "n", "fingerprint", "prefix"])
+        sketch = pa.array(np.concatenate(sketches) if sketches else np.zeros(0, np.int64))
+        columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * (_BITS // 64), pa.int32()), sketch))
+        return pa.StructArray.from_arrays(columns, ["key", "n", "fingerprint", "prefix", "sketch"])
 
     return signature(F.coalesce(text, F.lit("")))
 
@@ -117,6 +126,17 @@ def _possible(n: Column, at: Column, other_n: Column, other_at: Column) -> Colum
     return F.least(n - at, other_n - other_at) * 9 >= (n + other_n) * 4
 
 
+def _hopeful(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose sketches allow a similarity of 0.8: sets share at most the bits that both have set, and the
+    tokens of the one that has fewer of them hidden behind a bit that another token has set."""
+    ones = lambda c: F.aggregate(c, F.lit(0), lambda total, x: total + F.bit_count(x))
+    own = lambda side: sets.select(F.col("key").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}"))
+    both = own("b").join(small(pairs), "b").join(own("a"), "a")
+    hidden = F.least(F.col("na") - ones("sa"), F.col("nb") - ones("sb"))
+    shared = ones(F.zip_with("sa", "sb", lambda x, y: x.bitwiseAND(y))) + hidden
+    return both.filter(shared * 9 >= (F.col("na") + F.col("nb")) * 4).select("a", "b")
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, width: int, keep: Scratch) -> DataFrame:
     """The pairs (a, b) of keys whose sets have a similarity of 0.8 or more. One text of each key is read again: its
     tokens go to the pairs that it is ``b`` of, and those of each ``a`` meet them by one shuffle."""
@@ -134,7 +154,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, width: int, k
 def _distinct_sets(rows: DataFrame, keep: Scratch) -> DataFrame:
     """One row of each key; only rows of keys that occur again are shuffled."""
     again = small(keep(rows.groupBy("key").count().filter("count > 1").select("key"), "keys-again"))
-    sets = rows.select("key", "n", "fingerprint", "prefix")
+    sets = rows.select("key", "n", "fingerprint", "prefix", "sketch")
     return sets.join(again, "key", "left_anti").unionByName(sets.join(again, "key", "left_semi").dropDuplicates(["key"]))
 
 
@@ -171,7 +191,7 @@ def _classes(df: DataFrame, id_col: str, text_col: str, width: int, radius: int,
     to_hub = shared.filter((F.col("key") != F.col("hub.key")) & _possible(F.col("n"), F.col("at"), F.col("hub.n"), F.col("hub.at")))
     star = to_hub.select(F.col("hub.key").alias("a"), F.col("key").alias("b")).unionByName(_simhash_pairs(sets.select("key", "fingerprint"), radius, keep))
     star = keep(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "star-pairs")
-    edges = _verified(star, rows, texts, width, keep)
+    edges = _verified(keep(_hopeful(star, sets), "hopeful-star"), rows, texts, width, keep)
     roots = keep(components(edges), "star-classes")
     of = shared.select("token", "key", "n", "at").join(small(roots), F.col("key") == F.col("node"), "left").select("token", "key", "n", "at", F.coalesce("root", "key").alias("root"))
     apart = of.withColumns({"low": F.min("root").over(token), "high": F.max("root").over(token)}).filter("low <> high").drop("low", "high")
@@ -179,7 +199,8 @@ def _classes(df: DataFrame, id_col: str, text_col: str, width: int, radius: int,
     other = apart.select("token", *(F.col(c).alias(f"{c}_b") for c in ("key", "n", "at", "root")))
     cross = (F.col("key") < F.col("key_b")) & (F.col("root") != F.col("root_b")) & _possible(F.col("n"), F.col("at"), F.col("n_b"), F.col("at_b"))
     pairs = apart.join(other, (apart["token"] == other["token"]) & cross).select(F.col("key").alias("a"), F.col("key_b").alias("b")).distinct()
-    more = _verified(keep(pairs.join(star, ["a", "b"], "left_anti"), "cross-pairs"), rows, texts, width, keep)
+    pairs = keep(pairs.join(star, ["a", "b"], "left_anti"), "cross-pairs")
+    more = _verified(keep(_hopeful(pairs, sets), "hopeful-pairs"), rows, texts, width, keep)
     roots = keep(components(edges.unionByName(more)), "all-classes")
     of = rows.select("id", "place", "key").join(small(roots), F.col("key") == F.col("node"), "left")
     return of.select("id", "place", F.coalesce("root", "key").alias("root"))
