@@ -103,8 +103,12 @@ def test_feature_views_round_trip(spark, tmp_path):
     store.save(str(tmp_path / "f"))
     assert features.FeatureStore.from_parquet(spark, str(tmp_path / "f")).filter(feature="max_dd").df.count() == 6
     assert {r.rule: r.n_violations for r in features.validation(store.df).collect()} == {"null_key": 0, "unknown_feature": 0, "out_of_bounds": 0, "not_positive": 0, "negative_position": 0}
-    names = spark.createDataFrame([("ith_rb25_lb20_bull_cv",), ("ith_rb25_lb20_bull_ed",)], "name string")
-    assert [r.name for r in features.without_suppressed(names, features.suppression_table(spark)).collect()] == ["ith_rb25_lb20_bull_ed"]
+    given = ("ith_rb25_lb100_bull_ed", "ith_rb50_lb500_bear_cv", "ith_rb1000_lb20_bull_cv", "ith_rb1000_lb100_intermediate_x", "ith_rb1000_lb100_bull_ed", "ith_rb25_lb20_max_dd")
+    names = spark.createDataFrame([(n,) for n in given], "name string")
+    table = features.suppression_table(spark)
+    assert [r.name for r in features.without_suppressed(names, table).collect()] == ["ith_rb1000_lb100_bull_ed"]
+    assert {r.name: r.category for r in features.suppression_reasons(names, table).collect()} == {given[0]: "redundant", given[1]: "redundant", given[2]: "unstable", given[3]: "debug", given[5]: "redundant"}
+    assert {r.category: r.n for r in features.suppression_summary(names, table).collect()} == {"redundant": 3, "unstable": 1, "debug": 1}
     with pytest.raises(ValueError, match="missing columns"):
         features.FeatureStore(names)
 
@@ -176,6 +180,10 @@ def test_sources_and_sinks(spark, tmp_path):
     assert [r.nav for r in files.read_values_text(spark, str(tmp_path / "v.txt")).orderBy("seq").collect()] == [1.5, 2.0]
     (tmp_path / "r.md").write_text("# R\n| `a_*` | low | why |\nno\n")
     assert tuple(files.read_registry(spark, str(tmp_path / "r.md")).first())[1:] == ("a_*", "low", "why")
+    for k in range(3):
+        (tmp_path / f"many{k}.md").write_text("# t\n\n| `b_*` | low | why |\n")
+    several = files.read_registry(spark.newSession(), str(tmp_path / "many*.md")).repartition(3)
+    assert several.count() == 3 and dict(several.dtypes)["ord"] == "bigint"
     assert files.load_config("thresholds = [25]\nlookbacks = [5]")["lookbacks"] == [5]
     with pytest.raises(ValueError, match="lookbacks"):
         files.load_config("thresholds = [25]\nlookbacks = [0]")

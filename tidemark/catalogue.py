@@ -67,6 +67,14 @@ def _names(spark: SparkSession, d: str, scale: int = 1) -> DataFrame:
     return _long(spark, d).select(name.alias("name")).distinct()
 
 
+def _many_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names of six thresholds, of which one is not suppressed, of a suppressed and a kept lookback, and of diagnostics."""
+    made = _long(spark, d).select((F.col("lookback") * 4).alias("lookback"), "feature").distinct()
+    made = made.withColumn("threshold", F.explode(F.array(*map(F.lit, (25, 50, 100, 250, 500, 1000)))))
+    feature = F.explode(F.array("feature", F.concat(F.lit("intermediate_"), "feature")))
+    return made.select("threshold", "lookback", feature.alias("feature")).select(X.feature_name(F.col("threshold"), F.col("lookback"), F.col("feature")).alias("name"))
+
+
 def _walk(spark: SparkSession, d: str) -> DataFrame:
     lengths = _et(spark, d).groupBy("series_id").agg(F.count(F.lit(1)).alias("n"))
     return windows.walk_forward_windows(lengths, 100, 50)
@@ -270,7 +278,7 @@ def queries() -> dict[str, Query]:
         "w9_regimes": lambda s, d: statistics.detect_regime(_et(s, d)),
         "w10_rank_norm": lambda s, d: windows.rank_normalize(_et(s, d), "nav").select("series_id", "seq", r("ranked")),
         "w11_report_ranks": _ranked,
-        "w12_rank_against": lambda s, d: windows.rank_against(_et(s, d).filter("seq < 200"), _et(s, d).filter("seq % 3 = 0")).select("series_id", "seq", r("share")),
+        "w12_rank_against": lambda s, d: windows.rank_against(_et(s, d), _et(s, d)).select("series_id", "seq", r("share")),
         "w15_walk_forward": _walk,
         "j7_window_rows": _window_rows,
         "a32_awfo": _awfo,
@@ -352,7 +360,9 @@ def queries() -> dict[str, Query]:
         "f2_distinct": lambda s, d: features.FeatureStore(_long(s, d)).distinct("lookback"),
         "f4_names": lambda s, d: _names(s, d).select("name", *(c.alias(n) for n, c in features.parse_name(F.col("name")).items())),
         "f7_warmup": lambda s, d: features.warmup_check(_user(s, d), [20, 50], 10),
-        "f9_suppressed": lambda s, d: features.without_suppressed(_names(s, d, 10), features.suppression_table(s)),
+        "f9_suppressed": lambda s, d: features.without_suppressed(_many_names(s, d), features.suppression_table(s)),
+        "f9_reasons": lambda s, d: features.suppression_reasons(_many_names(s, d), features.suppression_table(s)),
+        "f9_summary": lambda s, d: features.suppression_summary(_many_names(s, d), features.suppression_table(s)),
         "f10_variance": lambda s, d: rounded(selection.by_variance(_long(s, d)), "variance"),
         "f12_validation": lambda s, d: features.validation(_long(s, d)),
         "v1_wide": _wide,

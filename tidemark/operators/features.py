@@ -18,7 +18,15 @@ KEYS = ("series_id", "bar_index", "threshold_dbps", "lookback", "feature")
 COLUMNS = (*KEYS, "value", "valid", "computed_at", "nav_hash")
 # How a wide column is named, and the patterns suppressed by default.
 NAME = r"^ith_rb(\d+)_lb(\d+)_(.+)$"
-SUPPRESSED = (("ith_*_lb20_*_cv", "low_information", "spacing of epochs in short windows is at its floor"), ("ith_*_lb50_*_cv", "low_information", "spacing of epochs in short windows is near its floor"))
+SUPPRESSED = (
+    ("ith_rb25_lb*_*", "redundant", "Highly correlated with rb1000 equivalents"),
+    ("ith_rb50_lb*_*", "redundant", "Highly correlated with rb1000 equivalents"),
+    ("ith_rb100_lb*_*", "redundant", "Highly correlated with rb1000 equivalents"),
+    ("ith_rb250_lb*_*", "redundant", "Highly correlated with rb1000 equivalents"),
+    ("ith_rb500_lb*_*", "redundant", "Highly correlated with rb1000 equivalents"),
+    ("ith_*_lb20_*", "unstable", "High variance in walk-forward validation"),
+    ("*_intermediate_*", "debug", "Diagnostic features, not for ML"),
+)
 
 
 class FeatureStore:

@@ -126,6 +126,12 @@ select by_s.series_id, n_points, n_epochs, round(epoch_cv, 6) as epoch_cv, recen
 from by_s join sp using (series_id) left join ls using (series_id) join rt using (series_id)"""
 
 
+_MANY = f"""{_LONG}, made as (select distinct lookback * 4 as lookback, feature from long),
+names as (select format('ith_rb{{}}_lb{{}}_{{}}', t, lookback, f) as name, t, lookback as lb, f from (select lookback, unnest([feature, 'intermediate_' || feature]) as f from made), (values (25), (50), (100), (250), (500), (1000)) as v(t)),
+n as (select name, case when t < 1000 then ['redundant', 'Highly correlated with rb1000 equivalents'] when lb = 20 then ['unstable', 'High variance in walk-forward validation']
+  when f like 'intermediate%' then ['debug', 'Diagnostic features, not for ML'] end as why from names)"""
+
+
 def sql() -> dict[str, str]:
     et, w = f"with s as ({EVENT_TYPE})", "window w as (partition by series_id order by seq)"
     rets = f"{et}, r as (select *, {_RET} as ret from s {w})"
@@ -149,7 +155,7 @@ select d.series_id, coalesce(n, 0) as n_epochs, round(cv, 6) as intervals_cv fro
         "w8_build_nav": f"{rets} select series_id, seq, round(sum(ln(1 + greatest(ret, -0.99))) over (partition by series_id order by seq), 5) as log_nav from r",
         "w8_normalize": f"{et} select series_id, seq, round(nav / first_value(nav) over (partition by series_id order by seq), 6) as relative from s",
         "w10_rank_norm": f"{et} select series_id, seq, round((rank() over (partition by series_id order by nav) - 1 + (count(*) over (partition by series_id, nav) - 1) / 2) / (count(*) over (partition by series_id) - 1), 6) as ranked from s",
-        "w12_rank_against": f"with s as ({EVENT_TYPE}), ref as (select * from s where seq % 3 = 0) select s.series_id, s.seq, round(count(case when ref.nav < s.nav then 1 end) / count(*), 6) as share from s join ref on ref.series_id = s.series_id where s.seq < 200 group by 1, 2",
+        "w12_rank_against": f"with s as ({EVENT_TYPE}) select series_id, seq, round((rank() over (partition by series_id order by nav) - 1) / count(*) over (partition by series_id), 6) as share from s",
         "w15_walk_forward": f"""with n as (select series_id, count(*)::int as n from ({EVENT_TYPE}) group by 1), a as (select series_id, n, anchor::int as anchor, greatest(1, (n // 4) // 4)::int as gap from n, range(4) t(anchor)),
 f as (select *, floor((n - anchor * gap - 150) / 50)::int as fits from a), wn as (select *, unnest(range(0, fits + 1))::int as wd from f where fits >= 0)
 select series_id, anchor, wd as "window", anchor * gap as train_start, anchor * gap + wd * 50 + 100 as train_end, anchor * gap + wd * 50 + 100 as test_start, anchor * gap + wd * 50 + 150 as test_end from wn""",
@@ -234,15 +240,18 @@ select feature, n1, n2, round(u, 1) as u, round(1 - 2 * u / (n1 * n2), 6) as cli
         "f2_distinct": f"{_LONG} select distinct lookback from long",
         "f4_names": f"{_LONG}, n as (select distinct format('ith_rb{{}}_lb{{}}_{{}}', threshold_dbps, lookback, feature) as name from long) select name, regexp_extract(name, '^ith_rb(\\d+)_lb(\\d+)_(.+)$', 1)::int as threshold_dbps, regexp_extract(name, '^ith_rb(\\d+)_lb(\\d+)_(.+)$', 2)::int as lookback, regexp_extract(name, '^ith_rb(\\d+)_lb(\\d+)_(.+)$', 3) as feature from n",
         "f7_warmup": f"with s as ({USER}) select series_id, count(*) as n_bars, 49 as warmup, greatest(count(*) - 49, 0) as n_valid, count(*) - 49 >= 10 as enough from s group by 1",
-        "f9_suppressed": f"{_LONG}, n as (select distinct format('ith_rb{{}}_lb{{}}_{{}}', threshold_dbps, lookback * 10, feature) as name from long) select name from n where not regexp_matches(name, '^ith_.*_lb20_.*_cv$') and not regexp_matches(name, '^ith_.*_lb50_.*_cv$')",
+        "f9_suppressed": f"{_MANY} select name from n where why is null",
+        "f9_reasons": f"{_MANY} select name, why[1] as category, why[2] as reason from n where why is not null",
+        "f9_summary": f"{_MANY} select why[1] as category, count(*) as n from n where why is not null group by 1",
         "f10_variance": f"{_LONG} select feature, round(var_samp(value), 6) as variance from long group by 1 having var_samp(value) >= 0.01",
         "f12_validation": "select unnest(['null_key', 'unknown_feature', 'out_of_bounds', 'not_positive', 'negative_position']) as rule, 0::bigint as n_violations",
         "v1_wide": f"with {_ROLL_USER}, a as (select * from feats where lookback = 5), b as (select * from feats where lookback = 8) select a.series_id, a.seq as bar_index, {', '.join(f'round({t}.{c}, 6) as ith_rb25_lb{n}_{c}' for t, n in (('a', 5), ('b', 8)) for c in CODES)} from a join b using (series_id, seq) where a.bull_ed is not null and b.bull_ed is not null",
         "v2_dense": f"with {_ROLL_USER}, a as (select * from feats where lookback = 5), b as (select * from feats where lookback = 8) select a.series_id, a.seq as bar_index, {', '.join(f'round({t}.{c}, 6) as lb{n}_{c}' for t, n in (('a', 5), ('b', 8)) for c in CODES)} from a join b using (series_id, seq)",
         "v3_unpivot": f"{_LONG} select series_id, bar_index, threshold_dbps, lookback, feature, round(value, 6) as value from long",
         "u2_missing": f"{_LONG}, n as (select distinct format('ith_rb{{}}_lb{{}}_{{}}', threshold_dbps, lookback, feature) as name from long), e as (select format('ith_rb25_lb{{}}_{{}}', lb, c) as name from (select unnest([5, 9]) as lb), (select unnest({list(CODES)!r}) as c)) select name, 'missing' as side from (select name from e except select name from n) union all select name, 'extra' from (select name from n except select name from e)",
-        "a29_stability": f"""with {_ROLL_USER}, t as (select unnest([25, 50]) as threshold_dbps), l as (select t.threshold_dbps, lookback, feature, value * (t.threshold_dbps / 25.0) as value from (select * from feats) unpivot (value for feature in ({', '.join(CODES)})), t),
-m as (select threshold_dbps, lookback, feature, avg(value) as m from l group by 1, 2, 3) select lookback, feature, count(*) as n_thresholds, round(stddev_pop(m) / avg(m), 6) as cv, round(max(m) - min(m), 6) as spread, coalesce(stddev_pop(m) / avg(m) < 0.20, false) as stable from m group by 1, 2""",
+        "a29_stability": f"""with {_ROLL_USER}, l as (select lookback, unnest([{', '.join(f"'{c}'" for c in CODES)}]) as feature, unnest([{', '.join(CODES)}]) as value from feats),
+m as (select t.threshold_dbps, lookback, feature, avg(value * (t.threshold_dbps / 25.0)) as m from l, (values (25), (50)) as t(threshold_dbps) where value is not null group by 1, 2, 3)
+select lookback, feature, count(*) as n_thresholds, round(stddev_pop(m) / avg(m), 6) as cv, round(max(m) - min(m), 6) as spread, coalesce(stddev_pop(m) / avg(m) < 0.20, false) as stable from m group by 1, 2""",
         "t3_top_per_group": "select event_type, event_id, round(value, 6) as value, place from (select *, row_number() over (partition by event_type order by value desc, event_id) as place from events) where place <= 3",
         "k11_latest": "select user_id, event_id, round(value, 6) as value from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as b from events) where b = 1",
         "s9_last_bars": f"with s as ({EVENT_TYPE}) select series_id, seq, round(nav, 6) as nav from (select *, row_number() over (partition by series_id order by ts desc, seq desc) as b from s where ts <= '2024-01-15'::timestamp) where b <= 50",

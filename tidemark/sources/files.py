@@ -53,9 +53,10 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    """(ord, pattern, category, reason) of the table rows of a markdown file: ``| `pattern` | category | reason |``."""
+    """(ord, pattern, category, reason) of the table rows of markdown files: ``| `pattern` | category | reason |``; ord is
+    in the order of the lines of a file, and of files as Spark reads them."""
     rx = r"^\s*\|\s*`([^`]+)`\s*\|\s*([^|]*?)\s*\|\s*([^|]*?)\s*\|"
-    lines = spark.read.text(path).withColumn("ord", F.monotonically_increasing_id().cast("int"))
+    lines = spark.read.text(path).withColumn("ord", F.monotonically_increasing_id())
     return lines.filter(F.col("value").rlike(rx)).select("ord", *(F.regexp_extract("value", rx, i).alias(n) for i, n in enumerate(("pattern", "category", "reason"), 1)))
 
 
