@@ -19,8 +19,6 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_BYTES
-
 # Digits of base 32 as a number base and of RFC 4648, and WARC 1.1 field names and profile.
 _NUMBER_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 _RFC_DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -114,9 +112,7 @@ def rebuilt(spark: SparkSession, path: str) -> DataFrame:
     """
     records = read_archive(spark, path, with_payload=False)
     heads = records.filter("record_type = 'response'").select("id", "sha256", "header", F.struct("payload_bytes", "payload_digest").alias("said"), "record_type", "refers_to")
-    size = heads.agg(F.sum(F.octet_length("header") + 120)).first()[0] or 0
-    heads = F.broadcast(heads) if size <= BROADCAST_BYTES else heads.hint("shuffle_hash")
-    whole = spark.read.parquet(f"{path}/payloads").select("sha256", "payload").join(heads, "sha256")
+    whole = spark.read.parquet(f"{path}/payloads").select("sha256", "payload").join(heads.hint("shuffle_hash"), "sha256")
     whole = whole.withColumn("record", record_bytes(whole))
     before = F.octet_length("header")
     body = F.substring(F.col("record"), before + 1, F.octet_length("record") - before - 4)
