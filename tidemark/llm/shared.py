@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of keys that are broadcast at most, with ``_ROW`` bytes for a row of keys; beyond it joins are shuffled.
 BROADCAST_BYTES, _ROW = 16 << 20, 48
+#: Bytes of a row group of tables written between steps: each writing task holds one, of whole texts, on the heap.
+_ROW_GROUP = 16 << 20
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -27,7 +29,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again, which cuts its lineage."""
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", _ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -46,7 +48,7 @@ class Scratch:
     def __call__(self, df: DataFrame, name: str) -> DataFrame:
         """``df``, written and read again."""
         path = f"{self.base}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", _ROW_GROUP).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def __exit__(self, *error) -> None:
