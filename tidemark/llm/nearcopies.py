@@ -8,8 +8,9 @@
    tokens (Chaudhuri, 2006); common tokens come last, and only these prefixes are dealt by token. A pair must be
    able to reach the needed overlap from the places of its common token (Xiao, 2008).
 4. First each set is compared with the least one of each of its tokens, so that a group of copies costs one pair a
-   member. Then all pairs that these links have not joined are compared, and only tokens that still hold two classes
-   are read. A sketch of each set rules out the proposals that can't reach the overlap, and every other one is
+   member. Where large groups are still apart, rounds follow in which each set is compared with a few drawn for each
+   of its tokens, as long as they join classes. Then all pairs that these links have not joined are compared, and only
+   tokens that still hold two classes are read. A sketch of each set rules out the proposals that can't reach the overlap, and every other one is
    verified by the exact size of the intersection.
 
 Defined results: null, empty and blank texts have the empty set and are copies of each other; texts of any length are
@@ -32,6 +33,9 @@ from .simhash import SEED, close_pairs, components, of_hashes, shingle_hashes
 #: A token in so many of the texts read in a row, up to ``_HELD`` tokens of them, is common; at most ``_COMMON`` tokens
 #: are ordered by their counts. The order decides how many pairs are compared, not the result.
 _OFTEN, _HELD, _COMMON = 6, 1 << 20, 1 << 18
+#: While the tokens hold more pairs of different classes than ``_PAIRS_A_ROW`` a row, each set is compared first
+#: with ``_DRAWN`` ones of each of its tokens, drawn by hash.
+_PAIRS_A_ROW, _DRAWN = 32, 8
 #: Bits of the sketch that says at most how many tokens two sets can share.
 _BITS = 2048
 
@@ -169,6 +173,23 @@ def _simhash_pairs(sets: DataFrame, radius: int, keep: Scratch) -> DataFrame:
     return own.unionByName(far)
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _apart(dealt: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows (token, key, n, at) of tokens that still hold two classes, each with the root of its class."""
+    token = Window.partitionBy("token")
+    of = dealt.select("token", "key", "n", "at").join(small(roots), F.col("key") == F.col("node"), "left").select("token", "key", "n", "at", F.coalesce("root", "key").alias("root"))
+    return of.withColumns({"low": F.min("root").over(token), "high": F.max("root").over(token)}).filter("low <> high").drop("low", "high")
+
+
+def _pairs_apart(apart: DataFrame) -> float:
+    """How many pairs of different classes the tokens hold, counted from the sizes of the classes at each token."""
+    of = apart.groupBy("token", "root").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("token").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("own"))
+    return of.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0] or 0.0
+
+
 def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 4) -> DataFrame:
     """(id, place, root) for each row of ``df``: place is the hash of its text, root the key of its class of near copies."""
     with Scratch(df.sparkSession) as keep:
@@ -190,12 +211,21 @@ def _classes(df: DataFrame, id_col: str, text_col: str, width: int, radius: int,
     shared = keep(shared.drop("last"), "shared-tokens")
     to_hub = shared.filter((F.col("key") != F.col("hub.key")) & _possible(F.col("n"), F.col("at"), F.col("hub.n"), F.col("hub.at")))
     star = to_hub.select(F.col("hub.key").alias("a"), F.col("key").alias("b")).unionByName(_simhash_pairs(sets.select("key", "fingerprint"), radius, keep))
-    star = keep(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "star-pairs")
+    star = keep(_ordered(star).distinct(), "star-pairs")
     edges = _verified(keep(_hopeful(star, sets), "hopeful-star"), rows, texts, width, keep)
-    roots = keep(components(edges), "star-classes")
-    of = shared.select("token", "key", "n", "at").join(small(roots), F.col("key") == F.col("node"), "left").select("token", "key", "n", "at", F.coalesce("root", "key").alias("root"))
-    apart = of.withColumns({"low": F.min("root").over(token), "high": F.max("root").over(token)}).filter("low <> high").drop("low", "high")
-    apart = keep(apart, "tokens-apart")
+    apart = keep(_apart(shared, keep(components(edges), "star-classes")), "tokens-apart")
+    left, turn, falls = _pairs_apart(apart), 0, True
+    while falls and left > _PAIRS_A_ROW * apart.count():
+        turn += 1
+        drawn = F.array(*(F.min(F.struct(F.xxhash64("key", "token", F.lit(f"{turn}-{k}")).alias("draw"), "key", "n", "at", "root")).over(token) for k in range(_DRAWN)))
+        met = apart.withColumn("hubs", drawn).select("key", "n", "at", "root", F.explode("hubs").alias("hub")).filter("root <> hub.root")
+        met = met.filter(_possible(F.col("n"), F.col("at"), F.col("hub.n"), F.col("hub.at"))).select(F.col("hub.key").alias("a"), F.col("key").alias("b"))
+        more = keep(_ordered(met).distinct().join(star, ["a", "b"], "left_anti"), "star-pairs")
+        edges = keep(edges.unionByName(_verified(keep(_hopeful(more, sets), "hopeful-star"), rows, texts, width, keep)), "star-links")
+        star = star.unionByName(more)
+        apart = keep(_apart(apart, keep(components(edges), "star-classes")), "tokens-apart")
+        before, left = left, _pairs_apart(apart)
+        falls = left * 4 <= before * 3
     other = apart.select("token", *(F.col(c).alias(f"{c}_b") for c in ("key", "n", "at", "root")))
     cross = (F.col("key") < F.col("key_b")) & (F.col("root") != F.col("root_b")) & _possible(F.col("n"), F.col("at"), F.col("n_b"), F.col("at_b"))
     pairs = apart.join(other, (apart["token"] == other["token"]) & cross).select(F.col("key").alias("a"), F.col("key_b").alias("b")).distinct()
