@@ -8,8 +8,7 @@
    tokens (Chaudhuri, 2006); common tokens come last, and only these prefixes are dealt by token. A pair must be
    able to reach the needed overlap from the places of its common token (Xiao, 2008).
 4. First each set is compared with the least one of each of its tokens, so that a group of copies costs one pair a
-   member. Where large groups are still apart, rounds follow in which each set is compared with a few drawn for each
-   of its tokens, as long as they join classes. Then all pairs that these links have not joined are compared, and only
+   member. Where large groups are still apart, each set is compared with a few drawn for each of its tokens. Then all pairs that these links have not joined are compared, and only
    tokens that still hold two classes are read. A sketch of each set rules out the proposals that can't reach the overlap, and every other one is
    verified by the exact size of the intersection.
 
@@ -214,18 +213,14 @@ def _classes(df: DataFrame, id_col: str, text_col: str, width: int, radius: int,
     star = keep(_ordered(star).distinct(), "star-pairs")
     edges = _verified(keep(_hopeful(star, sets), "hopeful-star"), rows, texts, width, keep)
     apart = keep(_apart(shared, keep(components(edges), "star-classes")), "tokens-apart")
-    left, turn, falls = _pairs_apart(apart), 0, True
-    while falls and left > _PAIRS_A_ROW * apart.count():
-        turn += 1
-        drawn = F.array(*(F.min(F.struct(F.xxhash64("key", "token", F.lit(f"{turn}-{k}")).alias("draw"), "key", "n", "at", "root")).over(token) for k in range(_DRAWN)))
+    if _pairs_apart(apart) > _PAIRS_A_ROW * apart.count():
+        drawn = F.array(*(F.min(F.struct(F.xxhash64("key", "token", F.lit(k)).alias("draw"), "key", "n", "at", "root")).over(token) for k in range(_DRAWN)))
         met = apart.withColumn("hubs", drawn).select("key", "n", "at", "root", F.explode("hubs").alias("hub")).filter("root <> hub.root")
         met = met.filter(_possible(F.col("n"), F.col("at"), F.col("hub.n"), F.col("hub.at"))).select(F.col("hub.key").alias("a"), F.col("key").alias("b"))
         more = keep(_ordered(met).distinct().join(star, ["a", "b"], "left_anti"), "star-pairs")
         edges = keep(edges.unionByName(_verified(keep(_hopeful(more, sets), "hopeful-star"), rows, texts, width, keep)), "star-links")
         star = star.unionByName(more)
         apart = keep(_apart(apart, keep(components(edges), "star-classes")), "tokens-apart")
-        before, left = left, _pairs_apart(apart)
-        falls = left * 4 <= before * 3
     other = apart.select("token", *(F.col(c).alias(f"{c}_b") for c in ("key", "n", "at", "root")))
     cross = (F.col("key") < F.col("key_b")) & (F.col("root") != F.col("root_b")) & _possible(F.col("n"), F.col("at"), F.col("n_b"), F.col("at_b"))
     pairs = apart.join(other, (apart["token"] == other["token"]) & cross).select(F.col("key").alias("a"), F.col("key_b").alias("b")).distinct()
