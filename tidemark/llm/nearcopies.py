@@ -8,9 +8,10 @@
    tokens (Chaudhuri, 2006); common tokens come last, and only these prefixes are dealt by token. A pair must be
    able to reach the needed overlap from the places of its common token (Xiao, 2008).
 4. First each set is compared with the least one of each of its tokens, so that a group of copies costs one pair a
-   member. Where large groups are still apart, each set is compared with a few drawn for each of its tokens. Then all pairs that these links have not joined are compared, and only
-   tokens that still hold two classes are read. A sketch of each set rules out the proposals that can't reach the overlap, and every other one is
-   verified by the exact size of the intersection.
+   member. Where large groups are still apart, each set is compared with a few drawn for each of its tokens. Then
+   all pairs that these links have not joined are compared, and only tokens that still hold two classes are read.
+   A sketch of each set rules out the proposals that can't reach the overlap, and every other one is verified by the
+   exact size of the intersection.
 
 Defined results: null, empty and blank texts have the empty set and are copies of each other; texts of any length are
 read whole; a text of fewer words than ``width`` is one shingle; a null id takes part, and rows with it stay; repeated
