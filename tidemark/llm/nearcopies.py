@@ -35,7 +35,7 @@ from .simhash import SEED, close_pairs, components, of_hashes, shingle_hashes
 _OFTEN, _HELD, _COMMON = 6, 1 << 20, 1 << 18
 #: While the tokens hold more pairs of different classes than ``_PAIRS_A_ROW`` a row, each set is compared first
 #: with ``_DRAWN`` ones of each of its tokens, drawn by hash.
-_PAIRS_A_ROW, _DRAWN = 32, 8
+_PAIRS_A_ROW, _DRAWN = 32, 24
 #: Bits of the sketch that says at most how many tokens two sets can share.
 _BITS = 2048
 
