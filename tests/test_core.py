@@ -284,3 +284,25 @@ def test_hashes_versions_and_callbacks(spark):
     scored = windows.evaluate(nav_frame(spark, range(20)), plan, lambda train, test: float(len(train) + test["nav"].sum()))
     assert [(r.window, r.score) for r in scored.orderBy("window").collect()] == [(0, 40.0), (1, 70.0), (2, 100.0)]
     assert windows.awfo_scores(scored).first().overall == 70.0
+
+
+def test_distance_correlation_against_matrices(spark):
+    """Exact over groups of one, two and many points, with ties, missing and constant values."""
+    import numpy as np
+
+    from tidemark.operators import statistics
+
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=203), 1)
+    groups = {"tied": (x, np.round(x * x + rng.normal(size=203), 1)), "large": (x * 1e6 + 1e9, rng.normal(size=203)), "constant": (np.full(9, 0.1), np.arange(9.0)), "one": (x[:1], x[:1]), "two": (x[:2], -x[:2])}
+    rows = [(g, k, float(a), float(b)) for g, (xs, ys) in groups.items() for k, (a, b) in enumerate(zip(xs, ys, strict=True))]
+    rows += [("tied", 900, None, 1.0), ("tied", 901, 1.0, float("nan")), ("tied", 902, float("inf"), 1.0), ("none", 0, None, None)]
+    df = spark.createDataFrame(rows, "g string, seq int, x double, y double")
+    got = {r["g"]: (r["n"], r["dcor"]) for r in statistics.distance_correlation(df, ("g",)).collect()}
+    assert set(got) == set(groups)
+    for g, (xs, ys) in groups.items():
+        a, b = ((d := np.abs(v[:, None] - v[None, :])) - d.mean(0) - d.mean(1)[:, None] + d.mean() for v in (xs, ys))
+        spread = np.sqrt((a * a).mean() * (b * b).mean())
+        want = np.sqrt(max((a * b).mean(), 0) / spread) if spread > 1e-20 else 0.0
+        assert got[g][0] == len(xs) and abs(got[g][1] - want) < 1e-7, (g, got[g], want)
+    assert statistics.distance_correlation(df.limit(0), ("g",)).count() == 0

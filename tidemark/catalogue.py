@@ -163,9 +163,10 @@ def _target(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _dcor(spark: SparkSession, d: str) -> DataFrame:
-    rows = _measures(spark, d).filter("series_id = 'A' and seq < 400")
-    a, b = rows.select("seq", F.col("feature").alias("feature_a"), F.col("value").alias("x")), rows.select("seq", F.col("feature").alias("feature_b"), F.col("value").alias("y"))
-    return statistics.distance_correlation(a.join(b, "seq").filter("feature_a < feature_b"))
+    rows = _measures(spark, d)
+    a, b = (rows.withColumnsRenamed({"feature": f"feature_{k}", "value": v}) for k, v in (("a", "x"), ("b", "y")))
+    met = a.join(b, ["series_id", "seq"]).filter("feature_a < feature_b")
+    return statistics.distance_correlation(met, ("series_id", "feature_a", "feature_b"))
 
 
 def _normality(spark: SparkSession, d: str) -> DataFrame:

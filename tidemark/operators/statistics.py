@@ -252,24 +252,44 @@ def threshold_stability(long: DataFrame) -> DataFrame:
     return by.withColumn("stable", F.coalesce(F.col("cv") < 0.20, F.lit(False)))
 
 
-def distance_correlation(pairs: DataFrame, at_most: int = 2000) -> DataFrame:
-    """(feature_a, feature_b, dcor) of rows (feature_a, feature_b, seq, x, y), one group of at most ``at_most`` points a pair.
+def distance_correlation(pairs: DataFrame, keys: tuple[str, ...] = ("feature_a", "feature_b"), order: str = "seq") -> DataFrame:
+    """(keys, n, dcor) of rows (keys, order, x, y), exact over all points of a group without its n by n distances.
 
-    The double-centred distances of a pair fill two n by n matrices, so pairs with more points are an error:
-    cut the series into windows first.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > at_most:
-            raise ValueError(f"{len(pdf)} points in a pair; at most {at_most}")
+    With ranks by x and by y, a point's distances to all others follow from prefix sums. The sum of products of distances
+    needs, for each point, the sums over the points below it in both ranks (Huo and Szekely, 2016): two points part at one
+    bit of their ranks by x, so each point goes once to each bit's block, where running sums by y over the half with
+    that bit unset are read by the other half. Work and rows shuffled are n log n. The highest bit's block and the ranks
+    take all points of a group into one sorted, spilling window.
 
-        def centred(v: np.ndarray) -> np.ndarray:
-            d = np.abs(v[:, None] - v[None, :])
-            return d - d.mean(0) - d.mean(1)[:, None] + d.mean()
-
-        a, b = centred(pdf["x"].to_numpy(np.float64)), centred(pdf["y"].to_numpy(np.float64))
-        spread = math.sqrt(max((a * a).mean() * (b * b).mean(), 0))
-        value = math.sqrt(max((a * b).mean(), 0) / spread) if spread > 0 else 0.0
-        return pd.DataFrame({"feature_a": [pdf["feature_a"].iloc[0]], "feature_b": [pdf["feature_b"].iloc[0]], "dcor": [value]})
-
-    return pairs.groupBy("feature_a", "feature_b").applyInPandas(run, "feature_a string, feature_b string, dcor double")
+    Points without a finite x and y are left out; a group without spread in x or y has 0; one of such points only is absent.
+    """
+    both = [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) != float("inf")) for c in ("x", "y")]
+    group = Window.partitionBy(*keys)
+    centred = {c: F.when(F.min(c).over(group) < F.max(c).over(group), F.col(c) - F.avg(c).over(group)).otherwise(0.0) for c in ("x", "y")}
+    rows = pairs.filter(both[0] & both[1]).select(*keys, order, *(F.col(c).cast("double").alias(c) for c in ("x", "y")))
+    rows = rows.withColumns({**centred, "n": F.count(F.lit(1)).over(group)})
+    for c in ("x", "y"):
+        by = Window.partitionBy(*keys).orderBy(c, order)
+        rows = rows.withColumns({f"place_{c}": F.row_number().over(by) - 1, f"upto_{c}": F.sum(c).over(by.rowsBetween(Window.unboundedPreceding, 0)), f"total_{c}": F.sum(c).over(group)})
+        to_all = F.col(c) * (2 * (F.col(f"place_{c}") + 1) - F.col("n")) + F.col(f"total_{c}") - 2 * F.col(f"upto_{c}")
+        rows = rows.withColumn(f"to_all_{c}", to_all).drop(f"upto_{c}", f"total_{c}")
+    levels = rows.withColumn("level", F.explode(F.sequence(F.lit(0), F.length(F.bin(F.col("n") - 1)) - 1)))
+    levels = levels.withColumns({"block": F.expr("shiftright(place_x, level + 1)"), "below": F.expr("shiftright(place_x, level) & 1 = 0")})
+    so_far = Window.partitionBy(*keys, "level", "block").orderBy("place_y").rowsBetween(Window.unboundedPreceding, 0)
+    x, y = F.col("x"), F.col("y")
+    running = {k: F.sum(F.when(F.col("below"), v).otherwise(0.0)).over(so_far) for k, v in {"c": F.lit(1.0), "sx": x, "sy": y, "sxy": x * y}.items()}
+    under = F.when(~F.col("below"), F.col("c") * x * y - x * F.col("sy") - y * F.col("sx") + F.col("sxy")).otherwise(0.0)
+    once = lambda v: F.sum(F.when(F.col("level") == 0, v).otherwise(0.0))
+    u, v = F.col("to_all_x"), F.col("to_all_y")
+    terms = {"under": F.sum(under), "x1": once(x), "y1": once(y), "x2": once(x * x), "y2": once(y * y), "xy": once(x * y), "u1": once(u), "v1": once(v), "u2": once(u * u), "v2": once(v * v), "uv": once(u * v)}
+    summed = levels.withColumns(running).groupBy(*keys, "n").agg(*(t.alias(k) for k, t in terms.items()))
+    n = F.col("n").cast("double")
+
+    def covariance(products: Column, one: str, two: str, rows_: str) -> Column:
+        return products / n / n + F.col(one) / n / n * (F.col(two) / n / n) - 2 * F.col(rows_) / n / n / n
+
+    of_x = covariance(2 * (n * F.col("x2") - F.col("x1") * F.col("x1")), "u1", "u1", "u2")
+    of_y = covariance(2 * (n * F.col("y2") - F.col("y1") * F.col("y1")), "v1", "v1", "v2")
+    of_xy = covariance(4 * F.col("under") - 2 * (n * F.col("xy") - F.col("x1") * F.col("y1")), "u1", "v1", "uv")
+    spread = F.sqrt(F.greatest(of_x * of_y, F.lit(0.0)))
+    return summed.select(*keys, "n", F.when(spread > 0, F.sqrt(F.greatest(of_xy, F.lit(0.0)) / spread)).otherwise(0.0).alias("dcor"))

@@ -294,9 +294,17 @@ select *, coalesce(sharpe_ratio > -100 and sharpe_ratio < 100 and n_epochs > 1 a
 b as (select series_id, anchor, avg(score) as m, stddev_pop(score) as sd, count(*) as n_windows from sc group by 1, 2) select series_id, anchor, round(m, 5) as mean_score, round(sd, 5) as std_score, n_windows, round(avg(m) over (partition by series_id), 5) as overall from b""",
         "m7_half_lives": f"""with acf as ({out['m5_acf'].replace('round(corr(nav, l', '(corr(nav, l').replace('), 6) as acf', ')) as acf')}), h as (select feature, min(case when acf < 0.5 then lag end) as half_life, min(case when abs(acf) < 0.1 then lag end) as decorrelated from acf group by 1)
 select *, case when half_life <= 5 then 'low' when half_life <= 20 then 'medium' else 'high' end as persistence from h""",
-        "m16_dcor": f"""with m as (select * from ({MEASURES}) where series_id = 'A' and seq < 400), d as (select a.feature, a.seq as i, b.seq as j, abs(a.value - b.value) as d from m a join m b on a.feature = b.feature),
-c as (select feature, i, j, d - avg(d) over (partition by feature, i) - avg(d) over (partition by feature, j) + avg(d) over (partition by feature) as c from d)
-select a.feature as feature_a, b.feature as feature_b, round(sqrt(greatest(avg(a.c * b.c), 0) / sqrt(avg(a.c * a.c) * avg(b.c * b.c))), 6) as dcor from c a join c b on a.i = b.i and a.j = b.j and a.feature < b.feature group by 1, 2""",
+        "m16_dcor": f"""with m as ({MEASURES}), p as (select a.series_id, a.feature as fa, b.feature as fb, a.seq, a.value - avg(a.value) over (partition by a.series_id, a.feature, b.feature) as x, b.value - avg(b.value) over (partition by a.series_id, a.feature, b.feature) as y from m a join m b on a.series_id = b.series_id and a.seq = b.seq and a.feature < b.feature),
+k as (select *, count(*) over g as n, row_number() over gx - 1 as rx, row_number() over gy - 1 as ry, sum(x) over gx as px, sum(y) over gy as py, sum(x) over g as tx, sum(y) over g as ty from p
+  window g as (partition by series_id, fa, fb), gx as (partition by series_id, fa, fb order by x, seq rows unbounded preceding), gy as (partition by series_id, fa, fb order by y, seq rows unbounded preceding)),
+u as (select *, x * (2 * (rx + 1) - n) + tx - 2 * px as u, y * (2 * (ry + 1) - n) + ty - 2 * py as v from k),
+l as (select series_id, fa, fb, x, y, ry, level, rx >> (level + 1) as block, (rx >> level) & 1 as bit from u, (select unnest(range(40))::int as level) where (n - 1) >> level > 0),
+w as (select series_id, fa, fb, x, y, bit, sum(1.0::double - bit) over b as c, sum(x * (1 - bit)) over b as sx, sum(y * (1 - bit)) over b as sy, sum(x * y * (1 - bit)) over b as sxy from l window b as (partition by series_id, fa, fb, level, block order by ry rows unbounded preceding)),
+g as (select series_id, fa, fb, sum(c * x * y - x * sy - y * sx + sxy) as under from w where bit = 1 group by 1, 2, 3),
+t as (select series_id, fa, fb, n::double as n, sum(x) as x1, sum(y) as y1, sum(x * x) as x2, sum(y * y) as y2, sum(x * y) as xy, sum(u) as u1, sum(v) as v1, sum(u * u) as u2, sum(v * v) as v2, sum(u * v) as uv from u group by series_id, fa, fb, n),
+d as (select series_id, fa, fb, n, 2 * (n * x2 - x1 * x1) / n / n + u1 / n / n * u1 / n / n - 2 * u2 / n / n / n as vx, 2 * (n * y2 - y1 * y1) / n / n + v1 / n / n * v1 / n / n - 2 * v2 / n / n / n as vy,
+  (4 * under - 2 * (n * xy - x1 * y1)) / n / n + u1 / n / n * v1 / n / n - 2 * uv / n / n / n as cxy from t join g using (series_id, fa, fb))
+select series_id, fa as feature_a, fb as feature_b, n::bigint as n, round(sqrt(greatest(cxy, 0) / sqrt(vx * vy)), 6) as dcor from d""",
         "m17_information": f"""with m as ({MEASURES}), t as (select series_id, seq, value as target from m where feature = 'price'), x as (select feature, ntile(16) over (partition by feature order by value, series_id, seq) as bx, ntile(16) over (partition by feature order by target, series_id, seq) as b2 from m join t using (series_id, seq) where feature <> 'price'),
 c as (select feature, bx, b2, count(*)::double as k from x group by 1, 2, 3), p as (select *, sum(k) over (partition by feature) as n, sum(k) over (partition by feature, bx) as nx, sum(k) over (partition by feature, b2) as ny from c)
 select feature, round(sum(k / n * ln(k * n / (nx * ny))), 6) as information from p group by 1""",
