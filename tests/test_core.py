@@ -306,3 +306,49 @@ def test_distance_correlation_against_matrices(spark):
         want = np.sqrt(max((a * b).mean(), 0) / spread) if spread > 1e-20 else 0.0
         assert got[g][0] == len(xs) and abs(got[g][1] - want) < 1e-7, (g, got[g], want)
     assert statistics.distance_correlation(df.limit(0), ("g",)).count() == 0
+
+
+def test_regime_dependence_against_counting(spark):
+    """Effects by counting pairs, sizes below the least as errors, and the strongest effects."""
+    import numpy as np
+
+    from tidemark.operators import statistics
+
+    rng = np.random.default_rng(11)
+    regime = ["trending"] * 40 + ["mean_reverting"] * 50 + ["random"] * 5
+    values = {"moved": np.r_[rng.normal(2, 1, 40), rng.normal(0, 1, 50), np.zeros(5)], "same": np.round(rng.normal(size=95), 1)}
+    rows = [("s", k, f, float(v)) for f, column in values.items() for k, v in enumerate(column)] + [("s", 0, "few", 1.0), ("s", 1, "few", None), ("s", 60, "few", 2.0)]
+    long = spark.createDataFrame(rows, "series_id string, seq int, feature string, value double")
+    labels = spark.createDataFrame([("s", k, r) for k, r in enumerate(regime)], "series_id string, seq int, regime string")
+    found = statistics.regime_dependence(long, labels)
+    got = {r["feature"]: r for r in found.collect()}
+    assert set(got) == {"moved", "same", "few"}
+    assert got["few"]["error"] == "Insufficient samples (trending=1, mean_rev=1)" and got["few"]["cliffs_delta"] is None
+    for f, column in values.items():
+        a, b = column[:40, None], column[None, 40:90]
+        assert abs(got[f]["cliffs_delta"] - ((a < b).mean() - (a > b).mean())) < 1e-9
+        assert abs(got[f]["trending_std"] - column[:40].std()) < 1e-9 and got[f]["n_random"] == 5 and got[f]["error"] is None
+    assert got["moved"]["regime_dependent"] and got["moved"]["effect"] == "large_suspicious"
+    total = statistics.regime_dependence_summary(found).first()
+    assert total["total_analyzed"] == 2 and total["regime_dependent"] + total["regime_invariant"] == 2
+    assert statistics.strongest_regime_effects(found, 1).first()["feature"] == "moved"
+    assert statistics.regime_dependence_summary(found.limit(0)).first()["dependence_rate"] == 0.0
+
+
+def test_audit_of_a_threshold(spark, tmp_path):
+    """Bars, features and statistics of one series; the series with too few bars is left out; files are written."""
+    from tidemark.operators import rolling
+    from tidemark.plans import audit
+
+    rows = [("a", k, 100.0 + 10 * ((k * 7) % 13), 1.0) for k in range(120)] + [("b", k, 100.0, 1.0) for k in range(9)]
+    bars = audit.audited_bars(spark.createDataFrame(rows, "series_id string, seq long, price double, quantity double"), 0.01)
+    n = bars.filter("series_id = 'a'").count()
+    first = bars.filter("series_id = 'a' and seq = 0").first()
+    assert n > 20 and first["nav"] == 1.0
+    stats = audit.audit_threshold(bars, 10)
+    got = stats.collect()
+    assert {r["series_id"] for r in got} == {"a"} and len(got) == 8
+    assert all(r["n_bars"] == n and r["n_windows"] == n - 9 and r["n_positive"] <= r["n_windows"] and 0 <= r["min"] <= r["max"] <= 1 for r in got)
+    audit.write_audit(bars, rolling.rolling_features(bars, (10,)), stats, str(tmp_path))
+    assert spark.read.option("header", True).csv(f"{tmp_path}/features").count() == bars.count()
+    assert spark.read.json(f"{tmp_path}/stats").count() == 8

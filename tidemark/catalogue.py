@@ -10,7 +10,7 @@ from .functions import scalars as X
 from .functions import sql
 from .operators import bars, causal, epochs, features, measures, rolling, selection, statistics, transforms, windows
 from .operators.rolling import CODES
-from .plans import report
+from .plans import audit, report
 from .sources import files, sinks
 from .streaming import online
 
@@ -129,6 +129,43 @@ def _effects(spark: SparkSession, d: str) -> DataFrame:
     return out.select("feature", "n1", "n2", r("u", 1), r("cliffs_delta"), r("cohens_d"))
 
 
+def _regimes_of_flags(spark: SparkSession, d: str) -> DataFrame:
+    name = F.when(F.col("series_id") == "A", "trending").when(F.col("series_id") == "R", "mean_reverting").otherwise("random")
+    return _measures(spark, d).select("series_id", "seq").distinct().withColumn("regime", name)
+
+
+def _dependence(spark: SparkSession, d: str) -> DataFrame:
+    return statistics.regime_dependence(_measures(spark, d), _regimes_of_flags(spark, d))
+
+
+def _dependence_table(spark: SparkSession, d: str) -> DataFrame:
+    out = rounded(rounded(_dependence(spark, d), "u", places=1), "trending_mean", "mean_rev_mean", "random_mean", "trending_std", "mean_rev_std", "random_std", "cohens_d", "cliffs_delta", places=4)
+    return out.drop("z", "p_value")
+
+
+def _audit(spark: SparkSession, d: str) -> DataFrame:
+    ticks = _et(spark, d).select("series_id", "seq", F.col("nav").alias("price"), F.lit(1.0).alias("quantity"))
+    return audit.audit_threshold(audit.audited_bars(ticks, 5.0), 20)
+
+
+def _computed_store(spark: SparkSession, d: str) -> DataFrame:
+    store = features.FeatureStore.from_computation(_user(spark, d), (5, 8), 25)
+    return store.df.select("series_id", "bar_index", "threshold_dbps", "lookback", "feature", r("value"), "valid", (F.length("nav_hash") == 16).alias("hashed"))
+
+
+def _tolerances(spark: SparkSession, d: str) -> DataFrame:
+    e = _events(spark, d)
+    preset = F.element_at(F.array(*(F.lit(p) for p in ("permissive", "research", "standard", "strict", "paranoid", "unknown"))), (F.col("event_id") % 6 + 1).cast("int"))
+    return e.select("event_id", X.effective_tolerance(preset, F.when(F.col("event_id") % 7 == 0, F.lit(0.3))).alias("tolerance"), X.warmup_bars(F.array(F.lit(20), (F.col("user_id") % 50).cast("int"))).alias("warmup"))
+
+
+def _job_results(spark: SparkSession, d: str) -> DataFrame:
+    """What one job for each event type would return, in one frame."""
+    e = _events(spark, d)
+    jobs = [e.filter(F.col("event_type") == t).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), *extra) for t, extra in (("click", []), ("view", [F.max("user_id").cast("double").alias("last_user")]), ("purchase", []))]
+    return features.concatenated(jobs)
+
+
 def _stability(spark: SparkSession, d: str) -> DataFrame:
     scaled = _long(spark, d).drop("threshold_dbps").withColumn("threshold_dbps", F.explode(F.array(F.lit(25), F.lit(50))))
     return rounded(statistics.threshold_stability(scaled.withColumn("value", F.col("value") * (F.col("threshold_dbps") / 25.0))), "cv", "spread")
@@ -323,6 +360,12 @@ def queries() -> dict[str, Query]:
         "m8_normality": _normality,
         "m8_beta": lambda s, d: rounded(statistics.beta_moments(measures.describe(_measures(s, d), ["feature"], "value")), "alpha", "beta", places=4).select("feature", "alpha", "beta"),
         "m9_effects": _effects,
+        "m10_dependence": _dependence_table,
+        "m10_summary": lambda s, d: rounded(statistics.regime_dependence_summary(_dependence(s, d)), "dependence_rate"),
+        "a35_audit": _audit,
+        "v4_computed_store": _computed_store,
+        "x24_tolerances": _tolerances,
+        "u5_concatenated": _job_results,
         "m13_participation": lambda s, d: rounded(statistics.participation_ratio(statistics.pair_correlations(_measures(s, d))), "participation_ratio").withColumn("n_features", F.col("n_features").cast("int")),
         "m16_dcor": lambda s, d: rounded(_dcor(s, d), "dcor"),
         "m21_bootstrap": lambda s, d: selection.bootstrap_importance(_measures(s, d).filter("feature <> 'price'"), _target(s, d)),

@@ -148,3 +148,20 @@ def all_bounded(*values: Column) -> Column:
     for v in values:
         ok = ok & F.coalesce((v >= 0.0) & (v <= 1.0) & ~F.isnan(v), F.lit(False))
     return ok
+
+
+# The continuity tolerances that presets stand for, as fractions.
+TOLERANCES = {"permissive": 0.05, "research": 0.02, "standard": 0.01, "strict": 0.005, "paranoid": 0.001}
+
+
+def effective_tolerance(preset: Column, tolerance: Column) -> Column:
+    """The stated tolerance, or else the preset's; NULL for an unknown preset."""
+    known = F.lit(None).cast("double")
+    for name, value in TOLERANCES.items():
+        known = F.when(preset == name, F.lit(value)).otherwise(known)
+    return F.coalesce(tolerance.cast("double"), known)
+
+
+def warmup_bars(lookbacks: Column) -> Column:
+    """Bars before the first full window of the longest of an array of lookbacks."""
+    return F.array_max(lookbacks) - 1

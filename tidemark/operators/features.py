@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars as X
-from .rolling import CODES
+from .bars import nav_hash
+from .rolling import CODES, long_features, rolling_features
 
 KEYS = ("series_id", "bar_index", "threshold_dbps", "lookback", "feature")
 COLUMNS = (*KEYS, "value", "valid", "computed_at", "nav_hash")
@@ -49,6 +50,12 @@ class FeatureStore:
         tall = wide.select(F.col(series).alias("series_id"), F.col(bar).alias("bar_index"), *(F.col(c).cast("double").alias(c) for c in parsed)).unpivot(["series_id", "bar_index"], list(parsed), "name", "value")
         return cls(tall.select("series_id", "bar_index", *(c.alias(n) for n, c in parse_name(F.col("name")).items()), F.when(~F.isnan("value"), F.col("value")).alias("value")))
 
+    @classmethod
+    def from_computation(cls, nav: DataFrame, lookbacks: tuple[int, ...], threshold: int, computed_at: str = "1970-01-01 00:00:00") -> "FeatureStore":
+        """Rolling features of (series_id, seq, nav), each row with the hash of its series' values."""
+        tall = long_features(rolling_features(nav.select("series_id", "seq", "nav"), lookbacks), threshold, computed_at).drop("nav_hash")
+        return cls(tall.join(nav_hash(nav), "series_id"))
+
     def filter(self, series: str | None = None, threshold: int | None = None, lookback: int | None = None, feature: str | None = None) -> "FeatureStore":
         df = self.df
         for column, value in (("series_id", series), ("threshold_dbps", threshold), ("lookback", lookback), ("feature", feature)):
@@ -86,6 +93,16 @@ class FeatureStore:
         self.df.write.mode("overwrite").partitionBy("threshold_dbps").parquet(path)
 
 
+def concatenated(parts: list[DataFrame]) -> DataFrame:
+    """The results of several jobs in one frame; columns that a part lacks are NULL there."""
+    if not parts:
+        raise ValueError("no parts")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
 def parse_name(name: Column) -> dict[str, Column]:
     """Threshold, lookback and feature of a wide column's name; NULL where it does not parse."""
     part = lambda i: F.nullif(F.regexp_extract(name, NAME, i), F.lit(""))

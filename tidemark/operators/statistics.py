@@ -114,10 +114,44 @@ def rank_effects(long: DataFrame, group: Column, first: str, second: str) -> Dat
     delta = 1 - 2 * F.try_divide(u, n1 * n2)
     scored = by.withColumns({"u": u, "cliffs_delta": delta, "cliffs_delta_standard": -delta, "cohens_d": F.try_divide(F.col("m1") - F.col("m2"), pooled), "z": F.try_divide(F.greatest(F.abs(u - n1 * n2 / 2) - 0.5, F.lit(0.0)), spread)})
     size = F.abs(F.col("cliffs_delta"))
-    word = F.when(size < 0.05, "negligible").when(size < 0.15, "small").when(size < 0.30, "medium").otherwise("large")
+    word = F.when(size < 0.05, "negligible").when(size < 0.15, "small_tradable").when(size < 0.30, "medium_strong").otherwise("large_suspicious")
     return scored.withColumns({"effect": word, "p_value": two_sided_p(F.col("z"))}).select("feature", "n1", "n2", "u", "cliffs_delta", "cliffs_delta_standard", "cohens_d", "effect", "z", "p_value")
 
 
+def regime_dependence(long: DataFrame, regimes: DataFrame, least: int = 30) -> DataFrame:
+    """Each feature of a long table in trending, mean-reverting and random regimes (series_id, seq, regime): sizes, means and
+    deviations, the effect between the first two and whether the feature depends on the regime (p below 0.05).
+
+    Features with fewer than ``least`` values in either of the two have an ``error`` and no effects.
+    """
+    rows = long.filter(F.col("value").isNotNull()).join(regimes.select("series_id", "seq", "regime"), ["series_id", "seq"])
+    within = {"trending": "trending", "mean_rev": "mean_reverting", "random": "random"}
+    of = {k: F.when(F.col("regime") == v, F.col("value")) for k, v in within.items()}
+    sizes = [F.count(c).alias(f"n_{k}") for k, c in of.items()]
+    by = rows.groupBy("feature").agg(*sizes, *(f(c).alias(f"{k}_{n}") for k, c in of.items() for n, f in (("mean", F.avg), ("std", F.stddev_pop))))
+    effects = rank_effects(rows, F.col("regime"), "trending", "mean_reverting").select("feature", "u", "z", "p_value", "cohens_d", "cliffs_delta", "effect")
+    enough = (F.col("n_trending") >= least) & (F.col("n_mean_rev") >= least)
+    short = F.format_string("Insufficient samples (trending=%d, mean_rev=%d)", "n_trending", "n_mean_rev")
+    met = by.join(effects, "feature", "left").withColumn("regime_dependent", F.coalesce(F.col("p_value") < 0.05, F.lit(False)))
+    scored = {c: F.when(enough, F.col(c)) for c in met.columns if c not in ("feature", "n_trending", "n_mean_rev", "n_random")}
+    return met.withColumns({**scored, "error": F.when(~enough, short)})
+
+
+def regime_dependence_summary(dependence: DataFrame) -> DataFrame:
+    """One row: features analysed, dependent and invariant ones, the rate, and how many there are of each size of effect."""
+    valid = dependence.filter("error is null")
+    sizes = ("negligible", "small_tradable", "medium_strong", "large_suspicious")
+    counted = valid.agg(F.count(F.lit(1)).alias("total_analyzed"), F.count_if("regime_dependent").alias("regime_dependent"), *(F.count_if(F.col("effect") == s).alias(s) for s in sizes))
+    total, dependent = F.col("total_analyzed"), F.col("regime_dependent")
+    return counted.select(total, dependent, (total - dependent).alias("regime_invariant"), F.coalesce(F.try_divide(dependent, total), F.lit(0.0)).alias("dependence_rate"), *sizes)
+
+
+def strongest_regime_effects(dependence: DataFrame, n: int = 10) -> DataFrame:
+    """The ``n`` dependent features with the largest Cliff's delta either way; ties go to the name that sorts first."""
+    strong = dependence.filter("error is null and regime_dependent")
+    return strong.orderBy(F.desc(F.abs("cliffs_delta")), "feature").limit(n).select("feature", "cliffs_delta", "cohens_d", "p_value")
+
+
 def two_sided_p(z: Column) -> Column:
     """Two-sided normal tail by a rational approximation of erfc (Abramowitz and Stegun 7.1.26), good to 2e-7."""
     x = F.abs(z) / F.lit(math.sqrt(2))

@@ -135,6 +135,14 @@ n as (select name, case when t < 1000 then ['redundant', 'Highly correlated with
 def sql() -> dict[str, str]:
     et, w = f"with s as ({EVENT_TYPE})", "window w as (partition by series_id order by seq)"
     rets = f"{et}, r as (select *, {_RET} as ret from s {w})"
+    dependence = f"""with m as (select *, case series_id when 'A' then 1 when 'R' then 2 else 3 end as g from ({MEASURES}) where value is not null),
+k as (select feature, value, g, count(*) over (partition by feature, value) as t, rank() over (partition by feature order by value) + (count(*) over (partition by feature, value) - 1) / 2 as rk from m where g < 3),
+e as (select feature, count(*) filter (g = 1)::double as n1, count(*) filter (g = 2)::double as n2, sum(rk) filter (g = 1) as ranks, sum(t::double * t - 1) as ties, var_samp(value) filter (g = 1) as v1, var_samp(value) filter (g = 2) as v2 from k group by 1),
+s as (select feature, count(*) filter (g = 1) as n_trending, count(*) filter (g = 2) as n_mean_rev, count(*) filter (g = 3) as n_random, avg(value) filter (g = 1) as trending_mean, stddev_pop(value) filter (g = 1) as trending_std,
+  avg(value) filter (g = 2) as mean_rev_mean, stddev_pop(value) filter (g = 2) as mean_rev_std, avg(value) filter (g = 3) as random_mean, stddev_pop(value) filter (g = 3) as random_std from m group by 1),
+u as (select *, ranks - n1 * (n1 + 1) / 2 as u, n1 + n2 as n from e join s using (feature)),
+c as (select *, 1 - 2 * u / (n1 * n2) as cliffs_delta, (trending_mean - mean_rev_mean) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n - 2)) as cohens_d, (abs(u - n1 * n2 / 2) - 0.5) / sqrt(n1 * n2 / 12 * (n + 1 - ties / (n * (n - 1)))) as z from u),
+d as (select *, z > 1.959964 as regime_dependent, case when abs(cliffs_delta) < 0.05 then 'negligible' when abs(cliffs_delta) < 0.15 then 'small_tradable' when abs(cliffs_delta) < 0.3 then 'medium_strong' else 'large_suspicious' end as effect from c) """
     out = {
         "entry_epoch_summary": f"""with {_FOLD_ET}, g as (select series_id, seq - coalesce(lag(seq) over (partition by series_id order by seq), 0) as gap from f where epoch),
 i as (select series_id, count(*) as n_epochs, stddev_pop(gap) / avg(gap) as cv from g group by 1),
@@ -229,6 +237,13 @@ c as ({' union all '.join(f'select series_id as feature, {k} as lag, round(corr(
 e as (select feature, sum((series_id = 'A')::int)::double as n1, sum((series_id = 'R')::int)::double as n2, sum(case when series_id = 'A' then rk end) as ranks, avg(value) filter (series_id = 'A') as m1, avg(value) filter (series_id = 'R') as m2,
   var_samp(value) filter (series_id = 'A') as v1, var_samp(value) filter (series_id = 'R') as v2 from k group by 1), u as (select *, ranks - n1 * (n1 + 1) / 2 as u from e)
 select feature, n1, n2, round(u, 1) as u, round(1 - 2 * u / (n1 * n2), 6) as cliffs_delta, round((m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)), 6) as cohens_d from u""",
+        "m10_dependence": dependence + """select feature, n_trending, n_mean_rev, n_random, round(trending_mean, 4) as trending_mean, round(trending_std, 4) as trending_std, round(mean_rev_mean, 4) as mean_rev_mean, round(mean_rev_std, 4) as mean_rev_std,
+  round(random_mean, 4) as random_mean, round(random_std, 4) as random_std, round(u, 1) as u, round(cohens_d, 4) as cohens_d, round(cliffs_delta, 4) as cliffs_delta, effect, regime_dependent, null::varchar as error from d""",
+        "m10_summary": dependence + """select count(*) as total_analyzed, count(*) filter (regime_dependent) as regime_dependent, count(*) filter (not regime_dependent) as regime_invariant, round(avg(regime_dependent::int), 6) as dependence_rate,
+  count(*) filter (effect = 'negligible') as negligible, count(*) filter (effect = 'small_tradable') as small_tradable, count(*) filter (effect = 'medium_strong') as medium_strong, count(*) filter (effect = 'large_suspicious') as large_suspicious from d""",
+        "v4_computed_store": f"{_LONG} select series_id, bar_index, 25 as threshold_dbps, lookback, feature, round(value, 6) as value, value is not null as valid, true as hashed from long",
+        "x24_tolerances": "select event_id, case when event_id % 7 = 0 then 0.3::double else ([0.05, 0.02, 0.01, 0.005, 0.001, null]::double[])[(event_id % 6 + 1)::int] end as tolerance, (greatest(20, user_id % 50) - 1)::int as warmup from events",
+        "u5_concatenated": "select event_type, count(*) as n, case when event_type = 'view' then max(user_id)::double end as last_user from events where event_type in ('click', 'view', 'purchase') group by 1",
         "m13_participation": f"{_PAIRS} select round(16 / (4 + 2 * sum(r * r)), 6) as participation_ratio, 4 as n_features from c",
         "x_scalars": f"{et} select series_id, seq, {', '.join(f'round({e}, 6) as {n}' for e, n in ((sigmoid('seq / 100', 0.5, 10), 'epochs'), ('tanh(5 * abs(nav / 1000))', 'excess'), (sigmoid('nav / 100', 0.5, 4), 'cv'), ('least(greatest(nav / 100, 0), 1)', 'clamped'), ('0.5 + 0.5 * tanh((nav / 500 - 0.5) * 4)', 'hurst')))} from s",
         "x7_gk_raw": _gk("gk_raw", "raw"),
