@@ -145,7 +145,7 @@ def _dependence_table(spark: SparkSession, d: str) -> DataFrame:
 
 def _audit(spark: SparkSession, d: str) -> DataFrame:
     ticks = _et(spark, d).select("series_id", "seq", F.col("nav").alias("price"), F.lit(1.0).alias("quantity"))
-    return audit.audit_threshold(audit.audited_bars(ticks, 5.0), 20)
+    return audit.audit_threshold(audit.audited_bars(ticks, 0.5), 20)
 
 
 def _computed_store(spark: SparkSession, d: str) -> DataFrame:
