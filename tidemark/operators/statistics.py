@@ -114,7 +114,7 @@ def rank_effects(long: DataFrame, group: Column, first: str, second: str) -> Dat
     delta = 1 - 2 * F.try_divide(u, n1 * n2)
     scored = by.withColumns({"u": u, "cliffs_delta": delta, "cliffs_delta_standard": -delta, "cohens_d": F.try_divide(F.col("m1") - F.col("m2"), pooled), "z": F.try_divide(F.greatest(F.abs(u - n1 * n2 / 2) - 0.5, F.lit(0.0)), spread)})
     size = F.abs(F.col("cliffs_delta"))
-    word = F.when(size < 0.05, "negligible").when(size < 0.15, "small_tradable").when(size < 0.30, "medium_strong").otherwise("large_suspicious")
+    word = F.when(size < 0.05, "negligible").when(size < 0.15, "small").when(size < 0.30, "medium").otherwise("large")
     return scored.withColumns({"effect": word, "p_value": two_sided_p(F.col("z"))}).select("feature", "n1", "n2", "u", "cliffs_delta", "cliffs_delta_standard", "cohens_d", "effect", "z", "p_value")
 
 
@@ -129,7 +129,8 @@ def regime_dependence(long: DataFrame, regimes: DataFrame, least: int = 30) -> D
     of = {k: F.when(F.col("regime") == v, F.col("value")) for k, v in within.items()}
     sizes = [F.count(c).alias(f"n_{k}") for k, c in of.items()]
     by = rows.groupBy("feature").agg(*sizes, *(f(c).alias(f"{k}_{n}") for k, c in of.items() for n, f in (("mean", F.avg), ("std", F.stddev_pop))))
-    effects = rank_effects(rows, F.col("regime"), "trending", "mean_reverting").select("feature", "u", "z", "p_value", "cohens_d", "cliffs_delta", "effect")
+    named = F.when(F.col("effect") == "small", "small_tradable").when(F.col("effect") == "medium", "medium_strong").when(F.col("effect") == "large", "large_suspicious").otherwise(F.col("effect"))
+    effects = rank_effects(rows, F.col("regime"), "trending", "mean_reverting").withColumn("effect", named).select("feature", "u", "z", "p_value", "cohens_d", "cliffs_delta", "effect")
     enough = (F.col("n_trending") >= least) & (F.col("n_mean_rev") >= least)
     short = F.format_string("Insufficient samples (trending=%d, mean_rev=%d)", "n_trending", "n_mean_rev")
     met = by.join(effects, "feature", "left").withColumn("regime_dependent", F.coalesce(F.col("p_value") < 0.05, F.lit(False)))
