@@ -243,14 +243,13 @@ def test_lagged_links_find_the_planted_lag(spark):
 
 
 def test_windows_of_scattering_and_change_points(spark):
-    from tidemark.operators import transforms
+    from tidemark.operators import segmentation, transforms
 
     nav = nav_frame(spark, np.r_[np.sin(np.arange(300) / 3), np.sin(np.arange(300) * 1.3)])
     dealt = transforms.hopping_windows(nav, 100, 50).groupBy("end").count().orderBy("end").collect()
     assert [(r.end, r["count"]) for r in dealt] == [(99 + 50 * k, 100) for k in range(11)]
-    cut = transforms.change_points(nav, 20, 600).collect()
-    assert len(cut) == 1 and abs(cut[0].change_point - 300) < 25
-    assert transforms.segment_summary(transforms.change_points(nav, 20, 600), nav).first().n_segments == 2
+    cut = segmentation.change_points(nav, 20).collect()
+    assert len(cut) == 1 and abs(cut[0].seq - 300) < 25
     paths = transforms.scattering_series(nav, 128, 64)
     assert paths.filter("value is null").count() == 0 and transforms.scattering_summary(paths).count() == paths.select("path").distinct().count()
 

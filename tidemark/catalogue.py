@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import lesser, oracles, series
 from .functions import scalars as X
 from .functions import sql
-from .operators import bars, causal, epochs, features, measures, rolling, selection, statistics, transforms, windows
+from .operators import bars, causal, epochs, features, measures, rolling, segmentation, selection, statistics, transforms, windows
 from .operators.rolling import CODES
 from .plans import audit, report
 from .sources import files, sinks
@@ -81,13 +81,12 @@ def _walk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _window_rows(spark: SparkSession, d: str) -> DataFrame:
-    met = windows.in_windows(_et(spark, d), _walk(spark, d))
-    return met.groupBy("series_id", "anchor", "window", "part").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("nav"), 2).alias("total"))
+    return windows.window_totals(_et(spark, d), _walk(spark, d)).select("series_id", "anchor", "window", "part", "n", r("total", 2))
 
 
 def _awfo(spark: SparkSession, d: str) -> DataFrame:
-    met = windows.in_windows(_et(spark, d), _walk(spark, d)).filter("part = 'test'")
-    scores = windows.awfo_scores(met.groupBy("series_id", "anchor", "window").agg(F.avg("nav").alias("score")))
+    met = windows.window_totals(_et(spark, d), _walk(spark, d)).filter("part = 'test'")
+    scores = windows.awfo_scores(met.select("series_id", "anchor", "window", F.try_divide("total", "n_valid").alias("score")))
     return rounded(scores, "mean_score", "std_score", "overall", places=5)
 
 
@@ -270,10 +269,6 @@ def _mrmr(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(k, f, v) for k, (f, v) in enumerate(chosen)], "place int, feature string, score double")
 
 
-def _segments(spark: SparkSession, d: str) -> DataFrame:
-    return transforms.segment_summary(transforms.change_points(_et(spark, d), least=0.0), _et(spark, d))
-
-
 def _jobs(spark: SparkSession, d: str) -> DataFrame:
     o = spark.read.parquet(f"{d}/orders.parquet")
     return o.groupBy("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"))
@@ -391,7 +386,7 @@ def queries() -> dict[str, Query]:
         "u1_union": _union,
         "w13_scattering": lambda s, d: transforms.scattering_series(_et(s, d)),
         "w14_scattering_summary": lambda s, d: transforms.scattering_summary(transforms.scattering_series(_et(s, d))),
-        "w19_segments": _segments,
+        "w19_segments": lambda s, d: segmentation.segment_features(_et(s, d)),
         "x20_year_ranges": _years,
         "q8_synthetic_regimes": lambda s, d: files.synthetic_regimes(s, 20, 250),
         "x_scalars": _scalars,

@@ -1,22 +1,20 @@
 """Scalar measures of each series, as grouped aggregates over the long frame.
 
-Nearly all are native: one shuffle by series (or by series and bin), with partial aggregation. Sample
-entropy compares all windows of a series with each other; it is a grouped kernel for series of up to
-``MAX_POINTS`` points, and an error beyond: cut longer ones first.
+All are native: one shuffle by series (or by series and bin), with partial aggregation; sample entropy joins
+cells of a grid over the templates of a series.
 """
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars as X
 from ..series import point_window, so_far
+from ..shared import checkpointed
+from .neighbours import matching_pairs
+from .spread import at_position
 from .windows import drawdown_spikes, with_returns
 
-MAX_POINTS = 50_000
-
 
 def sharpe(ret: Column, periods: float, risk_free: float = 0.0) -> Column:
     """Annualised mean over the sample deviation; NULL for fewer than two values or no spread."""
@@ -129,15 +127,12 @@ def mad_tolerance(values: DataFrame, column: str = "nav") -> DataFrame:
 
 
 def _upper_median(df: DataFrame, column: str, name: str) -> DataFrame:
-    """The value at position n // 2 of each series in order, found by rank rather than by gathering values."""
-    at = F.row_number().over(Window.partitionBy("series_id").orderBy(column)) - 1
-    n = F.count(column).over(Window.partitionBy("series_id"))
-    placed = df.filter(F.col(column).isNotNull()).withColumns({"at": at, "n": n})
-    return placed.filter(F.col("at") == F.floor(F.col("n") / 2)).select("series_id", F.col(column).alias(name))
+    """The value at position n // 2 of each series in order, found by ranges rather than by gathering or sorting a series."""
+    return at_position(df, ["series_id"], column, **{name: F.floor(F.col("n") / 2)}).select("series_id", name)
 
 
 def _mad(df: DataFrame, column: str) -> DataFrame:
-    centre = _upper_median(df, column, "centre")
+    centre = checkpointed(_upper_median(df, column, "centre"))
     off = df.join(centre, "series_id").withColumn("off", F.abs(F.col(column) - F.col("centre")))
     return _upper_median(off, "off", "mad")
 
@@ -180,31 +175,24 @@ def higuchi_dimension(nav: DataFrame, k_max: int = 10) -> DataFrame:
     )
 
 
-def _sample_entropy(x: np.ndarray, m: int, r: float, least: int) -> float | None:
-    if len(x) < least:
-        return None
-    counts = []
-    for length in (m, m + 1):
-        k, pairs = len(x) - length, 0
-        windows = np.lib.stride_tricks.sliding_window_view(x, length)[:k]
-        for i in range(0, k, 256):
-            near = (np.abs(windows[i : i + 256, None, :] - windows[None, :, :]) <= r).all(2)
-            pairs += int(np.triu(near, i + 1).sum())
-        counts.append(pairs)
-    return float(1 - np.exp(-(-np.log(counts[1] / counts[0])))) if all(counts) else None
-
-
 def sample_entropy(nav: DataFrame, m: int = 2, least: int | None = None) -> DataFrame:
-    """1 - exp(-SampEn) with the robust tolerance, template counts n - length for both lengths; NULL where undefined."""
-    need = least if least is not None else X.MINIMUM_SAMPLES["sample_entropy"].get(m, 10**m)
+    """1 - exp(-SampEn) with the robust tolerance, template counts n - length for both lengths; NULL where undefined.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > MAX_POINTS:
-            raise ValueError(f"{len(pdf)} points in a series; at most {MAX_POINTS}")
-        x = pdf.sort_values("seq")["nav"].to_numpy(np.float64)
-        return pd.DataFrame({"series_id": [pdf["series_id"].iloc[0]], "sample_entropy": [_sample_entropy(x, m, float(pdf["tolerance"].iloc[0]), need)]})
-
-    return nav.select("series_id", "seq", "nav").join(mad_tolerance(nav), "series_id").groupBy("series_id").applyInPandas(run, "series_id string, sample_entropy double")
+    Templates of either length are points, and their matches are counted on a grid of cells: no series is gathered, and
+    pairs are compared at the tolerance's edge only.
+    """
+    need = least if least is not None else X.MINIMUM_SAMPLES["sample_entropy"].get(m, 10**m)
+    axes = [f"v{k}" for k in range(m + 1)]
+    ahead = {a: (F.lead("nav", k).over(point_window()) if k else F.col("nav").cast("double")) for k, a in enumerate(axes)}
+    known = nav.select("series_id", "seq", F.col("nav").cast("double").alias("nav")).withColumns(ahead)
+    known = known.withColumn("left", F.lead("seq", m + 1).over(point_window()))
+    templates = known.join(checkpointed(mad_tolerance(nav)), "series_id")
+    short = templates.filter(F.col(axes[-1]).isNotNull())
+    count = lambda rows, length, name: matching_pairs(rows, "series_id", axes[:length], "tolerance").withColumnRenamed("pairs", name)
+    matched = count(short, m, "short").join(count(short.filter("left is not null"), m + 1, "long"), "series_id")
+    n = nav.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"))
+    share = F.col("long") / F.col("short")
+    return n.join(matched, "series_id", "left").select("series_id", F.when(F.col("n") >= need, 1 - share).alias("sample_entropy"))
 
 
 def hurst_exponent(nav: DataFrame, scales: int = 5) -> DataFrame:
@@ -275,7 +263,7 @@ def direction_check(nav: DataFrame) -> DataFrame:
 
 
 def all_metrics(nav: DataFrame, bins: int = 10) -> DataFrame:
-    """The bounded measures of each series side by side; each part is native or a grouped kernel, joined by series."""
+    """The bounded measures of each series side by side; each part is native, joined by series."""
     rets = with_returns(nav, "open_fraction")
     parts = [
         permutation_entropy(nav), sample_entropy(nav), shannon_entropy(rets.filter("ret is not null"), bins, "ret"),

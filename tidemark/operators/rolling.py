@@ -3,20 +3,24 @@
 Each window is divided by its first value, its own worst drawdown is the hurdle of the long fold and its
 own worst run-up that of the short fold, and eight features in [0, 1] come out at the window's last
 point. Windows don't depend on one another, so a long series is cut into chunks that carry the
-lookback - 1 points before them: a chunk is the unit of work, bounded whatever a series' length. In a
-chunk the state machine advances all windows together, one array operation a step.
+points of the longest lookback before them. Points are sorted once by series and chunk and stream through: a task keeps the last
+points of the longest lookback, and the state machine advances all windows that end in a batch together, whatever
+series they are of, one array operation a step and lookback.
 """
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars as X
 
-#: Windows of one chunk.
-CHUNK = 4096
+#: Points of one chunk, and values of windows that are unfolded at a time.
+CHUNK, UNFOLDED = 1 << 16, 1 << 21
 #: Feature codes in the order of the wide table. Fixed values of the table's format.
 CODES = ("bull_ed", "bear_ed", "bull_eg", "bear_eg", "bull_cv", "bear_cv", "max_dd", "max_ru")
 DEFAULT_LOOKBACKS = (20, 50, 100, 200, 500)
@@ -52,9 +56,8 @@ def _fold(w: np.ndarray, hurdle: np.ndarray, long: bool) -> tuple[np.ndarray, np
     return count, total, np.where(count > 0, cv, np.nan)
 
 
-def window_features(nav: np.ndarray, lookback: int) -> np.ndarray:
-    """Eight raw columns for each window of ``nav``; NaN where the first value is not positive and finite."""
-    w = np.lib.stride_tricks.sliding_window_view(nav, lookback)
+def window_features(w: np.ndarray) -> np.ndarray:
+    """Eight raw columns for each window (row); NaN where the first value is not positive and finite."""
     ok = np.isfinite(w[:, 0]) & (w[:, 0] > 0)
     w = w / np.where(ok, w[:, 0], 1.0)[:, None]
     top, low = np.maximum.accumulate(w, axis=1), np.minimum.accumulate(w, axis=1)
@@ -66,6 +69,47 @@ def window_features(nav: np.ndarray, lookback: int) -> np.ndarray:
     return out
 
 
+def _starts(batch: pa.RecordBatch) -> np.ndarray:
+    """For each row, the first row of the batch that is of the same series and chunk."""
+    new = np.ones(batch.num_rows, bool)
+    for name in ("series_id", "chunk"):
+        c = batch.column(name)
+        differs = pc.fill_null(pc.not_equal(c[1:], c[:-1]), True).to_numpy(zero_copy_only=False)
+        new[1:] = differs if name == "series_id" else new[1:] | differs
+    return np.maximum.accumulate(np.where(new, np.arange(batch.num_rows), 0))
+
+
+def _streamed(lookbacks: tuple[int, ...], chunk: int, full: bool):
+    """A function of sorted batches (series_id, chunk, seq, nav, n) that gives the raw columns of each point and lookback."""
+    names = [part.split()[0] for part in RAW.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            before = held.num_rows if held is not None else 0
+            rows = pa.Table.from_batches([*([held] if before else []), b]).combine_chunks().to_batches()[0] if before + b.num_rows else b
+            if not b.num_rows:
+                continue
+            start, at = _starts(rows), np.arange(rows.num_rows)
+            nav, seq, n, chunks = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("nav", "seq", "n", "chunk"))
+            nav = nav.astype(np.float64)
+            mine = (at >= before) & (seq >= chunks * chunk)
+            for k in lookbacks:
+                out = at[mine & ((k <= n) if full else (k < n))]
+                values = np.full((len(out), 8), np.nan)
+                whole = np.flatnonzero(out - k + 1 >= start[out])
+                for i in range(0, len(whole), max(1, UNFOLDED // k)):
+                    part = whole[i : i + max(1, UNFOLDED // k)]
+                    values[part] = window_features(nav[out[part][:, None] + np.arange(1 - k, 1)])
+                if len(out):
+                    made = [rows.column("series_id").take(pa.array(out)), pa.array(np.full(len(out), k, np.int32)), pa.array(seq[out]), *(pa.array(values[:, c]) for c in range(8))]
+                    yield pa.RecordBatch.from_arrays(made, names=names)
+            kept = max(start[-1], rows.num_rows - max(lookbacks) + 1)
+            held = rows.slice(kept)
+
+    return run
+
+
 def rolling_features(nav: DataFrame, lookbacks: tuple[int, ...] = DEFAULT_LOOKBACKS, include_full: bool = False, chunk: int = CHUNK) -> DataFrame:
     """(series_id, lookback, seq, eight features): a row for every point, features NULL in the warm-up.
 
@@ -74,26 +118,11 @@ def rolling_features(nav: DataFrame, lookbacks: tuple[int, ...] = DEFAULT_LOOKBA
     """
     length = F.count(F.lit(1)).over(Window.partitionBy("series_id"))
     sized = nav.select("series_id", "seq", F.col("nav").cast("double").alias("nav")).withColumn("n", length)
-    spread = sized.withColumn("lookback", F.explode(F.array(*[F.lit(int(x)) for x in lookbacks])))
-    spread = spread.filter(F.col("lookback") <= F.col("n") if include_full else F.col("lookback") < F.col("n"))
-    own = F.floor(F.col("seq") / F.lit(chunk)).cast("long")
-    until = F.floor((F.col("seq") + F.col("lookback") - 1) / F.lit(chunk)).cast("long")
-    last = F.floor((F.col("n") - 1) / F.lit(chunk)).cast("long")
-    dealt = spread.withColumn("chunk", F.explode(F.sequence(own, F.least(until, last))))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        lookback, seq = int(pdf["lookback"].iloc[0]), pdf["seq"].to_numpy()
-        first = int(pdf["chunk"].iloc[0]) * chunk
-        out = pd.DataFrame({"series_id": pdf["series_id"], "lookback": lookback, "seq": seq})
-        values = np.full((len(pdf), 8), np.nan)
-        if len(pdf) >= lookback:
-            values[lookback - 1 :] = window_features(pdf["nav"].to_numpy(np.float64), lookback)
-        for i, name in enumerate(RAW.split(", ")[3:]):
-            out[name.split()[0]] = values[:, i]
-        return out[seq >= first]
-
-    raw = dealt.groupBy("series_id", "lookback", "chunk").applyInPandas(run, RAW)
+    own, last = F.floor(F.col("seq") / F.lit(chunk)).cast("long"), F.floor((F.col("n") - 1) / F.lit(chunk)).cast("long")
+    until = F.floor((F.col("seq") + max(lookbacks) - 1) / F.lit(chunk)).cast("long")
+    dealt = sized.withColumn("chunk", F.explode(F.sequence(own, F.greatest(own, F.least(until, last)))))
+    ordered = dealt.repartition("series_id", "chunk").sortWithinPartitions("series_id", "chunk", "seq").select("series_id", "chunk", "seq", "nav", "n")
+    raw = ordered.mapInArrow(_streamed(tuple(int(k) for k in lookbacks), chunk, include_full), RAW)
     seen = F.col("bull_n").isNotNull() & ~F.isnan("bull_n")
     made = (
         X.normalize_epochs(F.col("bull_n"), F.col("lookback")), X.normalize_epochs(F.col("bear_n"), F.col("lookback")),

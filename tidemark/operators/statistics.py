@@ -13,11 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def average_ranks(df: DataFrame, keys: list[str], value: str = "value", name: str = "rank") -> DataFrame:
-    """Adds the average rank of each value among its key's, from 1."""
-    place = F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, value)) - 1) / 2
-    return df.withColumn(name, place.cast("double"))
+from .spread import average_ranks
 
 
 def pair_correlations(long: DataFrame, method: str = "pearson", keys: tuple[str, ...] = ("series_id", "seq"), least: int = 30) -> DataFrame:
@@ -59,31 +55,57 @@ def sequence_length(half: DataFrame) -> DataFrame:
     return half.agg(F.coalesce(F.least(F.greatest((median * 2).cast("int"), F.lit(10)), F.lit(200)), F.lit(50)).alias("length"))
 
 
-def _adf(x: np.ndarray) -> tuple[float | None, int]:
-    """t statistic of the lagged level in an augmented Dickey-Fuller regression with a constant."""
-    n = len(x)
-    if n < 50:
-        return None, 0
-    lags = min(12, int((n - 1) ** (1 / 3)))
-    dx = np.diff(x)
-    y = dx[lags:]
-    design = np.column_stack([x[lags:-1], np.ones(len(y)), *(dx[lags - k : -k] for k in range(1, lags + 1))])
-    beta, *_ = np.linalg.lstsq(design, y, rcond=None)
-    left = y - design @ beta
-    spread = left @ left / max(1, len(y) - design.shape[1])
-    cov = np.linalg.pinv(design.T @ design) * spread
-    return (float(beta[0] / math.sqrt(cov[0, 0])) if cov[0, 0] > 0 else None), lags
+#: Lagged differences of an augmented Dickey-Fuller regression at most. Fixed value of the definition.
+MOST_LAGS = 12
 
 
 def stationarity(long: DataFrame, critical: float = -2.86) -> DataFrame:
-    """(series_id, feature, statistic, lags, stationary) of each feature's series."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        stat, lags = _adf(pdf.sort_values("seq")["value"].dropna().to_numpy(np.float64))
-        return pd.DataFrame({"series_id": [pdf["series_id"].iloc[0]], "feature": [pdf["feature"].iloc[0]], "statistic": [stat], "lags": [lags], "stationary": [None if stat is None else stat < critical]})
+    """(series_id, feature, statistic, lags, stationary): t of the lagged level in an augmented Dickey-Fuller regression with a constant.
 
-    rows = long.select("series_id", "feature", "seq", "value")
-    return rows.groupBy("series_id", "feature").applyInPandas(run, "series_id string, feature string, statistic double, lags int, stationary boolean")
+    Lags number the cube root of the steps, ``MOST_LAGS`` at most. The products of the regression's columns are summed
+    by partial aggregates, 15 by 15 numbers a series, and each system of 14 unknowns at most is solved from that one row.
+    Levels are taken from the series' mean in units of its deviation, which changes no t. NULL below 50 values,
+    nulls left out, or where the level has no spread of its own.
+    """
+    rows = long.filter(F.col("value").isNotNull()).select("series_id", "feature", "seq", F.col("value").cast("double").alias("value"))
+    sizes = rows.groupBy("series_id", "feature").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("spread"))
+    root = F.pow((F.col("n") - 1).cast("double"), F.lit(1.0 / 3.0))
+    whole = F.round(root)
+    lags = F.least(F.when(whole * whole * whole == F.col("n") - 1, whole).otherwise(F.floor(root)), F.lit(MOST_LAGS)).cast("int")
+    sizes = sizes.withColumn("lags", F.when(F.col("n") >= 50, lags).otherwise(F.lit(0)))
+    order = Window.partitionBy("series_id", "feature").orderBy("seq")
+    level = F.try_divide(F.col("value") - F.col("mean"), F.col("spread"))
+    steps = rows.join(sizes, ["series_id", "feature"]).filter("n >= 50").withColumn("x", level)
+    steps = steps.withColumns({"before": F.lag("x").over(order), "at": F.row_number().over(order) - 1}).withColumn("d", F.col("x") - F.col("before"))
+    steps = steps.withColumns({f"d{k}": F.when(F.col("lags") >= k, F.lag("d", k).over(order)).otherwise(F.lit(0.0)) for k in range(1, MOST_LAGS + 1)}).filter("at > lags")
+    columns = [F.col("before"), F.lit(1.0), *(F.col(f"d{k}") for k in range(1, MOST_LAGS + 1)), F.col("d")]
+    sums = F.array(*(F.sum(columns[i] * columns[j]) for i in range(len(columns)) for j in range(i, len(columns))))
+    summed = steps.groupBy("series_id", "feature", "lags").agg(sums.alias("sums"))
+
+    @F.pandas_udf("double")
+    def solved(sums: pd.Series, lags: pd.Series) -> pd.Series:
+        return pd.Series([_level_t(np.array(s, np.float64), int(k)) for s, k in zip(sums, lags, strict=True)], dtype="float64")
+
+    found = summed.select("series_id", "feature", solved("sums", "lags").alias("t"))
+    known = F.when(~F.isnan("t"), F.col("t"))
+    out = sizes.join(found, ["series_id", "feature"], "left").withColumn("statistic", known)
+    return out.select("series_id", "feature", "statistic", "lags", (F.col("statistic") < critical).alias("stationary"))
+
+
+def _level_t(sums: np.ndarray, lags: int) -> float:
+    """t of the first column from the upper triangle of all products; NaN where the system can't be solved."""
+    p = MOST_LAGS + 3
+    products = np.zeros((p, p))
+    products[np.triu_indices(p)] = sums
+    products += np.triu(products, 1).T
+    used = [0, 1, *range(2, 2 + lags)]
+    inner, right, n = products[np.ix_(used, used)], products[used, -1], products[1, 1]
+    if not np.isfinite(inner).all() or n <= len(used) or np.linalg.matrix_rank(inner) < len(used):
+        return float("nan")
+    beta = np.linalg.solve(inner, right)
+    spread = (products[-1, -1] - 2 * beta @ right + beta @ inner @ beta) / (n - len(used))
+    variance = spread * np.linalg.inv(inner)[0, 0]
+    return float(beta[0] / math.sqrt(variance)) if variance > 0 else float("nan")
 
 
 def temporal_structure(long: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Wavelet scattering and segmentation of windows of a series.
+"""Wavelet scattering of windows of a series.
 
 Windows are cut in Spark: a row is dealt to every window that holds it, windows are groups of a fixed number
 of rows, and a small array kernel works on one window. A series of any length is many windows, never one task.
@@ -6,7 +6,7 @@ of rows, and a small array kernel works on one window. A series of any length is
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -53,51 +53,3 @@ def scattering_series(nav: DataFrame, size: int = 256, stride: int = 64, octaves
 def scattering_summary(paths: DataFrame) -> DataFrame:
     """Mean, spread and range of each path over a series' windows."""
     return paths.groupBy("series_id", "path").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.max("value").alias("max"), F.min("value").alias("min"))
-
-
-def _profile(x: np.ndarray, width: int, neighbours: int = 3) -> np.ndarray:
-    """How well the nearest windows on either side of each split tell the sides apart (Schäfer et al., 2021)."""
-    windows = np.lib.stride_tricks.sliding_window_view(x, width)
-    centred = windows - windows.mean(1, keepdims=True)
-    unit = centred / np.maximum(np.linalg.norm(centred, axis=1, keepdims=True), 1e-12)
-    alike = unit @ unit.T
-    n = len(alike)
-    apart = np.abs(np.subtract.outer(np.arange(n), np.arange(n))) < width
-    alike[apart] = -np.inf
-    near = np.argpartition(-alike, neighbours, axis=1)[:, :neighbours]
-    score = np.full(n, 0.5)
-    for split in range(width, n - width):
-        left = (near < split).mean(1) >= 0.5
-        truth = np.arange(n) < split
-        score[split] = 0.5 * ((left & truth).sum() / split + (~left & ~truth).sum() / (n - split))
-    return score
-
-
-def change_points(nav: DataFrame, width: int = 20, chunk: int = 600, least: float = 0.75) -> DataFrame:
-    """(series_id, window_end, change_point, score): the best split of each chunk whose score reaches ``least``."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        x, seq = pdf["nav"].to_numpy(np.float64), pdf["seq"].to_numpy()
-        out = pd.DataFrame({"series_id": pd.Series([], dtype=str), "window_end": pd.Series([], dtype="int64"), "change_point": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
-        if len(x) < 5 * width:
-            return out
-        score = _profile(x, width)
-        best = int(score.argmax())
-        if score[best] < least:
-            return out
-        return pd.DataFrame({"series_id": [pdf["series_id"].iloc[0]], "window_end": [int(seq[-1])], "change_point": [int(seq[best])], "score": [float(score[best])]})
-
-    whole = hopping_windows(nav.select("series_id", "seq", "nav").filter("nav is not null"), chunk, chunk // 2)
-    return whole.groupBy("series_id", "end").applyInPandas(run, "series_id string, window_end long, change_point long, score double")
-
-
-def segment_summary(points: DataFrame, nav: DataFrame) -> DataFrame:
-    """(series_id, n_segments, segment_cv, first_change, last_change, mean_score) of each series."""
-    n = nav.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"))
-    cuts = points.select("series_id", F.col("change_point").alias("cut"), "score").groupBy("series_id", "cut").agg(F.max("score").alias("score"))
-    edges = cuts.unionByName(n.select("series_id", F.col("n").cast("long").alias("cut"), F.lit(None).cast("double").alias("score")))
-    length: Column = F.col("cut") - F.coalesce(F.lag("cut").over(Window.partitionBy("series_id").orderBy("cut")), F.lit(0))
-    by = edges.withColumn("length", length).groupBy("series_id")
-    real = F.when(F.col("score").isNotNull(), F.col("cut"))
-    return by.agg(F.count(F.lit(1)).alias("n_segments"), F.try_divide(F.stddev_pop("length"), F.avg("length")).alias("segment_cv"), F.min(real).alias("first_change"), F.max(real).alias("last_change"), F.avg("score").alias("mean_score"))

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from ..functions import scalars as X
 from ..series import point_window, so_far
+from .spread import counts_below, running_sums
 
 _ALL = Window.unboundedPreceding, Window.unboundedFollowing
 
@@ -53,11 +54,10 @@ def drawdown_spikes(nav: DataFrame) -> DataFrame:
 
 
 def rank_normalize(df: DataFrame, value: str, partition: str = "series_id") -> DataFrame:
-    """Adds ``ranked``: average ranks from 0 to 1; a lone value gets 0.5."""
-    by = Window.partitionBy(partition)
-    place = F.rank().over(by.orderBy(value)) - 1 + (F.count(F.lit(1)).over(Window.partitionBy(partition, value)) - 1) / 2
-    n = F.count(F.lit(1)).over(by)
-    return df.withColumn("ranked", F.when(n <= 1, F.lit(0.5)).otherwise(F.try_divide(place, n - 1)))
+    """Adds ``ranked``: average ranks from 0 to 1; a lone value gets 0.5, a null NULL."""
+    ranks = counts_below(df, [partition], value)
+    share = F.when(F.col("n") <= 1, F.lit(0.5)).otherwise(F.try_divide(F.col("below") + (F.col("c") - 1) / 2, F.col("n") - 1))
+    return df.join(ranks.select(partition, value, share.alias("ranked")), [partition, value], "left").select(*df.columns, "ranked")
 
 
 def rank_against(values: DataFrame, reference: DataFrame) -> DataFrame:
@@ -108,11 +108,38 @@ def walk_forward_windows(lengths: DataFrame, train: int, test: int, anchors: int
 
 
 def in_windows(rows: DataFrame, windows: DataFrame) -> DataFrame:
-    """Rows of each window's training and test part. A row meets only its series' windows, by an equi-join and a range test."""
-    joined = rows.join(windows, "series_id").filter((F.col("seq") >= F.col("train_start")) & (F.col("seq") < F.col("test_end")))
+    """Rows of each window's training and test part.
+
+    A series is cut into cells as long as its shortest test part; windows are dealt to the cells that they cover and rows to
+    their own, so a row meets only windows around it: the join makes what it returns and little else. For sums and
+    counts, ``window_totals`` makes no row for each window at all.
+    """
+    sizes = windows.groupBy("series_id").agg(F.greatest(F.min(F.col("test_end") - F.col("test_start")), F.lit(1)).alias("_size"))
+    cell = lambda at: F.floor(at / F.col("_size"))
+    covered = windows.join(sizes, "series_id").withColumn("_cell", F.explode(F.sequence(cell(F.col("train_start")), cell(F.col("test_end") - 1)))).drop("_size")
+    dealt = rows.join(sizes, "series_id").withColumn("_cell", cell(F.col("seq"))).drop("_size")
+    joined = dealt.join(covered, ["series_id", "_cell"]).filter((F.col("seq") >= F.col("train_start")) & (F.col("seq") < F.col("test_end"))).drop("_cell")
     return joined.withColumn("part", F.when(F.col("seq") < F.col("train_end"), "train").otherwise("test"))
 
 
+def window_totals(rows: DataFrame, windows: DataFrame, value: str = "nav") -> DataFrame:
+    """(series_id, anchor, window, part, n, n_valid, total): rows, values and their sum in each part of each window that has rows.
+
+    Parts are differences of running sums at their ends, so the work is one pass over the points and four rows for
+    each window, however long its training part has grown. The total of no values is NULL.
+    """
+    ends = (("train", -1, "train_start"), ("train", 1, "train_end"), ("test", -1, "test_start"), ("test", 1, "test_end"))
+    asked = windows.select("series_id", "anchor", "window", F.explode(F.array(*(F.struct(F.lit(p).alias("part"), F.lit(s).alias("sign"), F.col(c).cast("long").alias("at")) for p, s, c in ends))).alias("e")).select("series_id", "anchor", "window", "e.*")
+    v = F.col(value).cast("double")
+    points = rows.select("series_id", F.col("seq").alias("at"), F.lit(1).alias("one"), v.isNotNull().cast("int").alias("valid"), F.coalesce(v, F.lit(0.0)).alias("x"))
+    marks = asked.select("series_id", "at", F.lit(0).alias("one"), F.lit(0).alias("valid"), F.lit(0.0).alias("x")).distinct()
+    merged = points.unionByName(marks).groupBy("series_id", "at").agg(F.sum("one").alias("one"), F.sum("valid").alias("valid"), F.sum("x").alias("x"))
+    sums = running_sums(merged, ["series_id"], "at", {"n": "one", "n_valid": "valid", "total": "x"})
+    met = asked.join(sums.select("series_id", "at", "n", "n_valid", "total"), ["series_id", "at"])
+    by = met.groupBy("series_id", "anchor", "window", "part").agg(*(F.sum(F.col("sign") * F.col(c)).alias(c) for c in ("n", "n_valid", "total")))
+    return by.filter("n > 0").withColumn("total", F.when(F.col("n_valid") > 0, F.col("total")))
+
+
 def evaluate(rows: DataFrame, windows: DataFrame, score: Callable[[pd.DataFrame, pd.DataFrame], float]) -> DataFrame:
     """(series_id, anchor, window, score) of a user's function of each window's training and test rows.
 
