@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark import catalogue
 from tidemark.functions import scalars as X
-from tidemark.operators import bars, features, measures, selection, statistics, windows
+from tidemark.operators import bars, features, measures, resampling, selection, statistics, windows
 from tidemark.sources import files, sinks
 from tidemark.streaming import online
 
@@ -127,7 +127,7 @@ def test_selection_finds_the_planted_signal(spark):
     assert selection.by_correlation(long, order=["signal", "copy", "noise"]) == ["signal", "noise"]
     chosen = selection.mrmr(long, target, 3)
     assert chosen[0][0] in ("signal", "copy") and chosen[2][0] == "noise" and chosen[0][1] > chosen[2][1]
-    boot = {r.feature: r for r in selection.bootstrap_importance(long, target, 30).collect()}
+    boot = {r.feature: r for r in resampling.bootstrap_importance(long, target, 30).collect()}
     assert boot["signal"].mean_importance > 0.5 > boot["noise"].mean_importance and boot["signal"].cv < 0.2
     walk = {r.feature: r.mean_importance for r in selection.walk_forward_stability(long, target).collect()}
     assert walk["signal"] > 0.5 > walk["noise"]

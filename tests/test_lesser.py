@@ -72,9 +72,9 @@ def test_bootstrap_query_takes_all_replicates(spark):
     from conftest import SMALL
 
     from tidemark import catalogue
-    from tidemark.operators import selection
+    from tidemark.operators import resampling, selection
 
     got = catalogue.queries()["m21_bootstrap"](spark, SMALL)
-    want = selection.bootstrap_importance(catalogue._measures(spark, SMALL).filter("feature <> 'price'"), catalogue._target(spark, SMALL), replicates=100)
+    want = resampling.bootstrap_importance(catalogue._measures(spark, SMALL).filter("feature <> 'price'"), catalogue._target(spark, SMALL), replicates=100)
     key = lambda df: sorted((r.feature, round(r.mean_importance, 9), round(r.std_importance, 9)) for r in df.collect())
     assert key(got) == key(want) and len(key(got)) == 3

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import lesser, oracles, series
 from .functions import scalars as X
 from .functions import sql
-from .operators import bars, causal, epochs, features, measures, rolling, segmentation, selection, statistics, transforms, windows
+from .operators import bars, causal, distribution, epochs, features, information, measures, resampling, rolling, segmentation, selection, statistics, transforms, windows
 from .operators.rolling import CODES
 from .plans import audit, report
 from .sources import files, sinks
@@ -118,6 +118,18 @@ def _range_bars(spark: SparkSession, d: str) -> DataFrame:
     return rounded(bars.range_bars(ticks, 5.0), "open", "high", "low", "close")
 
 
+def _period_bars(spark: SparkSession, d: str) -> DataFrame:
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    ticks = series.ordered(o, F.col("o_orderpriority"), [F.col("o_orderdate"), F.col("o_orderkey")], ts=F.col("o_orderdate"), price=F.col("o_totalprice").cast("double"), quantity=F.lit(1.0))
+    return rounded(bars.period_bars(ticks, 5.0, start="1993-03-01", end="1996-06-30"), "open", "high", "low", "close", places=2)
+
+
+def _bounded(spark: SparkSession, d: str) -> DataFrame:
+    """The rolling features, all within [0, 1], by lookback and code."""
+    name = F.concat(F.lit("lb"), F.col("lookback").cast("string"), F.lit("_"), F.col("feature"))
+    return _long(spark, d).select("series_id", F.col("bar_index").alias("seq"), name.alias("feature"), "value")
+
+
 def _alignment(spark: SparkSession, d: str) -> DataFrame:
     found = bars.fingerprint(_et(spark, d), ["seq", "nav"], "ts")
     return bars.alignment_violations(found.withColumn("n_rows", F.col("n_rows") + 1), found)
@@ -354,6 +366,10 @@ def queries() -> dict[str, Query]:
         "m7_half_lives": lambda s, d: statistics.half_lives(acf(s, d)),
         "m8_normality": _normality,
         "m8_beta": lambda s, d: rounded(statistics.beta_moments(measures.describe(_measures(s, d), ["feature"], "value")), "alpha", "beta", places=4).select("feature", "alpha", "beta"),
+        "m8_shapiro": lambda s, d: distribution.shapiro(_measures(s, d)),
+        "m8_beta_fit": lambda s, d: distribution.beta_goodness(_bounded(s, d)),
+        "m21_block_lengths": lambda s, d: resampling.block_lengths(_et(s, d)),
+        "s10_period_bars": _period_bars,
         "m9_effects": _effects,
         "m10_dependence": _dependence_table,
         "m10_summary": lambda s, d: rounded(statistics.regime_dependence_summary(_dependence(s, d)), "dependence_rate"),
@@ -363,12 +379,13 @@ def queries() -> dict[str, Query]:
         "u5_concatenated": _job_results,
         "m13_participation": lambda s, d: rounded(statistics.participation_ratio(statistics.pair_correlations(_measures(s, d))), "participation_ratio").withColumn("n_features", F.col("n_features").cast("int")),
         "m16_dcor": lambda s, d: rounded(_dcor(s, d), "dcor"),
-        "m21_bootstrap": lambda s, d: selection.bootstrap_importance(_measures(s, d).filter("feature <> 'price'"), _target(s, d)),
+        "m21_bootstrap": lambda s, d: resampling.bootstrap_importance(_measures(s, d).filter("feature <> 'price'"), _target(s, d)),
         "m22_walk_forward": lambda s, d: rounded(rounded(selection.walk_forward_stability(_measures(s, d).filter("feature <> 'price'"), _target(s, d)), "mean_importance", "std_importance"), "cv", places=4),
         "m2_greedy": _greedy,
         "m12_pca": _pca,
         "m14_vif": _vif,
         "m17_information": _information,
+        "m17_neighbours": lambda s, d: information.neighbour_information(_measures(s, d).filter("feature <> 'price'"), _target(s, d)),
         "m18_tree_importance": lambda s, d: causal.tree_importance(_measures(s, d).filter("feature <> 'price'"), _target(s, d), ["discount", "quantity", "tax"]),
         "m19_mrmr": _mrmr,
         "m20_links": _links,

@@ -17,6 +17,9 @@ from ..functions.scalars import has_feature
 BARS = "series_id string, bar long, open double, high double, low double, close double, volume double, start_seq long, end_seq long, n_trades long, complete boolean"
 
 
+PERIOD_BARS = BARS.replace("bar long", "period date, bar long")
+
+
 class OpenBar:
     """The bar being built."""
 
@@ -31,17 +34,19 @@ class OpenBar:
         self.high, self.low, self.close, self.last = max(self.high, price), min(self.low, price), price, seq
         self.volume, self.trades = self.volume + volume, self.trades + 1
 
-    def row(self, series: str, number: int, complete: bool) -> tuple:
-        return (series, number, self.open, self.high, self.low, self.close, self.volume, self.start, self.last, self.trades, complete)
+    def row(self, series, number: int, complete: bool) -> tuple:
+        return (*(series if isinstance(series, tuple) else (series,)), number, self.open, self.high, self.low, self.close, self.volume, self.start, self.last, self.trades, complete)
 
 
-def _build(threshold: float):
-    names = [c.split()[0] for c in BARS.split(", ")]
+def _build(threshold: float, keys: tuple[str, ...] = ("series_id",)):
+    """A fold over sorted trades whose state is cut where a key changes: the bar that is open there is emitted as it is."""
+    names = [c.split()[0] for c in (BARS if len(keys) == 1 else PERIOD_BARS).split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         series, bar, number, rows = None, None, 0, []
         for pdf in batches:
-            for s, q, price, volume in zip(pdf["series_id"], pdf["seq"], pdf["price"], pdf["quantity"], strict=True):
+            own = pdf[keys[0]] if len(keys) == 1 else zip(*(pdf[k] for k in keys), strict=True)
+            for s, q, price, volume in zip(own, pdf["seq"], pdf["price"], pdf["quantity"], strict=True):
                 if bar is None or s != series:
                     if bar is not None and bar.trades:
                         rows.append(bar.row(series, number, False))
@@ -66,6 +71,24 @@ def range_bars(ticks: DataFrame, threshold: float) -> DataFrame:
     return rows.repartition("series_id").sortWithinPartitions("series_id", "seq").mapInPandas(_build(threshold), BARS)
 
 
+def period_bars(ticks: DataFrame, threshold: float, ts: str = "ts", period: str = "year", start: str | None = None, end: str | None = None) -> DataFrame:
+    """Range bars of a span of days that begin afresh at each calendar border, with the orphans that borders leave.
+
+    The trades from day ``start`` to day ``end``, both included, are scanned; each ``period`` (year, quarter, month, week or day)
+    is a fold of its own, so periods are worked on apart from each other. The bar still open at the end of a period is
+    emitted with ``is_orphan``, and the next period opens at its own first trade. ``bar`` counts from 0 within a period.
+    Trades without a time or a positive price are left out; a bar that a breach has just opened is no orphan.
+    """
+    day = F.to_date(ts)
+    within = ticks.filter(day.isNotNull())
+    within = within.filter(day >= F.lit(start).cast("date")) if start else within
+    within = within.filter(day <= F.lit(end).cast("date")) if end else within
+    rows = within.select("series_id", F.date_trunc(period, F.col(ts)).cast("date").alias("period"), "seq", F.col("price").cast("double").alias("price"), F.col("quantity").cast("double").alias("quantity")).filter("price > 0")
+    keys = ("series_id", "period")
+    made = rows.repartition(*keys).sortWithinPartitions(*keys, "seq").mapInPandas(_build(threshold, keys), PERIOD_BARS)
+    return made.withColumn("is_orphan", ~F.col("complete")).drop("complete")
+
+
 def decimal_bps(value: float) -> float:
     """A threshold in tenths of basis points, where 10 are 0.1 percent, as a fraction."""
     return value / 10_000

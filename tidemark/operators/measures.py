@@ -147,14 +147,12 @@ def optimal_hurdle(nav: DataFrame, lookback: int) -> DataFrame:
 
 def freedman_diaconis_bins(values: DataFrame, column: str = "nav") -> DataFrame:
     """Bins by the Freedman-Diaconis rule, from quartiles at positions n // 4 and 3n // 4, within [2, 100]."""
-    by = Window.partitionBy("series_id")
-    placed = values.select("series_id", F.col(column).alias("x")).withColumns({"at": F.row_number().over(by.orderBy("x")) - 1, "n": F.count("x").over(by)})
-    pick = lambda where: F.max(F.when(F.col("at") == where, F.col("x")))
-    s = placed.groupBy("series_id").agg(F.max("n").alias("n"), pick(F.floor(F.col("n") / 4)).alias("q1"), pick(F.floor(F.col("n") * 3 / 4)).alias("q3"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    n = F.col("n")
+    s = at_position(values, ["series_id"], column, q1=F.floor(n / 4), q3=F.floor(n * 3 / 4), lo=F.lit(0), hi=n - 1)
     iqr, span = F.col("q3") - F.col("q1"), F.col("hi") - F.col("lo")
-    width = F.lit(2.0) * iqr * F.pow(F.col("n").cast("double"), F.lit(-1.0 / 3.0))
+    width = F.lit(2.0) * iqr * F.pow(n.cast("double"), F.lit(-1.0 / 3.0))
     bins = F.least(F.greatest(F.ceil(F.try_divide(span, width)), F.lit(2)), F.lit(100))
-    return s.select("series_id", F.when(F.col("n") < 4, F.greatest("n", F.lit(1))).when((iqr < X.EPS) | (span < X.EPS), F.lit(1)).otherwise(bins).cast("int").alias("n_bins"))
+    return s.select("series_id", F.when(n < 4, F.greatest("n", F.lit(1))).when((iqr < X.EPS) | (span < X.EPS), F.lit(1)).otherwise(bins).cast("int").alias("n_bins"))
 
 
 def higuchi_dimension(nav: DataFrame, k_max: int = 10) -> DataFrame:
@@ -219,15 +217,13 @@ def hurst_exponent(nav: DataFrame, scales: int = 5) -> DataFrame:
 
 def describe(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     """Count, nulls, moments and nearest-rank quantiles of a column for each key; skew and excess kurtosis of the population."""
-    ranks = Window.partitionBy(*keys).orderBy(F.col(column).asc_nulls_last())
-    placed = df.withColumns({"_at": F.row_number().over(ranks) - 1, "_n": F.count(column).over(Window.partitionBy(*keys))})
-    pick = lambda q: F.max(F.when(F.col("_at") == F.floor(F.lit(q) * (F.col("_n") - 1) + 0.5), F.col(column)))
     quantiles = {"q01": 0.01, "q05": 0.05, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q95": 0.95, "q99": 0.99}
-    return placed.groupBy(*keys).agg(
+    found = at_position(df, keys, column, **{name: F.floor(F.lit(q) * (F.col("n") - 1) + 0.5) for name, q in quantiles.items()}).drop("n")
+    by = df.groupBy(*keys).agg(
         F.count(column).alias("n"), (F.count(F.lit(1)) - F.count(column)).alias("n_null"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"),
         F.min(column).alias("min"), F.max(column).alias("max"), F.skewness(column).alias("skew"), F.kurtosis(column).alias("kurtosis"),
-        *(pick(q).alias(name) for name, q in quantiles.items()),
     )
+    return by.join(found, keys, "left")
 
 
 def outlier_stats(df: DataFrame, keys: list[str], column: str, multiplier: float = 1.5) -> DataFrame:

@@ -57,32 +57,6 @@ def borda(rankings: DataFrame) -> DataFrame:
     return placed.groupBy("feature").agg(F.sum(F.col("n") - F.col("place")).alias("points")).orderBy(F.desc("points"), "feature")
 
 
-def bootstrap_importance(long: DataFrame, target: DataFrame, replicates: int = 100, block: int = 20, seed: int = 42) -> DataFrame:
-    """(feature, mean_importance, std_importance, cv) over circular block bootstraps of the rows.
-
-    A replicate keeps a block as often as a Poisson draw hashed from (replicate, block) says, so resampling
-    is a weight on each row and needs no join of sampled positions. Importance is the squared weighted
-    correlation with the target.
-    """
-    rows = long.join(target, ["series_id", "seq"]).filter(F.col("value").isNotNull() & F.col("target").isNotNull())
-    spread = rows.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    u = F.pmod(F.xxhash64(F.lit(seed), "replicate", "series_id", F.floor(F.col("seq") / block)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    weight, below, p = F.lit(0), 0.0, 0.36787944117144233
-    for k in range(1, 7):
-        below += p
-        p /= k
-        weight = weight + (u >= below).cast("int")
-    w, x, y = F.col("w"), F.col("value"), F.col("target")
-    sums = spread.withColumn("w", weight).filter("w > 0").groupBy("feature", "replicate").agg(
-        F.sum(w).alias("n"), F.sum(w * x).alias("sx"), F.sum(w * y).alias("sy"), F.sum(w * x * x).alias("sxx"), F.sum(w * y * y).alias("syy"), F.sum(w * x * y).alias("sxy")
-    )
-    cov = F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")
-    var = (F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")) * (F.col("n") * F.col("syy") - F.col("sy") * F.col("sy"))
-    scored = sums.withColumn("importance", F.coalesce(F.try_divide(cov * cov, var), F.lit(0.0)))
-    by = scored.groupBy("feature").agg(F.avg("importance").alias("mean_importance"), F.stddev_pop("importance").alias("std_importance"))
-    return by.withColumn("cv", F.try_divide("std_importance", "mean_importance"))
-
-
 def walk_forward_stability(long: DataFrame, target: DataFrame, folds: int = 5) -> DataFrame:
     """(feature, mean_importance, std_importance, cv) over expanding folds of the positions."""
     rows = long.join(target, ["series_id", "seq"])

@@ -21,9 +21,12 @@ def _range(value: str, low: str, high: str, parts: Column) -> Column:
     return F.coalesce(F.when(~F.isnan(at), F.least(F.greatest(F.floor(at), F.lit(0)), parts - 1)), F.lit(0)).cast("int")
 
 
-def counts_below(df: DataFrame, keys: list[str], value: str, rows: int | None = None) -> DataFrame:
-    """(keys, value, c, below, n) for each distinct value of a key that isn't null: how often it occurs, how many are smaller, and how many there are."""
-    distinct = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
+def counts_below(df: DataFrame, keys: list[str], value: str, rows: int | None = None, weight: str | None = None) -> DataFrame:
+    """(keys, value, c, below, n) for each distinct value of a key that isn't null: how often it occurs, how many are smaller, and how many there are.
+
+    With ``weight``, rows count as often as that column says; those of weight 0 ask without being counted.
+    """
+    distinct = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("c"))
     ends = distinct.groupBy(*keys).agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.sum("c").alias("n"))
     coarse = distinct.join(ends, keys).withColumn("_a", _range(value, "_low", "_high", F.lit(RANGES)))
     within = coarse.groupBy(*keys, "_a").agg(F.min(value).alias("_from"), F.max(value).alias("_to"), F.ceil(F.count(F.lit(1)) / F.lit(rows or ROWS)).cast("int").alias("_parts"))

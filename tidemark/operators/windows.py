@@ -61,15 +61,13 @@ def rank_normalize(df: DataFrame, value: str, partition: str = "series_id") -> D
 
 
 def rank_against(values: DataFrame, reference: DataFrame) -> DataFrame:
-    """(series_id, seq, share): the part of the reference values of a series strictly below each value.
+    """(series_id, seq, share): the part of the reference values of a series strictly below each value; 0.5 without a value or a reference.
 
-    Both sets are ranked together in one window, which takes a sort instead of a join of all pairs.
+    Both sets are ranked together by ranges of values, which takes no join of pairs and no sort of a whole series.
     """
-    both = values.select("series_id", "seq", "nav", F.lit(0).alias("ref")).unionByName(reference.select("series_id", F.lit(None).cast("long").alias("seq"), "nav", F.lit(1).alias("ref")))
-    below = Window.partitionBy("series_id").orderBy("nav").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    same = Window.partitionBy("series_id", "nav")
-    counted = both.withColumn("below", F.sum("ref").over(below) - F.sum("ref").over(same)).withColumn("n", F.sum("ref").over(Window.partitionBy("series_id")))
-    return counted.filter("ref = 0").select("series_id", "seq", F.coalesce(F.try_divide("below", "n"), F.lit(0.5)).alias("share"))
+    asked = values.select("series_id", "nav", F.lit(0).alias("w")).unionByName(reference.select("series_id", "nav", F.lit(1).alias("w")))
+    below = counts_below(asked, ["series_id"], "nav", weight="w").select("series_id", "nav", F.try_divide("below", "n").alias("share"))
+    return values.select("series_id", "seq", "nav").join(below, ["series_id", "nav"], "left").select("series_id", "seq", F.coalesce("share", F.lit(0.5)).alias("share"))
 
 
 def positions(df: DataFrame) -> DataFrame:

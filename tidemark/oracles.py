@@ -185,6 +185,17 @@ select series_id, seq, seq - lag(seq) over (partition by series_id order by seq)
     from b join t on t.series_id = b.series_id and t.seq = b.seq + 1))
 select series_id, bar, round(o, 6) as open, round(h, 6) as high, round(lo, 6) as low, round(c, 6) as close, v as volume, s0 as start_seq, seq as end_seq, n as n_trades, closed as complete
 from b where closed or seq = (select max(seq) from t where t.series_id = b.series_id)""",
+        "s10_period_bars": """with recursive u as (select o_orderpriority as series_id, row_number() over (partition by o_orderpriority order by o_orderdate, o_orderkey) - 1 as seq, o_orderdate::date as day, o_totalprice::double as nav from orders),
+t as materialized (select series_id, date_trunc('year', day)::date as period, seq, row_number() over (partition by series_id, year(day) order by seq) as k, nav from u where day between date '1993-03-01' and date '1996-06-30'), b as (
+  select series_id, period, k, seq, 0::bigint as bar, nav as o, nav as h, nav as lo, nav as c, 1::double as v, seq as s0, 1::bigint as n, false as closed from t where k = 1
+  union all
+  select series_id, period, k, seq, bar, o, h2, l2, c, v2, s1, n2, (h2 - l2) / o >= 5.0 from (
+    select t.series_id, t.period, t.k, t.seq, case when closed then bar + 1 else bar end as bar, case when closed then b.c else o end as o, t.nav as c,
+      greatest(case when closed then b.c else h end, t.nav) as h2, least(case when closed then b.c else lo end, t.nav) as l2, case when closed then 0 else v end + 1 as v2,
+      case when closed then b.seq else s0 end as s1, case when closed then 0 else n end + 1 as n2
+    from b join t on t.series_id = b.series_id and t.period = b.period and t.k = b.k + 1))
+select series_id, period, bar, round(o, 2) as open, round(h, 2) as high, round(lo, 2) as low, round(c, 2) as close, v as volume, s0 as start_seq, seq as end_seq, n as n_trades, not closed as is_orphan
+from b where closed or k = (select max(k) from t where t.series_id = b.series_id and t.period = b.period)""",
         "w21_year_segments": f"with s as ({DAILY}), y as (select series_id || ':' || year(day) as series_id, day, nav from s) select series_id, row_number() over (partition by series_id order by day) - 1 as seq, day, round(nav, 2) as nav from y",
         "a1_sharpe": f"{rets} select series_id, round(sqrt(365) * avg(ret) / stddev_samp(ret), 6) as sharpe_ratio from r group by 1",
         "a4_max_drawdown": f"{et} select series_id, round(max(dd), 6) as max_drawdown from (select series_id, {_DD} as dd from s) group by 1",
