@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import Scratch, keep_rows, materialise, small
+from .shared import Scratch, give_back, keep_rows, materialise, small
 from .simhash import SEED, close_pairs, components, of_hashes, shingle_hashes
 
 #: A token in so many of the texts read in a row, up to ``_HELD`` tokens of them, is common; at most ``_COMMON`` tokens
@@ -72,6 +72,8 @@ def common_tokens(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]
                     yield often()
                     sets, held = [], 0
         yield often()
+        sets = []
+        give_back()
 
     counted = texts.mapInArrow(run, "token bigint, c bigint").groupBy("token").agg(F.sum("c").alias("c"))
     rows = counted.orderBy(F.desc("c"), "token").limit(_COMMON).toPandas()
@@ -110,7 +112,9 @@ def signature_column(text: Column, width: int, common: tuple[np.ndarray, np.ndar
         columns = [pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(np.array(prints, np.uint64).view(np.int64)), lists]
         sketch = pa.array(np.concatenate(sketches) if sketches else np.zeros(0, np.int64))
         columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * (_BITS // 64), pa.int32()), sketch))
-        return pa.StructArray.from_arrays(columns, ["key", "n", "fingerprint", "prefix", "sketch"])
+        out = pa.StructArray.from_arrays(columns, ["key", "n", "fingerprint", "prefix", "sketch"])
+        give_back()
+        return out
 
     return signature(F.coalesce(text, F.lit("")))
 
@@ -120,7 +124,9 @@ def set_column(text: Column, width: int) -> Column:
 
     @F.arrow_udf("array<bigint>")
     def tokens(texts: pa.Array) -> pa.Array:
-        return pa.array([shingle_set(x.as_py() or b"", width).view(np.int64) for x in texts.cast(pa.binary())], pa.list_(pa.int64()))
+        out = pa.array([shingle_set(x.as_py() or b"", width).view(np.int64) for x in texts.cast(pa.binary())], pa.list_(pa.int64()))
+        give_back()
+        return out
 
     return tokens(F.coalesce(text, F.lit("")))
 

@@ -1,7 +1,9 @@
 """Places and cuts that the operators share: the cluster's shared folder and tables written there."""
 
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +72,14 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> N
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def give_back() -> None:
+    """Return freed memory of this Python worker to the system; workers stay for later stages and count there."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def free_names(df: DataFrame, *wanted: str) -> list[str]:
     """Each wanted helper column name, with underscores appended until ``df`` has no such column."""
     taken = {c.lower() for c in df.columns}
