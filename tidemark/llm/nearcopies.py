@@ -36,8 +36,8 @@ _OFTEN, _HELD, _COMMON = 6, 1 << 20, 1 << 18
 #: While the tokens hold more pairs of different classes than ``_PAIRS_A_ROW`` a row, each set is compared first
 #: with ``_DRAWN`` ones of each of its tokens, drawn by hash.
 _PAIRS_A_ROW, _DRAWN = 32, 24
-#: Bits of the sketch that says at most how many tokens two sets can share.
-_BITS = 2048
+#: Bits of the sketch that says at most how many tokens two sets can share: four to eight a token, so many at least.
+_BITS = 256
 
 
 def shingle_set(text: bytes, width: int = 5) -> np.ndarray:
@@ -89,7 +89,7 @@ def signature_column(text: Column, width: int, common: tuple[np.ndarray, np.ndar
 
     @F.arrow_udf("struct<key:bigint,n:int,fingerprint:bigint,prefix:array<bigint>,sketch:array<bigint>>")
     def signature(texts: pa.Array) -> pa.Array:
-        keys, sizes, prints, ends, parts, sketches = [], [], [], [0], [], []
+        keys, sizes, prints, ends, parts, sketches, wide = [], [], [], [0], [], [], [0]
         for x in texts.cast(pa.binary()):
             hashes = list(shingle_hashes(x.as_py() or b"", width))
             prints.append(of_hashes(hashes))
@@ -101,9 +101,10 @@ def signature_column(text: Column, width: int, common: tuple[np.ndarray, np.ndar
                 at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
                 rank = np.where(known[at] == tokens, counts[at], 0)
             parts.append(tokens[np.argsort(rank, kind="stable")[:first]])
-            bits = np.zeros(_BITS, bool)
-            bits[(tokens >> np.uint64(24)) % np.uint64(_BITS)] = True
+            bits = np.zeros(max(_BITS, 1 << (4 * n - 1).bit_length()) if n else _BITS, bool)
+            bits[(tokens >> np.uint64(24)) % np.uint64(len(bits))] = True
             sketches.append(np.packbits(bits).view(np.int64))
+            wide.append(wide[-1] + len(sketches[-1]))
             keys.append(_key(tokens))
             sizes.append(n)
             ends.append(ends[-1] + first)
@@ -111,7 +112,7 @@ def signature_column(text: Column, width: int, common: tuple[np.ndarray, np.ndar
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
         columns = [pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(np.array(prints, np.uint64).view(np.int64)), lists]
         sketch = pa.array(np.concatenate(sketches) if sketches else np.zeros(0, np.int64))
-        columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * (_BITS // 64), pa.int32()), sketch))
+        columns.append(pa.ListArray.from_arrays(pa.array(wide, pa.int32()), sketch))
         out = pa.StructArray.from_arrays(columns, ["key", "n", "fingerprint", "prefix", "sketch"])
         give_back()
         return out
@@ -138,10 +139,18 @@ def _possible(n: Column, at: Column, other_n: Column, other_at: Column) -> Colum
 
 def _hopeful(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose sketches allow a similarity of 0.8: sets share at most the bits that both have set, and the
-    tokens of the one that has fewer of them hidden behind a bit that another token has set."""
+    tokens of the one that has fewer of them hidden behind a bit that another token has set. A wider sketch is folded to
+    the width of the other."""
     ones = lambda c: F.aggregate(c, F.lit(0), lambda total, x: total + F.bit_count(x))
     own = lambda side: sets.select(F.col("key").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}"))
     both = own("b").join(small(pairs), "b").join(own("a"), "a")
+    width = F.least(F.size("sa"), F.size("sb"))
+
+    def folded(c: str) -> Column:
+        word = lambda k: F.aggregate(F.sequence(k, F.size(c) - 1, width), F.lit(0).cast("long"), lambda acc, i: acc.bitwiseOR(F.get(F.col(c), i)))
+        return F.when(F.size(c) == width, F.col(c)).otherwise(F.transform(F.sequence(F.lit(0), width - 1), word))
+
+    both = both.select("a", "b", "na", "nb", folded("sa").alias("sa"), folded("sb").alias("sb"))
     hidden = F.least(F.col("na") - ones("sa"), F.col("nb") - ones("sb"))
     shared = ones(F.zip_with("sa", "sb", lambda x, y: x.bitwiseAND(y))) + hidden
     return both.filter(shared * 9 >= (F.col("na") + F.col("nb")) * 4).select("a", "b")
