@@ -9,7 +9,9 @@
    able to reach the needed overlap from the places of its common token (Xiao, 2008).
 4. First each set is compared with the least one of each of its tokens, so that a group of copies costs one pair a
    member. Where large groups are still apart, each set is compared with a few drawn for each of its tokens. Then
-   all pairs that these links have not joined are compared, and only tokens that still hold two classes are read.
+   all pairs that these links have not joined are compared, and only tokens that still hold two classes are read. A pair meets
+   at a token and a class of sizes: how far behind a token lies in the larger set says how small the other must be, so a
+   notice that many texts share brings together those only that it could make near copies.
    A sketch of each set rules out the proposals that can't reach the overlap, and every other one is verified by the
    exact size of the intersection.
 
@@ -199,10 +201,27 @@ def _apart(dealt: DataFrame, roots: DataFrame) -> DataFrame:
     return of.withColumns({"low": F.min("root").over(token), "high": F.max("root").over(token)}).filter("low <> high").drop("low", "high")
 
 
-def _pairs_apart(apart: DataFrame) -> float:
-    """How many pairs of different classes the tokens hold, counted from the sizes of the classes at each token."""
-    of = apart.groupBy("token", "root").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("token").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("own"))
-    return of.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0] or 0.0
+def _class(n: Column) -> Column:
+    """Classes of sizes, each a tenth wide."""
+    return F.floor(F.log(n.cast("double")) / F.lit(np.log(1.1))).cast("int")
+
+
+def _by_size(apart: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``apart`` twice, with a class of sizes: as the larger set of a pair, once for each class of sizes that the
+    other can have, and as the smaller one in its own class. From place ``at`` on, a set of n tokens reaches 0.8 only with sets of
+    at most 9 (n - at) / 4 - n tokens, so a token behind the first few of a set meets sets much smaller than it only."""
+    n, at = F.col("n"), F.col("at")
+    low, high = F.ceil(n * 4 / 5), F.least(n, F.floor((n - at) * 9 / 4) - n)
+    larger = apart.filter(high >= F.greatest(low, F.lit(1))).withColumn("size", F.explode(F.sequence(_class(low), _class(high))))
+    return larger, apart.withColumn("size", _class(n))
+
+
+def _pairs_apart(larger: DataFrame, smaller: DataFrame) -> float:
+    """How many pairs of different classes the tokens and sizes hold, counted from the sizes of the classes at each."""
+    keys = ["token", "size"]
+    sides = larger.select(*keys, "root", F.lit(1.0).alias("l"), F.lit(0.0).alias("s")).unionByName(smaller.select(*keys, "root", F.lit(0.0).alias("l"), F.lit(1.0).alias("s")))
+    of = sides.groupBy(*keys, "root").agg(F.sum("l").alias("l"), F.sum("s").alias("s")).groupBy(*keys).agg(F.sum("l").alias("l"), F.sum("s").alias("s"), F.sum(F.col("l") * F.col("s")).alias("own"))
+    return of.agg(F.sum(F.col("l") * F.col("s") - F.col("own"))).first()[0] or 0.0
 
 
 def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = 4) -> DataFrame:
@@ -229,7 +248,7 @@ def _classes(df: DataFrame, id_col: str, text_col: str, width: int, radius: int,
     star = keep(_ordered(star).distinct(), "star-pairs")
     edges = _verified(keep(_hopeful(star, sets), "hopeful-star"), rows, texts, width, keep)
     apart = keep(_apart(shared, keep(components(edges), "star-classes")), "tokens-apart")
-    if _pairs_apart(apart) > _PAIRS_A_ROW * apart.count():
+    if _pairs_apart(*_by_size(apart)) > _PAIRS_A_ROW * apart.count():
         drawn = F.array(*(F.min(F.struct(F.xxhash64("key", "token", F.lit(k)).alias("draw"), "key", "n", "at", "root")).over(token) for k in range(_DRAWN)))
         met = apart.withColumn("hubs", drawn).select("key", "n", "at", "root", F.explode("hubs").alias("hub")).filter("root <> hub.root")
         met = met.filter(_possible(F.col("n"), F.col("at"), F.col("hub.n"), F.col("hub.at"))).select(F.col("hub.key").alias("a"), F.col("key").alias("b"))
@@ -237,9 +256,12 @@ def _classes(df: DataFrame, id_col: str, text_col: str, width: int, radius: int,
         edges = keep(edges.unionByName(_verified(keep(_hopeful(more, sets), "hopeful-star"), rows, texts, width, keep)), "star-links")
         star = star.unionByName(more)
         apart = keep(_apart(apart, keep(components(edges), "star-classes")), "tokens-apart")
-    other = apart.select("token", *(F.col(c).alias(f"{c}_b") for c in ("key", "n", "at", "root")))
-    cross = (F.col("key") < F.col("key_b")) & (F.col("root") != F.col("root_b")) & _possible(F.col("n"), F.col("at"), F.col("n_b"), F.col("at_b"))
-    pairs = apart.join(other, (apart["token"] == other["token"]) & cross).select(F.col("key").alias("a"), F.col("key_b").alias("b")).distinct()
+    larger, smaller = _by_size(apart)
+    other = smaller.select("token", "size", *(F.col(c).alias(f"{c}_b") for c in ("key", "n", "at", "root")))
+    first = (F.col("n_b") < F.col("n")) | ((F.col("n_b") == F.col("n")) & (F.col("key_b") < F.col("key")))
+    cross = first & (F.col("root") != F.col("root_b")) & _possible(F.col("n"), F.col("at"), F.col("n_b"), F.col("at_b"))
+    met = larger.join(other, (larger["token"] == other["token"]) & (larger["size"] == other["size"]) & cross)
+    pairs = _ordered(met.select(F.col("key").alias("a"), F.col("key_b").alias("b"))).distinct()
     pairs = keep(pairs.join(star, ["a", "b"], "left_anti"), "cross-pairs")
     more = _verified(keep(_hopeful(pairs, sets), "hopeful-pairs"), rows, texts, width, keep)
     roots = keep(components(edges.unionByName(more)), "all-classes")
