@@ -525,3 +525,18 @@ def test_pipeline_near_copies_equal_brute_force_jaccard(spark, monkeypatch):
         monkeypatch.setattr(nearcopies, "_OFTEN", often)
         assert {r.doc_id for r in nearcopies.keep_one(documents(spark, [(i, t, "en") for i, t in made.items()])).collect()} == plain_kept(made)
     assert nearcopies.keep_one(documents(spark, [(1, "a", "en")]).limit(0)).count() == 0
+
+
+def test_html_reads_attributes_in_order():
+    page = "<article><h1>T</h1><p title='a hidden gem'>one</p><div data-x='see id=comments now'><p>two</p></div><p data-a=\"role='menu'\" class=x>three</p><div hidden><p>no</p></div><div class = 'ads' class='story'><p>no</p></div></article>"
+    assert html.extract(page) == "T\n\none\n\ntwo\n\nthree"
+
+
+def test_html_parses_stray_tags_in_linear_time():
+    import time
+
+    for page in ("<b>" * 100_000 + "</i>" * 100_000, "<article>x</article>" * 50_000, "<![CDATA[" * 50_000, "<div>" * 50_000 + "<p>x" * 20_000, "<p>" + "</div>" * 100_000, "<a '" * 50_000):
+        began = time.process_time()
+        html.extract(page)
+        assert time.process_time() - began < 10
+    assert html.extract("<article><p>a<!-- no") == "a" and html.extract("<article><p>a<b") == "a" and html.extract("<article>1 < 2") == "1 < 2"
