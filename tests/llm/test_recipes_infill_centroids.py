@@ -192,3 +192,31 @@ def test_bounds_rule_out_most_distances(spark):
         assert (block.near[:, 0] == exact.argmin(1)).all()
         counted += needed
     assert counted == 0 and block.listed == 2
+
+
+def test_sketches_let_every_near_copy_through(spark):
+    """Sets on both sides of a doubling of the sketch's width: no pair of similarity 0.8 is ruled out, most unlike ones are."""
+    from tidemark.llm import nearcopies
+
+    rng = random.Random(3)
+    texts = []
+    for n in (3, 60, 62, 66, 127, 130, 500, 520):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(n + 4)]
+        texts += [" ".join(base), " ".join(base + [f"e{k}" for k in range(n // 10)]), " ".join(f"w{rng.randrange(10**6)}" for _ in range(n + 4))]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    nothing = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    sets = df.select(nearcopies.signature_column(F.col("text"), 5, nothing).alias("d")).select("d.*").dropDuplicates(["key"]).cache()
+    pairs = sets.select(F.col("key").alias("a")).crossJoin(sets.select(F.col("key").alias("b"))).filter("a < b").cache()
+    got = {(r.a, r.b) for r in nearcopies._hopeful(pairs, sets).collect()}
+    own = {nearcopies._key(s): set(s.tolist()) for s in (nearcopies.shingle_set(t.encode()) for t in texts)}
+    near = {(a, b) for a in own for b in own if a < b and len(own[a] & own[b]) * 5 >= 4 * len(own[a] | own[b])}
+    assert near <= got and len(near) >= 7 and len(got) <= len(near) + 2
+
+
+def test_a_token_behind_the_first_few_meets_smaller_sets_only(spark):
+    from tidemark.llm import nearcopies
+
+    met = lambda rows: nearcopies._pairs_apart(*nearcopies._by_size(spark.createDataFrame([(1, i, n, at, i) for i, (n, at) in enumerate(rows)], "token long, key long, n int, at int, root long")))
+    assert met([(30, 4)] * 200) == 0
+    assert met([(30, 0)] * 20) == 380
+    assert met([(30, 4), (24, 0)]) == 1
