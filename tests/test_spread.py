@@ -187,3 +187,32 @@ def test_window_length_of_chunks_equals_that_of_the_whole(spark, monkeypatch):
     one = segmentation.window_lengths(segmentation.numbered(nav)).first().width
     monkeypatch.setattr(segmentation, "CHUNK", 1100)
     assert segmentation.window_lengths(segmentation.numbered(nav)).first().width == one > 10
+
+
+def test_windows_meet_rows_by_cells(spark):
+    rng = np.random.default_rng(12)
+    nav = series(spark, a=rng.normal(0, 1, 230), b=[1.0, None, 3.0] * 20)
+    lengths = nav.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = {(r.series_id, r.seq): r.nav for r in nav.collect()}
+    for expanding in (True, False):
+        cut = windows.walk_forward_windows(lengths, 20, 7, anchors=2, spacing=5, step=3, expanding=expanding)
+        want = {}
+        for w in cut.collect():
+            for (s, q), v in rows.items():
+                if s == w.series_id and w.train_start <= q < w.test_end:
+                    want.setdefault((s, w.anchor, w.window, "train" if q < w.train_end else "test"), []).append((q, v))
+        met = {}
+        for r in windows.in_windows(nav, cut).collect():
+            met.setdefault((r.series_id, r.anchor, r.window, r.part), []).append((r.seq, r.nav))
+        assert {k: sorted(v) for k, v in met.items()} == {k: sorted(v) for k, v in want.items()} and len(want) > 50
+        for r in windows.window_totals(nav, cut).collect():
+            own = want.pop((r.series_id, r.anchor, r.window, r.part))
+            values = [v for _, v in own if v is not None]
+            assert (r.n, r.n_valid) == (len(own), len(values)) and math.isclose(r.total, sum(values), abs_tol=1e-9)
+        assert not want
+
+
+def test_rank_against_counts_strictly_smaller(spark):
+    values, reference = series(spark, a=[1, 2, 2, 3, None], b=[1]), series(spark, a=[2, 2, 1, 5])
+    got = {(r.series_id, r.seq): r.share for r in windows.rank_against(values, reference).collect()}
+    assert got == {("a", 0): 0.0, ("a", 1): 0.25, ("a", 2): 0.25, ("a", 3): 0.75, ("a", 4): 0.5, ("b", 0): 0.5}

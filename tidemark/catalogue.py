@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import lesser, oracles, series
 from .functions import scalars as X
 from .functions import sql
-from .operators import bars, causal, distribution, epochs, features, information, measures, resampling, rolling, segmentation, selection, statistics, transforms, windows
+from .operators import attributions, bars, causal, distribution, epochs, features, information, links, measures, resampling, rolling, segmentation, selection, statistics, transforms, windows
 from .operators.rolling import CODES
 from .plans import audit, report
 from .sources import files, sinks
@@ -218,7 +218,7 @@ def _dcor(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _normality(spark: SparkSession, d: str) -> DataFrame:
-    return statistics.beta_moments(statistics.normality(measures.describe(_measures(spark, d), ["feature"], "value"))).select("feature", "n", "k2", "p_value", "alpha", "beta")
+    return statistics.beta_moments(statistics.normality(measures.describe(_measures(spark, d), ["feature"], "value"))).select("feature", "n", r("k2", 2), r("p_value"), r("alpha", 4), r("beta", 4))
 
 
 def _describe(spark: SparkSession, d: str) -> DataFrame:
@@ -245,6 +245,12 @@ def _shifted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return daily.filter(~F.col("feature").startswith("1-")), first.select("series_id", "seq", F.col("value").alias("target"))
 
 
+def _two_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Where the epochs of two hurdles differ."""
+    out = epochs.compare_points(_bull(spark, d), epochs.epoch_points(_et(spark, d), 0.5))
+    return out.select("series_id", "seq", F.round("a.excess_gain", 6).alias("gain_a"), F.round("b.excess_gain", 6).alias("gain_b"), F.col("a.epoch").alias("epoch_a"), F.col("b.epoch").alias("epoch_b"))
+
+
 def _links(spark: SparkSession, d: str) -> DataFrame:
     long, target = _shifted(spark, d)
     return spark.createDataFrame(causal.lagged_links(long, target, 3), "feature string, lag int, r double, p double")
@@ -346,7 +352,7 @@ def queries() -> dict[str, Query]:
         "a15_sample_entropy": lambda s, d: rounded(measures.sample_entropy(_user(s, d), 2, least=10), "sample_entropy"),
         "a16_hurst": lambda s, d: rounded(measures.hurst_exponent(_et(s, d)), "hurst_exponent"),
         "a17_higuchi": lambda s, d: rounded(measures.higuchi_dimension(_et(s, d)), "fractal_dimension"),
-        "a18_all_metrics": lambda s, d: measures.all_metrics(_et(s, d)),
+        "a18_all_metrics": lambda s, d: rounded(measures.all_metrics(_et(s, d)), "permutation_entropy", "sample_entropy", "shannon_entropy", "omega_ratio", "ulcer_index", "efficiency_ratio", "hurst_exponent", "fractal_dimension"),
         "a19_mad_tolerance": lambda s, d: rounded(measures.mad_tolerance(_et(s, d)), "tolerance"),
         "a20_fd_bins": lambda s, d: measures.freedman_diaconis_bins(_et(s, d)),
         "a21_tmaeg": lambda s, d: rounded(measures.optimal_hurdle(series.nav_daily(s, d), 20), "hurdle"),
@@ -387,8 +393,10 @@ def queries() -> dict[str, Query]:
         "m17_information": _information,
         "m17_neighbours": lambda s, d: information.neighbour_information(_measures(s, d).filter("feature <> 'price'"), _target(s, d)),
         "m18_tree_importance": lambda s, d: causal.tree_importance(_measures(s, d).filter("feature <> 'price'"), _target(s, d), ["discount", "quantity", "tax"]),
+        "m18_shapley": lambda s, d: attributions.shapley_importance(_measures(s, d).filter("feature <> 'price'"), _target(s, d), ["discount", "quantity", "tax"]),
         "m19_mrmr": _mrmr,
         "m20_links": _links,
+        "m20_strengths": lambda s, d: links.causal_strengths(*_shifted(s, d)),
         "a33_borda": _borda,
         "a34_job_totals": _jobs,
         "f5_names_by": lambda s, d: features.names_by(_names(s, d), "lookback"),
@@ -436,7 +444,7 @@ def queries() -> dict[str, Query]:
         "q3_alignment": _alignment,
         "q4_epoch_events": lambda s, d: epochs.epoch_events(_bull(s, d)),
         "q5_epoch_context": lambda s, d: epochs.epoch_context(_bull(s, d)).select("series_id", "seq", r("crest"), r("nadir"), r("excess_gain")),
-        "q6_compare_runs": lambda s, d: epochs.compare_points(_bull(s, d), _bull(s, d)),
+        "q6_compare_runs": _two_runs,
         "z1_online": lambda s, d: online.online_normalized(_et(s, d)).select("series_id", "seq", r("z", 5)),
         "z2_ema": lambda s, d: online.ema_normalized(_user(s, d), 20).select("series_id", "seq", r("z")),
         "z4_robust": lambda s, d: online.robust_normalized(_user(s, d)),

@@ -132,7 +132,62 @@ n as (select name, case when t < 1000 then ['redundant', 'Highly correlated with
   when f like 'intermediate%' then ['debug', 'Diagnostic features, not for ML'] end as why from names)"""
 
 
+def _sample_entropy(series: str, least: int) -> str:
+    return f"""with {_mad(series, 'nav')}, r as (select series_id, greatest(0.2 * 1.4826 * mad, {EPS} * 100) as r from mad), s as ({series}), n as (select series_id, count(*) as n from s group by 1),
+u as (select series_id, seq, nav as a, lead(nav, 1) over w as b, lead(nav, 2) over w as c from s window w as (partition by series_id order by seq)),
+t as (select x.series_id, any_value(n.n) as n, count(case when abs(x.a - y.a) <= r.r and abs(x.b - y.b) <= r.r and x.seq < n.n - 2 and y.seq < n.n - 2 then 1 end) as m2,
+  count(case when abs(x.a - y.a) <= r.r and abs(x.b - y.b) <= r.r and abs(x.c - y.c) <= r.r and x.seq < n.n - 3 and y.seq < n.n - 3 then 1 end) as m3
+  from u x join u y on x.series_id = y.series_id and x.seq < y.seq join r on r.series_id = x.series_id join n on n.series_id = x.series_id group by 1)
+select series_id, round(case when n >= {least} and m2 > 0 and m3 > 0 then 1 - m3 / m2 end, 6) as sample_entropy from t"""
+
+
+def _all_metrics(found: dict[str, str]) -> str:
+    """The bounded measures side by side, each by its own statement."""
+    returns = f"""with s as ({EVENT_TYPE}), r as (select series_id, {_RET} as ret, seq from s window w as (partition by series_id order by seq)), v as (select * from r where seq > 0),
+b as (select series_id, least(floor((ret - min(ret) over p) / ((max(ret) over p - min(ret) over p) / 10)), 9)::int as bin from v window p as (partition by series_id)),
+c as (select series_id, bin, count(*) as k, sum(count(*)) over (partition by series_id) as n from b group by 1, 2) select series_id, case when max(n) >= 100 then round(-sum(k / n * ln(k / n)) / ln(10), 6) end as shannon_entropy from c group by 1"""
+    parts = [found["a14_permutation_entropy"], _sample_entropy(EVENT_TYPE, 200), returns, found["a10_omega"], found["a11_ulcer"], found["a12_kaufman"], found["a16_hurst"], found["a17_higuchi"]]
+    names = ("permutation_entropy", "sample_entropy", "shannon_entropy", "omega_ratio", "ulcer_index", "efficiency_ratio", "hurst_exponent", "fractal_dimension")
+    joined = " left join ".join(f"({p}) p{k}" + (f" on p{k}.series_id = p0.series_id" if k else "") for k, p in enumerate(parts))
+    listed = f"[{', '.join(names)}]"
+    return f"select p0.series_id as series_id, {', '.join(names)}, len(list_filter({listed}, lambda x: x is not null and not (x between 0 and 1))) = 0 as all_bounded, len(list_filter({listed}, lambda x: x is null)) > 0 as has_missing from {joined}"
+
+
+def _two_runs() -> str:
+    """Points at which the folds with two hurdles differ."""
+    runs = [f"(with {fold(EVENT_TYPE, h)} select series_id, seq, g, l, epoch from f)" for h in (0.05, 0.5)]
+    return f"""select a.series_id, a.seq, round(a.g, 6) as gain_a, round(b.g, 6) as gain_b, a.epoch as epoch_a, b.epoch as epoch_b from {runs[0]} a join {runs[1]} b on a.series_id = b.series_id and a.seq = b.seq
+where abs(a.g - b.g) > 1e-12 + 1e-9 * abs(b.g) or abs(a.l - b.l) > 1e-12 + 1e-9 * abs(b.l) or a.epoch <> b.epoch"""
+
+
+#: Correlations of the four measures in one row: discount and price a, quantity b, tax c; price and quantity d, tax e; quantity and tax f. Inflations are ratios of determinants.
+_FOUR = f"""{_PAIRS}, w as (select max(case when feature_a = 'discount' and feature_b = 'price' then r end) as a, max(case when feature_a = 'discount' and feature_b = 'quantity' then r end) as b, max(case when feature_a = 'discount' and feature_b = 'tax' then r end) as c,
+  max(case when feature_a = 'price' and feature_b = 'quantity' then r end) as d, max(case when feature_a = 'price' and feature_b = 'tax' then r end) as e, max(case when feature_a = 'quantity' and feature_b = 'tax' then r end) as f from c),
+det as (select *, 1 - a*a - b*b - c*c - d*d - e*e - f*f + a*a*f*f + b*b*e*e + c*c*d*d + 2*a*b*d + 2*a*c*e + 2*b*c*f + 2*d*e*f - 2*a*b*e*f - 2*a*c*d*f - 2*b*c*d*e as det from w),
+vif as (select unnest(['discount', 'price', 'quantity', 'tax']) as feature, unnest([(1 + 2*d*e*f - d*d - e*e - f*f) / det, (1 + 2*b*c*f - b*b - c*c - f*f) / det, (1 + 2*a*c*e - a*a - c*c - e*e) / det, (1 + 2*a*b*d - a*a - b*b - d*d) / det]) as vif,
+  unnest([true, abs(a) <= 0.5, not (abs(b) > 0.5 or (abs(a) <= 0.5 and abs(d) > 0.5)), not (abs(c) > 0.5 or (abs(a) <= 0.5 and abs(e) > 0.5) or (not (abs(b) > 0.5 or (abs(a) <= 0.5 and abs(d) > 0.5)) and abs(f) > 0.5))]) as kept from det)"""
+
+_NORMALITY = f"""with m as ({MEASURES}), d as (select feature, count(value)::double as n, avg(value) as mean, stddev_samp(value) as std, kurtosis_pop(value) as k,
+  (avg(power(value, 3)) - 3 * avg(value) * avg(value * value) + 2 * power(avg(value), 3)) / power(stddev_pop(value), 3) as s from m group by 1),
+a as (select *, s * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) as y, 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) as b2 from d),
+b as (select *, sqrt(2 * (b2 - 1)) - 1 as w2, (k + 3 - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))) as x, 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) as b1 from a),
+c as (select *, asinh(y / sqrt(2 / (w2 - 1))) / sqrt(0.5 * ln(w2)) as z1, 6 + 8 / b1 * (2 / b1 + sqrt(1 + 4 / (b1 * b1))) as g from b),
+t as (select *, (1 - 2 / g) / (1 + x * sqrt(2 / (g - 4))) as term, mean * (1 - mean) / (std * std) - 1 as common from c),
+z as (select *, z1 * z1 + power(((1 - 2 / (9 * g)) - sign(term) * power(abs(term), 1.0 / 3)) / sqrt(2 / (9 * g)), 2) as k2 from t)
+select feature, n::bigint as n, round(k2, 2) as k2, round(exp(-k2 / 2), 6) as p_value, case when mean > 0 and mean < 1 and common > 0 then round(mean * common, 4) end as alpha, case when mean > 0 and mean < 1 and common > 0 then round((1 - mean) * common, 4) end as beta from z"""
+
+
 def sql() -> dict[str, str]:
+    """All twins, with those that are made of others."""
+    found = _sql()
+    return found | {
+        "a18_all_metrics": _all_metrics(found), "q6_compare_runs": _two_runs(), "m8_normality": _NORMALITY,
+        "m14_vif": f"{_FOUR} select feature, round(vif, 6) as vif from vif",
+        "m15_redundant": f"{_FOUR} select feature, not kept as by_correlation, vif > 10 as by_inflation, not kept or vif > 10 as redundant from vif",
+    }
+
+
+def _sql() -> dict[str, str]:
     et, w = f"with s as ({EVENT_TYPE})", "window w as (partition by series_id order by seq)"
     rets = f"{et}, r as (select *, {_RET} as ret from s {w})"
     dependence = f"""with m as (select *, case series_id when 'A' then 1 when 'R' then 2 else 3 end as g from ({MEASURES}) where value is not null),
