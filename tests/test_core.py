@@ -248,8 +248,10 @@ def test_windows_of_scattering_and_change_points(spark):
     nav = nav_frame(spark, np.r_[np.sin(np.arange(300) / 3), np.sin(np.arange(300) * 1.3)])
     dealt = transforms.hopping_windows(nav, 100, 50).groupBy("end").count().orderBy("end").collect()
     assert [(r.end, r["count"]) for r in dealt] == [(99 + 50 * k, 100) for k in range(11)]
-    cut = segmentation.change_points(nav, 20).collect()
+    # Without noise, windows of the later half repeat at a fixed distance only, and the rank test splits it once more.
+    cut = segmentation.change_points(nav, 20).filter("depth = 0").collect()
     assert len(cut) == 1 and abs(cut[0].seq - 300) < 25
+    assert [r.seq for r in segmentation.change_points(nav, 20, least=0.9).collect()] == [cut[0].seq]
     paths = transforms.scattering_series(nav, 128, 64)
     assert paths.filter("value is null").count() == 0 and transforms.scattering_summary(paths).count() == paths.select("path").distinct().count()
 
