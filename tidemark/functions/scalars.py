@@ -1,6 +1,7 @@
 """Scalar functions as Column expressions; all run inside generated code, none as a UDF.
 
-Undefined results are NULL. Divisions use ``try_divide`` so that ANSI mode never raises on a zero.
+Undefined results are NULL. Divisions use ``try_divide`` so that ANSI mode never raises on a zero; ratios of a series'
+own values use ``divided``, where a value of zero counts as the number it is.
 """
 
 from pyspark.sql import Column
@@ -12,6 +13,11 @@ MAD_TO_STD = 1.4826
 MINIMUM_SAMPLES = {"hurst": 256, "sample_entropy": {1: 50, 2: 200, 3: 1000}, "per_bin": 10, "per_pattern": 10}
 
 
+def divided(a: Column, b: Column) -> Column:
+    """Quotient of doubles by IEEE rules: a zero divisor gives an infinity, or NaN for a zero over it; NULL for a NULL."""
+    return F.when(b == 0, a * F.pow(b, F.lit(-1.0))).otherwise(F.try_divide(a, b))
+
+
 def relative_epsilon(x: Column) -> Column:
     return F.greatest(F.abs(x), F.lit(1.0)) * F.lit(EPS * 100)
 

@@ -64,7 +64,7 @@ def _sharpe(spark: SparkSession, d: str) -> DataFrame:
 
 def _batch(spark: SparkSession, d: str) -> DataFrame:
     nav = series.nav_user(spark, d)
-    fall = 1 - F.col("nav") / F.max("nav").over(series.so_far())
+    fall = 1 - X.divided(F.col("nav"), F.max("nav").over(series.so_far()))
     both = windows.with_returns(nav).withColumn("fall", fall)
     return both.groupBy("series_id").agg(_r(measures.sharpe(F.col("ret"), 365), "sharpe_ratio"), _r(F.max("fall"), "max_drawdown"))
 
