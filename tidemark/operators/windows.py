@@ -33,9 +33,9 @@ def build_nav(prices: DataFrame, floor: float = -0.99) -> DataFrame:
 
 
 def normalize_prices(prices: DataFrame) -> DataFrame:
-    """Each price over the series' first."""
+    """Each price over the series' first; infinite, or NaN for a zero, where that is zero."""
     first = F.first("nav").over(point_window().rowsBetween(*_ALL))
-    return prices.withColumn("relative", F.try_divide(F.col("nav"), first))
+    return prices.withColumn("relative", X.divided(F.col("nav"), first))
 
 
 def episodes(nav: DataFrame) -> DataFrame:
