@@ -6,6 +6,7 @@ scan and no column list has to be known.
 """
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,7 +49,7 @@ class FeatureStore:
         """Unpivot the columns whose names parse; others are left out."""
         parsed = {c: m for c in wide.columns if (m := re.match(NAME, c)) and (threshold is None or int(m[1]) == threshold)}
         tall = wide.select(F.col(series).alias("series_id"), F.col(bar).alias("bar_index"), *(F.col(c).cast("double").alias(c) for c in parsed)).unpivot(["series_id", "bar_index"], list(parsed), "name", "value")
-        return cls(tall.select("series_id", "bar_index", *(c.alias(n) for n, c in parse_name(F.col("name")).items()), F.when(~F.isnan("value"), F.col("value")).alias("value")))
+        return cls(tall.select("series_id", "bar_index", *(c.alias(n) for n, c in parse_name(F.col("name")).items()), "value"))
 
     @classmethod
     def from_computation(cls, nav: DataFrame, lookbacks: tuple[int, ...], threshold: int, computed_at: str = "1970-01-01 00:00:00") -> "FeatureStore":
@@ -67,10 +68,11 @@ class FeatureStore:
         return self.df.select(column).distinct().orderBy(column)
 
     def to_wide(self, drop_warmup: bool = True, names: list[str] | None = None) -> DataFrame:
-        """One column for each threshold, lookback and feature; ``names`` spares the job that finds them."""
+        """One column for each threshold, lookback and feature; ``names`` spares the job that finds them. The warm-up has a NULL, not NaN."""
         named = self.df.withColumn("name", X.feature_name(F.col("threshold_dbps"), F.col("lookback"), F.col("feature")))
         wide = named.groupBy("series_id", "bar_index").pivot("name", names or None).agg(F.first("value"))
-        return wide.na.drop() if drop_warmup else wide
+        made = [F.col(f"`{c}`").isNotNull() for c in wide.columns]
+        return wide.filter(reduce(lambda a, b: a & b, made)) if drop_warmup else wide
 
     def to_dense(self, threshold: int, names: list[str] | None = None) -> DataFrame:
         """One threshold's columns, without it in their names and with the warm-up."""
@@ -85,7 +87,7 @@ class FeatureStore:
             return F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(F.lit('"'), e["k"], F.lit('":'), e["v"])), ","), F.lit("}"))
 
         at = ["series_id", "bar_index"]
-        by_lookback = self.df.filter("valid").groupBy(*at, "threshold_dbps", "lookback").agg(keyed(F.col("feature"), F.col("value")).alias("m"))
+        by_lookback = self.df.filter("valid and not isnan(value)").groupBy(*at, "threshold_dbps", "lookback").agg(keyed(F.col("feature"), F.col("value")).alias("m"))
         by_threshold = by_lookback.groupBy(*at, "threshold_dbps").agg(keyed(F.format_string("lb%05d", "lookback"), F.col("m")).alias("m"))
         return by_threshold.groupBy(*at).agg(keyed(F.format_string("rb%05d", "threshold_dbps"), F.col("m")).alias("features"))
 
