@@ -158,7 +158,7 @@ def stream_range_bars(stream: DataFrame, threshold: float) -> DataFrame:
                 bar = OpenBar(price, q, volume, 1)
                 continue
             bar.take(price, q, volume)
-            if (bar.high - bar.low) / bar.open >= threshold:
+            if bar.breached(threshold):
                 rows.append(bar.row(key[0], number, True))
                 bar, number = OpenBar(price, q, 0.0, 0), number + 1
         state.update((number, bar.open, bar.high, bar.low, bar.close, bar.volume, int(bar.start), int(bar.last), bar.trades))
