@@ -29,6 +29,12 @@ def _measures(spark: SparkSession, d: str) -> DataFrame:
     return made(spark, d)
 
 
+def _explained(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    from .catalogue import _explained as made
+
+    return made(spark, d)
+
+
 def _gk_stats(spark: SparkSession, d: str) -> DataFrame:
     bars = series.ohlc_daily(spark, d).withColumn("raw", X.garman_klass_raw(*(F.col(c) for c in ("open", "high", "low", "close"))))
     own = bars.groupBy("series_id").agg(F.avg("raw").alias("mean"), F.stddev_pop("raw").alias("std"))
@@ -151,7 +157,7 @@ def queries() -> dict:
         "j8_jobs": _jobs,
         "k4_prepared": _prepared,
         "m15_redundant": lambda s, d: selecting.redundant_features(_measures(s, d), 0.5),
-        "m23_select_subset": lambda s, d: selecting.select_subset(_measures(s, d).filter("feature <> 'price'"), _measures(s, d).filter("feature = 'price'").select("series_id", "seq", F.col("value").alias("target")), 2, 0.0005),
+        "m23_select_subset": lambda s, d: selecting.select_subset(*_explained(s, d), 2, 0.0005),
         "t1_sorted_scores": lambda s, d: events(s, d).groupBy("user_id").agg(_r(F.max("value"), "score")).orderBy(F.desc("score"), "user_id"),
         "t2_head": lambda s, d: events(s, d).orderBy(F.desc("value"), "event_id").select("event_id", _r(F.col("value"), "value")).limit(10),
         "t5_arg_extremes": _argmax,

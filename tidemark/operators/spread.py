@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..shared import written
+
 #: Ranges of equal width that a key is cut into, and distinct values of one from which it is cut again.
 RANGES, ROWS = 1024, 200_000
 #: Positions of one range of running sums.
@@ -61,3 +63,21 @@ def running_sums(df: DataFrame, keys: list[str], at: str, columns: dict[str, str
     local = Window.partitionBy(*keys, "_range").orderBy(at).rangeBetween(Window.unboundedPreceding, -1)
     summed = cut.withColumns({new: F.coalesce(F.sum(old).over(local), F.lit(0)) for new, old in columns.items()}).join(offsets, [*keys, "_range"])
     return summed.select(*df.columns, *((F.col(new) + F.col(f"_{new}")).alias(new) for new in columns))
+
+
+def row_numbers(df: DataFrame, keys: list[str], order: list[str], name: str = "seq") -> DataFrame:
+    """Adds the place of each row among its key's, from 0; the columns of ``order`` are left out.
+
+    Rows are sorted by ranges of keys and order, so no task holds a key, and are written; a row's place in its range follows from its
+    place in the file's partition, and the counts of the ranges before are added. These are as many as keys and ranges, and are broadcast.
+    """
+    kept = [c for c in df.columns if c not in order]
+    cut = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).select(*kept, F.monotonically_increasing_id().alias("_id"))
+    rows = written(cut).withColumn("_range", F.shiftright("_id", 33))
+    counts = rows.groupBy(*keys, "_range").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_c"))
+    earlier = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(*(F.col(k).alias(f"_key_{k}") for k in keys), F.col("_range").alias("_own"), (F.coalesce(earlier, F.lit(0)) - F.col("_first")).alias("_shift"))
+    on = F.col("_range") == F.col("_own")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    return rows.join(F.broadcast(starts), on).select(*kept, (F.col("_id") + F.col("_shift")).alias(name))

@@ -17,6 +17,15 @@ def ordered(df: DataFrame, series: Column, keys: list[Column], **columns: Column
     return rows.withColumn("seq", F.row_number().over(order).cast("long") - 1).select("series_id", "seq", *columns)
 
 
+def ordered_by_ranges(df: DataFrame, series: Column, keys: list[Column], **columns: Column) -> DataFrame:
+    """``ordered`` for few series that no task could sort: rows are numbered by ranges and written to the shared folder."""
+    from .operators.spread import row_numbers
+
+    names = [f"_k{i}" for i in range(len(keys))]
+    rows = df.select(series.cast("string").alias("series_id"), *(c.alias(n) for n, c in columns.items()), *(k.alias(n) for k, n in zip(keys, names, strict=True)))
+    return row_numbers(rows, ["series_id"], names).select("series_id", "seq", *columns)
+
+
 def point_window(*extra: str) -> Window:
     """The window of a series in order; ``extra`` columns partition it further."""
     return Window.partitionBy("series_id", *extra).orderBy("seq")
