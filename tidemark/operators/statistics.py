@@ -16,6 +16,10 @@ from pyspark.sql.window import Window
 from .spread import average_ranks
 
 
+#: Features up to which points are put side by side for their correlations.
+WIDE = 32
+
+
 def pair_correlations(long: DataFrame, method: str = "pearson", keys: tuple[str, ...] = ("series_id", "seq"), least: int = 30) -> DataFrame:
     """(feature_a, feature_b, n, r) for all a < b, over the points at which both have a value; NULL below ``least``.
 
@@ -24,12 +28,27 @@ def pair_correlations(long: DataFrame, method: str = "pearson", keys: tuple[str,
     rows = long.filter(F.col("value").isNotNull()).select(*keys, "feature", "value")
     if method == "spearman":
         rows = average_ranks(rows, ["feature"]).withColumn("value", F.col("rank")).drop("rank")
+    names = sorted(r.feature for r in rows.select("feature").distinct().limit(WIDE + 1).collect() if r.feature is not None)
+    if 1 < len(names) <= WIDE:
+        return _wide_correlations(rows, names, keys, least)
     a = rows.withColumnsRenamed({"feature": "feature_a", "value": "x"})
     b = rows.withColumnsRenamed({"feature": "feature_b", "value": "y"})
     met = a.join(b, list(keys)).filter("feature_a < feature_b")
     return met.groupBy("feature_a", "feature_b").agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("r")).withColumn("r", F.when(F.col("n") >= least, F.col("r")))
 
 
+def _wide_correlations(rows: DataFrame, names: list[str], keys: tuple[str, ...], least: int) -> DataFrame:
+    """``pair_correlations`` of few features: points are put side by side in one shuffle, and all pairs are summed in one pass."""
+    columns = [F.max(F.when(F.col("feature") == name, F.col("value").cast("double"))).alias(f"f{i}") for i, name in enumerate(names)]
+    wide = rows.groupBy(*keys).agg(*columns)
+    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
+    both = lambda i, j: F.count(F.when(F.col(f"f{i}").isNotNull() & F.col(f"f{j}").isNotNull(), F.lit(1)))
+    summed = wide.agg(*(F.struct(both(i, j).alias("n"), F.corr(f"f{i}", f"f{j}").alias("r")).alias(f"p{i}_{j}") for i, j in pairs))
+    found = [F.struct(F.lit(names[i]).alias("feature_a"), F.lit(names[j]).alias("feature_b"), F.col(f"p{i}_{j}.n").alias("n"), F.col(f"p{i}_{j}.r").alias("r")) for i, j in pairs]
+    made = summed.select(F.explode(F.array(*found)).alias("e")).select("e.*").filter("n > 0")
+    return made.withColumn("r", F.when(F.col("n") >= least, F.col("r")))
+
+
 def correlation_with_target(long: DataFrame, target: DataFrame) -> DataFrame:
     """(feature, r) with a target (series_id, seq, target)."""
     return long.join(target, ["series_id", "seq"]).groupBy("feature").agg(F.corr("value", "target").alias("r"))
