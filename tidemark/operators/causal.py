@@ -11,15 +11,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .spread import row_numbers
+
 
 def binned_information(long: DataFrame, target: DataFrame, bins: int = 16) -> DataFrame:
     """(feature, information): mutual information, in nats, of rank bins of each feature and of the target.
 
-    An estimate by equally filled bins; it stands for a nearest-neighbour estimate and grows with it.
+    Bins are dealt by places among all rows of a feature, numbered by ranges. An estimate by equally filled bins; it stands for a nearest-neighbour estimate and grows with it.
     """
     rows = long.join(target, ["series_id", "seq"]).filter("value is not null and target is not null")
-    place = lambda c: F.ntile(bins).over(Window.partitionBy("feature").orderBy(c, "series_id", "seq"))
-    cells = rows.withColumns({"bx": place("value"), "by": place("target")}).groupBy("feature", "bx", "by").agg(F.count(F.lit(1)).alias("k"))
+    rows = rows.select("feature", "series_id", "seq", "value", "target")
+    sizes = rows.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
+    for name, c in (("bx", "value"), ("by", "target")):
+        ordered = rows.withColumns({"_v": F.col(c), "_s": F.col("series_id"), "_q": F.col("seq")})
+        rows = row_numbers(ordered, ["feature"], ["_v", "_s", "_q"], f"_{name}")
+    # Of n rows, the first n % bins bins have one more than the others, as ntile deals them.
+    low, more = F.floor(F.col("n") / bins), F.col("n") % bins
+    bin_ = lambda at: F.when(at < more * (low + 1), F.floor(at / (low + 1))).otherwise(more + F.floor((at - more * (low + 1)) / F.greatest(low, F.lit(1)))) + 1
+    cells = rows.join(F.broadcast(sizes), "feature").withColumns({"bx": bin_(F.col("_bx")), "by": bin_(F.col("_by"))}).groupBy("feature", "bx", "by").agg(F.count(F.lit(1)).alias("k"))
     over = lambda *c: F.sum("k").over(Window.partitionBy("feature", *c))
     parts = cells.withColumns({"n": over(), "nx": over("bx"), "ny": over("by")})
     return parts.groupBy("feature").agg(F.sum(F.col("k") / F.col("n") * F.log(F.col("k") * F.col("n") / (F.col("nx") * F.col("ny")))).alias("information"))
