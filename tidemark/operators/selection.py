@@ -60,9 +60,9 @@ def borda(rankings: DataFrame) -> DataFrame:
 def walk_forward_stability(long: DataFrame, target: DataFrame, folds: int = 5) -> DataFrame:
     """(feature, mean_importance, std_importance, cv) over expanding folds of the positions."""
     rows = long.join(target, ["series_id", "seq"])
-    n = F.count(F.lit(1)).over(Window.partitionBy("series_id", "feature"))
-    own = F.greatest(F.floor(F.col("seq") * (folds + 1) / n).cast("int"), F.lit(1))
-    grown = rows.withColumn("first_fold", own).withColumn("fold", F.explode(F.sequence(F.col("first_fold"), F.greatest(F.lit(folds), F.col("first_fold"))))).filter(F.col("fold") <= folds)
+    sizes = rows.groupBy("series_id", "feature").agg(F.count(F.lit(1)).alias("n"))
+    own = F.greatest(F.floor(F.col("seq") * (folds + 1) / F.col("n")).cast("int"), F.lit(1))
+    grown = rows.join(sizes, ["series_id", "feature"]).withColumn("first_fold", own).withColumn("fold", F.explode(F.sequence(F.col("first_fold"), F.greatest(F.lit(folds), F.col("first_fold"))))).filter(F.col("fold") <= folds)
     scored = grown.groupBy("feature", "fold").agg(F.pow(F.corr("value", "target"), F.lit(2)).alias("importance"))
     by = scored.groupBy("feature").agg(F.avg("importance").alias("mean_importance"), F.stddev_pop("importance").alias("std_importance"))
     return by.withColumn("cv", F.try_divide("std_importance", "mean_importance"))
