@@ -138,10 +138,55 @@ def window_totals(rows: DataFrame, windows: DataFrame, value: str = "nav") -> Da
     return by.filter("n > 0").withColumn("total", F.when(F.col("n_valid") > 0, F.col("total")))
 
 
+def window_extremes(rows: DataFrame, windows: DataFrame, value: str = "nav") -> DataFrame:
+    """(series_id, anchor, window, part, low, high): the least and greatest value in each part of each window that has rows.
+
+    Rows are summed up in blocks of 1, 8, 64, ... positions, and a part takes the fewest whole blocks that make it up, fourteen
+    of a size at most: so the work is a row's few blocks and a window's few, however long its training part has grown.
+    """
+    top = windows.agg(F.max("test_end")).first()[0] or 0
+    levels, size = 1, 8
+    while size <= top:
+        levels, size = levels + 1, size * 8
+    last = levels - 1
+    block = lambda k: F.struct(F.lit(k).alias("level"), F.floor(F.col("seq") / 8**k).alias("block"))
+    spread = rows.repartition(F.col("series_id"), F.floor(F.col("seq") / 8**5))
+    points = spread.select("series_id", F.col(value).alias("_v"), F.explode(F.array(*map(block, range(levels)))).alias("b"))
+    blocks = points.groupBy("series_id", "b.level", "b.block").agg(F.min("_v").alias("low"), F.max("_v").alias("high"))
+    parts = F.array(*(F.struct(F.lit(p).alias("part"), F.col(f"{p}_start").cast("long").alias("a"), F.col(f"{p}_end").cast("long").alias("z")) for p in ("train", "test")))
+    asked = windows.select("series_id", "anchor", "window", F.explode(parts).alias("p")).select("series_id", "anchor", "window", "p.*")
+    first, end = [F.ceil(F.col("a") / 8**k) for k in range(levels + 1)], [F.floor(F.col("z") / 8**k) for k in range(levels + 1)]
+    span = lambda a, z: F.when(a < z, F.sequence(a, z - 1)).otherwise(F.array().cast("array<bigint>"))
+
+    def of_level(k: int) -> Column:
+        own = span(first[k], end[k])
+        if k < last:
+            larger = F.concat(span(first[k], first[k + 1] * 8), span(end[k + 1] * 8, end[k]))
+            own = F.when(first[k + 1] < end[k + 1], larger).otherwise(own)
+        return F.transform(own, lambda b: F.struct(F.lit(k).alias("level"), b.alias("block")))
+
+    covered = asked.withColumn("b", F.explode(F.concat(*map(of_level, range(levels))))).select("series_id", "anchor", "window", "part", "b.*")
+    met = covered.join(blocks, ["series_id", "level", "block"])
+    return met.groupBy("series_id", "anchor", "window", "part").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def evaluate_extremes(rows: DataFrame, windows: DataFrame, score: Callable[[Column, Column], Column], value: str = "nav") -> DataFrame:
+    """(series_id, anchor, window, score) of a user's function of the extremes (low, high) of each window's training and test part.
+
+    What ``evaluate`` gives for a function of extremes, without a group of all rows of each window.
+    """
+    found = window_extremes(rows, windows, value)
+    of = lambda p: F.max(F.when(F.col("part") == p, F.struct("low", "high"))).alias(p)
+    by = found.groupBy("series_id", "anchor", "window").agg(of("train"), of("test"))
+    made = score(F.col("train"), F.col("test")).cast("double")
+    return by.select("series_id", "anchor", "window", F.when(~F.isnan(made), made).alias("score"))
+
+
 def evaluate(rows: DataFrame, windows: DataFrame, score: Callable[[pd.DataFrame, pd.DataFrame], float]) -> DataFrame:
     """(series_id, anchor, window, score) of a user's function of each window's training and test rows.
 
-    A window is one group; rolling windows have a fixed size, anchored ones grow with their series.
+    A window is one group; rolling windows have a fixed size, anchored ones grow with their series, so that rows grow with
+    its square: ``evaluate_extremes`` and ``window_totals`` take functions of extremes and sums without that.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
