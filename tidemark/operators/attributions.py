@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .causal import beside_target, grown_forest
+
 _LINE = re.compile(r"^( *)(If|Else|Predict:) *(?:\(feature (\d+) (<=|>) (\S+)\)|(\S+))")
 
 
@@ -124,13 +126,14 @@ def attributions(rows: DataFrame, names: list[str], found: list[Leaf], keys: tup
 
 
 def shapley_importance(long: DataFrame, target: DataFrame, names: list[str], trees: int = 20, depth: int = 5, seed: int = 42) -> DataFrame:
-    """(feature, importance): mean absolute Shapley value of each feature over all rows, of a forest fitted to the target."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import RandomForestRegressor
-
-    wide = long.groupBy("series_id", "seq").pivot("feature", names).agg(F.first("value")).join(target, ["series_id", "seq"]).na.drop()
-    model = RandomForestRegressor(featuresCol="x", labelCol="target", numTrees=trees, maxDepth=depth, seed=seed).fit(VectorAssembler(inputCols=names, outputCol="x").transform(wide))
-    found = with_shares(wide, names, leaves(model.toDebugString))
-    made = attributions(wide, names, found)
+    """``point_shapley_importance`` of a long table and its target."""
+    return point_shapley_importance(beside_target(long, target, names), names, trees, depth, seed)
+
+
+def point_shapley_importance(points: DataFrame, names: list[str], trees: int = 20, depth: int = 5, seed: int = 42) -> DataFrame:
+    """(feature, importance) of points (*names, target): mean absolute Shapley value of each feature over all of them, of a forest fitted to the target."""
+    whole = points.select(*names, "target").na.drop()
+    found = with_shares(whole, names, leaves(grown_forest(whole, names, trees, depth, seed).toDebugString))
+    made = attributions(whole, names, found, ())
     means = made.agg(*(F.avg(F.abs(F.col(f"`{n}`"))).alias(n) for n in names))
     return means.unpivot([], [F.col(f"`{n}`") for n in names], "feature", "importance")

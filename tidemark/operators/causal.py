@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .spread import row_numbers
+from .statistics import with_target
 
 
 def binned_information(long: DataFrame, target: DataFrame, bins: int = 16) -> DataFrame:
@@ -19,7 +20,7 @@ def binned_information(long: DataFrame, target: DataFrame, bins: int = 16) -> Da
 
     Bins are dealt by places among all rows of a feature, numbered by ranges. An estimate by equally filled bins; it stands for a nearest-neighbour estimate and grows with it.
     """
-    rows = long.join(target, ["series_id", "seq"]).filter("value is not null and target is not null")
+    rows = with_target(long, target).filter("value is not null and target is not null")
     rows = rows.select("feature", "series_id", "seq", "value", "target")
     sizes = rows.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
     for name, c in (("bx", "value"), ("by", "target")):
@@ -85,12 +86,26 @@ def lagged_links(long: DataFrame, target: DataFrame, tau: int = 5, alpha: float
     return sorted(out, key=lambda x: (x[3], x[0], x[1]))
 
 
-def tree_importance(long: DataFrame, target: DataFrame, names: list[str], trees: int = 20, depth: int = 5, seed: int = 42) -> DataFrame:
-    """(feature, importance) by a forest of regression trees grown in Spark; stands for mean absolute Shapley values."""
+def beside_target(long: DataFrame, target: DataFrame, names: list[str]) -> DataFrame:
+    """(series_id, seq, *names, target): the points of a long table, features side by side."""
+    return long.groupBy("series_id", "seq").pivot("feature", names).agg(F.first("value")).join(target, ["series_id", "seq"])
+
+
+def grown_forest(points: DataFrame, names: list[str], trees: int = 20, depth: int = 5, seed: int = 42):
+    """A forest of regression trees of (*names, target), grown in Spark; points without a null."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
-    wide = long.groupBy("series_id", "seq").pivot("feature", names).agg(F.first("value")).join(target, ["series_id", "seq"]).na.drop()
-    rows = VectorAssembler(inputCols=names, outputCol="x").transform(wide)
-    model = RandomForestRegressor(featuresCol="x", labelCol="target", numTrees=trees, maxDepth=depth, seed=seed).fit(rows)
-    return long.sparkSession.createDataFrame([(f, float(v)) for f, v in zip(names, model.featureImportances.toArray(), strict=True)], "feature string, importance double")
+    rows = VectorAssembler(inputCols=names, outputCol="x").transform(points).select("x", "target")
+    return RandomForestRegressor(featuresCol="x", labelCol="target", numTrees=trees, maxDepth=depth, seed=seed).fit(rows)
+
+
+def tree_importance(long: DataFrame, target: DataFrame, names: list[str], trees: int = 20, depth: int = 5, seed: int = 42) -> DataFrame:
+    """``point_tree_importance`` of a long table and its target."""
+    return point_tree_importance(beside_target(long, target, names), names, trees, depth, seed)
+
+
+def point_tree_importance(points: DataFrame, names: list[str], trees: int = 20, depth: int = 5, seed: int = 42) -> DataFrame:
+    """(feature, importance) of points (*names, target) by a forest of regression trees; stands for mean absolute Shapley values. No point is shuffled."""
+    model = grown_forest(points.na.drop(), names, trees, depth, seed)
+    return points.sparkSession.createDataFrame([(f, float(v)) for f, v in zip(names, model.featureImportances.toArray(), strict=True)], "feature string, importance double")

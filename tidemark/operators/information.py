@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from ..shared import checkpointed
 from .distribution import digamma
 from .spread import counts_below
+from .statistics import with_target
 
 #: Points of a cell, about, and relative size of the noise that breaks ties. The latter is a fixed value of the definition.
 CELL, NOISE = 256, 1e-10
@@ -33,7 +34,7 @@ def scaled_points(long: DataFrame, target: DataFrame) -> DataFrame:
     Rows with a null on either side are left out; NaN and infinite values count as 0.
     """
     clean = lambda c: F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(0.0)).otherwise(F.col(c).cast("double"))
-    rows = long.filter("value is not null").join(target.filter("target is not null"), ["series_id", "seq"]).select("feature", "series_id", "seq", clean("value").alias("x"), clean("target").alias("y"))
+    rows = with_target(long.filter("value is not null"), target).filter("target is not null").select("feature", "series_id", "seq", clean("value").alias("x"), clean("target").alias("y"))
     sizes = rows.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), *(f(c).alias(f"{n}{c}") for c in ("x", "y") for n, f in (("m", F.avg), ("s", F.stddev_pop))), *(F.avg(F.abs(c)).alias(f"a{c}") for c in ("x", "y")))
     joined = rows.join(sizes, "feature")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .statistics import correlation_with_target, pair_correlations
+from .statistics import correlation_with_target, pair_correlations, with_target
 
 
 def by_variance(long: DataFrame, least: float = 0.01) -> DataFrame:
@@ -59,7 +59,7 @@ def borda(rankings: DataFrame) -> DataFrame:
 
 def walk_forward_stability(long: DataFrame, target: DataFrame, folds: int = 5) -> DataFrame:
     """(feature, mean_importance, std_importance, cv) over expanding folds of the positions."""
-    rows = long.join(target, ["series_id", "seq"])
+    rows = with_target(long, target)
     sizes = rows.groupBy("series_id", "feature").agg(F.count(F.lit(1)).alias("n"))
     own = F.greatest(F.floor(F.col("seq") * (folds + 1) / F.col("n")).cast("int"), F.lit(1))
     grown = rows.join(sizes, ["series_id", "feature"]).withColumn("first_fold", own).withColumn("fold", F.explode(F.sequence(F.col("first_fold"), F.greatest(F.lit(folds), F.col("first_fold"))))).filter(F.col("fold") <= folds)

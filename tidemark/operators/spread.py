@@ -23,22 +23,24 @@ def _range(value: str, low: str, high: str, parts: Column) -> Column:
     return F.coalesce(F.when(~F.isnan(at), F.least(F.greatest(F.floor(at), F.lit(0)), parts - 1)), F.lit(0)).cast("int")
 
 
-def counts_below(df: DataFrame, keys: list[str], value: str, rows: int | None = None, weight: str | None = None) -> DataFrame:
-    """(keys, value, c, below, n) for each distinct value of a key that isn't null: how often it occurs, how many are smaller, and how many there are.
+def counts_below(df: DataFrame, keys: list[str], value: str, rows: int | None = None, weight: str | None = None, **carried: Column) -> DataFrame:
+    """(keys, value, c, below, n, *carried) for each distinct value of a key that isn't null: how often it occurs, how many are smaller, and how many there are.
 
-    With ``weight``, rows count as often as that column says; those of weight 0 ask without being counted.
+    With ``weight``, rows count as often as that column says; those of weight 0 ask without being counted. ``carried`` are
+    further aggregates over the rows of a value. Distinct values and the tables of ranges are written, so that their joins know
+    their sizes: few ranges are broadcast, and values aren't shuffled by key, where few keys would be few tasks.
     """
-    distinct = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("c"))
-    ends = distinct.groupBy(*keys).agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.sum("c").alias("n"))
+    distinct = written(df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("c"), *(c.alias(k) for k, c in carried.items())))
+    ends = written(distinct.groupBy(*keys).agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.sum("c").alias("n")))
     coarse = distinct.join(ends, keys).withColumn("_a", _range(value, "_low", "_high", F.lit(RANGES)))
-    within = coarse.groupBy(*keys, "_a").agg(F.min(value).alias("_from"), F.max(value).alias("_to"), F.ceil(F.count(F.lit(1)) / F.lit(rows or ROWS)).cast("int").alias("_parts"))
-    fine = coarse.join(within, [*keys, "_a"]).withColumn("_b", _range(value, "_from", "_to", F.col("_parts"))).select(*keys, value, "c", "n", "_a", "_b")
+    within = written(coarse.groupBy(*keys, "_a").agg(F.min(value).alias("_from"), F.max(value).alias("_to"), F.ceil(F.count(F.lit(1)) / F.lit(rows or ROWS)).cast("int").alias("_parts")))
+    fine = coarse.join(within, [*keys, "_a"]).withColumn("_b", _range(value, "_from", "_to", F.col("_parts"))).select(*keys, value, "c", "n", *carried, "_a", "_b")
     totals = fine.groupBy(*keys, "_a", "_b").agg(F.sum("c").alias("_c"))
     earlier = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_a", "_b").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.select(*keys, "_a", "_b", F.coalesce(earlier, F.lit(0)).alias("_before"))
+    offsets = written(totals.select(*keys, "_a", "_b", F.coalesce(earlier, F.lit(0)).alias("_before")))
     local = F.sum("c").over(Window.partitionBy(*keys, "_a", "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
     placed = fine.withColumn("_local", F.coalesce(local, F.lit(0))).join(offsets, [*keys, "_a", "_b"])
-    return placed.select(*keys, value, "c", (F.col("_before") + F.col("_local")).alias("below"), "n")
+    return placed.select(*keys, value, "c", (F.col("_before") + F.col("_local")).alias("below"), "n", *carried)
 
 
 def average_ranks(df: DataFrame, keys: list[str], value: str = "value", name: str = "rank") -> DataFrame:

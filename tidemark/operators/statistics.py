@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .spread import average_ranks
+from .spread import average_ranks, counts_below
 
 
 #: Features up to which points are put side by side for their correlations.
@@ -49,9 +49,14 @@ def _wide_correlations(rows: DataFrame, names: list[str], keys: tuple[str, ...],
     return made.withColumn("r", F.when(F.col("n") >= least, F.col("r")))
 
 
-def correlation_with_target(long: DataFrame, target: DataFrame) -> DataFrame:
-    """(feature, r) with a target (series_id, seq, target)."""
-    return long.join(target, ["series_id", "seq"]).groupBy("feature").agg(F.corr("value", "target").alias("r"))
+def with_target(long: DataFrame, target: DataFrame | None) -> DataFrame:
+    """The rows of a long table with their ``target``: as they are if they carry it already, else from (series_id, seq, target)."""
+    return long if "target" in long.columns else long.join(target, ["series_id", "seq"])
+
+
+def correlation_with_target(long: DataFrame, target: DataFrame | None = None) -> DataFrame:
+    """(feature, r) with a target (series_id, seq, target), or with the ``target`` that the rows carry, which shuffles no rows."""
+    return with_target(long, target).groupBy("feature").agg(F.corr("value", "target").alias("r"))
 
 
 def autocorrelation(long: DataFrame, lags: tuple[int, ...] = (1, 5, 10, 20, 50, 100)) -> DataFrame:
@@ -139,12 +144,13 @@ def rank_effects(long: DataFrame, group: Column, first: str, second: str) -> Dat
     ``cliffs_delta`` is 1 - 2U/(n1 n2); ``cliffs_delta_standard`` has the usual sign.
     """
     rows = long.withColumn("g", group).filter(F.col("g").isin(first, second) & F.col("value").isNotNull())
-    ranked = average_ranks(rows, ["feature"])
-    ties = rows.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("t")).groupBy("feature").agg(F.sum(F.pow(F.col("t"), 3) - F.col("t")).alias("ties"))
     is1, is2 = F.col("g") == first, F.col("g") == second
     one = lambda c, cond: F.when(cond, c)
-    by = ranked.groupBy("feature").agg(
-        F.count(one(F.lit(1), is1)).cast("double").alias("n1"), F.count(one(F.lit(1), is2)).cast("double").alias("n2"), F.sum(one(F.col("rank"), is1)).alias("ranks"),
+    # Rows aren't ranked one by one: equal values are one row with its rank and how many of the first group it has.
+    c, distinct = F.col("c"), counts_below(rows, ["feature"], "value", c1=F.count_if(is1))
+    ties = distinct.groupBy("feature").agg(F.sum(F.pow(c, 3) - c).alias("ties"), F.sum(F.when(F.col("c1") > 0, F.col("c1") * (F.col("below") + (c + 1) / 2))).alias("ranks"))
+    by = rows.groupBy("feature").agg(
+        F.count(one(F.lit(1), is1)).cast("double").alias("n1"), F.count(one(F.lit(1), is2)).cast("double").alias("n2"),
         F.avg(one(F.col("value"), is1)).alias("m1"), F.avg(one(F.col("value"), is2)).alias("m2"), F.var_samp(one(F.col("value"), is1)).alias("v1"), F.var_samp(one(F.col("value"), is2)).alias("v2"),
     ).join(ties, "feature")
     n1, n2 = F.col("n1"), F.col("n2")
@@ -159,13 +165,14 @@ def rank_effects(long: DataFrame, group: Column, first: str, second: str) -> Dat
     return scored.withColumns({"effect": word, "p_value": two_sided_p(F.col("z"))}).select("feature", "n1", "n2", "u", "cliffs_delta", "cliffs_delta_standard", "cohens_d", "effect", "z", "p_value")
 
 
-def regime_dependence(long: DataFrame, regimes: DataFrame, least: int = 30) -> DataFrame:
+def regime_dependence(long: DataFrame, regimes: DataFrame | None = None, least: int = 30) -> DataFrame:
     """Each feature of a long table in trending, mean-reverting and random regimes (series_id, seq, regime): sizes, means and
     deviations, the effect between the first two and whether the feature depends on the regime (p below 0.05).
 
-    Features with fewer than ``least`` values in either of the two have an ``error`` and no effects.
+    Without ``regimes``, rows carry their ``regime``, and none are joined. Features with fewer than ``least`` values in either of the two have an ``error`` and no effects.
     """
-    rows = long.filter(F.col("value").isNotNull()).join(regimes.select("series_id", "seq", "regime"), ["series_id", "seq"])
+    rows = long.filter(F.col("value").isNotNull())
+    rows = rows if regimes is None else rows.join(regimes.select("series_id", "seq", "regime"), ["series_id", "seq"])
     within = {"trending": "trending", "mean_rev": "mean_reverting", "random": "random"}
     of = {k: F.when(F.col("regime") == v, F.col("value")) for k, v in within.items()}
     sizes = [F.count(c).alias(f"n_{k}") for k, c in of.items()]
