@@ -47,8 +47,8 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encode the texts."""
-    small_batches(spark)
+    """Encode the texts; batches are smaller here, since an encoder's tables lie beside them in each worker."""
+    small_batches(spark, 250, "4m")
     path = tokenizer_path()
     encoded = docs.select("doc_id", bpe.encoded_column(F.col("text"), path).alias("ids"))
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")

@@ -36,8 +36,10 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .shared import give_back
+
 #: Characters of text that are encoded at once; words of more bytes than this go one at a time.
-STRETCH, LONG = 1 << 19, 48
+STRETCH, LONG = 1 << 17, 48
 #: Words, and stretches without white space, that a task remembers; none of them is longer than ``SHORT``.
 REMEMBERED, SHORT = 50_000, 40
 #: So few new words go one at a time.
@@ -383,7 +385,9 @@ def _ranges(kind: str) -> str:
 def coder(path: str) -> PrefixCoder:
     """The coder of a vocabulary file that each machine holds, one for each worker process."""
     with open(path, encoding="utf-8") as f:
-        return PrefixCoder(f.read())
+        made = PrefixCoder(f.read())
+    give_back()
+    return made
 
 
 def _list_array(parts: list[list[bytes]]) -> pa.Array:
@@ -391,20 +395,27 @@ def _list_array(parts: list[list[bytes]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(chain.from_iterable(parts)), np.int32)))
 
 
+def encoded_batches(batches: Iterable[pa.Array], path: str) -> Iterator[pa.Array]:
+    """The ids of each text of a task's batches; what the task remembered goes back to the system when it ends."""
+    c = coder(path)
+    try:
+        for texts in batches:
+            parts: list[list[bytes]] = [[] for _ in range(len(texts))]
+            for k, ids in c.encode_texts(t.as_py() for t in texts):
+                parts[k].append(ids)
+            yield _list_array(parts)
+    finally:
+        parts = texts = None
+        c.forget()
+        give_back()
+
+
 def encoded_column(text: Column, path: str) -> Column:
     """The ids of each text as array<int>; null encodes to an empty array."""
 
     @F.arrow_udf("array<int>")
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        c = coder(path)
-        try:
-            for texts in batches:
-                parts: list[list[bytes]] = [[] for _ in range(len(texts))]
-                for k, ids in c.encode_texts(t.as_py() for t in texts):
-                    parts[k].append(ids)
-                yield _list_array(parts)
-        finally:
-            c.forget()
+        yield from encoded_batches(batches, path)
 
     return encoded(F.coalesce(text, F.lit("")))
 
@@ -433,5 +444,6 @@ def digest_column(text: Column, path: str) -> Column:
                 yield pa.StructArray.from_arrays(columns, ["n_tokens", "ids_sha256", "decoded_sha256"])
         finally:
             c.forget()
+            give_back()
 
     return digests(F.coalesce(text, F.lit("")))

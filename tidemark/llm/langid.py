@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import free_names, materialise
+from .shared import free_names, give_back, materialise
 
 BUCKETS = 1 << 14
 LENGTHS = (1, 2, 3)
@@ -158,26 +158,30 @@ def predictor(model: Model | None) -> Callable[[Column], Column]:
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         marks = _unpacked(model.landmarks) if model else None
         buffer = np.zeros((_AT_ONCE, BUCKETS), np.float32)
-        for texts in batches:
-            lang, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
-            where: list[int] = []
-
-            def flush(where: list[int] = where, lang: list[str] = lang, score: np.ndarray = score) -> None:
-                if where:
-                    out = model.score(buffer[: len(where)], marks)
-                    best = out.argmax(1)
-                    for k, i in enumerate(where):
-                        lang[i], score[i] = model.languages[best[k]], min(1.0, max(0.0, (float(out[k, best[k]]) + 1) / 2))
-                    where.clear()
-
-            for i, t in enumerate(texts):
-                if model and (p := presence(t.as_py())) is not None:
-                    buffer[len(where)] = p
-                    where.append(i)
-                    if len(where) == _AT_ONCE:
-                        flush()
-            flush()
-            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score)], ["lang_pred", "score"])
+        try:
+            for texts in batches:
+                lang, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+                where: list[int] = []
+
+                def flush(where: list[int] = where, lang: list[str] = lang, score: np.ndarray = score) -> None:
+                    if where:
+                        out = model.score(buffer[: len(where)], marks)
+                        best = out.argmax(1)
+                        for k, i in enumerate(where):
+                            lang[i], score[i] = model.languages[best[k]], min(1.0, max(0.0, (float(out[k, best[k]]) + 1) / 2))
+                        where.clear()
+
+                for i, t in enumerate(texts):
+                    if model and (p := presence(t.as_py())) is not None:
+                        buffer[len(where)] = p
+                        where.append(i)
+                        if len(where) == _AT_ONCE:
+                            flush()
+                flush()
+                yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score)], ["lang_pred", "score"])
+        finally:
+            buffer = marks = None
+            give_back()
 
     return lambda text: predict(F.coalesce(text, F.lit("")))
 
