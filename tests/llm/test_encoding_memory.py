@@ -1,5 +1,6 @@
 """What encoding tasks hold, and that workers give it back: they stay for later stages and count there."""
 
+import numpy as np
 import pyarrow as pa
 
 from tidemark.llm import bpe
@@ -25,3 +26,15 @@ def test_cuts_of_stretches_change_no_ids(monkeypatch):
     for stretch in (1, 7, 100):
         monkeypatch.setattr(bpe, "STRETCH", stretch)
         assert coder.encode(text) == want
+
+
+def test_pairs_with_the_same_last_token_are_all_remembered(monkeypatch):
+    coder, asked = bpe.PrefixCoder(open(tokenizer_path(), encoding="utf-8").read()), []
+    plain = coder.compatible
+    monkeypatch.setattr(coder, "compatible", lambda left, right: asked.append(len(left)) or plain(left, right))
+    before, token = np.arange(1000), np.full(1000, 500)
+    first = coder._fits(before, token)
+    assert asked == [1000] and first.tolist() == plain(before, token).tolist()
+    assert coder._fits(before, token).tolist() == first.tolist()
+    # A few pairs may share a place of the table.
+    assert sum(asked) < 1100

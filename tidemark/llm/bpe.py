@@ -44,8 +44,8 @@ STRETCH, LONG = 1 << 17, 48
 REMEMBERED, SHORT = 50_000, 40
 #: So few new words go one at a time.
 FEW = 64
-#: Places of the table of pair tests; a later pair takes an earlier one's place.
-PAIRS = 1 << 17
+#: Places of the table of pair tests, as a power of two; a later pair takes an earlier one's place.
+PAIRS = 19
 # What counts as white space for the tokenizer's normaliser.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -60,6 +60,11 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
+def _places(keys: np.ndarray) -> np.ndarray:
+    """Where pairs of tokens stand in the table of pair tests; the highest bits of a product, on which both tokens tell."""
+    return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PAIRS)).view(np.int64)
+
+
 def _at(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(places, whether it is there) of each wanted key in sorted keys."""
     place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
@@ -101,7 +106,7 @@ class PrefixCoder:
         for i, s in spelled.items():
             self.length[i] = len(s)
         self._automaton(spelled, closing)
-        self.tested, self.outcome = np.full(PAIRS, -1, np.int64), np.zeros(PAIRS, bool)
+        self.tested, self.outcome = np.full(1 << PAIRS, -1, np.int64), np.zeros(1 << PAIRS, bool)
         letters, numbers = _ranges("L"), _ranges("N")
         self.split = re.compile(rf"[{letters}]+|[{numbers}]|'(?:s|t|re|ve|m|ll|d)|[^{_SPACE}{letters}{numbers}]+").findall
         self.blanks = re.compile(f"[{_SPACE}]+").split
@@ -190,14 +195,14 @@ class PrefixCoder:
         if not len(at):
             return out
         key = before[at].astype(np.int64) << 32 | token[at]
-        place = (key * 0x9E3779B1 >> 12) % PAIRS
+        place = _places(key)
         met = self.tested[place] == key
         out[at[met]] = self.outcome[place[met]]
         if not met.all():
             new, back = np.unique(key[~met], return_inverse=True)
             found = self.compatible(new >> 32, new & 0xFFFFFFFF)
             out[at[~met]] = found[back]
-            place = (new * 0x9E3779B1 >> 12) % PAIRS
+            place = _places(new)
             self.tested[place], self.outcome[place] = new, found
         return out
 
@@ -297,7 +302,8 @@ class PrefixCoder:
         if len(self.known) >= REMEMBERED:
             self.known.before = {}
             self.known = _Known(self.known)
-        new = chunks.difference(self.known, self.known.before)
+        known, before = self.known, self.known.before
+        new = [c for c in chunks if c not in known and c not in before]
         several = {c: self._words(c) for c in new if not c.isalpha()}
         words = list({*(c for c in new if c not in several), *chain.from_iterable(several.values())})
         ids = dict(zip(words, self.encode_words(words), strict=True))
@@ -356,7 +362,7 @@ class PrefixCoder:
             if ids:
                 between, own = b" " if count else b"", np.frombuffer(ids, np.int32).tolist()
                 of_ids.update(between + " ".join(map(self.decimal.__getitem__, own)).encode())
-                of_text.update(between + self.decode(own).encode())
+                of_text.update(between + " ".join(map(self.text.__getitem__, own)).encode())
                 count += len(own)
         yield count, of_ids.hexdigest(), of_text.hexdigest()
 
