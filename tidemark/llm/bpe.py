@@ -45,7 +45,7 @@ REMEMBERED, SHORT = 50_000, 40
 #: So few new words go one at a time.
 FEW = 64
 #: Places of the table of pair tests, as a power of two; a later pair takes an earlier one's place.
-PAIRS = 19
+PAIRS = 18
 # What counts as white space for the tokenizer's normaliser.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -113,9 +113,9 @@ class PrefixCoder:
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.forget()
 
-    def forget(self) -> None:
-        """Drop what was remembered of words met so far."""
-        self.known = _Known({})
+    def forget(self, remembered: int | None = None) -> None:
+        """Drop what was remembered of words met so far, and remember so many from now on, ``REMEMBERED`` by default."""
+        self.known, self.remembered = _Known({}), remembered or REMEMBERED
 
     def _automaton(self, spelled: dict[int, bytes], closing: set[int]) -> None:
         """States are prefixes of tokens; each links to its longest suffix that is a state too.
@@ -299,7 +299,7 @@ class PrefixCoder:
 
     def _meet(self, chunks: set[str]) -> list[str]:
         """Encode the stretches without white space that aren't remembered, together; returns those too long to be kept."""
-        if len(self.known) >= REMEMBERED:
+        if len(self.known) >= self.remembered:
             self.known.before = {}
             self.known = _Known(self.known)
         known, before = self.known, self.known.before
@@ -443,6 +443,7 @@ def digest_column(text: Column, path: str) -> Column:
     @F.arrow_udf("struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>")
     def digests(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         c = coder(path)
+        c.forget(2 * REMEMBERED)
         try:
             for texts in batches:
                 found = list(c.digests(t.as_py() for t in texts)) if len(texts) else []
