@@ -13,9 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..shared import written
 from .spread import average_ranks, counts_below
 
-
+#: Strips of each axis that a distance correlation's points are cut into at most.
+STRIPS = 64
 #: Features up to which points are put side by side for their correlations.
 WIDE = 32
 
@@ -335,37 +337,114 @@ def threshold_stability(long: DataFrame) -> DataFrame:
     return by.withColumn("stable", F.coalesce(F.col("cv") < 0.20, F.lit(False)))
 
 
-def distance_correlation(pairs: DataFrame, keys: tuple[str, ...] = ("feature_a", "feature_b"), order: str = "seq") -> DataFrame:
-    """(keys, n, dcor) of rows (keys, order, x, y), exact over all points of a group without its n by n distances.
+def _products_below(place: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """For each point, the sum of w (X - x) (Y - y) over the points with a smaller place and a smaller y.
 
-    With ranks by x and by y, a point's distances to all others follow from prefix sums. The sum of products of distances
-    needs, for each point, the sums over the points below it in both ranks (Huo and Szekely, 2016): two points part at one
-    bit of their ranks by x, so each point goes once to each bit's block, where running sums by y over the half with
-    that bit unset are read by the other half. Work and rows shuffled are n log n. The highest bit's block and the ranks
-    take all points of a group into one sorted, spilling window.
+    Two places part at one bit. There, running sums by y over the points with that bit unset are read by the others; ties add nothing.
+    """
+    order = np.argsort(y, kind="stable")
+    place, x, y, w = place[order], x[order], y[order], w[order]
+    found = np.zeros(len(x))
+    for level in range(int(place.max()).bit_length()):
+        block = place >> (level + 1)
+        by = np.argsort(block, kind="stable")
+        bit, first = place[by] >> level & 1, np.searchsorted(block[by], block[by])
+        low = np.where(bit == 0, w[by], 0.0)
+        c, sx, sy, sxy = ((t := np.r_[0.0, np.cumsum(low * v)])[1:] - t[first] for v in (1.0, x[by], y[by], x[by] * y[by]))
+        found[by] += np.where(bit == 1, c * x[by] * y[by] - x[by] * sy - y[by] * sx + sxy, 0.0)
+    out = np.empty(len(x))
+    out[order] = found
+    return out
+
+
+def _distances_within(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """For each value, the sum of w |X - x| over all."""
+    order = np.argsort(x, kind="stable")
+    c, s = np.cumsum(w[order]), np.cumsum(w[order] * x[order])
+    out = np.empty(len(x))
+    out[order] = x[order] * (2 * c - c[-1]) + s[-1] - 2 * s
+    return out
+
+
+def distance_correlation(pairs: DataFrame, keys: tuple[str, ...] = ("feature_a", "feature_b"), rows: int = 20_000) -> DataFrame:
+    """(keys, n, dcor) of rows (keys, x, y), exact over all points of a group without its n by n distances.
+
+    Equal points are one row with a weight. A group is cut into up to ``STRIPS`` strips by x and as many by y, of about ``rows``
+    points at least. A point's distances to all others are sums over the strips below and above, and those within its own. The sum
+    of products of distances needs, for each point, sums over the points below it on both axes (Huo and Szekely, 2016): these lie in a
+    cell of a lower strip on both axes, in its own strip by x, or in a lower strip by x and its own by y. So each distinct point
+    is shuffled three times, whatever n is. A strip of one value, in which no distances are, is dealt out by a salt.
 
     Points without a finite x and y are left out; a group without spread in x or y has 0; one of such points only is absent.
+    Keys aren't null.
     """
     both = [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) != float("inf")) for c in ("x", "y")]
-    group = Window.partitionBy(*keys)
-    centred = {c: F.when(F.min(c).over(group) < F.max(c).over(group), F.col(c) - F.avg(c).over(group)).otherwise(0.0) for c in ("x", "y")}
-    rows = pairs.filter(both[0] & both[1]).select(*keys, order, *(F.col(c).cast("double").alias(c) for c in ("x", "y")))
-    rows = rows.withColumns({**centred, "n": F.count(F.lit(1)).over(group)})
-    for c in ("x", "y"):
-        by = Window.partitionBy(*keys).orderBy(c, order)
-        rows = rows.withColumns({f"place_{c}": F.row_number().over(by) - 1, f"upto_{c}": F.sum(c).over(by.rowsBetween(Window.unboundedPreceding, 0)), f"total_{c}": F.sum(c).over(group)})
-        to_all = F.col(c) * (2 * (F.col(f"place_{c}") + 1) - F.col("n")) + F.col(f"total_{c}") - 2 * F.col(f"upto_{c}")
-        rows = rows.withColumn(f"to_all_{c}", to_all).drop(f"upto_{c}", f"total_{c}")
-    levels = rows.withColumn("level", F.explode(F.sequence(F.lit(0), F.length(F.bin(F.col("n") - 1)) - 1)))
-    levels = levels.withColumns({"block": F.expr("shiftright(place_x, level + 1)"), "below": F.expr("shiftright(place_x, level) & 1 = 0")})
-    so_far = Window.partitionBy(*keys, "level", "block").orderBy("place_y").rowsBetween(Window.unboundedPreceding, 0)
-    x, y = F.col("x"), F.col("y")
-    running = {k: F.sum(F.when(F.col("below"), v).otherwise(0.0)).over(so_far) for k, v in {"c": F.lit(1.0), "sx": x, "sy": y, "sxy": x * y}.items()}
-    under = F.when(~F.col("below"), F.col("c") * x * y - x * F.col("sy") - y * F.col("sx") + F.col("sxy")).otherwise(0.0)
-    once = lambda v: F.sum(F.when(F.col("level") == 0, v).otherwise(0.0))
-    u, v = F.col("to_all_x"), F.col("to_all_y")
-    terms = {"under": F.sum(under), "x1": once(x), "y1": once(y), "x2": once(x * x), "y2": once(y * y), "xy": once(x * y), "u1": once(u), "v1": once(v), "u2": once(u * u), "v2": once(v * v), "uv": once(u * v)}
-    summed = levels.withColumns(running).groupBy(*keys, "n").agg(*(t.alias(k) for k, t in terms.items()))
+    whole = pairs.filter(both[0] & both[1]).select(*keys, *(F.col(c).cast("double").alias(c) for c in ("x", "y")))
+    points = written(whole.groupBy(*keys, "x", "y").agg(F.count(F.lit(1)).cast("double").alias("w")))
+    cuts = [k / STRIPS for k in range(1, STRIPS)]
+    made = {f"{k}_{c}": f for c in ("x", "y") for k, f in {"mean": F.sum(F.col("w") * F.col(c)) / F.sum("w"), "least": F.min(c), "most": F.max(c), "cuts": F.percentile_approx(c, cuts)}.items()}
+    sizes = written(points.groupBy(*keys).agg(F.sum("w").cast("long").alias("n"), F.count(F.lit(1)).alias("points"), *(f.alias(k) for k, f in made.items())))
+    step = F.ceil(F.lit(STRIPS * rows) / F.col("points")).cast("int")
+    bounds = sizes.withColumns({f"cuts_{c}": F.array_distinct(F.filter(f"cuts_{c}", lambda v, i: (i + 1) % step == 0)) for c in ("x", "y")})
+
+    def strip_of(c: str) -> Column:
+        return F.size(F.filter(f"cuts_{c}", lambda b: b <= F.col(c)))
+
+    placed = points.join(F.broadcast(bounds), list(keys)).select(
+        *keys, "w", *(strip_of(c).alias(f"strip_{c}") for c in ("x", "y")),
+        *(F.when(F.col(f"least_{c}") < F.col(f"most_{c}"), F.col(c) - F.col(f"mean_{c}")).otherwise(0.0).alias(c) for c in ("x", "y")),
+    )
+    w, x, y = F.col("w"), F.col("x"), F.col("y")
+    sums = {"c": w, "x1": w * x, "y1": w * y, "xy": w * x * y, "x2": w * x * x, "y2": w * y * y}
+    cells = written(placed.groupBy(*keys, "strip_x", "strip_y").agg(F.count(F.lit(1)).alias("points"), *(F.sum(v).alias(k) for k, v in sums.items()), *(f(c).alias(f"{k}_{c}") for c in ("x", "y") for k, f in (("least", F.min), ("most", F.max)))))
+
+    def strips(c: str) -> DataFrame:
+        """What the strips before and after each strip of an axis add up to, and how many salts it has."""
+        own = cells.groupBy(*keys, f"strip_{c}").agg(F.sum("points").alias("points"), F.sum("c").alias("own_c"), F.sum(f"{c}1").alias("own_s"), F.min(f"least_{c}").alias("low"), F.max(f"most_{c}").alias("high"))
+        before = Window.partitionBy(*keys).orderBy(f"strip_{c}").rowsBetween(Window.unboundedPreceding, -1)
+        after = Window.partitionBy(*keys).orderBy(f"strip_{c}").rowsBetween(1, Window.unboundedFollowing)
+        outer = {f"{k}_{e}": F.coalesce(F.sum(f"own_{e}").over(by), F.lit(0.0)) for k, by in (("before", before), ("after", after)) for e in ("c", "s")}
+        salts = F.when(F.col("low") == F.col("high"), F.ceil(F.col("points") / (5 * rows))).otherwise(1)
+        return F.broadcast(own.select(*keys, f"strip_{c}", salts.alias("salts"), *(v.alias(k) for k, v in outer.items())))
+
+    def dealt(df: DataFrame, c: str, other: str, name: str) -> DataFrame:
+        outer = F.col(c) * (F.col("before_c") - F.col("after_c")) - F.col("before_s") + F.col("after_s")
+        met = df.join(strips(c), [*keys, f"strip_{c}"]).withColumns({name: outer, "salt": F.pmod(F.xxhash64(other), F.col("salts"))})
+        return met.drop("salts", "before_c", "before_s", "after_c", "after_s")
+
+    def by_x(pdf: pd.DataFrame) -> pd.DataFrame:
+        x_, y_, w_ = (pdf[c].to_numpy() for c in ("x", "y", "w"))
+        place = np.empty(len(pdf), np.int64)
+        place[np.argsort(x_, kind="stable")] = np.arange(len(pdf))
+        out = pdf.drop(columns=["salt"])
+        out["u"] += _distances_within(x_, w_)
+        out["under"] = _products_below(place, x_, y_, w_)
+        return out
+
+    def by_y(pdf: pd.DataFrame) -> pd.DataFrame:
+        x_, y_, w_, u = (pdf[c].to_numpy() for c in ("x", "y", "w", "u"))
+        v = pdf["v"].to_numpy() + _distances_within(y_, w_)
+        under = pdf["under"].to_numpy() + _products_below(pdf["strip_x"].to_numpy().astype(np.int64), x_, y_, w_)
+        terms = {"under": under, "u1": u, "v1": v, "u2": u * u, "v2": v * v, "uv": u * v}
+        return pdf[list(keys)].head(1).assign(**{k: float((w_ * t).sum()) for k, t in terms.items()})
+
+    def by_cell(pdf: pd.DataFrame) -> pd.DataFrame:
+        def below(c: str) -> np.ndarray:
+            table = np.zeros((STRIPS + 1, STRIPS + 1))
+            at_x, at_y = pdf["strip_x"].to_numpy(), pdf["strip_y"].to_numpy()
+            table[at_x + 1, at_y + 1] = pdf[c]
+            return table.cumsum(0).cumsum(1)[at_x, at_y]
+
+        under = pdf["xy"] * below("c") - pdf["x1"] * below("y1") - pdf["y1"] * below("x1") + pdf["c"] * below("xy")
+        return pdf[list(keys)].head(1).assign(under=float(under.sum()), **dict.fromkeys(("u1", "v1", "u2", "v2", "uv"), 0.0))
+
+    kinds = ", ".join(f"`{k}` {whole.schema[k].dataType.simpleString()}" for k in keys)
+    in_x = dealt(placed, "x", "y", "u").groupBy(*keys, "strip_x", "salt").applyInPandas(by_x, kinds + ", strip_x int, w double, strip_y int, x double, y double, u double, under double")
+    result = kinds + ", under double, u1 double, v1 double, u2 double, v2 double, uv double"
+    in_y = dealt(in_x, "y", "x", "v").groupBy(*keys, "strip_y", "salt").applyInPandas(by_y, result)
+    parts = in_y.unionByName(cells.groupBy(*keys).applyInPandas(by_cell, result))
+    plain = cells.groupBy(*keys).agg(*(F.sum(k).alias(k) for k in sums if k != "c"))
+    summed = parts.groupBy(*keys).agg(*(F.sum(k).alias(k) for k in ("under", "u1", "v1", "u2", "v2", "uv"))).join(plain, list(keys)).join(sizes.select(*keys, "n"), list(keys))
     n = F.col("n").cast("double")
 
     def covariance(products: Column, one: str, two: str, rows_: str) -> Column:
