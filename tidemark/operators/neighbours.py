@@ -1,74 +1,140 @@
-"""Near neighbours of points by a grid, counted without comparing all of them.
+"""Near neighbours of points, counted in blocks without comparing all of them.
 
-Points fall into cells a fraction of the radius wide. Two cells that are near enough hold matching points only, and
-add the product of their counts; two that are too far apart never meet; only points of cells at the radius' edge are
-compared. Equal points are one row with a weight, so ties cost nothing. Everything is joins on cells and sums, one key's
-cells spread over all tasks, and cells that many points ask for are dealt out by a salt.
+A point goes to the blocks of the first two axes, two radii wide, in which a pair that it is the lower one of may have its
+larger coordinates: 2.25 blocks on average, whatever the number of points. A block counts its pairs from sorted arrays, in n log n steps
+on two axes and one more factor log n for each further axis. Equal points are one row with a weight, so ties cost nothing.
 """
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import checkpointed
-
-#: Points of a key from which cells get finer than half the radius, and points for one salt.
-COARSE, SALTED = 20_000, 100_000
-#: Cells in a radius at most, by axes: about 150 neighbours of a cell. Two at least, so that a cell's own points all match.
-_FINEST = {1: 64, 2: 8, 3: 3}
-#: Cells are at least this part of the largest value in size, so that their numbers stay exact.
+#: Distinct points of a key from which blocks are one radius wide instead of two.
+SALTED = 4_000_000
+#: Blocks are at least this part of the largest value in size, so that their numbers stay exact.
 _LEAST = 1e-9
-#: By how much sums of cells differ from the radius at least, relatively, to be called nearer or farther; above all rounding.
+#: By how much a point's reach is widened, relatively, when blocks are found for it; above all rounding.
 _SURE = 1e-6
 
 
-def _offsets(spark: SparkSession, axes: int, most: int) -> DataFrame:
-    """(reach, offset, far): steps from a cell to those up to ``reach`` away that come after it, and to itself; a few thousand rows."""
-    span = F.sequence(-F.col("reach"), F.col("reach"))
-    steps = F.transform(span, lambda a: F.array(a))
-    for _ in range(axes - 1):
-        steps = F.flatten(F.transform(steps, lambda s: F.transform(span, lambda a: F.concat(s, F.array(a)))))
-    leading = lambda s: F.coalesce(F.get(F.filter(s, lambda a: a != 0), F.lit(0)), F.lit(0))
-    made = spark.range(most + 1).select(F.col("id").alias("reach")).withColumn("offset", F.explode(F.filter(steps, lambda s: leading(s) >= 0)))
-    return made.withColumn("far", F.array_max(F.transform("offset", F.abs)))
+def _reach(values: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rank, first, end): each value's rank among the distinct ones, and the ranks whose values differ from it by ``r`` at most."""
+    distinct, rank = np.unique(values, return_inverse=True)
+    last = len(distinct) - 1
+    first = np.searchsorted(distinct, distinct - r)
+    end = np.searchsorted(distinct, distinct + r, "right") - 1
+    # The sums above are rounded; the difference itself decides.
+    while (more := (first > 0) & (distinct - distinct[np.maximum(first - 1, 0)] <= r)).any():
+        first -= more
+    while (less := distinct - distinct[np.minimum(first, last)] > r).any():
+        first += less
+    while (more := (end < last) & (distinct[np.minimum(end + 1, last)] - distinct <= r)).any():
+        end += more
+    while (less := distinct[end] - distinct > r).any():
+        end -= less
+    return rank, first[rank], end[rank] + 1
+
+
+class _Below:
+    """Sums of weights in a stretch of a sequence over the numbers below a bound, by a wavelet matrix."""
+
+    def __init__(self, numbers: np.ndarray, weights: np.ndarray, bits: int):
+        self.levels = []
+        for bit in reversed(range(bits)):
+            zero = numbers >> bit & 1 == 0
+            places = np.r_[0, np.cumsum(zero)]
+            self.levels.append((bit, places, np.r_[0, np.cumsum(np.where(zero, weights, 0))]))
+            order = np.r_[np.flatnonzero(zero), np.flatnonzero(~zero)]
+            numbers, weights = numbers[order], weights[order]
+
+    def sums(self, a: np.ndarray, b: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(a), np.int64)
+        for bit, places, weights in self.levels:
+            one = bound >> bit & 1 == 1
+            out += np.where(one, weights[b] - weights[a], 0)
+            a, b = (np.where(one, places[-1] + k - places[k], places[k]) for k in (a, b))
+        return out
+
+
+def _near(block: np.ndarray, columns: list[np.ndarray], w: np.ndarray, asked: np.ndarray, ranges: list[tuple[np.ndarray, np.ndarray]], weights: np.ndarray) -> int:
+    """For each question, its weight times the weights of the rows of its block whose ranks lie in its ranges, all added up."""
+    wide = int(columns[0].max()) + 2
+    key = block * wide + columns[0]
+    by = np.argsort(key, kind="stable")
+    a, b = (np.searchsorted(key[by], asked * wide + end) for end in ranges[0])
+    if len(columns) == 1:
+        total = np.r_[0, np.cumsum(w[by])]
+        return int((weights * (total[b] - total[a])).sum())
+    rest = [c[by] for c in columns[1:]]
+    if len(columns) == 2:
+        sums = _Below(rest[0], w[by], int(rest[0].max() + 1).bit_length())
+        return int((weights * (sums.sums(a, b, ranges[1][1]) - sums.sums(a, b, ranges[1][0]))).sum())
+    return _between(rest, w[by], a, b, ranges[1:], weights)
+
+
+def _between(columns: list[np.ndarray], w: np.ndarray, start: np.ndarray, stop: np.ndarray, ranges: list[tuple[np.ndarray, np.ndarray]], weights: np.ndarray) -> int:
+    """The same for rows from place ``start`` to before ``stop``: the rows before a place are blocks of 2^level rows, one for each bit of the place."""
+    found, at = 0, np.arange(len(w))
+    for level in range(len(w).bit_length()):
+        for places, sign in ((stop, 1), (start, -1)):
+            q = np.flatnonzero(places >> level & 1)
+            if len(q):
+                found += sign * _near(at >> level, columns, w, (places[q] >> level) - 1, [(lo[q], hi[q]) for lo, hi in ranges], weights[q])
+    return found
+
+
+def pairs_within(points: np.ndarray, w: np.ndarray, r: float) -> int:
+    """The sum of products of weights over pairs of different rows that differ by ``r`` at most in every column."""
+    if len(points) < 2:
+        return 0
+    order = np.argsort(points[:, 0], kind="stable")
+    points, w = points[order], w[order]
+    rank, _, end = _reach(points[:, 0], r)
+    # Of the rows in order of the first column, those after this one and before ``stop``.
+    stop, start = np.searchsorted(rank, end), np.arange(1, len(w) + 1)
+    if points.shape[1] == 1:
+        total = np.r_[0, np.cumsum(w)]
+        return int((w * (total[stop] - total[start])).sum())
+    reach = [_reach(c, r) for c in points.T[1:]]
+    return _between([c for c, _, _ in reach], w, start, stop, [(lo, hi) for _, lo, hi in reach], w)
 
 
 def matching_pairs(points: DataFrame, key: str, axes: list[str], radius: str, fine: int | None = None) -> DataFrame:
     """(key, pairs): of each key, the unordered pairs of rows that differ by at most ``radius`` on every axis.
 
-    ``radius`` is positive and the same in all rows of a key. ``fine`` is the number of cells in a radius; by default
-    it grows with the key's points. Rows with a null or NaN on an axis match none. Keys without a pair are absent. The points
-    with their cells, which five branches read, are checkpointed first.
+    ``radius`` is positive and the same in all rows of a key. ``fine`` is the number of blocks in a radius; by default, a
+    block is two radii wide. Rows with a null or NaN on an axis match none. Keys without a pair are absent. A task holds the distinct
+    points of a block and of the radius before it.
     """
     whole = points.filter(" and ".join(f"`{a}` is not null and not isnan(`{a}`)" for a in axes))
     weighed = whole.groupBy(key, radius, *axes).agg(F.count(F.lit(1)).alias("w"))
-    size = weighed.groupBy(key).agg(F.sum("w").alias("n"), F.max(F.greatest(*(F.abs(a) for a in axes), F.lit(0.0))).alias("largest"))
-    most = fine or _FINEST.get(len(axes), 2)
-    grown = F.round(2 * F.pow(F.col("n") / COARSE, F.lit(1.0 / (len(axes) + 1))))
-    cells = F.lit(float(fine)) if fine else F.least(F.greatest(grown, F.lit(2.0)), F.lit(float(most)))
-    sized = weighed.join(size, key).withColumn("width", F.greatest(F.col(radius) / cells * (1 + 10 * _SURE), F.col("largest") * _LEAST))
-    ratio = F.col(radius) / F.col("width")
-    placed = checkpointed(sized.select(
-        key, "w", *axes, F.col(radius).alias("_r"), F.array(*(F.floor(F.col(a) / F.col("width")).cast("long") for a in axes)).alias("cell"),
-        (F.floor(ratio * (1 - _SURE)) - 1).alias("sure"), (F.floor(ratio * (1 + _SURE)) + 1).alias("reach"), F.ceil(F.col("n") / SALTED).cast("int").alias("salts"),
-    ))
-    offsets = F.broadcast(_offsets(points.sparkSession, len(axes), most))
-    far, there = F.col("far"), F.zip_with("cell", "offset", lambda c, o: c + o)
-    counts = placed.groupBy(key, "cell", "sure").agg(F.sum("w").alias("w"))
-    # Cells near enough: products of counts.
-    asked = counts.filter("sure >= 0").withColumnRenamed("sure", "reach").join(offsets, "reach")
-    own = asked.filter(far == 0).select(key, (F.col("w") * (F.col("w") - 1) / 2).cast("long").alias("pairs"))
-    other = asked.filter(far > 0).select(key, there.alias("cell"), F.col("w").alias("w_a")).join(counts.select(key, "cell", "w"), [key, "cell"])
-    sure = own.unionByName(other.select(key, (F.col("w_a") * F.col("w")).cast("long").alias("pairs")))
-    # Cells at the edge: their points are compared, each pair once.
-    edge = placed.join(offsets, "reach").filter(far > F.col("sure"))
-    salt = F.pmod(F.xxhash64(*axes), F.col("salts")).cast("int")
-    left = edge.select(key, there.alias("cell"), salt.alias("salt"), (far == 0).alias("same"), "_r", F.col("w").alias("w_a"), *(F.col(a).alias(f"{a}_a") for a in axes))
-    right = placed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(key, "cell", "salt", "w", *axes)
-    close = F.lit(True)
-    for a in axes:
-        close = close & (F.abs(F.col(f"{a}_a") - F.col(a)) <= F.col("_r"))
-    ordered = F.struct(*(F.col(f"{a}_a") for a in axes)) < F.struct(*axes)
-    met = left.join(right, [key, "cell", "salt"]).filter(close & (~F.col("same") | ordered))
-    equal = placed.filter("sure < 0 and w > 1").select(key, (F.col("w") * (F.col("w") - 1) / 2).cast("long").alias("pairs"))
-    unsure = met.select(key, (F.col("w_a") * F.col("w")).cast("long").alias("pairs")).unionByName(equal)
-    return sure.unionByName(unsure).groupBy(key).agg(F.sum("pairs").alias("pairs")).filter("pairs > 0")
+    size = weighed.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.max(F.greatest(*(F.abs(a) for a in axes), F.lit(0.0))).alias("largest"))
+    blocks = F.lit(float(fine)) if fine else F.when(F.col("n") > SALTED, 1.0).otherwise(0.5)
+    sized = weighed.join(F.broadcast(size), key).withColumn("width", F.greatest(F.col(radius) / blocks, F.col("largest") * _LEAST))
+    cut = axes[:2]
+    home = {f"home{k}": F.floor(F.col(a) / F.col("width")) for k, a in enumerate(cut)}
+    last = [F.floor((F.col(a) + F.col(radius) * (1 + _SURE)) / F.col("width")) for a in cut]
+    sent = sized.withColumns(home).select(key, F.col(radius).alias("_r"), "w", *axes, *home, *(v.alias(f"last{k}") for k, v in enumerate(last)))
+    for k in range(len(cut)):
+        # Blocks as steps from the point's own: 0 where the point lies in it.
+        sent = sent.withColumn(f"step{k}", F.explode(F.sequence(F.lit(0), (F.col(f"last{k}") - F.col(f"home{k}")).cast("int"))))
+    sent = sent.select(key, "_r", "w", *axes, *(F.col(f"step{k}") for k in range(len(cut))), *((F.col(f"home{k}") + F.col(f"step{k}")).alias(f"block{k}") for k in range(len(cut))))
+    name = [f"block{k}" for k in range(len(cut))]
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        at, w, r = pdf[axes].to_numpy(np.float64), pdf["w"].to_numpy(np.int64), float(pdf["_r"].iloc[0])
+        before = [pdf[f"step{k}"].to_numpy() > 0 for k in range(len(cut))]
+        # Pairs whose larger coordinates lie in the block: all, less those with both points before it on an axis.
+        found = pairs_within(at, w, r)
+        for b in before:
+            found -= pairs_within(at[b], w[b], r)
+        if len(before) == 2:
+            b = before[0] & before[1]
+            found += pairs_within(at[b], w[b], r)
+        return pd.DataFrame({key: pdf[key].head(1), "pairs": [found]})
+
+    kind = points.schema[key].dataType.simpleString()
+    unequal = sent.groupBy(key, *name).applyInPandas(count, f"`{key}` {kind}, pairs long")
+    equal = weighed.filter("w > 1").select(key, (F.col("w") * (F.col("w") - 1) / 2).cast("long").alias("pairs"))
+    return unequal.unionByName(equal).groupBy(key).agg(F.sum("pairs").alias("pairs")).filter("pairs > 0")
