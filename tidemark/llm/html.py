@@ -2,13 +2,14 @@
 
 1. Pages become element trees; neighbouring siblings with the same tag and class count as one repeated
    node, so a tree has as many nodes as a layout has parts, not as a text has paragraphs.
-2. For each host, ``SAMPLE`` pages of different content (those with the least hashes) are aligned: simple tree
-   matching (Yang, 1991) pairs each tree's nodes with the first one's, in order. Slots whose texts vary are content.
-   The host's path leads to the deepest node that holds most of the varying text, and the main heading if there is
-   one; elements that say they are an article only end the way down.
-3. Texts that recur in a slot of the content are proposed as template. Each is then counted over all pages of the
-   host, copies of a page once, and is template if it is on ``SHARED`` of them and on ``LEAST`` at least. Pages
-   whose content is the same text for the most part are near copies, not a template, and propose nothing.
+2. All pages of a host are aligned with the one of the least hash: simple tree matching (Yang, 1991) pairs each
+   tree's nodes with that one's, in order, page by page; the texts of paired nodes are counted over all different pages of the
+   host. Slots whose texts vary, so that none is on half of ``SHARED`` of the pages, are content. The host's path leads to
+   the deepest node that holds most of the varying text, and the main heading if there is one; elements that say they
+   are an article only end the way down.
+3. All texts of the content are counted over all pages of the host, copies of a page once; one is template if it is on
+   ``SHARED`` of them and on ``LEAST`` at least. Pages whose content is the same text for the most part are near copies
+   and have no template.
 4. Every page of a host is read by its path, without the template's texts. Elements that can't be article text
    (menus, forms, scripts and the like), and containers, but never paragraphs or headings, that are named as adverts,
    notices or comments, are left out. A page that lacks the path, and a host with one page, are read by the tags alone.
@@ -22,21 +23,21 @@ the host of the empty name; unclosed, misnested and stray tags are repaired; tre
 read whole; repeated rows and extra columns pass through; an empty table gives an empty result.
 """
 
+import base64
+import hashlib
 import html as entities
 import json
 import re
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .shared import BROADCAST_BYTES, materialise
 
-SAMPLE, DEPTH, SALT = 6, 60, 32
+DEPTH, SALT = 60, 32
 #: A template text is on this share of a host's different pages, and on so many.
 SHARED, LEAST = 0.6, 4
 
@@ -288,29 +289,48 @@ def match(a: Layout, b: Layout) -> tuple[int, list]:
     return 1 + best[m][n], pairs[::-1]
 
 
-def induce(pages: list[str]) -> dict:
-    """The wrapper of a host's sample of different pages: the labels from the root to the content, and the texts that
-    recur in its slots, which may be template."""
-    parsed = [parse(p) for p in pages]
-    trees = [Layout([root]) for root in parsed]
-    seen: dict[int, list[set[str]]] = {}
+def _mark(text: str) -> str:
+    """A text's 128-bit digest, which stands for it where texts are counted."""
+    return base64.b64encode(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()).decode()[:22]
 
-    def note(slot: Layout, other: Layout, pairs: list) -> None:
-        seen.setdefault(id(slot), []).append(set(other.texts))
+
+def slot_texts(first: Layout, other: Layout) -> dict[tuple[int, str], int]:
+    """The texts (slot, mark) of another tree by the first tree's slots that they are paired with, and their characters; slots are
+    numbered from the root downwards, in order."""
+    number: dict[int, int] = {}
+    todo = [first]
+    while todo:
+        slot = todo.pop()
+        number[id(slot)] = len(number)
+        todo += reversed(slot.kids)
+    found: dict[tuple[int, str], int] = {}
+
+    def note(slot: Layout, texts: list[str], pairs: list) -> None:
+        for t in texts:
+            found[number[id(slot)], _mark(t)] = len(t)
         for x, y, below in pairs:
-            note(x, y, below)
+            note(x, y.texts, below)
 
-    for tree in trees:
-        note(trees[0], tree, match(trees[0], tree)[1])
+    note(first, other.texts, match(first, other)[1])
+    return found
+
+
+def _few(pages: int) -> float:
+    """On so many of a host's pages a text no longer varies."""
+    return max(2, SHARED * pages / 2)
+
+
+def path_of(first: Layout, own: dict[int, int]) -> list[str]:
+    """The labels from the root to the content, given the characters of varying texts of each slot."""
     weight: dict[int, int] = {}
+    numbers = iter(range(1 << 62))
 
     def varying(slot: Layout) -> int:
-        """The characters of the texts below that are on one page only."""
-        counts = Counter(t for texts in seen.get(id(slot), []) for t in texts)
-        weight[id(slot)] = sum(len(t) for t, k in counts.items() if k == 1) + sum(varying(kid) for kid in slot.kids)
+        at = next(numbers)
+        weight[id(slot)] = own.get(at, 0) + sum(varying(kid) for kid in slot.kids)
         return weight[id(slot)]
 
-    node, path = trees[0], [trees[0].label]
+    node, path = first, [first.label]
     total = varying(node)
     while not node.content and node.kids:
         kid = max(node.kids, key=lambda k: weight[id(k)] * (1 + k.content))
@@ -319,12 +339,38 @@ def induce(pages: list[str]) -> dict:
             break
         node = kid
         path.append(node.label)
-    texts = [_read(root, path) for root in parsed]
-    counts = Counter(t for own in texts for t in set(own))
-    often = {t for t, k in counts.items() if k >= max(2, SHARED * len(trees) / 2)}
-    same = sum(len(t) for own in texts for t in own if t in often)
-    copies = 2 * same > sum(len(t) for own in texts for t in own)
-    return {"path": path, "template": [] if copies or len(trees) < LEAST else sorted(often)}
+    return path
+
+
+def content_texts(root: Node, path: list[str]) -> dict[str, int]:
+    """The marks of the content's texts and the characters of all with that mark."""
+    found: Counter = Counter()
+    for text in _read(root, path):
+        found[_mark(text)] += len(text)
+    return found
+
+
+def induce(pages: list[str]) -> dict:
+    """The wrapper of a host of these different pages: the labels from the root to the content, and the marks of the texts that
+    are template. ``wrappers`` is the same for the hosts of a table."""
+    parsed = [parse(p) for p in pages]
+    trees, n = [Layout([root]) for root in parsed], len(parsed)
+    counts: Counter = Counter()
+    size: dict[tuple[int, str], int] = {}
+    for tree in trees:
+        texts = slot_texts(trees[0], tree)
+        counts.update(texts.keys())
+        size |= texts
+    own: Counter = Counter()
+    for (slot, mark), k in counts.items():
+        own[slot] += size[slot, mark] if k < _few(n) else 0
+    path = path_of(trees[0], own)
+    texts = [content_texts(root, path) for root in parsed]
+    on, chars = Counter(m for t in texts for m in t), Counter()
+    for t in texts:
+        chars.update(t)
+    copies = 2 * sum(c for m, c in chars.items() if on[m] >= _few(n)) > sum(chars.values())
+    return {"path": path, "template": [] if copies else sorted(m for m, k in on.items() if k >= max(LEAST, SHARED * n))}
 
 
 def _content(root: Node) -> list[Node]:
@@ -378,41 +424,46 @@ def extract(page: str, wrapper: dict | None = None) -> str:
     """The main text of a page, its blocks joined by an empty line."""
     found = _read(parse(page), wrapper["path"] if wrapper else [])
     template = frozenset(wrapper["template"]) if wrapper else frozenset()
-    return "\n\n".join(t for t in found if t not in template)
+    return "\n\n".join(t for t in found if not template or _mark(t) not in template)
 
 
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
 
 
-def wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(host, path, template) of every host; ``pages`` has host, html and copy, the hash of the html."""
-    first = Window.partitionBy("host").orderBy("copy")
-    copies = pages.select("host", "copy").distinct()
-    drawn = materialise(copies.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= sample).select("host", "copy"), "drawn-pages")
-    few = drawn.agg(F.sum(F.octet_length("host") + 40)).first()[0] or 0
-    chosen = pages.join(F.broadcast(drawn) if few <= BROADCAST_BYTES else drawn, ["host", "copy"]).groupBy("host", "copy").agg(F.first("html").alias("html"))
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        made = induce(pdf.sort_values("copy")["html"].tolist())
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "path": [made["path"]], "template": [made["template"]]})
-
-    draft = materialise(chosen.groupBy("host").applyInPandas(one, "host string, path array<string>, template array<string>"), "draft-wrappers")
-    proposed = draft.filter(F.size("template") > 0)
-    if proposed.isEmpty():
-        return draft
-    met = _with_wrappers(pages, proposed, "inner").select("host", "copy", F.explode(_met_column(F.col("html"), F.col("wrapper"))).alias("at"))
-    of_text = met.groupBy("host", "at").agg(F.countDistinct("copy").alias("n"))
-    of_host = copies.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    texts = proposed.select("host", F.posexplode("template").alias("at", "text")).join(of_text, ["host", "at"]).join(of_host, "host")
-    sure = texts.filter((F.col("n") >= LEAST) & (F.col("n") >= SHARED * F.col("pages"))).groupBy("host").agg(F.sort_array(F.collect_list("text")).alias("sure"))
-    return draft.join(sure, "host", "left").select("host", "path", F.coalesce("sure", F.array().cast("array<string>")).alias("template"))
+def wrappers(pages: DataFrame) -> DataFrame:
+    """(host, path, template) of every host; ``pages`` has host, html and copy, the hash of the html.
+
+    Each page is aligned with its host's first one and read by its host's path by itself; only marks of texts are shuffled.
+    """
+    of_host = materialise(pages.select("host", "copy").distinct().groupBy("host").agg(F.min("copy").alias("copy"), F.count(F.lit(1)).alias("pages")), "hosts")
+    few = of_host.agg(F.sum(F.octet_length("host") + 40)).first()[0] or 0
+    drawn = of_host.select("host", "copy")
+    first = materialise(pages.join(F.broadcast(drawn) if few <= BROADCAST_BYTES else drawn, ["host", "copy"]).groupBy("host").agg(F.first("html").alias("first")), "first-pages")
+    met = _with_each(pages, first, "first", "inner").select("host", "copy", F.explode(_slots_column(F.col("html"), F.col("first"))).alias("t"))
+    least = F.greatest(F.lit(2.0), F.lit(SHARED / 2) * F.col("pages"))
+    texts = met.select("host", "copy", "t.*").distinct().groupBy("host", "slot", "mark").agg(F.count(F.lit(1)).alias("n"), F.max("chars").alias("chars"))
+    vary = texts.join(of_host.drop("copy"), "host").groupBy("host", "slot").agg(F.sum(F.when(F.col("n") < least, F.col("chars")).otherwise(F.lit(0))).alias("own"))
+    slots = vary.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("slot", "own"))).alias("own"))
+    paths = materialise(first.join(slots, "host", "left").select("host", _path_column(F.col("first"), F.to_json("own")).alias("path")), "paths")
+    read = _with_wrappers(pages, paths.withColumn("template", F.array().cast("array<string>")), "inner").select("host", "copy", F.explode(_content_column(F.col("html"), F.col("wrapper"))).alias("t"))
+    counted = read.select("host", "copy", "t.*").distinct().groupBy("host", "mark").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars")).join(of_host.drop("copy"), "host")
+    sure = F.when((F.col("n") >= LEAST) & (F.col("n") >= F.lit(SHARED) * F.col("pages")), F.col("mark"))
+    found = counted.groupBy("host").agg(
+        F.sum(F.when(F.col("n") >= least, F.col("chars")).otherwise(F.lit(0))).alias("same"), F.sum("chars").alias("chars"), F.sort_array(F.collect_list(sure)).alias("sure")
+    )
+    own = found.filter(2 * F.col("same") <= F.col("chars")).select("host", "sure")
+    return paths.join(own, "host", "left").select("host", "path", F.coalesce("sure", F.array().cast("array<string>")).alias("template"))
 
 
 def _with_wrappers(pages: DataFrame, found: DataFrame, how: str) -> DataFrame:
     """``pages`` with the wrapper of their hosts, as JSON."""
-    found = found.select("host", F.to_json(F.struct("path", "template")).alias("wrapper"))
-    size = found.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host") + 40)).first()[0] or 0
+    return _with_each(pages, found.select("host", F.to_json(F.struct("path", "template")).alias("wrapper")), "wrapper", how)
+
+
+def _with_each(pages: DataFrame, found: DataFrame, name: str, how: str) -> DataFrame:
+    """``pages`` with a text of their hosts."""
+    size = found.agg(F.sum(F.octet_length(name) + F.octet_length("host") + 40)).first()[0] or 0
     if size <= BROADCAST_BYTES:
         return pages.join(F.broadcast(found), "host", how)
     salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
@@ -438,19 +489,52 @@ def _read_wrappers(work):
     return run
 
 
-def _met_column(page: Column, wrapper: Column) -> Column:
-    """The places of the wrapper's template texts that a page's content holds."""
+def _slots_column(page: Column, first: Column) -> Column:
+    """The texts of a page by the slots of its host's first page."""
+
+    @F.arrow_udf("array<struct<slot: int, mark: string, chars: int>>")
+    def slots(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        kind = pa.list_(pa.struct([("slot", pa.int32()), ("mark", pa.string()), ("chars", pa.int32())]))
+        known: dict[str, Layout] = {}
+        for pages, firsts in batches:
+            out = []
+            for p, f in zip(pages, firsts, strict=True):
+                text = f.as_py()
+                if text not in known:
+                    if len(known) > 100:
+                        known.clear()
+                    known[text] = Layout([parse(text)])
+                found = slot_texts(known[text], Layout([parse(p.as_py())]))
+                out.append([{"slot": s, "mark": m, "chars": n} for (s, m), n in found.items()])
+            yield pa.array(out, kind)
+
+    return slots(page, first)
+
+
+def _path_column(first: Column, own: Column) -> Column:
+    """The path of a host by its first page and the characters of varying texts in its slots (JSON or null)."""
+
+    @F.arrow_udf("array<string>")
+    def paths(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for pages, owns in batches:
+            read = ((p.as_py(), json.loads(o.as_py() or "{}")) for p, o in zip(pages, owns, strict=True))
+            yield pa.array([path_of(Layout([parse(p)]), {int(k): v for k, v in o.items()}) for p, o in read], pa.list_(pa.string()))
+
+    return paths(first, own)
+
+
+def _content_column(page: Column, wrapper: Column) -> Column:
+    """The marks of a page's content, as its host's path reads it, and their characters."""
 
-    def met(page: str, wrapper: dict) -> list[int]:
-        found = set(_read(parse(page), wrapper["path"]))
-        return [k for k, t in enumerate(wrapper["template"]) if t in found]
+    def content(page: str, wrapper: dict) -> list[dict]:
+        return [{"mark": m, "chars": n} for m, n in content_texts(parse(page), wrapper["path"]).items()]
 
-    @F.arrow_udf("array<int>")
-    def places(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for out in _read_wrappers(met)(batches):
-            yield pa.array(out, pa.list_(pa.int32()))
+    @F.arrow_udf("array<struct<mark: string, chars: int>>")
+    def contents(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for out in _read_wrappers(content)(batches):
+            yield pa.array(out, pa.list_(pa.struct([("mark", pa.string()), ("chars", pa.int32())])))
 
-    return places(page, wrapper)
+    return contents(page, wrapper)
 
 
 def main_text_column(page: Column, wrapper: Column) -> Column:
