@@ -131,8 +131,14 @@ def feature_name(threshold: Column, lookback: Column, code: Column) -> Column:
 
 
 def epoch_millis(v: Column) -> Column:
-    """Milliseconds of a stamp that is in nanoseconds if it is beyond 1e15."""
-    return F.when(F.abs(v) > F.lit(10**15), F.floor(v / F.lit(1_000_000)).cast("long")).otherwise(v.cast("long"))
+    """Milliseconds of a stamp that is in nanoseconds if it is beyond 1e15; divided as integers, toward zero, since doubles hold no nanoseconds of today."""
+    return F.when(F.abs(v) > F.lit(10**15), F.call_function("div", v.cast("long"), F.lit(1_000_000))).otherwise(v.cast("long"))
+
+
+def millis(us: Column) -> Column:
+    """Milliseconds of a stamp in microseconds, toward zero: ``epoch_millis`` of its nanoseconds where these tell their unit and fit a long."""
+    told = (F.abs(us) > F.lit(10**12)) & (F.abs(us) <= F.lit((2**63 - 1) // 1000))
+    return F.when(told, epoch_millis(us * F.lit(1000))).otherwise(F.call_function("div", us, F.lit(1000)))
 
 
 def cache_key(symbol: Column, threshold: Column, start: Column, end: Column, mode: Column) -> Column:

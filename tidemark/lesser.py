@@ -143,7 +143,7 @@ def queries() -> dict:
         "x15_tolerance": lambda s, d: et(s, d).select("series_id", "seq", _r(X.adaptive_tolerance(F.col("nav"), F.col("seq")) * 1e12, "tolerance")),
         "x17_all_bounded": lambda s, d: _long(s, d).groupBy("series_id", "lookback").agg(F.sum(X.all_bounded(F.col("value")).cast("long")).alias("n_bounded"), F.count(F.lit(1)).alias("n_rows")),
         "x18_uids": _uids,
-        "x21_epoch_millis": lambda s, d: events(s, d).select("event_id", X.epoch_millis(F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("ms")),
+        "x21_epoch_millis": lambda s, d: events(s, d).select("event_id", X.millis(F.unix_micros(F.col("ts").cast("timestamp"))).alias("ms")),
         "x22_has_feature": _versions,
         "a2_sharpe_granular": _sharpe,
         "a3_batch": _batch,
