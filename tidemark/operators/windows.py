@@ -27,9 +27,15 @@ def with_returns(nav: DataFrame, kind: str = "fraction") -> DataFrame:
 
 
 def build_nav(prices: DataFrame, floor: float = -0.99) -> DataFrame:
-    """A value index from 1.0 by compounding returns, none below ``floor``."""
+    """A value index ``built`` from 1.0 by compounding returns, none below ``floor``, and its logarithm ``log_built``, which long series can't take beyond doubles.
+
+    Logarithms are added up as multiples of 2^-20, whose sums are exact, and small rests, so the error doesn't grow with the series.
+    """
     bounded = with_returns(prices).withColumn("growth", F.lit(1.0) + F.greatest("ret", F.lit(floor)))
-    return bounded.withColumn("built", F.exp(F.sum(F.log("growth")).over(so_far())))
+    step = F.log("growth")
+    whole = F.rint(step * F.lit(2.0**20)) * F.lit(2.0**-20)
+    rest = F.when(F.abs(step) < F.lit(float("inf")), step - whole).otherwise(F.lit(0.0))
+    return bounded.withColumn("log_built", F.sum(whole).over(so_far()) + F.sum(rest).over(so_far())).withColumn("built", F.exp("log_built"))
 
 
 def normalize_prices(prices: DataFrame) -> DataFrame:
