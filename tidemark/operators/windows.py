@@ -172,7 +172,8 @@ def window_extremes(rows: DataFrame, windows: DataFrame, value: str = "nav") ->
         return F.transform(own, lambda b: F.struct(F.lit(k).alias("level"), b.alias("block")))
 
     covered = asked.withColumn("b", F.explode(F.concat(*map(of_level, range(levels))))).select("series_id", "anchor", "window", "part", "b.*")
-    met = covered.join(blocks, ["series_id", "level", "block"])
+    # Few lengths become many windows, which Spark doesn't expect: it would broadcast them.
+    met = covered.hint("merge").join(blocks, ["series_id", "level", "block"])
     return met.groupBy("series_id", "anchor", "window", "part").agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
 
