@@ -1,15 +1,22 @@
 """Near neighbours of points, counted in blocks without comparing all of them.
 
 A point goes to the blocks of the first two axes, two radii wide, in which a pair that it is the lower one of may have its
-larger coordinates: 2.25 blocks on average, whatever the number of points. A block counts its pairs from sorted arrays, in n log n steps
-on two axes and one more factor log n for each further axis. Equal points are one row with a weight, so ties cost nothing.
+larger coordinates: 2.25 blocks on average, whatever the number of points; the points of a short series are one block. A block counts its
+pairs from sorted arrays, in n log n steps on two axes and one more factor log n for each further axis; blocks of few points, which are
+most blocks, are compared together, many in one step. Equal points are one row with a weight, so ties cost nothing.
 """
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import written
+
+#: Distinct points up to which a key is one block and a block is compared with others in one step, and rows that are compared at once.
+FEW, TOGETHER = 1024, 1 << 17
 #: Distinct points of a key from which blocks are one radius wide instead of two.
 SALTED = 4_000_000
 #: Blocks are at least this part of the largest value in size, so that their numbers stay exact.
@@ -100,6 +107,31 @@ def pairs_within(points: np.ndarray, w: np.ndarray, r: float) -> int:
     return _between([c for c, _, _ in reach], w, start, stop, [(lo, hi) for _, lo, hi in reach], w)
 
 
+def pairs_of_groups(group: np.ndarray, points: np.ndarray, w: np.ndarray, r: np.ndarray, before: list[np.ndarray]) -> np.ndarray:
+    """``pairs_within`` of each group, which are numbered from 0, without pairs whose points are both ``before`` on an axis.
+
+    In order of group and first column, each row meets the one after it, then the one after that, as long as that is near enough.
+    """
+    total = np.zeros(int(group.max()) + 1 if len(group) else 0, np.int64)
+    order = np.lexsort((points[:, 0], group))
+    group, points, w, r, before = group[order], points[order], w[order], r[order], [b[order] for b in before]
+    i, step = np.arange(len(group) - 1), 1
+    with np.errstate(invalid="ignore"):
+        while len(i):
+            j = i + step
+            i = i[(group[j] == group[i]) & (points[j, 0] - points[i, 0] <= r[i])]
+            j = i + step
+            near = np.ones(len(i), bool)
+            for c in points.T[1:]:
+                near &= np.abs(c[j] - c[i]) <= r[i]
+            for b in before:
+                near &= ~(b[i] & b[j])
+            np.add.at(total, group[i[near]], w[i[near]] * w[j[near]])
+            step += 1
+            i = i[i + step < len(group)]
+    return total
+
+
 def matching_pairs(points: DataFrame, key: str, axes: list[str], radius: str, fine: int | None = None) -> DataFrame:
     """(key, pairs): of each key, the unordered pairs of rows that differ by at most ``radius`` on every axis.
 
@@ -108,13 +140,15 @@ def matching_pairs(points: DataFrame, key: str, axes: list[str], radius: str, fi
     points of a block and of the radius before it.
     """
     whole = points.filter(" and ".join(f"`{a}` is not null and not isnan(`{a}`)" for a in axes))
-    weighed = whole.groupBy(key, radius, *axes).agg(F.count(F.lit(1)).alias("w"))
-    size = weighed.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.max(F.greatest(*(F.abs(a) for a in axes), F.lit(0.0))).alias("largest"))
+    weighed = written(whole.groupBy(key, radius, *axes).agg(F.count(F.lit(1)).alias("w")))
+    # Written, so that its join knows its size: few keys are broadcast, many aren't.
+    size = written(weighed.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.max(F.greatest(*(F.abs(a) for a in axes), F.lit(0.0))).alias("largest")))
     blocks = F.lit(float(fine)) if fine else F.when(F.col("n") > SALTED, 1.0).otherwise(0.5)
-    sized = weighed.join(F.broadcast(size), key).withColumn("width", F.greatest(F.col(radius) / blocks, F.col("largest") * _LEAST))
+    sized = weighed.join(size, key).withColumn("width", F.greatest(F.col(radius) / blocks, F.col("largest") * _LEAST))
     cut = axes[:2]
-    home = {f"home{k}": F.floor(F.col(a) / F.col("width")) for k, a in enumerate(cut)}
-    last = [F.floor((F.col(a) + F.col(radius) * (1 + _SURE)) / F.col("width")) for a in cut]
+    place = lambda at: F.floor(at / F.col("width")) if fine else F.when(F.col("n") <= FEW, F.lit(0).cast("long")).otherwise(F.floor(at / F.col("width")))
+    home = {f"home{k}": place(F.col(a)) for k, a in enumerate(cut)}
+    last = [place(F.col(a) + F.col(radius) * (1 + _SURE)) for a in cut]
     sent = sized.withColumns(home).select(key, F.col(radius).alias("_r"), "w", *axes, *home, *(v.alias(f"last{k}") for k, v in enumerate(last)))
     for k in range(len(cut)):
         # Blocks as steps from the point's own: 0 where the point lies in it.
@@ -122,7 +156,7 @@ def matching_pairs(points: DataFrame, key: str, axes: list[str], radius: str, fi
     sent = sent.select(key, "_r", "w", *axes, *(F.col(f"step{k}") for k in range(len(cut))), *((F.col(f"home{k}") + F.col(f"step{k}")).alias(f"block{k}") for k in range(len(cut))))
     name = [f"block{k}" for k in range(len(cut))]
 
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+    def of_large(pdf: pd.DataFrame) -> int:
         at, w, r = pdf[axes].to_numpy(np.float64), pdf["w"].to_numpy(np.int64), float(pdf["_r"].iloc[0])
         before = [pdf[f"step{k}"].to_numpy() > 0 for k in range(len(cut))]
         # Pairs whose larger coordinates lie in the block: all, less those with both points before it on an axis.
@@ -132,9 +166,42 @@ def matching_pairs(points: DataFrame, key: str, axes: list[str], radius: str, fi
         if len(before) == 2:
             b = before[0] & before[1]
             found += pairs_within(at[b], w[b], r)
-        return pd.DataFrame({key: pdf[key].head(1), "pairs": [found]})
+        return found
+
+    def starts(pdf: pd.DataFrame) -> np.ndarray:
+        """Where the blocks of sorted rows begin."""
+        of = np.column_stack([pd.factorize(pdf[key], use_na_sentinel=False)[0], *(pdf[c].to_numpy(np.int64) for c in name)])
+        return np.flatnonzero(np.r_[True, (of[1:] != of[:-1]).any(1)])
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = starts(pdf)
+        sizes = np.diff(np.r_[first, len(pdf)])
+        group, large = np.arange(len(first)).repeat(sizes), sizes > FEW
+        some = pdf[~large[group]]
+        found = np.zeros(len(first), np.int64)
+        of_few = pairs_of_groups(group[~large[group]], some[axes].to_numpy(np.float64), some["w"].to_numpy(np.int64), some["_r"].to_numpy(np.float64), [some[f"step{k}"].to_numpy() > 0 for k in range(len(cut))])
+        found[: len(of_few)] = of_few
+        for g in np.flatnonzero(large):
+            found[g] = of_large(pdf.iloc[first[g] : first[g] + sizes[g]])
+        return pd.DataFrame({key: pdf[key].to_numpy()[first], "pairs": found})[found > 0]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, rows, enough = [], 0, TOGETHER
+        for pdf in batches:
+            held.append(pdf)
+            rows += len(pdf)
+            if rows >= enough:
+                pdf = pd.concat(held, ignore_index=True)
+                end = starts(pdf)[-1]
+                if end:
+                    yield count(pdf.iloc[:end])
+                # A block that goes on is not looked at again before it has doubled.
+                held, rows = [pdf.iloc[end:]], len(pdf) - end
+                enough = max(TOGETHER, 2 * rows)
+        if rows:
+            yield count(pd.concat(held, ignore_index=True))
 
     kind = points.schema[key].dataType.simpleString()
-    unequal = sent.groupBy(key, *name).applyInPandas(count, f"`{key}` {kind}, pairs long")
+    unequal = sent.repartition(key, *name).sortWithinPartitions(key, *name).mapInPandas(run, f"`{key}` {kind}, pairs long")
     equal = weighed.filter("w > 1").select(key, (F.col("w") * (F.col("w") - 1) / 2).cast("long").alias("pairs"))
     return unequal.unionByName(equal).groupBy(key).agg(F.sum("pairs").alias("pairs")).filter("pairs > 0")
