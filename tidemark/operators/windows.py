@@ -14,13 +14,48 @@ from .spread import counts_below, running_sums
 _ALL = Window.unboundedPreceding, Window.unboundedFollowing
 
 
+#: Points of a chunk of a long series.
+CHUNK = 1 << 16
+
+
+def per_series(df: DataFrame, table: DataFrame) -> DataFrame:
+    """Rows with what ``table`` says of their series, of the one without a name as well."""
+    own = table.withColumnRenamed("series_id", "_own")
+    return df.join(own, df["series_id"].eqNullSafe(own["_own"])).drop("_own")
+
+
+def with_lags(nav: DataFrame, k: int) -> DataFrame:
+    """Adds ``before1`` to ``before{k}``, the values so many points before, unless they are there; ``seq`` counts without gaps.
+
+    Series are cut into chunks that carry the points before them, so no task sorts one.
+    """
+    if f"before{k}" in nav.columns:
+        return nav
+    own, last = F.floor(F.col("seq") / CHUNK), F.floor((F.col("seq") + k) / CHUNK)
+    dealt = nav.withColumn("_chunk", F.explode(F.sequence(own, last)))
+    order = Window.partitionBy("series_id", "_chunk").orderBy("seq")
+    made = dealt.withColumns({f"before{i}": F.lag("nav", i).over(order) for i in range(1, k + 1)})
+    return made.filter(F.col("_chunk") == own).drop("_chunk")
+
+
+def with_peak(nav: DataFrame) -> DataFrame:
+    """Adds ``peak``, the greatest value up to each point: of its chunk so far and of the chunks before."""
+    cut = nav.withColumn("_chunk", F.floor(F.col("seq") / CHUNK))
+    tops = cut.groupBy("series_id", "_chunk").agg(F.max("nav").alias("_top"))
+    earlier = F.max("_top").over(Window.partitionBy("series_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))
+    before = tops.select(F.col("series_id").alias("_own"), F.col("_chunk").alias("_at"), earlier.alias("_before"))
+    local = F.max("nav").over(Window.partitionBy("series_id", "_chunk").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    met = cut.withColumn("_local", local).join(before, F.col("series_id").eqNullSafe(F.col("_own")) & (F.col("_chunk") == F.col("_at")))
+    return met.select(*nav.columns, F.greatest("_before", "_local").alias("peak"))
+
+
 def with_returns(nav: DataFrame, kind: str = "fraction") -> DataFrame:
     """Adds ``ret``: the change as a ``fraction`` of the point before (0 at the first) or as a ``diff``.
 
     A base within machine epsilon of 0 gives 0. The first point has NULL for ``open`` kinds
     (``open_fraction``, ``open_diff``), which leave out the artificial zero.
     """
-    before = F.lag("nav").over(point_window())
+    before = F.col("before1") if "before1" in nav.columns else F.lag("nav").over(point_window())
     diff = F.col("nav") - before
     value = diff if kind.endswith("diff") else F.when(F.abs(before) > X.EPS, F.try_divide(diff, before)).when(before.isNotNull(), F.lit(0.0))
     return nav.withColumn("ret", value if kind.startswith("open") else F.coalesce(value, F.lit(0.0)))
